@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, toxicity, urls, warc
+from . import decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, suffix_dedup, toxicity, urls, warc
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
     "op2_warc_zstd": warc.op2_warc_zstd,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_minmax_dedup": minmax_dedup.op5_minmax_dedup,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
