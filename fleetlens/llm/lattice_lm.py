@@ -61,14 +61,13 @@ class Lattice:
     def __init__(self, pieces: list[bytes], log_weights: np.ndarray):
         self.log_weights, self.longest = log_weights, max(map(len, pieces))
         keys = np.array([self._key(p) for p in pieces], np.uint64)
-        # Two tables by different bits of the key: what the first has no room for is in the second, or in the sorted rest.
-        self.keys, self.tables, left = np.append(keys, np.uint64(0)), [], np.arange(len(keys))
-        for shift in (44, 24):
-            at = (keys[left] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)
-            t = np.full(1 << 20, len(keys), np.int32)
-            t[at] = left
-            self.tables.append((np.uint64(shift), t))
-            left = left[t[at] != left]
+        self.keys = np.append(keys, np.uint64(0))
+        # A small filter by 20 bits of the key rules out most strings; pieces whose place is taken are in the sorted rest.
+        at = self._place(keys)
+        self.filter, self.table = np.zeros(1 << 20, bool), np.full(1 << 20, len(keys), np.int32)
+        self.filter[at] = True
+        self.table[at] = np.arange(len(keys))
+        left = np.flatnonzero(self.table[at] != np.arange(len(keys)))
         self.rest = left[np.argsort(keys[left])]
         self.lengths = sorted({len(p) for p in pieces})
 
@@ -79,25 +78,29 @@ class Lattice:
             h = (h * int(BASE) + b + 1) & (2**64 - 1)
         return h * 0xBF58476D1CE4E5B9 & (2**64 - 1)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Pieces with these keys, or the number of pieces."""
-        key = h * np.uint64(0xBF58476D1CE4E5B9)
-        none = np.int32(len(self.keys) - 1)
-        out = np.full(len(key), none, np.int32)
-        for shift, t in self.tables:
-            i = t[(key >> shift) & np.uint64((1 << 20) - 1)]
-            ok = self.keys[i] == key
-            out[ok] = i[ok]
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(44)).view(np.int64)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these strings are pieces, and which pieces."""
+        keys = h * np.uint64(0xBF58476D1CE4E5B9)
+        at = self._place(keys)
+        rows = np.flatnonzero(self.filter[at])
+        if not len(rows):
+            return rows, rows
+        keys = keys[rows]
+        pieces = self.table[at[rows]].astype(np.int64)
         if len(self.rest):
-            i = np.searchsorted(self.keys[self.rest], key)
-            i = self.rest[np.minimum(i, len(self.rest) - 1)]
-            ok = (self.keys[i] == key) & (out == none)
-            out[ok] = i[ok]
-        return out
+            odd = np.flatnonzero(self.keys[pieces] != keys)
+            i = np.minimum(np.searchsorted(self.keys[self.rest], keys[odd]), len(self.rest) - 1)
+            pieces[odd] = self.rest[i]
+        ok = self.keys[pieces] == keys
+        return rows[ok], pieces[ok]
 
     def _arcs(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """start, end, rows and pieces, by end; words: a matrix of bytes, all of one length."""
-        n, none = words.shape[1], len(self.keys) - 1
+        n = words.shape[1]
         prefix = [np.zeros(len(words), np.uint64)]
         for j in range(n):
             prefix.append(prefix[-1] * BASE + words[:, j].astype(np.uint64) + np.uint64(1))
@@ -109,10 +112,9 @@ class Lattice:
             for size in self.lengths:
                 if size > j:
                     break
-                found = self._find(prefix[j] - prefix[j - size] * power[size])
-                rows = np.flatnonzero(found != none)
+                rows, pieces = self._find(prefix[j] - prefix[j - size] * power[size])
                 if len(rows):
-                    yield j - size, j, rows, found[rows]
+                    yield j - size, j, rows, pieces
 
     def forward(self, words: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """The forward recursion in log space: column j sums over all segmentations of the first j bytes."""
@@ -145,7 +147,7 @@ class Lattice:
         for k, w in enumerate(words):
             sizes.setdefault(len(w), []).append(k)
         for n, at in sizes.items():
-            step = max(1, (1 << 19) // (n + 1))
+            step = max(1, (1 << 15) // (n + 1))
             for s in range(0, len(at), step):
                 part = at[s : s + step]
                 yield part, np.frombuffer(b"".join(b" " + words[k] for k in part), np.uint8).reshape(len(part), n + 1)
