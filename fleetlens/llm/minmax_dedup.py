@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -16,9 +16,6 @@ WORDS, SIMILARITY = 5, (75, 100)
 #: 64 permutations give 128 values, cut into 42 bands of 3: a pair at 0.75 shares no band in 1 of 10^10 cases.
 PERMUTATIONS, BAND_ROWS = 64, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
-#: Bands of the first round; the others then look only for links between different components.
-FIRST_BANDS = 6
-CHUNK = 256
 _SEED = np.random.default_rng(20240501)
 MULTIPLIERS = _SEED.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _SEED.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -116,17 +113,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def _priority(id_: Column, key: Column) -> Column:
-    return F.xxhash64(id_, key)
-
-
 def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per row of docs.
 
-    Texts of equal sets are one class, and its smallest doc_id goes on for it. In each band's bucket one member,
-    another one in each bucket, is paired with all others; pairs are confirmed on full sets. The first bands settle
-    most components. After that buckets that still hold several components are searched in full between these, so
-    no confirmed link between different components is missed, and no bucket emits all its pairs. Texts without words
+    Texts of equal sets are one class, and its smallest doc_id goes on for it. In each band's bucket the member with
+    most company is paired with all others; pairs are confirmed on full sets. Buckets that still hold several
+    components are then searched in full between these, so no link between different components is missed. Texts without words
     stay alone. Rows that repeat a doc_id count as one document: they are linked by name, and each row keeps its own
     n_shingles. A null doc_id links nothing and is kept.
     """
@@ -136,21 +128,23 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     # A class's representative carries its bands; a doc_id that stands for several sets has the bands of each.
     bands = real.join(classes.select("set_key", "id"), "set_key").where("doc_id = id").dropDuplicates(["set_key"])
     buckets = bands.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("id", _priority(F.col("id"), F.col("key"))).alias("center"))
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"))
     shared = common.stored(common.heavy_join(buckets, sizes.where("n > 1"), ["band", "key"], F.col("id")).where("n > 1"))
+    # The member with most company over all its buckets is nearest to the text that the others are copies of.
+    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
+    ranked = shared.join(company, "id")
+    centers = ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("company", "id")).alias("center"), F.count("*").alias("n"))
+    shared = common.stored(common.heavy_join(shared.drop("n"), centers, ["band", "key"], F.col("id")))
     members = common.stored(shared.select("id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi")
     sets = common.stored(sets_of(texts.dropDuplicates(["id"])))
     if sets.limit(1).count() == 0:
         edges = shared.select(F.col("id").alias("a"), F.col("id").alias("b"))
     else:
-        star = lambda x: x.where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
-        edges = common.stored(linked(star(shared.where(F.col("band") < FIRST_BANDS)), sets, similarity))
-        for step in ("stars", "rest"):
-            labels = common.stored(components(members, edges))
-            open_ = _open_buckets(shared, labels)
-            pairs = star(open_.where(F.col("label") != F.col("center_label"))) if step == "stars" else _cross_pairs(open_, labels, similarity)
-            edges = common.stored(edges.union(linked(pairs, sets, similarity)))
+        star = lambda x, c: x.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")).distinct()
+        edges = common.stored(linked(star(shared, "center"), sets, similarity))
+        labels = common.stored(components(members, edges))
+        edges = common.stored(edges.union(linked(_cross_pairs(_open_buckets(shared, labels), similarity), sets, similarity)))
     labels = components(members, edges)
     found = common.heavy_join(rows.drop("bands"), classes.select("set_key", F.col("id").alias("class_id"), "n"), ["set_key"], F.coalesce("doc_id", F.lit(0)))
     sized = labels.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
@@ -160,14 +154,13 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
 
 
 def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component, with the row's label and the center's."""
+    """Rows of buckets that hold more than one component, with the row's label."""
     labelled = common.stored(shared.join(labels, "id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h")
-    rows = common.heavy_join(labelled, mixed.select("band", "key", "m"), ["band", "key"], F.col("id"), count="m").where("m IS NOT NULL").drop("m")
-    return rows.join(labels.select(F.col("id").alias("center"), F.col("label").alias("center_label")), "center")
+    return common.heavy_join(labelled, mixed.select("band", "key", "m"), ["band", "key"], F.col("id"), count="m").where("m IS NOT NULL").drop("m")
 
 
-def _cross_pairs(open_: DataFrame, labels: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _cross_pairs(open_: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Pairs of one bucket between its largest component and the others, and among the others, by size of their sets."""
     part, whole = similarity
     sized = open_.select("band", "key", "id", "n_shingles", "label")
