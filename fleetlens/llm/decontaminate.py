@@ -26,7 +26,7 @@ UNITS = frozenset(
 )
 LITERAL, NUM, UNIT, NAME, SKIP = range(5)
 _SLOT = np.array([xxhash.xxh3_64_intdigest(x) for x in (b"", b"<number>", b"<unit>", b"<name>")], np.uint64)
-WINDOWS = "row long, doc_id long, pos int, h long, slots array<string>"
+WINDOWS = "row long, doc_id long, pos int, size int, h long, slots array<string>"
 
 
 class Kinds(dict):
@@ -77,7 +77,7 @@ def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def template_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray | None = None) -> DataFrame:
-    """docs (doc_id, text) -> row, doc_id, pos, h, slots of windows; with a bitmap only those whose bit is set.
+    """docs (doc_id, text) -> row, doc_id, pos, size, h, slots of windows; with a bitmap only those whose bit is set.
 
     slots has a window's slot values as kind, place and lower-cased text.
     """
@@ -88,7 +88,7 @@ def template_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray | Non
 
         kinds, bits, row = Kinds(), given.value, TaskContext.get().partitionId() << 40
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 h, kind, at = template(words, kinds)
@@ -100,10 +100,11 @@ def template_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray | Non
                         pos, keys = pos[hit], keys[hit]
                     for p, k in zip(pos.tolist(), keys.view(np.int64).tolist(), strict=True):
                         slots = [f"{kind[i]}{i - p} {words[at[i]].strip(PUNCTUATION).lower().decode('utf-8', 'replace')}" for i in range(p, p + size) if kind[i]]
-                        for column, x in zip(out, (row, doc_id, p, k, slots), strict=True):
+                        for column, x in zip(out, (row, doc_id, p, size, k, slots), strict=True):
                             column.append(x)
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))], names=["row", "doc_id", "pos", "h", "slots"])
+            kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_of, strict=True)], names=["row", "doc_id", "pos", "size", "h", "slots"])
 
     return docs.select("doc_id", "text").mapInArrow(find, WINDOWS)
 
@@ -128,10 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     items = common.stored(template_windows(benchmark.select(F.col("item_id").cast("long").alias("doc_id"), "text"), [WINDOW]))
     n = items.count()
-    sizes = [WINDOW]
-    short = benchmark.select("text").where(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")) < 3 * WINDOW)
-    if n and short.limit(1).count():
-        sizes = list(range(1, WINDOW + 1))
+    sizes = sorted(r.size for r in items.select("size").distinct().collect()) or [WINDOW]
     found = template_windows(docs, sizes, bitmap_of(items))
     per = items.groupBy("row").agg(F.count("*").alias("windows"))
     right = items.join(per, "row").select(F.col("row").alias("item_row"), F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots"), "windows")
