@@ -37,7 +37,7 @@ class DigestIndex:
         return (F.min if self.keep == "smallest" else F.max)(c)
 
     def _write(self, run: DataFrame, to: str) -> DataFrame:
-        options = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true"}
+        options = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"}
         run.write.options(**options).parquet(to)
         return self.spark.read.schema(run.schema).parquet(to)
 
