@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -16,6 +16,8 @@ WORDS, SIMILARITY = 5, (75, 100)
 #: 64 permutations give 128 values, cut into 42 bands of 3: a pair at 0.75 shares no band in 1 of 10^10 cases.
 PERMUTATIONS, BAND_ROWS = 64, 3
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
+#: A set that is compared with many others goes to so many tasks at most.
+CHUNKS = 1024
 _SEED = np.random.default_rng(20240501)
 MULTIPLIERS = _SEED.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _SEED.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -74,7 +76,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar enough. Each set goes once to each chunk of its pairs."""
-    left = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(64)))
+    left = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(CHUNKS)))
     once = left.select("a", "chunk").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(once, ["a", "chunk"])
 
@@ -118,7 +120,7 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
 
     Texts of equal sets are one class, and its smallest doc_id goes on for it. In each band's bucket the member with
     most company is paired with all others; pairs are confirmed on full sets. Buckets that still hold several
-    components are then searched in full between these, so no link between different components is missed. Texts without words
+    components are then searched between these by bounds that no link breaks, so none is missed. Texts without words
     stay alone. Rows that repeat a doc_id count as one document: they are linked by name, and each row keeps its own
     n_shingles. A null doc_id links nothing and is kept.
     """
@@ -131,7 +133,7 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"))
     shared = common.stored(common.heavy_join(buckets, sizes.where("n > 1"), ["band", "key"], F.col("id")).where("n > 1"))
     # The member with most company over all its buckets is nearest to the text that the others are copies of.
-    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
+    company = common.stored(shared.groupBy("id").agg(F.sum("n").alias("company")))
     ranked = shared.join(company, "id")
     centers = ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("company", "id")).alias("center"), F.count("*").alias("n"))
     shared = common.stored(common.heavy_join(shared.drop("n"), centers, ["band", "key"], F.col("id")))
@@ -144,7 +146,8 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
         star = lambda x, c: x.where(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")).distinct()
         edges = common.stored(linked(star(shared, "center"), sets, similarity))
         labels = common.stored(components(members, edges))
-        edges = common.stored(edges.union(linked(_cross_pairs(_open_buckets(shared, labels), similarity), sets, similarity)))
+        groups = _outside(_pivot_groups(shared, labels, company), sets)
+        edges = common.stored(edges.union(linked(_cross_pairs(groups, similarity), sets, similarity)))
     labels = components(members, edges)
     found = common.heavy_join(rows.drop("bands"), classes.select("set_key", F.col("id").alias("class_id"), "n"), ["set_key"], F.coalesce("doc_id", F.lit(0)))
     sized = labels.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
@@ -153,22 +156,83 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component, with the row's label."""
+def _pivot_groups(shared: DataFrame, labels: DataFrame, company: DataFrame) -> DataFrame:
+    """pivot, id, label, n_shingles, far of buckets that hold several components; far: not of the pivot's component.
+
+    A component's hub is its member with most company. A bucket's pivot is the hub with most company among those that
+    its members meet in any bucket, so that variants of one text have one pivot wherever they meet. Two members of a
+    bucket, of which one is its centre, have been compared.
+    """
+    keys = ["band", "key"]
     labelled = common.stored(shared.join(labels, "id"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h")
-    return common.heavy_join(labelled, mixed.select("band", "key", "m"), ["band", "key"], F.col("id"), count="m").where("m IS NOT NULL").drop("m")
+    mixed = labelled.groupBy(*keys).agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h AND m > 2").select(*keys, "m")
+    open_ = common.stored(common.heavy_join(labelled, mixed, keys, F.col("id"), count="m").where("m IS NOT NULL"))
+    hubs = labels.join(company, "id").groupBy("label").agg(F.max(F.struct("company", F.col("id").alias("pivot"), F.col("label").alias("own"))).alias("hub"))
+    met = open_.where("id = center").join(hubs, "label").select(*keys, "hub", "m")
+    guide = common.heavy_join(open_.drop("m"), met, keys, F.col("id"), count="m").groupBy("id").agg(F.max("hub").alias("hub"))
+    pivots = open_.join(guide, "id").groupBy(*keys).agg(F.max("hub").alias("hub"), F.max("m").alias("m"))
+    found = common.heavy_join(open_.drop("m"), pivots, keys, F.col("id"), count="m")
+    return found.select(F.col("hub.pivot").alias("pivot"), "id", "label", "n_shingles", (F.col("label") != F.col("hub.own")).alias("far")).distinct()
+
+
+def _outside(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups with inside, the number of the set's shingles that the pivot has, and outside, the other shingles."""
+    left = groups.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(CHUNKS)))
+    once = left.select("pivot", "chunk").distinct().join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("sp")), "pivot")
+    both = left.join(sets.select("id", F.col("shingles").alias("si")), "id").join(once, ["pivot", "chunk"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True).view(np.int64) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
+            inside = pa.array(batch.column(3).to_numpy() - np.array([len(x) for x in found], np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], inside, pa.array(found, pa.list_(pa.int64()))], names=["pivot", "id", "label", "n_shingles", "far", "inside", "outside"])
 
+    return both.select("pivot", "id", "label", "n_shingles", "far", "si", "sp").mapInArrow(part, "pivot long, id long, label long, n_shingles long, far boolean, inside long, outside array<long>")
 
-def _cross_pairs(open_: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of one bucket between its largest component and the others, and among the others, by size of their sets."""
+
+def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of one pivot's group, of different components, whose sets can be similar enough.
+
+    Sets of m and n shingles need an overlap of similarity / (1 + similarity) * (m + n). What two sets share lies inside
+    the pivot, where it is no more than either has there, or outside it. So a pair either has enough inside alone (found
+    by size), or shares shingles outside, at least as many as its inside leaves open. Of these, rarest first, one must be
+    in a prefix of each. Variants of one text share little but the text, hence few pairs come of a large group.
+    """
     part, whole = similarity
-    sized = open_.select("band", "key", "id", "n_shingles", "label")
-    most = sized.groupBy("band", "key", "label").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    tagged = sized.join(most, ["band", "key"])
-    small = tagged.where("label <> main").select("band", "key", F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("label").alias("lx"))
-    near = (F.least("nx", "n_shingles") * whole >= F.greatest("nx", "n_shingles") * part) & (F.col("lx") != F.col("label"))
-    return tagged.join(small, ["band", "key"]).where(near).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    rows = common.stored(groups)
+    least = rows.groupBy("pivot").agg(F.min("n_shingles").alias("least"), F.count("*").alias("m"))
+    rows = common.heavy_join(rows, least, ["pivot"], F.col("id"), count="m").drop("m")
+    smallest = F.greatest(F.ceil(F.col("n_shingles") * part / whole), F.col("least"))
+    need = F.ceil((F.col("n_shingles") + smallest) * part / (whole + part))
+    rows = common.stored(rows.withColumn("open", F.greatest(F.lit(1), need - F.col("inside"))))
+    named = {c: f"{c}_y" for c in ("id", "label", "n_shingles", "far", "inside")}
+    renamed = lambda x: x.select("pivot", *[F.col(c).alias(named.get(c, c)) for c in x.columns if c != "pivot"])
+    sizes = F.col("n_shingles") + F.col("n_shingles_y")
+    apart = (F.col("label") != F.col("label_y")) & (~F.col("far_y") | (F.col("id") < F.col("id_y")))
+    apart &= F.least("n_shingles", "n_shingles_y") * whole >= F.greatest("n_shingles", "n_shingles_y") * part
+    inner = F.least("inside", "inside_y")
+    outer = F.least(F.col("n_shingles") - F.col("inside"), F.col("n_shingles_y") - F.col("inside_y"))
+    pair = (F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b"))
+
+    each = rows.select("pivot", *named, "open", F.explode("outside").alias("shingle"))
+    met = each.groupBy("pivot", "shingle").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h").select("pivot", "shingle", "m")
+    each = common.heavy_join(each, met, ["pivot", "shingle"], F.col("id"), count="m").where("m IS NOT NULL")
+    own = Window.partitionBy("pivot", "id")
+    each = each.withColumn("k", F.row_number().over(own.orderBy("m", "shingle"))).withColumn("of", F.count("*").over(own))
+    each = common.stored(each.where("k <= of - open + 1").select("pivot", "shingle", *named))
+    beyond = each.where("far").join(renamed(each), ["pivot", "shingle"]).where(apart & ((inner + outer) * (whole + part) >= sizes * part)).select(*pair)
+
+    bin_of = lambda n: F.floor(F.log(n) * 100).cast("int")
+    able = rows.where(F.col("inside") * (whole + part) >= (F.col("n_shingles") + smallest) * part)
+    ys = able.select("pivot", *named, bin_of(F.col("n_shingles")).alias("bin"))
+    counts = ys.groupBy("pivot", "bin").agg(F.count("*").alias("m"))
+    most = F.least(F.col("n_shingles") * whole / part, F.col("inside") * (whole + part) / part - F.col("n_shingles"))
+    xs = able.where("far").select("pivot", *named, F.explode(F.sequence(bin_of(smallest), F.greatest(bin_of(smallest), bin_of(most)))).alias("bin"))
+    shares = F.ceil(F.col("m") / F.lit(256))
+    xs = common.heavy_join(xs, counts, ["pivot", "bin"], F.col("id"), count="m").where("m IS NOT NULL").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("m")
+    ys = common.heavy_join(ys, counts, ["pivot", "bin"], F.col("id"), count="m").withColumn("share", F.pmod(F.xxhash64("id"), shares)).drop("m")
+    within = xs.join(renamed(ys), ["pivot", "bin", "share"]).where(apart & (inner * (whole + part) >= sizes * part)).select(*pair)
+    return beyond.union(within).distinct()
 
 
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,22 +35,44 @@ def shingle_sets(docs):
     return out
 
 
-def test_near_groups_against_all_pairs(spark, docs):
+def groups_by_all_pairs(docs):
     sets = shingle_sets(docs)
     group = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     changed = True
     while changed:
         changed = False
-        for i in sets:
-            for j in sets:
-                if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[j] < group[i]:
-                    group[i], changed = group[j], True
+        for i, j in links:
+            if group[i] != group[j]:
+                group[i] = group[j] = min(group[i], group[j])
+                changed = True
+    return sets, group
+
+
+def test_near_groups_against_all_pairs(spark, docs):
+    sets, group = groups_by_all_pairs(docs)
     got = minmax_dedup.near_groups(docs).collect()
     assert {r.doc_id: r.component_id for r in got} == group
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
     assert minmax_dedup.near_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_variants_of_one_text_against_all_pairs(spark, seed):
+    """Variants at all distances from a text, some of them cut short: many buckets hold several components."""
+    rng = random.Random(seed)
+    text, rows = [f"w{rng.randint(0, 999)}" for _ in range(150)], []
+    for _ in range(220):
+        words = text[:] if rng.random() < 0.7 else text[: rng.randint(100, 149)]
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 3)}"
+        rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    _, group = groups_by_all_pairs(docs)
+    found = {r.doc_id: r.component_id for r in minmax_dedup.near_groups(docs).collect()}
+    assert found == group and 5 < len(set(group.values())) < 200
+
+
 @pytest.mark.parametrize("large", [1, 2000])
 def test_repeats_against_all_strings(spark, docs, monkeypatch, large):
     monkeypatch.setattr(suffix_dedup, "LARGE_BUCKET", large)
