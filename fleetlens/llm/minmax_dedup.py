@@ -29,11 +29,12 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minimum and maximum under each permutation, interleaved so that no band has both of one permutation twice."""
-    low, high = np.empty(PERMUTATIONS, np.uint64), np.empty(PERMUTATIONS, np.uint64)
-    for k in range(PERMUTATIONS):
-        h = shingles * MULTIPLIERS[k] + OFFSETS[k]
+    low, high = np.full(PERMUTATIONS, np.iinfo(np.uint64).max), np.zeros(PERMUTATIONS, np.uint64)
+    for at in range(0, len(shingles), 512):  # a block of all permutations stays in the cache
+        h = MULTIPLIERS[:, None] * shingles[at : at + 512] + OFFSETS[:, None]
         h ^= h >> np.uint64(29)
-        low[k], high[k] = h.min(), h.max()
+        np.minimum(low, h.min(1), out=low)
+        np.maximum(high, h.max(1), out=high)
     return np.concatenate([low, high])
 
 
