@@ -197,7 +197,7 @@ def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     Sets of m and n shingles need an overlap of similarity / (1 + similarity) * (m + n). What two sets share lies inside
     the pivot, where it is no more than either has there, or outside it. So a pair either has enough inside alone (found
     by size), or shares shingles outside, at least as many as its inside leaves open. Of these, rarest first, one must be
-    in a prefix of each. Variants of one text share little but the text, hence few pairs come of a large group.
+    in a prefix of each, and as many as are needed must be left from the first shared one on. Variants of one text share little but the text, hence few pairs come of a large group.
     """
     part, whole = similarity
     rows = common.stored(groups)
@@ -207,12 +207,12 @@ def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     need = F.ceil((F.col("n_shingles") + smallest) * part / (whole + part))
     rows = common.stored(rows.withColumn("open", F.greatest(F.lit(1), need - F.col("inside"))))
     named = {c: f"{c}_y" for c in ("id", "label", "n_shingles", "far", "inside")}
-    renamed = lambda x: x.select("pivot", *[F.col(c).alias(named.get(c, c)) for c in x.columns if c != "pivot"])
+    after = F.least("rest", "rest_y")
+    renamed = lambda x: x.select("pivot", *[F.col(c).alias(f"{c}_y" if c == "rest" else named.get(c, c)) for c in x.columns if c != "pivot"])
     sizes = F.col("n_shingles") + F.col("n_shingles_y")
     apart = (F.col("label") != F.col("label_y")) & (~F.col("far_y") | (F.col("id") < F.col("id_y")))
     apart &= F.least("n_shingles", "n_shingles_y") * whole >= F.greatest("n_shingles", "n_shingles_y") * part
     inner = F.least("inside", "inside_y")
-    outer = F.least(F.col("n_shingles") - F.col("inside"), F.col("n_shingles_y") - F.col("inside_y"))
     pair = (F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b"))
 
     each = rows.select("pivot", *named, "open", F.explode("outside").alias("shingle"))
@@ -220,8 +220,8 @@ def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     each = common.heavy_join(each, met, ["pivot", "shingle"], F.col("id"), count="m").where("m IS NOT NULL")
     own = Window.partitionBy("pivot", "id")
     each = each.withColumn("k", F.row_number().over(own.orderBy("m", "shingle"))).withColumn("of", F.count("*").over(own))
-    each = common.stored(each.where("k <= of - open + 1").select("pivot", "shingle", *named))
-    beyond = each.where("far").join(renamed(each), ["pivot", "shingle"]).where(apart & ((inner + outer) * (whole + part) >= sizes * part)).select(*pair)
+    each = common.stored(each.where("k <= of - open + 1").select("pivot", "shingle", *named, (F.col("of") - F.col("k") + 1).alias("rest")))
+    beyond = each.where("far").join(renamed(each), ["pivot", "shingle"]).where(apart & ((inner + after) * (whole + part) >= sizes * part)).select(*pair)
 
     bin_of = lambda n: F.floor(F.log(n) * 100).cast("int")
     able = rows.where(F.col("inside") * (whole + part) >= (F.col("n_shingles") + smallest) * part)
