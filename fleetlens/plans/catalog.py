@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import forecast, labels, metrics, quality, retrieval, risk, timeseries
 from ..sources import documents as docs_source
 from ..streaming import flows
-from . import adapters, rollups
+from . import adapters, reports, rollups
+
+SQL_QUERIES = rollups.QUERIES | reports.QUERIES
 
 T = adapters.frame
 END = "2024-01-20 00:00:00"
@@ -386,9 +388,9 @@ SELECT region, round(b, 2) AS slope, round(a + 6 * b, 2) AS projected, round(a +
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    sql = {n: (lambda s, d, t=t: adapters.run(s, d, t)) for n, t in rollups.QUERIES.items()}
+    sql = {n: (lambda s, d, t=t: adapters.run(s, d, t)) for n, t in SQL_QUERIES.items()}
     return sql | {n: q for n, (q, _) in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: adapters.plain(t) for n, t in (rollups.QUERIES | {n: t for n, (_, t) in OPERATORS.items() if t}).items()}
+    return {n: adapters.plain(t) for n, t in (SQL_QUERIES | {n: t for n, (_, t) in OPERATORS.items() if t}).items()}
