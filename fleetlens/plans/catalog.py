@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import forecast, labels, metrics, quality, retrieval, risk, timeseries
 from ..sources import documents as docs_source
 from ..streaming import flows
-from . import adapters, reports, rollups
+from . import adapters, fitted, reports, rollups
+from .adapters import rounded
 
 SQL_QUERIES = rollups.QUERIES | reports.QUERIES
 
@@ -22,10 +23,6 @@ def at(time: str) -> Column:
     return F.lit(time).cast("timestamp_ntz")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def _kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.frames(spark, sf_dir, {"readings", "incidents", "condition_weekly", "pm_schedule", "equipment"})
     start, end = at("2024-01-05 00:00:00"), at(END)
@@ -386,6 +383,8 @@ SELECT region, round(b, 2) AS slope, round(a + 6 * b, 2) AS projected, round(a +
     "src8_page_sections": (lambda s, d: docs_source.sections(T(s, d, "pages")), None),
 }
 
+OPERATORS |= fitted.OPERATORS
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sql = {n: (lambda s, d, t=t: adapters.run(s, d, t)) for n, t in SQL_QUERIES.items()}
