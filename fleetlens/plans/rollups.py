@@ -96,7 +96,7 @@ QUERIES = {
     "win4_scoring_window": "SELECT event_id, tag, ts FROM (SELECT *, max(ts) OVER (PARTITION BY tag) AS last_ts FROM {readings}) r WHERE ts >= last_ts - INTERVAL 23 HOUR",
     "win5_observation_end": "SELECT event_id, max(ts) OVER (PARTITION BY tag) AS observation_window_end FROM {readings}",
     "win10_pareto": """WITH c AS (SELECT failure_mode, count(*) AS n, sum(downtime_hours) AS downtime FROM {incidents} WHERE failure_mode IS NOT NULL GROUP BY failure_mode)
-        SELECT failure_mode, n, round(100.0 * sum(n) OVER (ORDER BY n DESC, downtime DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER (), 6) AS cumulative_pct FROM c""",
+        SELECT failure_mode, n, round(100e0 * sum(n) OVER (ORDER BY n DESC, round(downtime, 6) DESC, failure_mode ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER (), 6) AS cumulative_pct FROM c""",
     "win13_rolling_mean_7": "SELECT event_id, round(avg(feed_rate) OVER (PARTITION BY tag ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS mean_7 FROM {readings}",
     "win16_first_event_row": "SELECT tag, day, event_id FROM (SELECT tag, CAST(failure_date AS DATE) AS day, event_id, row_number() OVER (PARTITION BY tag, CAST(failure_date AS DATE) ORDER BY is_source_rca DESC, incident_seq) AS i FROM {incidents}) f WHERE i = 1",
     "win17_last_rows": "SELECT tag, event_id FROM (SELECT tag, event_id, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) AS i FROM {readings}) r WHERE i <= 30",
