@@ -368,8 +368,8 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "pub1_publish_payload": (_publish, PUBLISH_SQL),
     "pub2_publish_cooldown": (_publish_cooldown, PUBCOOL_SQL),
     "spl1_chronological_split": (_split, SPLIT_SQL),
-    "win14_interpolated_calendar": (lambda s, d: rounded(_calendar(s, d), 4), f"WITH {CAL_CTE} SELECT region, day, round(y, 4) AS y, filled FROM ca"),
-    "win15_lag_matrix": (lambda s, d: rounded(forecast.lag_matrix(_calendar(s, d).drop("filled"), "region", "day", "y").select("region", "day", "lag_1", "lag_28", "mean_7", "std_7"), 4), f"WITH {CAL_CTE} SELECT region, day, round(lag(y, 1) OVER w, 4) AS lag_1, round(lag(y, 28) OVER w, 4) AS lag_28, round(avg(y) OVER b, 4) AS mean_7, round(stddev_pop(y) OVER b, 4) AS std_7 FROM ca WINDOW w AS (PARTITION BY region ORDER BY day), b AS (PARTITION BY region ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"),
+    "win14_interpolated_calendar": (lambda s, d: rounded(_calendar(s, d), 6), f"WITH {CAL_CTE} SELECT region, day, round(y, 6) AS y, filled FROM ca"),
+    "win15_lag_matrix": (lambda s, d: rounded(forecast.lag_matrix(_calendar(s, d).drop("filled"), "region", "day", "y").select("region", "day", "lag_1", "lag_28", "mean_7", "std_7"), 6), f"WITH {CAL_CTE} SELECT region, day, round(lag(y, 1) OVER w, 6) AS lag_1, round(lag(y, 28) OVER w, 6) AS lag_28, round(avg(y) OVER b, 6) AS mean_7, round(stddev_pop(y) OVER b, 6) AS std_7 FROM ca WINDOW w AS (PARTITION BY region ORDER BY day), b AS (PARTITION BY region ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"),
     "fc1_seasonal_naive": (lambda s, d: rounded(forecast.seasonal_naive(_calendar(s, d), "region", "day", "y", 10), 4), f"WITH {CAL_CTE}, o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY day DESC) AS i, max(day) OVER (PARTITION BY region) AS e FROM ca) SELECT region, s.step::INT AS step, (e + s.step::INT)::DATE AS day, round(y, 4) AS forecast FROM o CROSS JOIN range(1, 11) s(step) WHERE i = 7 - ((s.step - 1) % 7)"),
     "fc5_backtest_naive": (lambda s, d: rounded(forecast.backtest_naive(_calendar(s, d), "region", "day", "y"), 4), f"WITH {CAL_CTE}, e AS (SELECT region, y, lag(y, 7) OVER (PARTITION BY region ORDER BY day) - y AS e FROM ca) SELECT region, round(avg(abs(e)), 4) AS mae, round(100 * sum(abs(e)) / sum(abs(y)), 4) AS wape_pct, round(avg(e), 4) AS bias FROM e WHERE e IS NOT NULL GROUP BY region"),
     "fc9_trend_projection": (lambda s, d: rounded(forecast.trend_projection(_calendar(s, d), "region", "day", "y"), 2), f"""WITH {CAL_CTE}, o AS (SELECT *, -(row_number() OVER (PARTITION BY region ORDER BY day DESC))::DOUBLE AS x FROM ca), l AS (SELECT * FROM o WHERE x >= -30), f AS (SELECT region, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m, stddev_pop(y) AS sd, count(*) AS n, greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) AS sse FROM l GROUP BY region)
