@@ -91,6 +91,16 @@ def test_repeats_against_all_strings(spark, docs, monkeypatch, large):
     assert suffix_dedup.without_repeats(empty(spark)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Rows equal in doc_id and text keep their strings; a null doc_id comes first, and other rows still lose theirs."""
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a), (1, b), (2, a), (2, a), (3, "x" + b), (None, c), (None, c), (4, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.without_repeats(docs).collect())
+    assert got == [(0, 300, 0), (0, 300, 0), *[(1, 300, 0)] * 4, (2, 300, 300), (2, 300, 300), (3, 301, 300), (4, 300, 300)]
+
+
 def test_cover_holds_all_differences():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
