@@ -50,30 +50,37 @@ class Kinds(dict):
         return h
 
 
-def template(words: list[bytes], kinds: Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and kinds of the template's tokens, and each one's place in words.
+def template(words: list[bytes], kinds: Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and kinds of the template's tokens, each one's place in words, and hashes of the words themselves.
 
     A capital makes a name inside a sentence only; a unit counts behind a number only; all capitals are plain words.
     """
     code = np.fromiter(map(kinds.__getitem__, words), np.uint64, len(words))
     kind, ends = (code & np.uint64(7)).astype(np.int8), (code & np.uint64(8)) > 0
     at = np.flatnonzero(kind != SKIP)
-    h, kind, ends = code[at] >> np.uint64(4), kind[at], ends[at]
+    exact, kind, ends = code[at] >> np.uint64(4), kind[at], ends[at]
+    h = exact
     if len(at):
         after = np.concatenate([[True], ends[:-1]])
         behind = np.concatenate([[False], kind[:-1] == NUM])
         kind = np.where((kind == NAME) & after | (kind == UNIT) & ~behind, LITERAL, kind)
         h = np.where(kind == LITERAL, h, _SLOT[kind])
-    return h, kind, at
+    return h, kind, at, exact
 
 
-def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of windows with enough literal words."""
+def windows(h: np.ndarray, kind: np.ndarray, size: int, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of windows: of the template, or of the words themselves (exact) where few are literal."""
     if len(h) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(MIN_LITERALS, size))
-    return at, common.shingles(h, size)[at]
+    keys = common.shingles(h, size)
+    poor = np.flatnonzero(literal[size:] - literal[:-size] < min(MIN_LITERALS, size))
+    if len(poor):
+        e = np.full(len(poor), size, np.uint64)
+        for k in range(size):
+            e = common.mix(e + exact[poor + k])
+        keys[poor] = e
+    return np.arange(len(keys)), keys
 
 
 def template_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray | None = None) -> DataFrame:
@@ -91,9 +98,9 @@ def template_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray | Non
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                h, kind, at = template(words, kinds)
+                h, kind, at, exact = template(words, kinds)
                 for size in sizes if bits is not None else [min(WINDOW, len(h))] if len(h) else []:
-                    pos, keys = windows(h, kind, size)
+                    pos, keys = windows(h, kind, size, exact)
                     if bits is not None:
                         low = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                         hit = bits[low >> 3] >> (low & 7).astype(np.uint8) & 1 > 0
@@ -123,29 +130,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """Pairs (doc_id, item_id) with windows, matched, exact, coverage: what the row's text holds of the item.
 
     A pair counts if windows of one alignment whose slots map one to one cover at least `coverage` of the item's
-    windows, or `verbatim` windows match with equal slots. Items of fewer than eight tokens are one window. Windows
-    with fewer than three plain words are not compared. Null and empty texts, and items without words, match nothing.
-    Repeated rows and doc_ids give one pair. Whole texts are searched.
+    windows, or `verbatim` windows of any one alignment match with equal slots. Windows with fewer than three plain
+    words match only with equal slots: they count for the share of all windows, and the share of the others alone
+    suffices too (coverage is the larger share). Items of fewer than eight tokens are one window. Null and empty texts,
+    and items without words, match nothing. Repeated rows and doc_ids give one pair. Whole texts are searched.
     """
     items = common.stored(template_windows(benchmark.select(F.col("item_id").cast("long").alias("doc_id"), "text"), [WINDOW]))
     n = items.count()
     sizes = sorted(r.size for r in items.select("size").distinct().collect()) or [WINDOW]
     found = template_windows(docs, sizes, bitmap_of(items))
-    per = items.groupBy("row").agg(F.count("*").alias("windows"))
-    right = items.join(per, "row").select(F.col("row").alias("item_row"), F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots"), "windows")
+    rich = lambda slots: F.col("size") - F.size(slots) >= F.least(F.lit(MIN_LITERALS), "size")
+    per = items.groupBy("row").agg(F.count("*").alias("windows"), F.count_if(rich("slots")).alias("rich_windows"))
+    right = items.join(per, "row").select(F.col("row").alias("item_row"), F.col("doc_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots"), rich("slots").alias("rich"), "windows", "rich_windows")
     pairs = found.join(F.broadcast(right) if n <= BROADCAST_WINDOWS else right, F.col("h") == F.col("item_h"))
     same_shape = F.size("slots") == F.size("item_slots")
     mapped = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(F.concat(F.substring(x["item_slots"], 1, 1), F.substring_index(x["item_slots"], " ", -1)).alias("a"), F.concat(F.substring(x["slots"], 1, 1), F.substring_index(x["slots"], " ", -1)).alias("b")))
     equal = F.col("slots") == F.col("item_slots")
+    # Both kinds of windows may meet in one alignment; a window without plain words must be equal and maps nothing.
+    found_rich = F.when(F.col("rich"), F.col("item_pos"))
     # One alignment of one item has no more windows than the item.
-    aligned = pairs.where(same_shape).groupBy("row", "doc_id", "item_row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.first("windows").alias("windows"), F.collect_set("item_pos").alias("places"), F.count_if(equal).alias("exact"), F.array_distinct(F.flatten(F.collect_set(mapped))).alias("map")
+    aligned = pairs.where(same_shape & (F.col("rich") | equal)).groupBy("row", "doc_id", "item_row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+        F.first("windows").alias("windows"), F.first("rich_windows").alias("rich_windows"), F.collect_set(found_rich).alias("rich_places"), F.collect_set(F.when(~F.col("rich"), F.col("item_pos"))).alias("poor_places"),
+        F.count_if(equal).alias("exact"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("rich"), mapped)))).alias("map"),
     )
     one_to_one = (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda m: m["a"])))) & (F.size("map") == F.size(F.array_distinct(F.transform("map", lambda m: m["b"]))))
-    both = aligned.where(one_to_one).groupBy("row", "doc_id", "item_id", "item_row").agg(
-        F.first("windows").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max("exact").alias("exact")
-    )
-    share = F.col("matched") / F.col("windows")
+    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    both = aligned.withColumn("rich_places", F.when(one_to_one, F.col("rich_places")).otherwise(F.array().cast("array<int>"))).groupBy("row", "doc_id", "item_id", "item_row").agg(
+        F.first("windows").alias("windows"), F.first("rich_windows").alias("rich_windows"), places("rich_places").alias("rich_matched"), places("poor_places").alias("poor_matched"), F.max("exact").alias("exact")
+    ).withColumn("matched", F.col("rich_matched") + F.col("poor_matched"))
+    share = F.greatest(F.col("matched") / F.col("windows"), F.when(F.col("rich_windows") > 0, F.col("rich_matched") / F.col("rich_windows")))
     kept = both.where((share >= coverage) | (F.col("exact") >= verbatim))
     return kept.groupBy("doc_id", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.max("matched").cast("long").alias("matched"), F.max("exact").alias("exact"), F.max(share).alias("coverage"))
 

@@ -210,6 +210,28 @@ def test_parameters_of_a_question_may_change(spark):
     assert sorted(r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()) == [2, 3, 4]
 
 
+def test_equal_windows_count_whatever_else_their_alignment_changes(spark):
+    """15 verbatim words, then a repeated number changed once: equal windows suffice without a one-to-one map."""
+    head = "take 5 red apples and put them into the large basket near an open kitchen door"
+    item = f"{head} before you count 5 more of those green pears that grow behind our tall garden wall every single autumn"
+    text = f"{head} before you count 7 more of those green pears that grow behind our small yard"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, text), (1, " ".join(head.split()[:9]))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(0, 1)]
+
+
+def test_items_with_few_plain_words_are_found_verbatim(spark):
+    """Numbers or names only: found when copied, not with other values; a changed sum in a question is still found."""
+    numbers, names = "12 7 3 16 90 41 55 8 23 64 35", "he met Ada Bela Cleo Dora Edda Fina Gala Hela Ines"
+    question = "please work out the total of these numbers and show each step 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
+    other = "please work out the total of these numbers and show each step 23 24 25 26 27 28 29 30 31 32 33 34 35 36"
+    bench = spark.createDataFrame([(1, numbers), (2, names), (3, question), (4, "17 23")], "item_id long, text string")
+    texts = [f"so {numbers} there", f"then {names} left", other, numbers.replace("16", "17").replace("41", "42"), names.replace("Ada", "Udo").replace("Ines", "Otto").replace("Edda", "Kurt"), "we saw 17 23 there", "we saw 17 24 there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (5, 4)}
+
+
 def test_url_rules(spark):
     cases = {"http://a.example.com/en/71?x": ("example.com/en/7", "allow"), "https://B.COM/en/1": ("com/en/", "block"), "ftp://xcom/en/": (None, "allow"), "no url": (None, "allow"), None: (None, "allow"), "http://org/es/": ("org/es/", "block"), "http://example.net/de/81": ("example.net/de/8", "block")}
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)] * 2, "page_id long, url string")
