@@ -3,31 +3,47 @@
 The pieces are those of an existing vocabulary. A word is a space and its bytes; no piece crosses a word, so the
 lattice of a text falls into those of its words. Every single byte is a piece, so each word has a probability. The
 vocabulary's own scores start the weights; expectation maximisation over the training words' lattices then fits them.
-A word seen in training is one more arc, from its start to its end, weighted by its discounted relative frequency; what
-the discount frees is what the pieces share. All arcs' paths are summed.
+
+A word has two further arcs from its start to its end: one if training has seen it, weighted by its discounted relative
+frequency (what the discount frees is what the pieces share), and one if the text itself has held it before, weighted by
+how often. A text is thus drawn from an urn: word i has probability (CACHE * p(word) + its uses before i) / (CACHE + i),
+with p the sum over all its other arcs. This product does not depend on the words' order, so counts by text suffice.
+
+Weights and frequencies are fitted for each of a few classes of training texts (their languages); a text's probability
+is the sum over classes, each by its share. The class of a text to be scored is never looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-FOLDS, HELD_OUT, ROUNDS = 7, 2, 3
-#: Words with at least 1/HOT of all training tokens go to each task with their counts: at most HOT words.
-HOT = 1_000_000
-#: What each seen word gives up to the pieces, and the part of that which the end of a text keeps.
-DISCOUNT, END_SHARE = 0.7, 0.01
-END = b" "  # as a key of counts: no word holds a space
-BASE = np.uint64(0x9E3779B97F4A7C15)
+FOLDS, HELD_OUT, ROUNDS = 7, 2, 2
+#: Words with at least 1/HOT of all tokens go to each task with their probabilities: at most HOT words.
+HOT = 500_000
+#: Longer words are known by a digest, so that keys (and what is broadcast) have a bounded size.
+KEY_BYTES = 64
+#: Classes at most: the most frequent values of the class column; all other values are the last class.
+CLASSES = 8
+#: Weight of p(word) against the text's own words so far (chosen on training folds of sf0.01 by likelihood).
+CACHE = 1600.0
+BASE, LAST = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+#: Longer words are summed byte by byte, shorter ones many at a time.
+LONG_WORD, CHUNK = 256, 1 << 15
+NEVER = -1e30
+END = b" "  # stands for the end of a text; no word holds a space
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[tuple[bytes, float]]:
@@ -55,254 +71,437 @@ def load_vocabulary(path: str = VOCABULARY) -> list[tuple[bytes, float]]:
     return [(p, w / total) for p, w in sorted(weights.items())]
 
 
+def _sum_logs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log(exp(a) + exp(b)); NEVER stands for log 0."""
+    high = np.maximum(a, b)
+    return high + np.log(1.0 + np.exp(np.minimum(a, b) - high))
+
+
 class Lattice:
-    """Log probabilities of words by pieces with these natural log weights."""
+    """Log probabilities of words by pieces, for each column (class) of their natural log weights."""
 
     def __init__(self, pieces: list[bytes], log_weights: np.ndarray):
-        self.log_weights, self.longest = log_weights, max(map(len, pieces))
-        keys = np.array([self._key(p) for p in pieces], np.uint64)
-        self.keys = np.append(keys, np.uint64(0))
+        self.log_weights = log_weights.reshape(len(pieces), -1)
+        self.lengths = sorted({len(p) for p in pieces})
+        self.n_pieces, size = len(pieces), CHUNK + self.lengths[-1]
+        self.power = np.multiply.accumulate(np.append(np.uint64(1), np.full(size, BASE, np.uint64)))
+        self.inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(size, pow(BASE, -1, 2**64), np.uint64)))
+        keys = np.zeros(len(pieces), np.uint64)
+        for k in range(self.lengths[-1]):
+            at = [i for i, p in enumerate(pieces) if len(p) > k]
+            keys[at] += np.array([pieces[i][k] + 1 for i in at], np.uint64) * self.power[k]
+        keys *= LAST
         # A small filter by 20 bits of the key rules out most strings; pieces whose place is taken are in the sorted rest.
-        at = self._place(keys)
+        self.keys, at = np.append(keys, np.uint64(0)), self._place(keys)
         self.filter, self.table = np.zeros(1 << 20, bool), np.full(1 << 20, len(keys), np.int32)
         self.filter[at] = True
         self.table[at] = np.arange(len(keys))
         left = np.flatnonzero(self.table[at] != np.arange(len(keys)))
         self.rest = left[np.argsort(keys[left])]
-        self.lengths = sorted({len(p) for p in pieces})
-
-    @staticmethod
-    def _key(piece: bytes) -> int:
-        h = 0
-        for b in piece:
-            h = (h * int(BASE) + b + 1) & (2**64 - 1)
-        return h * 0xBF58476D1CE4E5B9 & (2**64 - 1)
 
     @staticmethod
     def _place(keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(44)).view(np.int64)
 
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of these strings are pieces, and which pieces."""
-        keys = h * np.uint64(0xBF58476D1CE4E5B9)
-        at = self._place(keys)
-        rows = np.flatnonzero(self.filter[at])
-        if not len(rows):
-            return rows, rows
-        keys = keys[rows]
-        pieces = self.table[at[rows]].astype(np.int64)
-        if len(self.rest):
+    def arcs(self, data: np.ndarray, since: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End, size and piece of all pieces found in data that start no earlier than since (by end, the first byte)."""
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=total[1:])
+        found: list[tuple] = []
+        for size in self.lengths:
+            n = len(data) - size + 1
+            if n <= 0:
+                break
+            h = (total[size:] - total[:-size]) * self.inverse[:n] * LAST
+            hit = self.filter[self._place(h)]
+            hit &= since[size - 1 :] <= np.arange(n)
+            start = np.flatnonzero(hit)
+            keys = h[start]
+            pieces = self.table[self._place(keys)].astype(np.int64)
             odd = np.flatnonzero(self.keys[pieces] != keys)
-            i = np.minimum(np.searchsorted(self.keys[self.rest], keys[odd]), len(self.rest) - 1)
-            pieces[odd] = self.rest[i]
-        ok = self.keys[pieces] == keys
-        return rows[ok], pieces[ok]
-
-    def _arcs(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """start, end, rows and pieces, by end; words: a matrix of bytes, all of one length."""
-        n = words.shape[1]
-        prefix = [np.zeros(len(words), np.uint64)]
-        for j in range(n):
-            prefix.append(prefix[-1] * BASE + words[:, j].astype(np.uint64) + np.uint64(1))
-        power = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for _ in range(min(n, self.longest)):
-                power.append(power[-1] * BASE)
-        for j in range(1, n + 1):
-            for size in self.lengths:
-                if size > j:
-                    break
-                rows, pieces = self._find(prefix[j] - prefix[j - size] * power[size])
-                if len(rows):
-                    yield j - size, j, rows, pieces
-
-    def forward(self, words: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """The forward recursion in log space: column j sums over all segmentations of the first j bytes."""
-        alpha = np.full((words.shape[1] + 1, len(words)), -np.inf)
-        alpha[0] = 0
-        arcs = []
-        for i, j, rows, pieces in self._arcs(words):
-            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.log_weights[pieces])
-            if keep:
-                arcs.append((i, j, rows, pieces))
-        return alpha, arcs
-
-    def expected(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words' segmentations, by words' counts."""
-        alpha, arcs = self.forward(words, keep=True)
-        beta = np.full_like(alpha, -np.inf)
-        beta[-1] = 0
-        out = np.zeros(len(self.keys) - 1)
-        for i, j, rows, pieces in reversed(arcs):
-            beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + self.log_weights[pieces])
-        for i, j, rows, pieces in arcs:
-            p = np.exp(alpha[i, rows] + self.log_weights[pieces] + beta[j, rows] - alpha[-1, rows]) * counts[rows]
-            out += np.bincount(pieces, p, len(out))
+            if len(self.rest) and len(odd):
+                i = np.minimum(np.searchsorted(self.keys[self.rest], keys[odd]), len(self.rest) - 1)
+                pieces[odd] = self.rest[i]
+            ok = self.keys[pieces] == keys
+            found.append((start[ok] + size, np.full(int(ok.sum()), size), pieces[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _block_arcs(self, words: list[bytes]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """start, end, rows and pieces of the arcs of a block of words, by end within the word."""
+        sizes = np.array([len(w) + 1 for w in words])
+        first = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(words)), sizes)
+        end, size, piece = self.arcs(np.frombuffer(b"".join(b" " + w for w in words), np.uint8), first[row])
+        rows = row[end - 1]
+        key = (end - first[rows]) * (self.lengths[-1] + 1) + size
+        order = np.argsort(key.astype(np.uint16) if self.lengths[-1] < 200 else key, kind="stable")
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            j = int(end[at[0]] - first[rows[at[0]]])
+            out.append((j - int(size[at[0]]), j, rows[at], piece[at]))
         return out
 
     @staticmethod
-    def by_length(words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
-        """Positions of words of one length and their bytes, with the space before; blocks of bounded size."""
-        sizes: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            sizes.setdefault(len(w), []).append(k)
-        for n, at in sizes.items():
-            step = max(1, (1 << 15) // (n + 1))
-            for s in range(0, len(at), step):
-                part = at[s : s + step]
-                yield part, np.frombuffer(b"".join(b" " + words[k] for k in part), np.uint8).reshape(len(part), n + 1)
+    def blocks(words: list[bytes]) -> Iterator[list[int]]:
+        """Positions of words in blocks of like length and bounded size; words over LONG_WORD alone."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        block: list[int] = []
+        for k in order:
+            if block and (len(words[k]) > LONG_WORD or (len(block) + 1) * (len(words[k]) + 1) > CHUNK):
+                yield block
+                block = []
+            block.append(k)
+        if block:
+            yield block
+
+    def _forward(self, n: int, longest: int, arcs: list) -> np.ndarray:
+        """The forward recursion in log space: entry j sums over all segmentations of the first j bytes."""
+        alpha = np.full((longest + 1, n, self.log_weights.shape[1]), NEVER)
+        alpha[0] = 0
+        for i, j, rows, pieces in arcs:
+            alpha[j, rows] = _sum_logs(alpha[j, rows], alpha[i, rows] + self.log_weights[pieces])
+        return alpha
+
+    def _long_arcs(self, word: bytes, backwards: bool = False) -> Iterator[tuple[int, int, int]]:
+        """start, end, piece of one long word's arcs, in order of their ends (starts, if backwards), a chunk at a time."""
+        data, reach = np.frombuffer(b" " + word, np.uint8), self.lengths[-1]
+        chunks = range(0, len(data), CHUNK)
+        for c in reversed(chunks) if backwards else chunks:
+            low, high = (c, min(len(data), c + CHUNK + reach)) if backwards else (max(0, c - reach), min(len(data), c + CHUNK))
+            end, size, piece = self.arcs(data[low:high], np.zeros(high - low, np.int64))
+            start, end = end - size + low, end + low
+            here = (start >= c) & (start < c + CHUNK) if backwards else end > c
+            start, end, piece = start[here], end[here], piece[here]
+            order = np.argsort(-start if backwards else end, kind="stable")
+            yield from zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), strict=True)
+
+    def _forward_long(self, word: bytes, column: int) -> list[float]:
+        weights, alpha = self.log_weights[:, column].tolist(), [0.0] + [NEVER] * (len(word) + 1)
+        for i, j, piece in self._long_arcs(word):
+            a, b = alpha[j], alpha[i] + weights[piece]
+            a, b = (a, b) if a > b else (b, a)
+            alpha[j] = a + math.log1p(math.exp(b - a))
+        return alpha
 
     def log10(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words))
-        for at, block in self.by_length(words):
-            out[at] = self.forward(block)[0][-1] / math.log(10)
+        """One row for each word: its log probability by each column of weights."""
+        out = np.empty((len(words), self.log_weights.shape[1]))
+        for at in self.blocks(words):
+            if len(words[at[0]]) > LONG_WORD:
+                out[at[0]] = [self._forward_long(words[at[0]], k)[-1] for k in range(out.shape[1])]
+                continue
+            part = [words[k] for k in at]
+            alpha = self._forward(len(part), len(part[-1]) + 1, self._block_arcs(part))
+            out[at] = alpha[[len(w) + 1 for w in part], np.arange(len(part))]
+        return out / math.log(10)
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of the words, each word once (first column of weights)."""
+        out, weights = np.zeros(self.n_pieces), self.log_weights[:, 0]
+        for at in self.blocks(words):
+            if len(words[at[0]]) > LONG_WORD:
+                self._expect_long(words[at[0]], out)
+                continue
+            part = [words[k] for k in at]
+            arcs, sizes = self._block_arcs(part), np.array([len(w) + 1 for w in part])
+            alpha = self._forward(len(part), int(sizes[-1]), arcs)[:, :, 0]
+            beta = np.full_like(alpha, NEVER)
+            beta[sizes, np.arange(len(part))] = 0
+            whole = alpha[sizes, np.arange(len(part))]
+            for i, j, rows, pieces in reversed(arcs):
+                beta[i, rows] = _sum_logs(beta[i, rows], beta[j, rows] + weights[pieces])
+            used = np.concatenate([pieces for *_, pieces in arcs])
+            p = np.concatenate([alpha[i, rows] + beta[j, rows] - whole[rows] for i, j, rows, _ in arcs])
+            out += np.bincount(used, np.exp(p + weights[used]), len(out))
         return out
 
+    def _expect_long(self, word: bytes, out: np.ndarray) -> None:
+        alpha, weights = self._forward_long(word, 0), self.log_weights[:, 0].tolist()
+        beta = [NEVER] * (len(word) + 1) + [0.0]
+        for i, j, piece in self._long_arcs(word, backwards=True):
+            a, b = beta[i], beta[j] + weights[piece]
+            out[piece] += math.exp(min(0.0, alpha[i] + b - alpha[-1]))
+            a, b = (a, b) if a > b else (b, a)
+            beta[i] = a + math.log1p(math.exp(b - a))
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
+def key_of(word: bytes) -> bytes:
+    """The word itself, or for long ones a space (which no word holds) and a digest."""
+    return word if len(word) <= KEY_BYTES else b" " + hashlib.blake2b(word, digest_size=16).digest()
 
-def _some(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[list[tuple]]:
-    """Rows in groups of about `size` characters."""
-    held, n = [], 0
-    for b in batches:
-        for row in zip(*b.columns, strict=True):
-            row = tuple(x.as_py() for x in row)
-            held.append(row)
-            n += len(row[-1] or "")
-            if n >= size:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
 
+def counts_of(text: str | None) -> Counter:
+    """Uses of each word (lower-cased bytes) of a whole text."""
+    found: Counter = Counter()
+    for piece in common.pieces((text or "").encode("utf-8", "surrogatepass").lower()):
+        found.update(piece.split())
+    return found
 
-def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """word (lower-cased bytes; END for ends), n: over all of docs. Tasks count in tables of bounded size first."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+def class_names(training: DataFrame, by: str | None, most: int = CLASSES) -> list[str | None]:
+    """The values of `by` that are classes of their own; None is the class of all others. At most `most` in all."""
+    if by is None or by not in training.columns:
+        return [None]
+    rows = training.groupBy(F.col(by).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect()
+    named = [r.v for r in rows if r.v is not None][: most - 1]
+    return named if 0 < len(rows) == len(named) < most else [*named, None]
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for rows in _some(batches):
-            for (text,) in rows:
-                data = (text or "").encode("utf-8", "surrogatepass").lower()
-                for piece in common.pieces(data):
-                    seen.update(piece.split())
-            seen[END] += len(rows)
-            if len(seen) > most:
-                yield out()
-                seen = Counter()
-        if seen:
-            yield out()
+def class_of(by: str | None, names: list[str | None], training: Column) -> Column:
+    """Each row's place in names; -1 outside training."""
+    found = F.lit(len(names) - 1)
+    for k, name in enumerate(names):
+        if name is not None:
+            found = F.when(F.col(by).cast("string") == name, k).otherwise(found)
+    return F.when(training, found).otherwise(-1).cast("int")
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_counts(docs: DataFrame, n_classes: int, most: int = 400_000) -> DataFrame:
+    """docs (text, class) -> key, long (the word where key is a digest), n (uses in all rows), c0, c1, ... (in a class).
 
-def fit_weights(counts: DataFrame, vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of the pieces after `rounds` of expectation maximisation over all distinct words of counts.
+    Tasks count in tables of bounded size before anything is shuffled.
+    """
 
-    Each word counts once: the pieces speak for words that are new, and those resemble words that are rare.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, words in seen.items():
+                keys = [key_of(w) if len(w) > KEY_BYTES else w for w in words]
+                longs = [w if len(w) > KEY_BYTES else None for w in words]
+                for i in range(0, len(keys), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[part], pa.binary()), pa.array(longs[part], pa.binary()), pa.array(np.full(len(keys[part]), k, np.int32)), pa.array(list(words.values())[part], pa.int64())],
+                        names=["key", "long", "class", "n"],
+                    )
+            seen.clear()
+
+        for b in batches:
+            for text, k in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                into = seen.setdefault(k, Counter())
+                for piece in common.pieces((text.as_py() or "").encode("utf-8", "surrogatepass").lower()):
+                    into.update(piece.split())
+                    if len(into) > most:
+                        yield from out()
+                        into = seen.setdefault(k, Counter())
+        yield from out()
+
+    rows = docs.select("text", "class").mapInArrow(count, "key binary, long binary, class int, n long")
+    per = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(n_classes)]
+    return rows.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.sum("n").alias("n"), *per)
+
+
+@dataclass
+class Model:
+    """What is known of the training texts but for the words' own counts. Arrays have one entry for each class."""
+
+    pieces: list[bytes]
+    log_weights: np.ndarray
+    prior: np.ndarray
+    tokens: np.ndarray
+    discount: np.ndarray
+    share: np.ndarray
+    end: np.ndarray
+    texts: int
+    distinct: int
+    cache: float = CACHE
+
+
+def fit(counts: DataFrame, texts: list[int], vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS, cache: float = CACHE) -> Model:
+    """texts: the number of training texts of each class. All training words are used, each once a class.
+
+    A seen word's discount is n1 / (n1 + 2 * n2), the leave-one-out estimate from words seen once and twice; the
+    pieces share what it frees. A text ends after a word with the frequency of ends among the class's tokens.
     """
+    spark, columns = counts.sparkSession, [f"c{k}" for k in range(len(texts))]
+    asked = [f(F.col(c)) for c in columns for f in (lambda c: F.coalesce(F.sum(c), F.lit(0)), lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2))]
+    total = sum(map(F.col, columns))
+    *found, distinct = counts.agg(*asked, F.count_if(total > 0)).first()
+    tokens, words, once, twice = np.array(found, float).reshape(-1, 4).T
+    discount = np.where(once > 0, np.clip(once / np.maximum(1, once + 2 * twice), 0.05, 0.95), 0.5)
+    share = np.where(tokens > 0, discount * words / np.maximum(1, tokens), 1.0)
+    n = np.array(texts, float)
+    end = np.where(n > 0, n / np.maximum(1, n + tokens), 0.01)
     pieces, start = [p for p, _ in vocabulary], np.array([w for _, w in vocabulary])
-    weights, sc = start, counts.sparkSession.sparkContext
-    words = counts.where(F.col("word") != F.lit(bytearray(END))).select("word")
-    for _ in range(rounds):
-        given = sc.broadcast((pieces, np.log(weights)))
+    weights = np.repeat(np.log(start)[:, None], len(texts), 1)
+    word = F.coalesce("long", "key").alias("word")
+    for _ in range(rounds if tokens.sum() else 0):
+        given = spark.sparkContext.broadcast((pieces, weights))
 
         def expect(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(*given.value), np.zeros(len(given.value[0]))
+            pieces, weights = given.value
+            lattices = [Lattice(pieces, weights[:, k]) for k in range(weights.shape[1])]
+            uses = np.zeros(weights.shape)
             for b in batches:
-                for at, block in lattice.by_length(b.column(0).to_pylist()):
-                    total += lattice.expected(block, np.ones(len(at)))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
-
-        # One row for each piece at most: as many as the vocabulary has.
-        found = words.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        uses = start.copy()
-        uses[found["piece"].to_numpy(np.int64)] += found["n"].to_numpy()
-        weights = uses / uses.sum()
-    return np.log(weights)
-
-
-def score(docs: DataFrame, counts: DataFrame, vocabulary: list[tuple[bytes, float]], log_weights: np.ndarray, hot: int = HOT) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
-
-    score is log10 of the marginal probability of the text's words and its end. Null and empty texts are an end alone.
-    Frequent words are looked up in the task (at most `hot` words can be so frequent), all others by a join of
-    (row, word) with counts. Repeated rows are scored each. With no training words the pieces alone speak.
+                words = b.column(0).to_pylist()
+                for k, lattice in enumerate(lattices):
+                    uses[:, k] += lattice.expected([words[i] for i in np.flatnonzero(b.column(k + 1).to_numpy())])
+            at, k = np.nonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k), pa.array(uses[at, k])], names=["piece", "class", "n"])
+
+        # One row for each piece and class at most: as many as the vocabulary has.
+        seen = counts.where(total > 0).select(word, *columns).mapInArrow(expect, "piece long, class long, n double").groupBy("piece", "class").agg(F.sum("n").alias("n")).toPandas()
+        uses = np.repeat(start[:, None], len(texts), 1)
+        uses[seen["piece"].to_numpy(np.int64), seen["class"].to_numpy(np.int64)] += seen["n"].to_numpy()
+        weights = np.log(uses / uses.sum(0))
+    prior = n / n.sum() if n.sum() else np.full(len(n), 1 / len(n))
+    return Model(pieces, weights, prior, tokens, discount, share, end, int(n.sum()), int(distinct), cache)
+
+
+def priced(counts: DataFrame, model: Model) -> DataFrame:
+    """key, n, c (uses in training), p0, p1, ...: each distinct word once with log10 of its probability by class."""
+    k = len(model.prior)
+    given = counts.sparkSession.sparkContext.broadcast(model)
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = given.value
+        lattice = Lattice(m.pieces, m.log_weights)
+        for b in batches:
+            words = [x or y for x, y in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
+            c = np.stack([b.column(3 + i).to_numpy() for i in range(k)], 1).astype(float)
+            spelled = np.log10(m.share) + lattice.log10(words)
+            with np.errstate(divide="ignore"):
+                seen = np.log10(np.maximum(0, c - m.discount) / np.maximum(1, m.tokens))
+            high = np.maximum(spelled, seen)
+            p = high + np.log10(10.0 ** (spelled - high) + 10.0 ** (seen - high))
+            total = pa.array(c.sum(1).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), total, *(pa.array(p[:, i]) for i in range(k))], names=["key", "n", "c", *(f"p{i}" for i in range(k))])
+
+    columns = ["key", "long", "n", *(f"c{i}" for i in range(k))]
+    return counts.select(*columns).mapInArrow(price, "key binary, n long, c long, " + ", ".join(f"p{i} double" for i in range(k)))
+
+
+def _stirling(x):
+    """log gamma of x >= 8, for columns and arrays alike, but for a constant."""
+    log = F.log if isinstance(x, Column) else np.log
+    return (x - 0.5) * log(x) - x + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+
+
+def urn(p: np.ndarray, k: np.ndarray, cache: float) -> np.ndarray:
+    """log10 of x (x + 1) ... (x + k - 1), x = cache * 10 ** p: k draws of one word."""
+    x = cache * 10.0**p
+    product = np.ones_like(x)
+    for j in range(1, 8):
+        product *= np.where(k > j, x + j, 1.0)
+    far = np.where(k > 8, _stirling(x + k) - _stirling(x + 8), 0.0)
+    return math.log10(cache) + p + np.log10(product) + far / math.log(10)
+
+
+def urn_column(p: Column, k: Column, cache: float) -> Column:
+    """urn() for columns."""
+    x = F.lit(cache) * F.pow(F.lit(10.0), p)
+    product = F.lit(1.0)
+    for j in range(1, 8):
+        product = product * F.when(k > j, x + float(j)).otherwise(1.0)
+    more = F.log10(product) + F.when(k > 8, (_stirling(x + k) - _stirling(x + 8.0)) / math.log(10)).otherwise(0.0)
+    return F.lit(math.log10(cache)) + p + F.when(k > 1, more).otherwise(0.0)
+
+
+def score(docs: DataFrame, words: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
+
+    words is the table of priced(), with all words of docs in it. score is log10 of the marginal probability of the
+    text's words and its end. Null and empty texts are an end alone. Frequent words (at most `hot`, each of KEY_BYTES
+    bytes at most) are looked up in the task; all others, each in under 1/hot of all tokens, by a join of
+    (row, word). Repeated rows are scored each, null doc_ids too. With no training text the pieces alone speak.
+    Words of any length count whole; time is in proportion to their bytes. docs must be a stored table: its rows are
+    numbered in the order in which a task reads them.
     """
-    sc = docs.sparkSession.sparkContext
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    scale = math.log10(total + distinct + 1)
-    freed = DISCOUNT * distinct / total if total else 1.0
-    least = max(1, math.ceil(total / hot))
-    frequent = counts.where(F.col("n") >= least).toPandas()
-    known = {bytes(w): int(n) for w, n in zip(frequent["word"], frequent["n"], strict=True) if bytes(w) != END}
-    end_n = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    seen = lambda n: (n - DISCOUNT) / total
-    pieces, share = [p for p, _ in vocabulary], freed * (1 - END_SHARE)
-    spelled = Lattice(pieces, log_weights).log10(list(known))
-    frequent_words = {w: (math.log10(n + 1) - scale, math.log10(seen(n) + share * 10.0**s)) for (w, n), s in zip(known.items(), spelled.tolist(), strict=True)}
-    given = sc.broadcast((pieces, log_weights, {w: x[0] for w, x in frequent_words.items()}, {w: x[1] for w, x in frequent_words.items()}))
-    end_base, end_known = math.log10(end_n + 1) - scale, int(end_n > 0)
-    end_score = math.log10((seen(end_n) if end_n else 0.0) + freed * END_SHARE)
+    sc, n_classes = docs.sparkSession.sparkContext, len(model.prior)
+    everything, seen_tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    total = int(seen_tokens) + model.texts
+    scale = math.log10(total + model.distinct + (model.texts > 0) + 1)
+    least, ps = max(2, math.ceil(everything / hot)), [f"p{i}" for i in range(n_classes)]
+    frequent = words.where(F.col("n") >= least).select("key", "c", *ps).toPandas()
+    given = sc.broadcast((list(map(bytes, frequent["key"])), frequent["c"].to_numpy(np.int64), frequent[ps].to_numpy(float)))
+    cache, known_end = model.cache, int(model.texts > 0)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, weights, base, full = given.value
-        lattice, row = Lattice(pieces, weights), TaskContext.get().partitionId() << 40
-        cache: dict[bytes, float] = {}
-        for rows in _some(batches):
-            doc, rare = [[] for _ in range(6)], [[] for _ in range(4)]
-            split = [(d, _words(t)) for d, t in rows]
-            odd = [[w for w in words if w not in base] for _, words in split]
-            if len(cache) > 250_000:
-                cache.clear()
-            new = list(set().union(*odd) - cache.keys())
-            cache.update(zip(new, lattice.log10(new).tolist(), strict=True))
-            for (d, words), few in zip(split, odd, strict=True):
-                usual = [w for w in words if w in base] if few else words
-                for column, x in zip(doc, (row, d, len(words) + 1, len(usual) + end_known, math.fsum(map(base.__getitem__, usual)) + end_base, math.fsum(map(full.__getitem__, usual)) + end_score), strict=True):
-                    column.append(x)
-                for w, k in Counter(few).items():
-                    for column, x in zip(rare, (row, w, k, cache[w]), strict=True):
-                        column.append(x)
-                row += 1
-            n, m = len(doc[0]), len(rare[0])
-            none = lambda k, t: pa.nulls(k, t)
-            both = [
-                pa.array(doc[0] + rare[0], pa.int64()),
-                pa.array([b" %d" % r for r in doc[0]] + rare[1], pa.binary()),  # no word: each goes its own way in the join
-                pa.concat_arrays([none(n, pa.int64()), pa.array(rare[2], pa.int64())]),
-                pa.concat_arrays([none(n, pa.float64()), pa.array(rare[3], pa.float64())]),
-                *(pa.concat_arrays([pa.array(x, pa.int64()), none(m, pa.int64())]) for x in doc[1:4]),
-                *(pa.concat_arrays([pa.array(x, pa.float64()), none(m, pa.float64())]) for x in doc[4:]),
-            ]
-            yield pa.RecordBatch.from_arrays(both, names=["row", "word", "k", "spelled", "doc_id", "n_tokens", "hits", "base", "usual"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(scored, "row long, word binary, k long, spelled double, doc_id long, n_tokens long, hits long, base double, usual double")
-    others = counts.where(F.col("n") < least).withColumnRenamed("n", "c")
-    joined = rows.join(others.hint("merge"), "word", "left")
-    plain = F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(scale))
-    backed = F.col("spelled") + F.lit(math.log10(share))
-    full = F.col("k") * F.when(F.col("c").isNull(), backed).otherwise(F.log10((F.col("c") - DISCOUNT) / F.lit(float(total or 1)) + F.pow(F.lit(10.0), backed)))
-    zero = F.lit(0.0)
+        keys, uses, p = given.value
+        place, row = {w: i for i, w in enumerate(keys)}.get, TaskContext.get().partitionId() << 40
+        base, known = np.log10(uses + 1.0) - scale, uses > 0
+
+        def out(ids: list, found: list[Counter], row: int) -> pa.RecordBatch:
+            n, sizes = len(ids), [len(f) for f in found]
+            each = [w for f in found for w in f]
+            k = np.fromiter((x for f in found for x in f.values()), np.int64, len(each))
+            of = np.repeat(np.arange(n), sizes)
+            at = np.fromiter(map(place, each, repeat(-1)), np.int64, len(each))
+            miss = np.flatnonzero(at < 0)
+            for i in (i for i in miss.tolist() if len(each[i]) > KEY_BYTES):
+                each[i] = key_of(each[i])
+                at[i] = place(each[i], -1)
+            rare, hit = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+            a, f, times = at[hit], of[hit], k[hit]
+            summed = lambda x: np.bincount(f, x, n)
+            urns = urn(p[a], times[:, None], cache) if len(a) else np.zeros((0, n_classes))
+            m = len(rare)
+            own = [pa.array([b" %d" % (row + i) for i in range(n)], pa.binary()), pa.array([each[i] for i in rare.tolist()], pa.binary())]
+            longs = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())])
+            doubles = lambda x: pa.concat_arrays([pa.array(x, pa.float64()), pa.nulls(m, pa.float64())])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.arange(n), of[rare]]) + row), pa.concat_arrays(own), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(k[rare])]), longs(ids),
+                    longs(np.bincount(of, k, n).astype(np.int64)), longs(summed(np.where(known[a], times, 0)).astype(np.int64)), doubles(summed(times * base[a])),
+                    *(doubles(summed(urns[:, i])) for i in range(n_classes)),
+                ],
+                names=["row", "key", "k", "doc_id", "n_words", "hits", "base", *(f"s{i}" for i in range(n_classes))],
+            )
+
+        for b in batches:
+            ids, found, size = [], [], 0
+            for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(d)
+                found.append(counts_of(text.as_py()))
+                size += len(found[-1])
+                if size > 200_000:
+                    yield out(ids, found, row)
+                    row, ids, found, size = row + len(ids), [], [], 0
+            if ids:
+                yield out(ids, found, row)
+                row += len(ids)
+
+    s = [f"s{i}" for i in range(n_classes)]
+    schema = "row long, key binary, k long, doc_id long, n_words long, hits long, base double, " + ", ".join(f"{c} double" for c in s)
+    rows = docs.select("doc_id", "text").mapInArrow(scored, schema)
+    joined = rows.join(words.where(F.col("n") < least).select(F.col("key").alias("w"), "c", *ps).hint("merge"), F.col("key") == F.col("w"), "left")
+    k, rare, zero = F.col("k"), F.col("w").isNotNull(), F.lit(0.0)
     by = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("hits") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("k"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(plain), zero)).alias("base_score"), (F.max("usual") + F.coalesce(F.sum(full), zero)).alias("score"),
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("m"),
+        (F.max("hits") + F.coalesce(F.sum(F.when(F.col("c") > 0, k)), F.lit(0))).alias("known"),
+        (F.max("base") + F.coalesce(F.sum(F.when(rare, k * (F.log10(F.col("c") + 1.0) - F.lit(scale)))), zero)).alias("base"),
+        *((F.max(c) + F.coalesce(F.sum(F.when(rare, urn_column(F.col(p), k, cache))), zero)).alias(c) for c, p in zip(s, ps, strict=True)),
+    )
+    # The urn's draws are out of cache, cache + 1, ...: log10 of their product, by Stirling from 8 on.
+    m, drawn = F.col("m"), F.lit(0.0)
+    for j in range(8):
+        drawn = drawn + F.when(m > j, F.log10(F.lit(cache + j))).otherwise(0.0)
+    drawn = drawn + F.when(m > 8, (_stirling(m + F.lit(cache)) - _stirling(F.lit(cache + 8.0))) / math.log(10)).otherwise(0.0)
+    parts = [F.col(c) + m * math.log10(1 - e) + math.log10(e) + (math.log10(q) if q else NEVER) for c, e, q in zip(s, model.end.tolist(), model.prior.tolist(), strict=True)]
+    high = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    mixed = high + F.log10(sum(F.pow(F.lit(10.0), x - high) for x in parts)) - drawn
+    end_base = math.log10(model.texts + 1) - scale
+    return by.select(
+        "doc_id", (m + 1).alias("n_tokens"), (F.col("known") + known_end).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), mixed.alias("score")
     )
-    return by.withColumn("train_tokens", F.lit(int(total)).cast("long")).drop("row")
+
+
+def learned(docs: DataFrame, training: Column, by: str | None = None, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
+    """The words of docs (text; by: the column of classes) with their probabilities, and the model; docs where
+    `training` holds are learned from, all others only give the list of words."""
+    names = class_names(docs.where(training), by)
+    rows = docs.withColumn("class", class_of(by, names, training)).select("text", "class")
+    counts = common.stored(word_counts(rows, len(names)))
+    per = {r["class"]: r["count"] for r in rows.where("class >= 0").groupBy("class").count().collect()}
+    model = fit(counts, [per.get(k, 0) for k in range(len(names))], load_vocabulary(vocabulary), rounds)
+    return common.stored(priced(counts, model)), model
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = load_vocabulary(vocabulary)
-    counts = common.stored(word_counts(docs.where(common.fold(F.col("doc_id"), FOLDS) != HELD_OUT)))
-    out = score(docs, counts, pieces, fit_weights(counts, pieces))
-    return out.withColumn("held_out", common.fold(F.col("doc_id"), FOLDS) == HELD_OUT).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = common.fold(F.col("doc_id"), FOLDS)
+    words, model = learned(docs, fold != HELD_OUT, "lang", vocabulary)
+    return score(docs, words, model).withColumn("held_out", fold == HELD_OUT).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,28 +120,100 @@ def test_exact_groups_verify_bytes(spark, docs, weak):
         assert got[i] == (max(same), len(same), i == max(same), hashlib.sha256(t.encode()).hexdigest())
 
 
-def test_lattice_sums_all_segmentations(spark, docs):
-    vocabulary = lattice_lm.load_vocabulary()
-    weight = dict(vocabulary)
+def _by_all_segmentations(weight, word):
+    """The sum over all segmentations, byte by byte, in plain probabilities."""
+    s, total = b" " + word, [1.0] + [0.0] * (len(word) + 1)
+    for j in range(1, len(s) + 1):
+        total[j] = sum(total[i] * weight.get(s[i:j], 0) for i in range(j))
+    return total[-1]
+
+
+def test_lattice_sums_all_segmentations():
+    weight = dict(lattice_lm.load_vocabulary())
     assert sum(weight.values()) == pytest.approx(1)
     lattice = lattice_lm.Lattice(list(weight), np.log(list(weight.values())))
-    for w, got in zip(words := [b"tarimo", "été".encode(), b"a", b"x" * 30], lattice.log10(words)):
-        s, total = b" " + w, [1.0] + [0.0] * (len(w) + 1)
-        for j in range(1, len(s) + 1):
-            total[j] = sum(total[i] * weight.get(s[i:j], 0) for i in range(j))
-        assert got == pytest.approx(math.log10(total[-1]))
-    counts = common.stored(lattice_lm.word_counts(docs.where("doc_id < 30")))
-    c = {bytes(r.word): r.n for r in counts.collect()}
+    words = [b"tarimo", "été".encode(), b"a", b"x" * 30, b"inter" * 9, b"the"]
+    for w, got in zip(words, lattice.log10(words)[:, 0]):
+        assert got == pytest.approx(math.log10(_by_all_segmentations(weight, w)))
+    # Uses expected by a derivative: d log P / d log weight.
+    pieces, uses = list(weight), lattice.expected(words)
+    for p in (b" the", b"er", b"t", b" t", b"ri"):
+        more = {**weight, p: weight[p] * math.exp(1e-6)}
+        change = sum(math.log(_by_all_segmentations(more, w)) - math.log(_by_all_segmentations(weight, w)) for w in words)
+        assert uses[pieces.index(p)] == pytest.approx(change / 1e-6, abs=1e-4)
+
+
+def test_words_of_any_length(monkeypatch):
+    """A word longer than LONG_WORD, over several chunks, and one of 10,000 bytes, which takes no second."""
+    vocabulary = lattice_lm.load_vocabulary()
+    words = ["".join(random.Random(k).choice("abcdefé") for _ in range(n)).encode() for k, n in enumerate((40, 300, 900))]
+    make = lambda: lattice_lm.Lattice([p for p, _ in vocabulary], np.log([w for _, w in vocabulary]))
+    whole, uses = make().log10(words), make().expected(words)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 20)
+    monkeypatch.setattr(lattice_lm, "CHUNK", 128)
+    assert make().log10(words) == pytest.approx(whole, rel=1e-12)
+    assert make().expected(words) == pytest.approx(uses, abs=1e-9)
+    monkeypatch.undo()
+    start = time.time()
+    assert -1e5 < make().log10([b"qzx9" * 2500])[0, 0] < -1e3 and time.time() - start < 2
+
+
+@pytest.mark.parametrize("by, hot", [(None, 20), ("lang", 100_000)])
+def test_scores_against_one_draw_at_a_time(spark, docs, by, hot):
+    """score is the sum over classes of the product over words, in order, of urn and lattice; base is as asked."""
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame([(900, "w" * 70 + " a " + "w" * 70, "fr", "s", 0), (901, "ta " * 30 + "mo", "fr", None, 0), (None, "ta ri", None, None, 0), (3, "two two", "de", "s", 0)], SCHEMA)
+    docs = common.stored(docs.unionByName(odd).withColumns({"n": F.lit(1), "c": F.lit("x"), "row": F.lit(0)}))
+    words, model = lattice_lm.learned(docs, F.coalesce(F.col("doc_id") < 30, F.lit(False)) | (F.col("doc_id") == 901), by, rounds=1)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    split = lambda t: (t or "").encode().lower().split()
+    known = [r for r in rows if r.doc_id is not None and (r.doc_id < 30 or r.doc_id == 901)]
+    classes = sorted({r.lang if by else "" for r in known}, key=lambda k: (-sum((r.lang if by else "") == k for r in known), k))
+    uses = {k: Counter(w for r in known if not by or r.lang == k for w in split(r.text)) for k in classes}
+    texts = [sum(not by or r.lang == k for r in known) for k in classes]
+    c = sum(uses.values(), Counter()) + Counter({lattice_lm.END: len(known)})
     n, v = sum(c.values()), len(c)
-    out = {r.doc_id: r for r in lattice_lm.score(docs, counts, vocabulary, lattice_lm.fit_weights(counts, vocabulary, 1), hot=20).collect()}
-    for r in docs.collect():
-        tokens = [*(r.text or "").encode().lower().split(), lattice_lm.END]
-        o = out[r.doc_id]
-        assert (o.n_tokens, o.n_known, o.train_tokens) == (len(tokens), sum(t in c for t in tokens), n)
-        assert o.base_score == pytest.approx(sum(math.log10((c.get(t, 0) + 1) / (n + v + 1)) for t in tokens))
-        assert math.isfinite(o.score) and o.score < 0
-    none = lattice_lm.word_counts(empty(spark))
-    assert lattice_lm.score(docs, common.stored(none), vocabulary, np.log(list(weight.values()))).count() == docs.count()
+    weights = [dict(zip(model.pieces, np.exp(model.log_weights[:, k]))) for k in range(len(classes))]
+    spelled = {}
+
+    def chance(words):
+        parts = []
+        for k, name in enumerate(classes):
+            seen, ones, twos = uses[name], sum(x == 1 for x in uses[name].values()), sum(x == 2 for x in uses[name].values())
+            m, d = sum(seen.values()), min(0.95, max(0.05, ones / (ones + 2 * twos)))
+            end = texts[k] / (texts[k] + m)
+            p, mine = math.log10(texts[k] / sum(texts) * end), Counter()
+            for i, w in enumerate(words):
+                if (k, w) not in spelled:
+                    spelled[k, w] = _by_all_segmentations(weights[k], w)
+                first = max(0, seen[w] - d) / m + d * len(seen) / m * spelled[k, w]
+                if model.cache * first + mine[w] < 1e-290:  # too long a word for plain probabilities
+                    return None
+                p += math.log10((1 - end) * (model.cache * first + mine[w]) / (model.cache + i))
+                mine[w] += 1
+            parts.append(p)
+        return max(parts) + math.log10(sum(10 ** (x - max(parts)) for x in parts))
+
+    got = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r for r in lattice_lm.score(docs, words, model, hot).collect()}
+    assert sum(r.doc_id is None for r in got.values()) == 1
+    for r in rows:
+        tokens = [*split(r.text), lattice_lm.END]
+        base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens)
+        o = got[r.doc_id, len(tokens), round(base, 6)]
+        assert (o.n_known, o.train_tokens) == (sum(c[t] > 0 for t in tokens), n)
+        expected = chance(tokens[:-1])
+        assert o.score == pytest.approx(expected, rel=1e-9) if expected is not None else -9999 < o.score < -290
+
+
+def test_scores_without_training_or_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    words, model = lattice_lm.learned(docs, F.lit(False), "lang")
+    out = lattice_lm.score(docs, words, model).collect()
+    assert len(out) == docs.count() and all(r.train_tokens == r.n_known == 0 and math.isfinite(r.score) and r.score < 0 for r in out)
+    words, model = lattice_lm.learned(empty(spark), F.lit(True), "lang")
+    assert lattice_lm.score(empty(spark), words, model).count() == 0
 
 
 def test_archives_round_trip_and_damage(spark):
