@@ -203,7 +203,7 @@ def test_scores_against_one_draw_at_a_time(spark, docs, by, hot):
         o = got[r.doc_id, len(tokens), round(base, 6)]
         assert (o.n_known, o.train_tokens) == (sum(c[t] > 0 for t in tokens), n)
         expected = chance(tokens[:-1])
-        assert o.score == pytest.approx(expected, rel=1e-9) if expected is not None else -9999 < o.score < -290
+        assert o.score == pytest.approx(expected, rel=1e-9) if expected is not None else -9999 < o.score < -50
 
 
 def test_scores_without_training_or_rows(spark, docs):
