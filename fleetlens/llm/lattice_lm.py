@@ -311,8 +311,8 @@ class Model:
 def fit(counts: DataFrame, texts: list[int], vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS, cache: float = CACHE) -> Model:
     """texts: the number of training texts of each class. All training words are used, each once a class.
 
-    A seen word's discount is n1 / (n1 + 2 * n2), the leave-one-out estimate from words seen once and twice; the
-    pieces share what it frees. A text ends after a word with the frequency of ends among the class's tokens.
+    A seen word's discount is n1 / (n1 + 2 * n2), the leave-one-out estimate from words seen once and twice (0.5
+    if none is seen once); the pieces share what it frees. A text ends after a word with the frequency of ends among the class's tokens.
     """
     spark, columns = counts.sparkSession, [f"c{k}" for k in range(len(texts))]
     asked = [f(F.col(c)) for c in columns for f in (lambda c: F.coalesce(F.sum(c), F.lit(0)), lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2))]
