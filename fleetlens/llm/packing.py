@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -16,6 +17,8 @@ from . import common
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's public pre-tokenisation pattern (a fixed value), and the id of its end-of-text token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space that stands alone. What Python takes for white space includes all that the pattern does.
+ALONE = re.compile(r"(?<=\S) (?=\S)")
 END = 50256
 SEQ_LEN, BLOCK_TOKENS = 2048, 1 << 20
 PACKED = "shard int, block int, bin int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, rows array<int>, offsets array<long>"
@@ -27,24 +30,33 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
 
 
 class Encoder(dict):
-    """Ids by unit: a run without spaces, with the space before it. The pattern never joins what two units hold."""
+    """Ids by unit: a run of text with the space before it.
+
+    A text may be cut before a space that stands alone between two characters that are no white space: no alternative
+    of the pattern reaches over such a place from either side. Units that start or end with white space, and empty
+    ones, mark a space that does not stand alone; a text with such units is cut by the rule itself.
+    """
 
     def __init__(self, ranks: bytes, limit: int = 250_000):
         super().__init__()
         self.encode, self.limit = encoding(ranks).encode_ordinary, limit
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(" " + unit))
+    def __missing__(self, unit: str) -> tuple[int, ...] | None:
+        ids = tuple(self.encode(" " + unit)) if unit and not unit[0].isspace() and not unit[-1].isspace() else None
         if len(self) < self.limit:
             self[unit] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        """The text's ids and the end token, as 16-bit numbers."""
+        """The text's ids and the end token, as 16-bit numbers; the same as of the whole text at once."""
         first, *rest = text.split(" ")
+        found = list(map(self.__getitem__, rest))
+        if rest and first[-1:].isspace() or None in found:
+            first, *rest = ALONE.split(text)
+            found = [self[unit] or self.encode(" " + unit) for unit in rest]
         parts = [np.array(self.encode(first), np.uint16)]
-        for i in range(0, len(rest), 200_000):
-            parts.append(np.fromiter(chain.from_iterable(map(self.__getitem__, rest[i : i + 200_000])), np.uint16))
+        for i in range(0, len(found), 200_000):
+            parts.append(np.fromiter(chain.from_iterable(found[i : i + 200_000]), np.uint16))
         return np.concatenate([*parts, np.array([END], np.uint16)])
 
 
