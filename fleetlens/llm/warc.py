@@ -1,11 +1,14 @@
 """WARC archives compressed with Zstandard: a dictionary frame first, then one frame per record.
 
-An archive is one row (path, content), the shape of Spark's binaryFile source, so real .warc.zst files and archives
-kept in a table are read alike. Each archive has a bounded size; archives are written and read in parallel.
+An archive is one row (path, content), the shape of Spark's binaryFile source, so .warc.zst files on disk (up to the
+2 GB that source can hold in a row) and archives kept in a table are read alike. Those written here have a bounded size;
+archives are written and read in parallel. Records of others are read by their type: HTTP responses and revisits have
+their HTTP header taken off; the block of all other records (warcinfo, request, metadata, resource, ...) is the payload.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -17,14 +20,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Magic number of the skippable frame that holds the dictionary, and of a Zstandard frame (fixed by the formats).
-DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
+#: Magic numbers of the skippable frame that holds the dictionary, of a Zstandard frame, and of any skippable frame but
+#: for its last four bits (fixed by the formats).
+DICT_MAGIC, FRAME_MAGIC, SKIPPABLE = 0x184D2A5D, 0xFD2FB528, 0x184D2A50
 ARCHIVE_BYTES, DICT_BYTES, MIN_REVISIT = 8 << 20, 16 << 10, 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 ARCHIVE = "path string, content binary"
-RECORD = "path string, record int, page_id long, record_type string, target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to long, error string"
+RECORD = "path string, record int, record_id string, page_id long, record_type string, target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to long, error string"
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -92,6 +96,9 @@ def archive_records(content: bytes) -> Iterator[tuple[bytes, str | None]]:
             trained = zstandard.ZstdCompressionDict(raw)
         unpacker = zstandard.ZstdDecompressor(dict_data=trained)
         while at < len(data):
+            if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & ~15 == SKIPPABLE:
+                at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+                continue
             end = frame_end(data, at)
             p = zstandard.get_frame_parameters(data[at : at + 18])
             if p.dict_id and (trained is None or trained.dict_id() != p.dict_id):
@@ -102,40 +109,96 @@ def archive_records(content: bytes) -> Iterator[tuple[bytes, str | None]]:
         yield b"", f"archive: {e}"
 
 
+def fields_of(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-cased name; a line that starts with white space goes on with the one before."""
+    joined: list[bytes] = []
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and joined:
+            joined[-1] += b" " + line.strip()
+        else:
+            joined.append(line)
+    split = (x.decode("utf-8", "replace").partition(":") for x in joined)
+    return {k.strip().lower(): v.strip() for k, _, v in split}
+
+
+def digest_differs(stated: str | None, *data: bytes) -> bool:
+    """Whether a digest like sha1:BASE32 or sha-256:hex is that of none of data. Unknown algorithms say nothing."""
+    name, sep, value = (stated or "").partition(":")
+    name = name.lower().replace("-", "")
+    if not sep or name not in ("md5", "sha1", "sha256", "sha512"):
+        return False
+    for x in data:
+        found = hashlib.new(name, x)
+        if value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("="):
+            return False
+    return True
+
+
+def dechunked(body: bytes) -> bytes | None:
+    """The content of a chunked HTTP body, or None if it is not chunked."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip()
+        if end < 0 or not size or size.strip(b"0123456789abcdefABCDEF"):
+            return None
+        n, at = int(size, 16), end + 2
+        if not n:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        out.append(body[at : at + n])
+        at += n + 2
+
+
 def parse_record(raw: bytes) -> dict:
     """The record's fields; error says what fails: version, headers, lengths, digest."""
     out: dict = {"error": None}
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not sep or not lines[0].startswith(b"WARC/1."):
+    version, *lines = head.split(b"\r\n")
+    if not sep or not version.startswith(b"WARC/1."):
         return out | {"error": "no WARC version line or end of headers"}
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "surrogatepass").partition(":") for x in lines[1:])}
+    fields = fields_of(lines)
     if missing := [k for k in NEEDED if not fields.get(k)]:
         return out | {"error": f"missing {', '.join(missing)}"}
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    length, kind = fields["content-length"], fields["warc-type"].lower()
+    if not length.isascii() or not length.isdigit() or str(len(rest) - 4) != (length.lstrip("0") or "0") or rest[-4:] != b"\r\n\r\n":
         return out | {"error": "Content-Length is not the block's length"}
-    block = rest[:-4]
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha-256:")
-    out |= {"record_type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "payload_digest": digest}
-    number = lambda x: int(x) if (x := (x or "").removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() else None
+    block, digest = rest[:-4], fields.get("warc-payload-digest")
+    out |= {"record_type": kind, "target_uri": fields.get("warc-target-uri"), "record_id": fields["warc-record-id"]}
+    number = lambda x: int(x) if (x := (x or "").removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() and x.isascii() else None
     out |= {"page_id": number(fields["warc-record-id"]), "refers_to": number(fields.get("warc-refers-to"))}
-    http, sep, payload = block.partition(b"\r\n\r\n")
-    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
-    if not sep or length is None:
-        return out | {"error": "no HTTP header or length"}
-    out["payload_bytes"] = length
-    if fields["warc-type"] == "response":
-        if length != len(payload):
-            return out | {"error": "HTTP Content-Length is not the payload's length"}
-        if hashlib.sha256(payload).hexdigest() != digest:
-            return out | {"error": "payload digest differs"}
-        out["payload"] = payload
-    elif fields["warc-type"] == "revisit":
-        if payload:
-            return out | {"error": "revisit with a payload"}
-        if out["refers_to"] is None:
+    out["payload_digest"] = digest.removeprefix("sha-256:") if digest else None
+    if digest_differs(fields.get("warc-block-digest"), block):
+        return out | {"error": "block digest differs"}
+    if kind == "revisit":
+        if not (fields.get("warc-refers-to") or fields.get("warc-refers-to-target-uri") or digest):
             return out | {"error": "revisit refers to nothing"}
-    return out
+    elif kind != "response" or not fields.get("content-type", "application/http").lower().startswith("application/http"):
+        if digest_differs(digest, block):
+            return out | {"error": "payload digest differs"}
+        return out | {"payload": block, "payload_bytes": len(block)}
+    http, sep, body = block.partition(b"\r\n\r\n")
+    status, *lines = http.split(b"\r\n")
+    if kind == "revisit" and not block:
+        return out
+    if not sep or not status.startswith(b"HTTP/"):
+        return out | {"error": "no HTTP header"}
+    header = fields_of(lines)
+    stated = header.get("content-length")
+    if stated is not None and not (stated.isascii() and stated.isdigit()):
+        return out | {"error": "HTTP Content-Length is no number"}
+    if kind == "revisit":
+        out["payload_bytes"] = None if stated is None else int(stated)
+        return out | {"error": "revisit with a payload"} if body else out
+    content = dechunked(body) if "chunked" in header.get("transfer-encoding", "").lower() else None
+    payload = body if content is None else content
+    out["payload_bytes"] = len(payload)
+    if stated is not None and int(stated) != len(body) and content is None and not fields.get("warc-truncated"):
+        return out | {"error": "HTTP Content-Length is not the payload's length"}
+    if digest_differs(digest, payload, body):
+        return out | {"error": "payload digest differs"}
+    return out | {"payload": payload}
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -167,7 +230,9 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """archives (path, content), as from spark.read.format("binaryFile") -> one row per record.
 
-    A record that fails has its reason in error and nulls elsewhere; callers decide whether to stop (see checked()).
+    A record that fails has its reason in error and what could be read elsewhere; callers decide whether to stop (see
+    checked()). page_id and refers_to are set for records written here, record_id always. payload_digest is as stated,
+    but for a bare hexadecimal SHA-256. A chunked response is put together. Null and empty contents have no records.
     """
 
     def read(batches):
