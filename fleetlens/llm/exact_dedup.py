@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUNS = 4
+RUNS, BITS = 4, 16
 
 
 def normalised(text: Column) -> Column:
@@ -19,47 +19,77 @@ def full_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted runs of (digest, id, n, weight) under one folder of the shared checkpoint store.
-
-    flush() turns a batch's memtable (its digests aggregated by key, spilled by Spark as needed) into level-0 runs:
-    Parquet files sorted by digest with a Bloom filter on it. compact() merges all runs into one, keeping for each
-    digest the smallest identifier (the largest with keep="largest") and the number of rows. lookup() finds the kept
-    identifier of each row; exact() also compares the bytes of the two texts.
+    """Runs of (digest, id, n), sorted by digest, with a filter each, under one folder of the shared checkpoint store.
+
+    flush() turns a batch's memtable (its digests aggregated by key, spilled by Spark as needed) into level-0 runs.
+    compact() merges all runs into one, keeping for each digest the smallest identifier (the largest with
+    keep="largest") and the number of rows. lookup() asks the filters first which runs may hold a digest, then these runs
+    alone. A filter is a Bloom filter in blocks of 2^15 bits, two bits a digest, BITS bits for each row that the index
+    expects in a run; with more rows it lets more through, and no digest is missed. Byte verification of hits is
+    exact_groups()'s and same_bytes()'s.
     """
 
-    def __init__(self, spark: SparkSession, keep: str = "smallest", digest=full_digest):
+    def __init__(self, spark: SparkSession, keep: str = "smallest", digest=full_digest, expected: int = 1_000_000):
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep: {keep}")
         self.spark, self.keep, self.digest = spark, keep, digest
-        self.path, self.runs, self.compacted = common.scratch(spark), 0, None
+        self.blocks, self.runs, self.filters, self.next = max(1, -(-expected * BITS >> 15)), [], [], 0
 
     def _best(self, c: str) -> Column:
         return (F.min if self.keep == "smallest" else F.max)(c)
 
-    def _write(self, run: DataFrame, to: str) -> DataFrame:
-        options = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"}
-        run.write.options(**options).parquet(to)
-        return self.spark.read.schema(run.schema).parquet(to)
-
-    def flush(self, digests: DataFrame) -> DataFrame:
-        """digests: digest, id. A run has each of its digests once; repeated rows and ties only raise n."""
-        run = digests.groupBy("digest").agg(self._best("id").alias("id"), F.count("*").alias("n"))
-        self.runs += 1
-        return self._write(run.sortWithinPartitions("digest"), f"{self.path}/level0/run={self.runs}")
+    def _place(self) -> list[Column]:
+        h = F.xxhash64(F.lit(1), "digest")
+        return [F.pmod(F.xxhash64("digest"), F.lit(self.blocks)).alias("block"), h.bitwiseAND(32767).alias("bit1"), F.shiftright(h, 20).bitwiseAND(32767).alias("bit2")]
+
+    def _add(self, run: DataFrame) -> DataFrame:
+        """run: run, digest, id, n; a task sorts its part of each run and writes it in order."""
+        kept = common.stored(run.sortWithinPartitions("run", "digest"), partition_by=["run"])
+        bits = kept.select("run", *self._place()).select("run", "block", F.explode(F.array("bit1", "bit2")).alias("bit"))
+        self.runs.append(kept)
+        self.filters.append(common.stored(bits.groupBy("run", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))))
+        return kept
+
+    def flush(self, digests: DataFrame, runs: int = 1) -> DataFrame:
+        """digests: digest, id, as `runs` new runs. A run has each of its digests once; repeated rows and ties only
+        raise n."""
+        run = (F.pmod(F.xxhash64("id"), F.lit(runs)) + self.next).cast("int").alias("run")
+        self.next += runs
+        return self._add(digests.groupBy(run, "digest").agg(self._best("id").alias("id"), F.count("*").alias("n")))
+
+    def _all(self, tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
 
     def compact(self) -> DataFrame:
-        schema = "digest binary, id long, n long, run int"
-        runs = self.spark.read.schema(schema).parquet(f"{self.path}/level0")
-        merged = runs.groupBy("digest").agg(self._best("id").alias("keep_id"), F.sum("n").alias("n"))
-        self.compacted = self._write(merged.sortWithinPartitions("digest"), f"{self.path}/level1")
-        return self.compacted
+        """All runs as one: digest, id, n."""
+        merged = self._all(self.runs).groupBy("digest").agg(self._best("id").alias("id"), F.sum("n").alias("n")).withColumn("run", F.lit(self.next))
+        self.next += 1
+        self.runs, self.filters = [], []
+        return self._add(merged)
+
+    def candidates(self, digests: DataFrame) -> DataFrame:
+        """digest, run: the runs whose filter lets the digest through; each digest once a run."""
+        asked = digests.select("digest").distinct().select("digest", *self._place())
+        held = self._all(self.filters).withColumnRenamed("block", "b")
+        is_set = lambda bit: F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.expr(f"shiftleft(1, cast({bit} & 7 AS int))")) > 0
+        return asked.join(held, (F.col("block") == F.col("b")) & is_set("bit1") & is_set("bit2")).select("digest", "run")
 
     def lookup(self, digests: DataFrame) -> DataFrame:
-        """digests with keep_id and n of their digest."""
-        return common.heavy_join(digests, self.compacted, ["digest"], F.col("id"))
-
-
-def _verify(hits: DataFrame, texts: DataFrame, chunk: int = 64) -> DataFrame:
+        """digests (digest, id, ...; a stored table) with keep_id and n of the index's rows of their digest; n is 0
+        where it holds none."""
+        if not self.runs:
+            return digests.withColumns({"keep_id": F.lit(None).cast("long"), "n": F.lit(0).cast("long")})
+        hits = self.candidates(digests).join(self._all(self.runs), ["run", "digest"])
+        found = hits.groupBy("digest").agg(self._best("id").alias("keep_id"), F.sum("n").alias("n"))
+        asked = digests.groupBy("digest").agg(F.count("*").alias("asked"))
+        joined = common.heavy_join(digests, common.stored(found.join(asked, "digest")), ["digest"], F.col("id"), count="asked")
+        return joined.withColumn("n", F.coalesce("n", F.lit(0))).drop("asked")
+
+
+def same_bytes(hits: DataFrame, texts: DataFrame, chunk: int = 64) -> DataFrame:
     """hits (id, digest, keep_id, n) with same: whether the two texts are equal byte for byte.
 
     The kept text of a group of n rows goes out once for each `chunk` rows, so that no key has more rows than that.
@@ -87,14 +117,12 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest=full_digest, run
     texts = texts.withColumn("sha", F.sha2("text", 256))
     texts = texts.withColumn("digest", F.unhex("sha") if digest is full_digest else digest(F.col("text")))
     digests = common.stored(texts.select("id", "digest", "sha"))
-    index = DigestIndex(spark, keep, digest)
-    batch = F.pmod(F.xxhash64("id"), F.lit(runs))
-    for r in range(runs):
-        index.flush(digests.where(batch == r).select("id", "digest"))
+    index = DigestIndex(spark, keep, digest, digests.count())
+    index.flush(digests.select("id", "digest"), runs)
     index.compact()
     found = common.stored(index.lookup(digests))
     hits = found.where("n > 1 AND id <> keep_id")
-    verified = _verify(hits.select("id", "digest", "keep_id", "n"), texts)
+    verified = same_bytes(hits.select("id", "digest", "keep_id", "n"), texts)
     differs = common.stored(verified.where(~F.col("same")).select("id", "digest").distinct())
     done = found
     if differs.limit(1).count():
