@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared spark.checkpoint.dir; a private one only where that is unset."""
+    """A new folder under the cluster's shared spark.checkpoint.dir; where that is unset, a private one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -46,18 +48,22 @@ def fold(doc_id: Column, parts: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
 
 
-def heavy_join(fact: DataFrame, groups: DataFrame, keys: list[str], spread: Column, count: str = "n", heavy: int = 1000) -> DataFrame:
+def heavy_join(fact: DataFrame, groups: DataFrame, keys: list[str], spread: Column, count: str = "n", heavy: int = 1000, total: int | None = None) -> DataFrame:
     """Left join of fact to one row per key, safe for keys that hold any share of fact's rows.
 
     groups has the number of fact's rows of each key in `count`. At most `heavy` keys can hold 1/heavy of all rows
     each; these are broadcast (so the broadcast has at most `heavy` rows, whatever the input's size). Rows of these
-    keys are dealt by `spread` through the shuffle that joins all other keys.
+    keys are dealt by `spread` through the shuffle that joins all other keys. groups is read several times: a stored
+    table, unless it is cheap. total: the sum of `count`, where the caller knows it.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = groups.agg(F.sum(count)).first()[0] or 0
     least = max(2, math.ceil(total / heavy))
     values = [c for c in groups.columns if c not in keys]
+    # Always 0; of a literal 0 the optimizer makes a filter, and the salt is no key of the join any more.
+    no_salt = F.pmod(F.col(count), F.lit(1)).cast("int")
     hot = groups.where(F.col(count) >= least).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_hot"))
-    cold = groups.where(F.col(count) < least).select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.lit(0).alias("_s"), F.struct(*values).alias("_cold"))
+    cold = groups.where(F.col(count) < least).select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], no_salt.alias("_s"), F.struct(*values).alias("_cold"))
     on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     left = fact.join(F.broadcast(hot), on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(65536)).cast("int")).otherwise(0))

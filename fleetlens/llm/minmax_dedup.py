@@ -75,11 +75,23 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(build, "id long, shingles binary")
 
 
+def attached(pairs: DataFrame, sets: DataFrame, **sides: str) -> DataFrame:
+    """pairs with the sets of two columns, each by the name it is given.
+
+    A set with many partners goes once to each of CHUNKS chunks of these, so that no task meets all pairs of one set,
+    whichever side of the pairs it is on. pairs is read three times: a stored table.
+    """
+    out = pairs
+    for (key, name), other in zip(sides.items(), reversed(list(sides)), strict=True):
+        chunk = F.pmod(F.xxhash64(other), F.lit(CHUNKS)).alias("_chunk")
+        once = pairs.select(key, chunk).distinct().join(sets.select(F.col("id").alias(key), F.col("shingles").alias(name)), key)
+        out = out.withColumn("_chunk", chunk).join(once, [key, "_chunk"]).drop("_chunk")
+    return out
+
+
 def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough. Each set goes once to each chunk of its pairs."""
-    left = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(CHUNKS)))
-    once = left.select("a", "chunk").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(once, ["a", "chunk"])
+    """Of pairs (a, b) those whose full sets are similar enough."""
+    both = attached(common.stored(pairs), sets, a="sa", b="sb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, whole = similarity
@@ -103,14 +115,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     end when no label changes, after about the logarithm of the longest path.
     """
     both = common.stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        moved = common.stored(moved.join(jump, "new", "left").select("id", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
+    total = both.count()
+    labels = common.stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.count("*").alias("n")))
+    while total:
+        # A hub's edges and a component's members are dealt to many tasks.
+        at = common.heavy_join(both, labels.select(F.col("id").alias("a"), "label", "n"), ["a"], F.col("b"), total=total)
+        near = at.groupBy(F.col("b").alias("id")).agg(F.min("label").alias("near"))
+        moved = common.stored(labels.join(near, "id").select("id", "n", "label", F.least("label", "near").alias("new")))
+        jump = moved.groupBy("new").agg(F.count("*").alias("m")).join(labels.select(F.col("id").alias("new"), F.col("label").alias("far")), "new")
+        jumped = common.heavy_join(moved, common.stored(jump), ["new"], F.col("id"), count="m")
+        moved = common.stored(jumped.select("id", "n", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
         changed = moved.where("new <> label").limit(1).count()
-        labels = moved.select("id", F.col("new").alias("label"))
+        labels = moved.select("id", "n", F.col("new").alias("label"))
         if not changed:
             break
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
@@ -131,12 +147,12 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     # A class's representative carries its bands; a doc_id that stands for several sets has the bands of each.
     bands = real.join(classes.select("set_key", "id"), "set_key").where("doc_id = id").dropDuplicates(["set_key"])
     buckets = bands.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"))
-    shared = common.stored(common.heavy_join(buckets, sizes.where("n > 1"), ["band", "key"], F.col("id")).where("n > 1"))
+    sizes = common.stored(buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = common.stored(common.heavy_join(buckets, sizes, ["band", "key"], F.col("id")).where("n > 1"))
     # The member with most company over all its buckets is nearest to the text that the others are copies of.
     company = common.stored(shared.groupBy("id").agg(F.sum("n").alias("company")))
     ranked = shared.join(company, "id")
-    centers = ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("company", "id")).alias("center"), F.count("*").alias("n"))
+    centers = common.stored(ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("company", "id")).alias("center"), F.count("*").alias("n")))
     shared = common.stored(common.heavy_join(shared.drop("n"), centers, ["band", "key"], F.col("id")))
     members = common.stored(shared.select("id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi")
@@ -151,7 +167,7 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
         edges = common.stored(edges.union(linked(_cross_pairs(groups, similarity), sets, similarity)))
     labels = components(members, edges)
     found = common.heavy_join(rows.drop("bands"), classes.select("set_key", F.col("id").alias("class_id"), "n"), ["set_key"], F.coalesce("doc_id", F.lit(0)))
-    sized = labels.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    sized = common.stored(labels.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id"))
     named = common.heavy_join(found.drop("n").withColumn("id", F.coalesce("class_id", "doc_id")), sized, ["id"], F.coalesce("doc_id", F.lit(0)))
     component = F.coalesce("label", "id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -167,20 +183,19 @@ def _pivot_groups(shared: DataFrame, labels: DataFrame, company: DataFrame) -> D
     keys = ["band", "key"]
     labelled = common.stored(shared.join(labels, "id"))
     mixed = labelled.groupBy(*keys).agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h AND m > 2").select(*keys, "m")
+    mixed = common.stored(mixed)
     open_ = common.stored(common.heavy_join(labelled, mixed, keys, F.col("id"), count="m").where("m IS NOT NULL"))
     hubs = labels.join(company, "id").groupBy("label").agg(F.max(F.struct("company", F.col("id").alias("pivot"), F.col("label").alias("own"))).alias("hub"))
-    met = open_.where("id = center").join(hubs, "label").select(*keys, "hub", "m")
+    met = common.stored(open_.where("id = center").join(hubs, "label").select(*keys, "hub", "m"))
     guide = common.heavy_join(open_.drop("m"), met, keys, F.col("id"), count="m").groupBy("id").agg(F.max("hub").alias("hub"))
-    pivots = open_.join(guide, "id").groupBy(*keys).agg(F.max("hub").alias("hub"), F.max("m").alias("m"))
+    pivots = common.stored(open_.join(guide, "id").groupBy(*keys).agg(F.max("hub").alias("hub"), F.max("m").alias("m")))
     found = common.heavy_join(open_.drop("m"), pivots, keys, F.col("id"), count="m")
     return found.select(F.col("hub.pivot").alias("pivot"), "id", "label", "n_shingles", (F.col("label") != F.col("hub.own")).alias("far")).distinct()
 
 
 def _outside(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """groups with inside, the number of the set's shingles that the pivot has, and outside, the other shingles."""
-    left = groups.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(CHUNKS)))
-    once = left.select("pivot", "chunk").distinct().join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("sp")), "pivot")
-    both = left.join(sets.select("id", F.col("shingles").alias("si")), "id").join(once, ["pivot", "chunk"])
+    both = attached(common.stored(groups), sets, id="si", pivot="sp")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +216,7 @@ def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """
     part, whole = similarity
     rows = common.stored(groups)
-    least = rows.groupBy("pivot").agg(F.min("n_shingles").alias("least"), F.count("*").alias("m"))
+    least = common.stored(rows.groupBy("pivot").agg(F.min("n_shingles").alias("least"), F.count("*").alias("m")))
     rows = common.heavy_join(rows, least, ["pivot"], F.col("id"), count="m").drop("m")
     smallest = F.greatest(F.ceil(F.col("n_shingles") * part / whole), F.col("least"))
     need = F.ceil((F.col("n_shingles") + smallest) * part / (whole + part))
@@ -217,6 +232,7 @@ def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
     each = rows.select("pivot", *named, "open", F.explode("outside").alias("shingle"))
     met = each.groupBy("pivot", "shingle").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h").select("pivot", "shingle", "m")
+    met = common.stored(met)
     each = common.heavy_join(each, met, ["pivot", "shingle"], F.col("id"), count="m").where("m IS NOT NULL")
     own = Window.partitionBy("pivot", "id")
     each = each.withColumn("k", F.row_number().over(own.orderBy("m", "shingle"))).withColumn("of", F.count("*").over(own))
@@ -226,7 +242,7 @@ def _cross_pairs(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     bin_of = lambda n: F.floor(F.log(n) * 100).cast("int")
     able = rows.where(F.col("inside") * (whole + part) >= (F.col("n_shingles") + smallest) * part)
     ys = able.select("pivot", *named, bin_of(F.col("n_shingles")).alias("bin"))
-    counts = ys.groupBy("pivot", "bin").agg(F.count("*").alias("m"))
+    counts = common.stored(ys.groupBy("pivot", "bin").agg(F.count("*").alias("m")))
     most = F.least(F.col("n_shingles") * whole / part, F.col("inside") * (whole + part) / part - F.col("n_shingles"))
     xs = able.where("far").select("pivot", *named, F.explode(F.sequence(bin_of(smallest), F.greatest(bin_of(smallest), bin_of(most)))).alias("bin"))
     shares = F.ceil(F.col("m") / F.lit(256))
