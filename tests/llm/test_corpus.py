@@ -1,13 +1,16 @@
 """Corpus operators against brute force and on odd rows."""
 
+import base64
 import hashlib
 import math
 import random
+import struct
 import time
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from fleetlens.llm import common, decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, registry, suffix_dedup, toxicity, urls, warc
 
@@ -76,8 +79,11 @@ def test_variants_of_one_text_against_all_pairs(spark, seed):
 
 
 @pytest.mark.parametrize("large", [1, 2000])
-def test_repeats_against_all_strings(spark, docs, monkeypatch, large):
+@pytest.mark.parametrize("block", [1 << 20, 150])
+def test_repeats_against_all_strings(spark, docs, monkeypatch, large, block):
+    """With large = 1, all anchors are hot and all buckets large; a block of 150 bytes cuts most texts in parts."""
     monkeypatch.setattr(suffix_dedup, "LARGE_BUCKET", large)
+    monkeypatch.setattr(suffix_dedup, "TEXT_BLOCK", block)
     seen, expected = set(), {}
     for r in sorted(docs.collect()):
         b = (r.text or "").encode()
@@ -103,10 +109,70 @@ def test_repeated_rows_are_one_document(spark):
     assert got == [(0, 300, 0), (0, 300, 0), *[(1, 300, 0)] * 4, (2, 300, 300), (2, 300, 300), (3, 301, 300), (4, 300, 300)]
 
 
+def test_hot_anchor_is_dealt_to_many_tasks(spark):
+    """A line in all texts, each with other words around it: no task has a large part of its anchors' runs."""
+    from pyspark.sql import functions as F
+
+    rng, line = random.Random(3), "this one line of a licence stands in each and every one of the documents"
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    rows = [(i, i, " ".join(word() for _ in range(4)) + f" {line} " + " ".join(word() for _ in range(4))) for i in range(3000)]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, tag long, text string").repartition(8))
+    hot = suffix_dedup.hot_bins(docs, 1000)
+    assert 0 < hot.sum() < 10
+    runs = suffix_dedup.dealt_runs(docs, hot).where(F.col("off") >= suffix_dedup.MARK)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    total, parts = runs.count(), [r["count"] for r in runs.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert total >= 3000 and len(parts) >= 4 and max(parts) < 2 * total / len(parts)
+    assert suffix_dedup.hot_bins(docs.limit(0)).sum() == 0
+
+
 def test_cover_holds_all_differences():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
 
+def test_heavy_keys_go_to_many_tasks(spark):
+    """A key with most rows is joined in many tasks; the salt stays in the join's keys."""
+    from pyspark.sql import functions as F
+
+    fact = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    groups = common.stored(fact.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")))
+    for name, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    joined = common.heavy_join(fact, groups, ["k"], F.col("id"))
+    parts = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.unset(name)
+    assert len(parts) == 4 and max(parts) < 7_000 and sum(parts) == 20_000
+    assert joined.where("n IS NULL OR m < id").count() == 0
+
+
+def test_sets_with_many_partners_go_to_many_tasks(spark):
+    """Pairs of one set, on either side, meet its copies in chunks; each pair finds both sets."""
+    from pyspark.sql import functions as F
+
+    pairs = common.stored(spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(1, 5000).select(F.col("id").alias("a"), F.lit(9999).cast("long").alias("b"))))
+    sets = common.stored(spark.range(10_000).select("id", F.encode(F.col("id").cast("string"), "UTF-8").alias("shingles")))
+    out = minmax_dedup.attached(pairs, sets, a="sa", b="sb")
+    assert out.where(F.decode("sa", "UTF-8") == F.col("a").cast("string")).where(F.decode("sb", "UTF-8") == F.col("b").cast("string")).count() == 9998
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    parts = [r["count"] for r in minmax_dedup.attached(pairs, sets, a="sa", b="sb").groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(parts) == 4 and max(parts) < 4000
+
+
+def test_components_of_a_hub_and_a_path(spark):
+    hub = [(7, k) for k in range(100, 400)]
+    path = [(k, k + 1) for k in range(1000, 1040)]
+    edges = spark.createDataFrame(hub + path + [(5, 5)], "a long, b long")
+    nodes = spark.createDataFrame([(k,) for k in [5, 6, 7, *range(100, 400), *range(1000, 1041)]], "id long")
+    got = {r.id: r.label for r in minmax_dedup.components(nodes, edges).collect()}
+    assert got == {5: 5, 6: 6, 7: 7, **{k: 7 for k in range(100, 400)}, **{k: 1000 for k in range(1000, 1041)}}
+    assert minmax_dedup.components(nodes, edges.limit(0)).where("id <> label").count() == 0
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_groups_verify_bytes(spark, docs, weak):
     from pyspark.sql import functions as F
@@ -120,6 +186,40 @@ def test_exact_groups_verify_bytes(spark, docs, weak):
         assert got[i] == (max(same), len(same), i == max(same), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_index_takes_a_second_batch(spark):
+    """A second batch finds the first one's texts; the filters name few runs but the right ones; then runs are merged."""
+    from pyspark.sql import functions as F
+
+    text = F.concat(F.lit("text "), F.col("id").cast("string"))
+    rows = lambda a, b, shift=0: common.stored(spark.range(a, b).select((F.col("id") + shift).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    index = exact_dedup.DigestIndex(spark, expected=2000)
+    first = rows(0, 2000)
+    assert index.lookup(first).where("n > 0 OR keep_id IS NOT NULL").count() == 0
+    index.flush(first)
+    assert index.flush(rows(5000, 7000), runs=2).select("run").distinct().count() == 2
+    batch = rows(1500, 3500, 10_000)  # 500 of 2,000 are in run 0
+    named = index.candidates(batch).groupBy("run").count().collect()
+    assert sum(r["count"] for r in named if r.run == 0) >= 500 and sum(r["count"] for r in named) < 500 + 0.05 * 6000
+    found = index.lookup(batch)
+    assert found.count() == 2000 and found.where("n = 1 AND keep_id = id - 10000").count() == 500 and found.where("n = 0").count() == 1500
+    index.flush(batch)
+    merged = index.compact()
+    assert (merged.count(), len(index.runs), merged.where("n = 2").count(), merged.select("run").distinct().count()) == (5500, 1, 500, 1)
+    assert index.lookup(batch).where("keep_id = id - 10000 AND n = 2 OR keep_id = id AND n = 1").count() == 2000
+    files = merged.select("digest", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    assert all(x == sorted(x) for x in ([bytes(d) for d in r.d] for r in files.groupBy("f").agg(F.expr("transform(array_sort(collect_list(struct(i, digest))), x -> x.digest)").alias("d")).collect()))
+
+
+def test_exact_groups_of_odd_tables(spark):
+    """No rows; null and repeated ids; columns that clash; each row has its result."""
+    schema = "doc_id long, text string, id long, digest string, n int, run int, keep_id long"
+    assert exact_dedup.exact_groups(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "A b"), (1, "a b"), (None, "a b"), (2, "z"), (None, None), (None, ""), (1, "other"), (3, "Éa"), (4, "éa")]
+    docs = spark.createDataFrame([(*r, 9, "x", 9, 9, 9) for r in rows], schema)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()), key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (2, 2, 1, True), (None, None, 2, True), (None, None, 2, True), (1, 1, 1, True), (3, 3, 1, True), (4, 4, 1, True)], key=str)
+
+
 def _by_all_segmentations(weight, word):
     """The sum over all segmentations, byte by byte, in plain probabilities."""
     s, total = b" " + word, [1.0] + [0.0] * (len(word) + 1)
@@ -233,6 +333,82 @@ def test_archives_round_trip_and_damage(spark):
     assert warc.parse_record(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n")["error"].startswith("missing")
 
 
+def _record(kind, block, http=True, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(block))}
+    head |= {k.replace("_", "-"): v for k, v in fields.items()} | ({"Content-Type": "application/http; msgtype=response"} if http else {})
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode("latin-1") for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others_on_disk(spark, tmp_path):
+    """sha1 digests, records of other types, chunked bodies, odd bytes in headers; with dictionary, without, skippable frames."""
+    body = b"<p>hello</p>" * 20
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\nX: caf\xe9\r\n\r\n" % len(body)
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"%x\r\n%s\r\n0\r\n\r\n" % (len(body), body)
+    good = [
+        (_record("warcinfo", b"software: x\r\n", http=False), "warcinfo", b"software: x\r\n"),
+        (_record("request", b"GET / HTTP/1.1\r\n\r\n", http=False), "request", b"GET / HTTP/1.1\r\n\r\n"),
+        (_record("response", http + body, WARC_Payload_Digest="sha1:" + sha1, WARC_Target_URI="http://h/caf\xe9"), "response", body),
+        (_record("response", chunked, WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest()), "response", body),
+        (_record("response", chunked, WARC_Payload_Digest="sha1:" + hashlib.sha1(chunked.partition(b"\r\n\r\n")[2]).hexdigest()), "response", body),
+        (_record("response", b"HTTP/1.1 204 No Content\r\n\r\n", WARC_Payload_Digest="blake9:zz"), "response", b""),
+        (_record("revisit", http, WARC_Refers_To_Target_URI="http://h/"), "revisit", None),
+        (_record("metadata", b"", http=False), "metadata", b""),
+    ]
+    bad = [
+        (_record("response", http + body, WARC_Payload_Digest="sha1:" + sha1[::-1]), "payload digest differs"),
+        (_record("response", http.replace(b"Content-Length: 240", b"Content-Length: 2x0") + body), "HTTP Content-Length is no number"),
+        (_record("response", http + body + b"!"), "HTTP Content-Length is not the payload's length"),
+        (_record("response", b"no header"), "no HTTP header"),
+        (_record("revisit", http), "revisit refers to nothing"),
+        (_record("metadata", b"x", http=False, WARC_Block_Digest="md5:00"), "block digest differs"),
+        (_record("response", http + body)[:-1], "Content-Length is not the block's length"),
+    ]
+    records = [r for r, *_ in good] + [r for r, _ in bad]
+    plain = zstandard.ZstdCompressor()
+    skip = struct.pack("<II", 0x184D2A50, 3) + b"pad"
+    (tmp_path / "plain.warc.zst").write_bytes(skip.join(plain.compress(r) for r in records))
+    trained = zstandard.train_dictionary(2000, records * 4, k=64, d=8)
+    packer = zstandard.ZstdCompressor(dict_data=trained)
+    raw_dict = struct.pack("<II", 0x184D2A5D, len(trained.as_bytes())) + trained.as_bytes()
+    (tmp_path / "trained.warc.zst").write_bytes(raw_dict + b"".join(packer.compress(r) for r in records))
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    (tmp_path / "wrong.warc.zst").write_bytes(b"".join(packer.compress(r) for r in records))
+    (tmp_path / "cut.warc.zst").write_bytes((raw_dict + packer.compress(records[2]))[:-3])
+    (tmp_path / "own.warc.zst").write_bytes(warc.pack_archive([warc.record_bytes(k, "http://h/", body, len(body), hashlib.sha256(body).hexdigest(), None) for k in range(20)]))
+    rows: dict = {}
+    for r in warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path))).collect():
+        rows.setdefault(r.path.rpartition("/")[2], []).append(r)
+    for name in ("plain.warc.zst", "trained.warc.zst"):
+        found = sorted(rows.pop(name), key=lambda r: r.record)
+        assert len(found) == len(records)
+        for r, (_, kind, payload) in zip(found, good):
+            assert (r.error, r.record_type, None if r.payload is None else bytes(r.payload)) == (None, kind, payload) and r.record_id == "<urn:uuid:1>"
+        assert [r.error for r in found[len(good) :]] == [e for _, e in bad]
+    assert [r.page_id for r in sorted(rows["own.warc.zst"], key=lambda r: r.record)] == list(range(20))
+    assert {k: len(v) for k, v in rows.items()} == {"own.warc.zst": 20, "wrong.warc.zst": 1, "cut.warc.zst": 1}
+    assert all(r.error.startswith("archive: ") for k in ("wrong.warc.zst", "cut.warc.zst") for r in rows[k])
+
+
+def test_parser_survives_any_bytes():
+    rng, seed = random.Random(2), _record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc", WARC_Payload_Digest="sha1:x")
+    for _ in range(3000):
+        raw = bytearray(seed)
+        for _ in range(rng.randint(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        assert set(warc.parse_record(bytes(raw))) <= {x.split()[0] for x in warc.RECORD.split(", ")}
+
+
+def test_archives_of_odd_tables(spark):
+    """No rows; html above one archive; columns that clash; repeated and null ids."""
+    schema = "page_id long, url string, html string, payload string, refers_to long, n long, first int"
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(spark.createDataFrame([], schema)))).count() == 0
+    long = "ab " * 40_000
+    pages = spark.createDataFrame([(i, None, h, "x", 5, 5, 5) for i, h in ((1, long), (1, long), (2, long), (None, long), (3, None))], schema)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.checked(warc.read_archives(warc.write_archives(warc.with_revisits(pages), 1000))).collect())
+    assert got == [(0, "response", None, 120_000), (1, "response", None, 120_000), (1, "response", None, 120_000), (2, "revisit", 1, 120_000), (3, "response", None, 0)]
+
+
 def test_mix_meets_targets(spark, docs):
     out = mixing.with_copies(docs).collect()
     total = sum(r.size for r in out)
@@ -265,6 +441,45 @@ def test_odd_spaces_encode_as_the_whole_text():
         assert e.ids(t).tolist() == [*e.encode(t), packing.END]
 
 
+def test_ids_are_the_tokenizers_on_any_white_space():
+    """100,000 random strings in which all kinds of white space stand beside words, marks and each other."""
+    e, rng = packing.Encoder(open(packing.TOKENIZER, "rb").read()), random.Random(4)
+    parts = [" "] * 6 + ["\u00a0", "\u3000", "\u2003", "\u0085", "\x1c", "\u200b", "\t", "\n", "\r", "a", "bc", "é", "'s", "'", "1", "中", ".", "!!", "It's"]
+    for _ in range(100_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert e.ids(t).tolist() == [*e.encode(t), packing.END], t
+
+
+def test_best_fit_decreasing_is_that_of_a_plain_search():
+    rng = random.Random(8)
+    for most in (7, 64, 100):
+        sizes = [rng.randint(1, most) for _ in range(400)]
+        bins, free = [], []
+        for i in sorted(range(400), key=lambda k: (-sizes[k], k)):
+            fits = [f for f in free if f >= sizes[i]]
+            if fits:
+                free.remove(min(fits))
+                free.append(min(fits) - sizes[i])
+            else:
+                free.append(most - sizes[i])
+        bins = packing.best_fit_decreasing(sizes, most)
+        assert sorted(most - sum(sizes[i] for i in b) for b in bins) == sorted(free)
+
+
+def test_packing_of_odd_tables(spark):
+    """No rows; a text above a block without a space; a null doc_id and a repeated row; columns that clash."""
+    assert packing.packed(empty(spark)).count() == 0
+    schema = "doc_id long, text string, ids string, block int, row int"
+    long = "x" + "ab1" * 3000
+    docs = spark.createDataFrame([(1, long, "z", 1, 1), (None, None, "z", 1, 1), (2, "a b", None, 1, 1), (2, "a b", None, 1, 1)], schema).coalesce(1)
+    rows, e, got = packing.packed(docs, seq_len=64, block_tokens=200).collect(), packing.Encoder(open(packing.TOKENIZER, "rb").read()), {}
+    for r in rows:
+        for k, row in enumerate(r.rows):
+            got.setdefault((row, r.doc_ids[k]), {})[r.offsets[k]] = np.frombuffer(r.ids, "<u2")[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
+    whole = {k: sum((x for _, x in sorted(v.items())), []) for k, v in got.items()}
+    assert whole == {(0, 1): e.ids(long).tolist(), (1, None): [packing.END], (2, 2): e.ids("a b").tolist(), (3, 2): e.ids("a b").tolist()}
+
+
 def test_toxicity_learns_words(spark):
     rows = [(i, f"plain words number{i % 13} here " + ("awful scum" if i % 4 == 0 else "fine day"), int(i % 4 == 0)) for i in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, "")], "doc_id long, text string")
