@@ -15,7 +15,8 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 PREFIX_HEX = 8
-BROADCAST_RULES = 500_000
+#: Rules are broadcast up to so many bytes, else joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 OTHERWISE = "allow"
 
 
@@ -28,12 +29,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes at label boundaries with all path prefixes of the given lengths (the rules' own)."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    known = F.array(*map(F.lit, lengths))
-    cuts = F.filter(known, lambda n: n <= F.char_length(path))
+def expressions(host: Column, path: Column, most_labels: int, lengths: Column) -> Column:
+    """The host's suffixes of up to most_labels labels with the path's prefixes of the given lengths (the rules' own)."""
+    labels = F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(labels, F.lit(most_labels))), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    cuts = F.filter(lengths, lambda n: n <= F.char_length(path))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
         F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
     )
@@ -51,21 +51,26 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
 
     A rule fits its host and all subdomains where the path starts with the rule's. Of rules of one length the one with
     the longer host wins, then block before allow. No rule: rule null, verdict `otherwise`. Null urls and urls with no
-    '://' have an empty host and path and fit no rule. Repeated rows stay repeated. Rules are broadcast up to
-    BROADCAST_RULES; more are joined by shuffle, where each url's expressions carry the short prefixes.
+    '://' have an empty host and path and fit no rule. Repeated rows stay repeated. A host has as many suffixes as the
+    rules' own longest host at most, whatever its length. Rules are broadcast up to BROADCAST_BYTES; more are joined by
+    shuffle, where the expressions that many urls have are dealt to many tasks.
     """
-    lengths = sorted(n for (n,) in rules.select(F.char_length("rule_path")).distinct().limit(10_001).collect())
-    if len(lengths) > 10_000:
-        raise ValueError("rules have over 10,000 different path lengths")
-    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    ruled = rules.withColumn("_rank", F.struct(F.char_length("rule"), F.char_length("rule_host"), (F.col("rule_verdict") == "block").cast("int").alias("b"), "rule", "rule_verdict"))
+    # Of equal expressions one rule can win; rules that share a short prefix are one row.
+    ruled = ruled.groupBy("short", "rule", "rule_digest").agg(F.max("_rank").alias("_rank")).groupBy("short").agg(F.collect_list(F.struct("rule", "rule_digest", "_rank")).alias("_rules"))
+    most_labels, held = rules.agg(F.max(F.size(F.split("rule_host", r"\."))), F.sum(F.octet_length("rule") + 400)).first()
+    lengths = rules.select(F.sort_array(F.collect_set(F.char_length("rule_path")))).scalar()
     keys = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     once = pages.select(*keys).groupBy(*keys).agg(F.count("*").alias("_times"))
-    parted = once.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    expanded = parted.withColumn("_x", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths or [0])))
+    parted = once.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_lengths", lengths)
+    expanded = parted.withColumn("_x", F.explode_outer(expressions(F.col("host"), F.col("path"), most_labels or 1, F.col("_lengths")))).drop("_lengths")
     expanded = expanded.withColumn("_digest", F.sha2("_x", 256)).withColumn("_short", F.substring("_digest", 1, PREFIX_HEX))
-    ruled = rules.withColumn("_rank", F.struct(F.char_length("rule"), F.char_length("rule_host"), (F.col("rule_verdict") == "block").cast("int").alias("b"), "rule", "rule_verdict"))
-    hit = expanded.join(F.broadcast(ruled) if small else ruled, F.col("_short") == F.col("short"), "left")
-    confirmed = F.when((F.col("_digest") == F.col("rule_digest")) & (F.col("_x") == F.col("rule")), F.col("_rank"))
+    if (held or 0) <= BROADCAST_BYTES:
+        hit = expanded.join(F.broadcast(ruled), F.col("_short") == F.col("short"), "left")
+    else:
+        asked = expanded.groupBy("_short").agg(F.count("*").alias("n"))
+        hit = common.heavy_join(expanded, common.stored(ruled.withColumnRenamed("short", "_short").join(asked, "_short")), ["_short"], F.col("_digest"))
+    confirmed = F.array_max(F.transform(F.filter("_rules", lambda r: (r["rule_digest"] == F.col("_digest")) & (r["rule"] == F.col("_x"))), lambda r: r["_rank"]))
     best = hit.groupBy(*keys).agg(F.first("_times").alias("_times"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(confirmed).alias("_best"))
     out = best.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce("_best.rule_verdict", F.lit(otherwise)))
     return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times", "_best", "_i")
