@@ -98,13 +98,14 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS_PER_CLASS) -> DataFrame:
     """doc_id, text, label of labelled rows outside the held-out fold, at most `most` of each class.
 
-    Null labels teach nothing; a doc_id labelled twice has its largest label.
+    Null labels teach nothing; a doc_id labelled twice has its largest label, one with several texts that of the least hash.
     """
     known = labels.where(F.col("toxic").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = F.md5(F.concat_ws("|", F.lit("sample"), F.col("doc_id").cast("string")))
     picked = [known.where(c).orderBy(order, "doc_id").limit(most) for c in ("label > 0", "label <= 0")]
     ids = picked[0].union(picked[1]).select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.struct(F.md5(F.coalesce("text", F.lit(""))), "text").alias("t"))
+    return texts.groupBy("doc_id").agg(F.min("t").alias("t"), F.first("label").alias("label")).select("doc_id", "t.text", "label")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
