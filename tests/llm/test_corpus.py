@@ -489,6 +489,43 @@ def test_toxicity_learns_words(spark):
     assert toxicity.score(docs, toxicity.model_of(docs, known.where("toxic IS NULL"))).count() == 402
 
 
+def test_ftrl_is_the_plain_recursion():
+    """The fit against a loop over coordinates, as the method is defined; L1 leaves few weights."""
+    rng = random.Random(1)
+    rows = [(np.unique([rng.randint(0, 40) + (900 if y else 0) * (rng.random() < 0.5) for _ in range(12)]), y) for y in (int(rng.random() < 0.3) for _ in range(500))]
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+    ones = sum(y for _, y in rows)
+    w_of = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            w, bias = {int(i): w_of(int(i)) for i in x}, -bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA)
+            g = (1 / (1 + math.exp(-(sum(w.values()) + bias))) - y) * ((500 - ones) / ones if y else 1)
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / toxicity.ALPHA * bias
+            bn += g * g
+    at, w, bias = toxicity.fit(rows)
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx({i: w_of(i) for i in z if w_of(i)}) and 0 < len(at) < len(z)
+    assert bias == pytest.approx(-bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA))
+
+
+def test_toxicity_of_odd_rows_and_shards(spark, monkeypatch):
+    """Labelled ids with several texts give one model in any order of rows; several shards are averaged."""
+    rows = [(i, f"plain words number{i % 13} here " + ("awful scum" if i % 4 == 0 else "fine day"), int(i % 4 == 0)) for i in range(600)]
+    texts = [(i, t) for i, t, _ in rows] + [(4, "another text"), (5, None), (8, "awful"), (None, "x")]
+    known = spark.createDataFrame([(i, y) for i, _, y in rows] + [(4, 0), (None, 1)], "doc_id long, toxic int")
+    make = lambda t: toxicity.model_of(spark.createDataFrame(t, "doc_id long, text string").repartition(5), known)
+    a, b = make(texts), make(texts[::-1])
+    assert all(np.array_equal(x, y) for x, y in zip(a, b)) and len(a[0])
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    monkeypatch.setattr(toxicity, "L1", 5.0)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows], "doc_id long, text string, label string, score int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, make(texts)).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, _, y in rows) > 590
+    assert toxicity.score(docs.limit(0), a).count() == 0
+
+
 def test_parameters_of_a_question_may_change(spark):
     item = "a train leaves the old station at 40 km every hour while Maria waits for 15 minutes near the Bridge and then walks home"
     other = item.replace("40", "75").replace("15", "22").replace("Maria", "Pedro")
@@ -521,6 +558,90 @@ def test_items_with_few_plain_words_are_found_verbatim(spark):
     assert got == {(0, 1), (1, 2), (2, 3), (5, 4)}
 
 
+def _contaminated_by_all_alignments(docs, items, coverage=decontaminate.COVERAGE, verbatim=decontaminate.VERBATIM):
+    """Every alignment of every text with every item, token by token; no hashes of windows, filters or joins."""
+    kinds, out = decontaminate.Kinds(), {}
+
+    def tokens(text):
+        words = (text or "").encode().split()
+        h, kind, at, _ = decontaminate.template(words, kinds)
+        bare = [words[i].strip(decontaminate.PUNCTUATION).lower() for i in at]
+        return [(None, w) if k == decontaminate.LITERAL else (int(k), w) for k, w in zip(kind.tolist(), bare)]
+
+    for i, text in docs:
+        d = tokens(text)
+        for j, item in items:
+            t = tokens(item)
+            size = min(decontaminate.WINDOW, len(t))
+            if not size:
+                continue
+            windows = range(len(t) - size + 1)
+            rich = {p for p in windows if sum(k is None for k, _ in t[p : p + size]) >= min(decontaminate.MIN_LITERALS, size)}
+            matched, poor, exact = set(), set(), 0
+            for shift in range(-len(t), len(d)):
+                here, pairs, n = set(), set(), 0
+                for p in windows:
+                    a, b = t[p : p + size], d[p + shift : p + shift + size] if p + shift >= 0 else []
+                    like = len(a) == len(b) and all(x[0] == y[0] and (x[0] is not None or x[1] == y[1]) for x, y in zip(a, b))
+                    if like and (p in rich or a == b):
+                        n += a == b
+                        (here if p in rich else poor).add(p)
+                        if p in rich:
+                            pairs |= {((x[0], x[1]), (y[0], y[1])) for x, y in zip(a, b) if x[0] is not None}
+                exact = max(exact, n)
+                if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                    matched |= here
+            share = max((len(matched) + len(poor)) / len(windows), len(matched) / len(rich) if rich else 0)
+            if share >= coverage or exact >= verbatim:
+                out[i, j] = (len(windows), len(matched) + len(poor), exact)
+    return out
+
+
+@pytest.mark.parametrize("held", [0, 1 << 26])
+def test_contaminated_against_all_alignments(spark, monkeypatch, held):
+    """Items that share most of their templates, texts that hold parts of them with values changed; both joins."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", held)
+    rng = random.Random(6)
+    word = lambda: rng.choice(("red", "green", "box", "holds", "walk", "stone", "open", "old", "river", "takes"))
+    value = lambda: rng.choice((str(rng.randint(1, 9)), rng.choice(("Ada", "Bo", "Cleo")), "5 km", word()))
+    head = "what is the {} of the {} when every one of the {} has been moved by {} to the other side"
+    items = [head.format(*(value() for _ in range(4))) + " " + " ".join(word() if rng.random() < 0.7 else value() for _ in range(rng.randint(0, 14))) for _ in range(14)]
+    items += ["one two", "7 8 9", "", None, "Ada Bo Cleo 1 2 3 4 5 6 7 8", "what is the 4 of the box"]
+    texts = []
+    for _ in range(90):
+        t = (rng.choice(items) or "x").split()
+        cut = t[rng.randint(0, len(t) // 2) :][: rng.randint(3, 40)]
+        changed = [rng.choice((w, w, w, value())) if w[:1].isdigit() or w[:1].isupper() else w for w in cut]
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 5))] + changed + [value() for _ in range(rng.randint(0, 5))]))
+    texts += ["", None, " ".join(x for x in items if x) * 2]
+    docs, bench = list(enumerate(texts)), list(enumerate(items))
+    expected = _contaminated_by_all_alignments(docs, bench)
+    out = decontaminate.contaminated(spark.createDataFrame(docs + docs[:5], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.windows, r.matched, r.exact) for r in out} == expected and len(out) == len(expected) > 40
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+
+
+@pytest.mark.parametrize("held", [0, 1 << 26])
+def test_urls_against_each_rule(spark, monkeypatch, held):
+    """Random hosts, paths and rules, some rules twice or with both verdicts; hosts of many labels take no long time."""
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", held)
+    rng = random.Random(3)
+    host = lambda n: ".".join(rng.choice(("a", "bb", "com", "org")) for _ in range(n))
+    path = lambda: "/" + "/".join(rng.choice(("x", "yy", "en")) for _ in range(rng.randint(0, 3)))
+    rules = [(rng.choice(("block", "allow")), host(rng.randint(1, 3)), path()) for _ in range(60)]
+    pages = [f"http://{host(rng.randint(1, 5))}{path()}{rng.choice(('', '?q=/x', '#/yy'))}" for _ in range(300)] + ["http://", "://a", "http://a/", "x" * 50, "http://" + "a." * 30_000 + "com/en"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), urls.rules_table(spark, rules)).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        best = None
+        for v, h, p in rules:
+            if r.host and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p):
+                best = max(best or (0,), (len(h + p), len(h), v == "block", h + p, v))
+        assert (r.rule, r.verdict) == (best[3:] if best else (None, "allow")), r
+    assert {r.verdict for r in urls.judge(spark.createDataFrame([(1, "http://a/")], "page_id long, url string"), urls.rules_table(spark, rules).limit(0)).collect()} == {"allow"}
+
+
 def test_url_rules(spark):
     cases = {"http://a.example.com/en/71?x": ("example.com/en/7", "allow"), "https://B.COM/en/1": ("com/en/", "block"), "ftp://xcom/en/": (None, "allow"), "no url": (None, "allow"), None: (None, "allow"), "http://org/es/": ("org/es/", "block"), "http://example.net/de/81": ("example.net/de/8", "block")}
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)] * 2, "page_id long, url string")
