@@ -289,7 +289,7 @@ def word_counts(docs: DataFrame, n_classes: int, most: int = 400_000) -> DataFra
 
     rows = docs.select("text", "class").mapInArrow(count, "key binary, long binary, class int, n long")
     per = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(n_classes)]
-    return rows.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.sum("n").alias("n"), *per)
+    return rows.groupBy("key", "long").agg(F.sum("n").alias("n"), *per)
 
 
 @dataclass
