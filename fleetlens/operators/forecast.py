@@ -19,11 +19,14 @@ def on_calendar(df: DataFrame, key: str, day: str, y: str) -> DataFrame:
 
 
 def lag_matrix(df: DataFrame, key: str, day: str, y: str, lags: tuple[int, ...] = (1, 2, 3, 7, 14, 28)) -> DataFrame:
+    """df with lags, means and deviations of the last 7 and 28 days, and places in the week and year on a circle."""
     w = Window.partitionBy(key).orderBy(day)
     out = {f"lag_{k}": F.lag(y, k).over(w) for k in lags}
     for n in (7, 28):
         before = w.rowsBetween(-n, -1)
         out |= {f"mean_{n}": F.avg(y).over(before), f"std_{n}": F.stddev_pop(y).over(before)}
+    for name, at, n in (("week", F.weekday(day), 7.0), ("year", F.dayofyear(day), 365.25)):
+        out |= {f"{name}_sin": F.sin(2 * F.pi() * at / n), f"{name}_cos": F.cos(2 * F.pi() * at / n)}
     return df.withColumns(out)
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import wilson_bounds
-from .timeseries import persistence
+from . import ranks
+from .timeseries import persistence, seconds
+
+BASES = ("all_limits_met", "false_alert_limit_relaxed", "least_event_and_lead_shortfall")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -25,9 +28,7 @@ def confusion(df: DataFrame, by: list[str], y: str, predicted: Column, score: st
 def score_counts(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """Rows and positives by distinct score, with running sums from the largest score down."""
     c = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()) if by else Window.orderBy(F.col(score).desc())
-    whole = Window.partitionBy(*by)
-    return c.withColumns({"cum_n": F.sum("n").over(w), "cum_p": F.sum("p").over(w), "all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
+    return ranks.running(c, by, score, ["n", "p"])
 
 
 def average_precision(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
@@ -51,40 +52,135 @@ def best_f_beta(df: DataFrame, by: list[str], y: str, score: str, beta: float =
     return c.withColumn("f", F.round(f, 12)).groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("threshold"), "f"), F.struct("f", -F.col(score))).alias("b")).select(*by, "b.threshold", F.col("b.f").alias("f_beta"))
 
 
-def threshold_grid(count: int = 121) -> list[float]:
-    """A quarter of the points below 0.9, the others up to 0.9999, and 1."""
+def grid_points(count: int = 121) -> list[float]:
+    """Quantiles to take: a quarter of them evenly below 0.9, the others up to 0.9999, and 1."""
     n = max(count, 25)
     low = max(n // 4, 8)
     high = n - low
-    points = [0.9 * i / low for i in range(low)] + [0.9 + (0.9999 - 0.9) * i / (high - 1) for i in range(high)] + [1.0]
-    return sorted({min(1.0, max(1e-9, round(x, 9))) for x in points})
+    return sorted({*[0.9 * i / low for i in range(low)], *[0.9 + (0.9999 - 0.9) * i / (high - 1) for i in range(high)], 1.0})
+
+
+def threshold_grid(df: DataFrame, score: str, count: int = 121) -> list[float]:
+    """Candidate thresholds: distinct quantiles of the scores within [1e-9, 1]; `count` + 1 at most."""
+    found = ranks.quantiles(df, score, grid_points(count))
+    return sorted({min(1.0, max(1e-9, x)) for x in found if x is not None})
 
 
-def threshold_curve(df: DataFrame, grid: list[float], y: str, score: str) -> DataFrame:
-    """Precision, recall and F1 at each threshold.
+def lasting_score(df: DataFrame, keys: list[str], order: list[str], score: str, lookback: int = 6, min_hits: int = 3) -> DataFrame:
+    """df with lasting: the largest threshold at which the row is a persistent alert, null if there is none.
+
+    That is its score, or the min_hits-th largest of the last `lookback` scores if that is less. One window thus serves
+    all thresholds.
+    """
+    last = F.collect_list(score).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - lookback, 0))
+    of = F.sort_array(last, asc=False)
+    return df.withColumn("lasting", F.when(F.size(of) >= min_hits, F.least(score, F.get(of, F.lit(min_hits - 1)))))
 
-    Rows are counted into the grid's cells first and summed from the top, so the data is read once and is not
-    multiplied by the number of thresholds.
+
+def threshold_curve(scored: DataFrame, grid: list[float], y: str = "y", event: str = "next_failure_date", days: str = "days_to_next_failure", key: str = "tag", ts: str = "ts",
+                    reset_hours: float = 24, order: tuple[str, ...] = ("ts", "event_id"), score: str = "score", lookback: int = 6, min_hits: int = 3) -> DataFrame:
+    """One row for each threshold of grid: what persistent alerts at that threshold find and cost.
+
+    Rows: predicted, tp, precision, recall, f1, false_rows. Days: false_days (entity and day with a false alert),
+    exposure_months (observed entity days / 30.4375), false_days_per_month. Events (entity and next failure): events,
+    detected, event_recall, median_lead_days of the earliest alert. Episodes (alerts no more than reset_hours apart):
+    episodes, true_episodes, false_episodes, false_episodes_per_month, episode_precision, median_span_hours.
+
+    Rows, days and events are first counted by the grid's cells, so they are not multiplied by the thresholds; episodes
+    depend on which alerts lie between, so alerts alone are followed threshold by threshold. Rates with nothing to
+    divide by are 0, medians over nothing null. grid is a bounded list; rows with a null y are left out. The narrow rows
+    are persisted, since each count reads them.
+    """
+    spark = scored.sparkSession
+    rows = lasting_score(scored.where(F.col(y).isNotNull()), [key], list(order), score, lookback, min_hits)
+    cell = ranks.range_of(F.coalesce("lasting", F.lit(-1.0)), grid)
+    rows = rows.select(key, ts, F.col(y).cast("long").alias("y"), event, days, F.to_date(ts).alias("day"), cell.cast("int").alias("cell")).persist()
+    points = F.broadcast(spark.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "i int, threshold double"))
+
+    def at_least(cells: DataFrame, **sums: Column) -> DataFrame:
+        """Sums over the cells from each threshold's on; cells has a row for each cell at most."""
+        return points.join(F.broadcast(cells), F.col("cell") >= F.col("i"), "left").groupBy("threshold").agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    out = at_least(counts, predicted=F.sum("n"), tp=F.sum("p"))
+    false_days = rows.where("y = 0").groupBy(key, "day").agg(F.max("cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("d"))
+    out = out.join(at_least(false_days, false_days=F.sum("d")), "threshold")
+
+    seen = rows.where(F.col(event).isNotNull()).groupBy(key, event, "cell").agg(F.max(days).alias("lead"))
+    first = Window.partitionBy(key, event).orderBy(F.col("cell").desc())
+    below = F.coalesce(F.lead("cell").over(first), F.lit(0))
+    led = seen.withColumns({"lead": F.max("lead").over(first), "below": below}).where("cell > 0")
+    # From the next lower cell's threshold up to its own, an event's earliest alert is the same.
+    per_event = led.select("lead", F.explode(F.sequence(F.col("below") + 1, F.col("cell"))).alias("at"))
+    leads = per_event.groupBy("at").agg(F.count("*").alias("detected"), F.percentile("lead", 0.5).alias("median_lead_days"))
+    out = out.join(points.join(F.broadcast(leads), F.col("i") == F.col("at"), "left").select("threshold", F.coalesce("detected", F.lit(0)).cast("long").alias("detected"), "median_lead_days"), "threshold")
+
+    each = rows.where("cell > 0").select(key, ts, "y", F.explode(F.sequence(F.lit(1), F.col("cell"))).alias("at"))
+    follow = Window.partitionBy("at", key).orderBy(ts)
+    gap = seconds(ts) - seconds(F.lag(ts).over(follow))
+    numbered = each.withColumn("episode", F.sum(F.when(gap > 3600 * reset_hours, 1).otherwise(0)).over(follow))
+    episodes = numbered.groupBy("at", key, "episode").agg(F.max("y").alias("y"), ((seconds(F.max(ts)) - seconds(F.min(ts))) / 3600 + 1).alias("span"))
+    found = episodes.groupBy("at").agg(F.count("*").alias("episodes"), F.sum("y").alias("true_episodes"), F.percentile("span", 0.5).alias("median_span_hours"))
+    found = points.join(F.broadcast(found), F.col("i") == F.col("at"), "left")
+    whole = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("episodes", "true_episodes")]
+    out = out.join(found.select("threshold", *whole, "median_span_hours"), "threshold")
+
+    totals = counts.agg(F.sum("p").alias("all_p"))
+    totals = totals.crossJoin(rows.select(key, "day").distinct().agg((F.count("*") / 30.4375).alias("exposure_months")))
+    totals = totals.crossJoin(rows.where(F.col(event).isNotNull()).select(key, event).distinct().agg(F.count("*").alias("events")))
+    out = out.crossJoin(F.broadcast(totals))
+    months, false_episodes = F.col("exposure_months"), F.col("episodes") - F.col("true_episodes")
+    return out.select(
+        "threshold", "predicted", "tp", _ratio(F.col("tp"), F.col("predicted")).alias("precision"), _ratio(F.col("tp"), F.col("all_p")).alias("recall"),
+        _ratio(2 * F.col("tp"), F.col("predicted") + F.col("all_p")).alias("f1"), (F.col("predicted") - F.col("tp")).alias("false_rows"),
+        "false_days", "exposure_months", _ratio(F.col("false_days"), months).alias("false_days_per_month"),
+        "events", "detected", _ratio(F.col("detected"), F.col("events")).alias("event_recall"), "median_lead_days",
+        "episodes", "true_episodes", false_episodes.alias("false_episodes"), _ratio(false_episodes, months).alias("false_episodes_per_month"),
+        _ratio(F.col("true_episodes"), F.col("episodes")).alias("episode_precision"), "median_span_hours",
+    )
+
+
+def operational_metrics(scored: DataFrame, threshold: float, **options) -> DataFrame:
+    """The row of threshold_curve() for one threshold."""
+    return threshold_curve(scored, [threshold], **options)
+
+
+def select_threshold(curve: DataFrame, min_event_recall: float = 0.8, min_lead_days: float = 0.0, max_false_days: float | None = None, max_false_episodes: float | None = None,
+                     metric: str = "days", cap: float | None = None) -> DataFrame:
+    """The quietest threshold of a curve that keeps the limits; one row, with the basis on which it was chosen.
+
+    First of those that keep all limits the one with the fewest false alerts; else, of those with enough events and lead,
+    the one that breaks the false-alert limits least (relative to them); else the one that breaks the others least. Ties go
+    by the other false-alert rate, precision, events and lead, and the larger threshold. cap: thresholds above it are
+    left out. No row if none is left. A missing rate of episodes counts as over its limit.
     """
-    spark = df.sparkSession
-    edges = F.array(*map(F.lit, grid))
-    cell = F.size(F.filter(edges, lambda t: t <= F.col(score)))
-    cells = df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p"))
-    points = spark.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "i int, threshold double")
-    at = F.broadcast(points).join(F.broadcast(cells), F.col("cell") >= F.col("i"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("predicted"), F.coalesce(F.sum("p"), F.lit(0)).alias("tp"))
-    all_p = cells.agg(F.sum("p").alias("all_p"))
-    out = at.crossJoin(F.broadcast(all_p))
-    return out.select("threshold", "predicted", "tp", _ratio(F.col("tp"), F.col("predicted")).alias("precision"), _ratio(F.col("tp"), F.col("all_p")).alias("recall"), _ratio(2 * F.col("tp"), F.col("predicted") + F.col("all_p")).alias("f1"))
-
-
-def select_threshold(curve: DataFrame, min_precision: float, min_recall: float, cap: float | None = None) -> DataFrame:
-    """One threshold: all limits met; else recall met and the smallest shortfall of precision; else the smallest of recall."""
-    c = curve.where(F.col("threshold") <= cap) if cap is not None else curve
-    short_p, short_r = F.greatest(F.lit(0.0), min_precision - F.col("precision")), F.greatest(F.lit(0.0), min_recall - F.col("recall"))
-    tier = F.when((short_p == 0) & (short_r == 0), 0).when(short_r == 0, 1).otherwise(2)
-    ranked = c.withColumns({"tier": tier, "short": F.round(F.when(tier == 1, short_p).when(tier == 2, short_r).otherwise(0.0), 9)})
-    basis = F.element_at(F.array(F.lit("all_limits"), F.lit("precision_relaxed"), F.lit("recall_relaxed")), F.col("tier") + 1)
-    return ranked.orderBy("tier", "short", F.round("f1", 9).desc(), "threshold").limit(1).select("threshold", "precision", "recall", "f1", basis.alias("selection_basis"))
+    if metric not in ("days", "episodes"):
+        raise ValueError(f"metric: {metric}")
+    if "false_episodes_per_month" not in curve.columns:
+        if max_false_episodes is not None:
+            raise ValueError("a limit on episodes needs their rate")
+        curve = curve.withColumn("false_episodes_per_month", F.lit(None).cast("double"))
+    if cap is not None:
+        curve = curve.where(F.col("threshold") <= cap + 1e-12)
+    many = F.lit(1e308)
+    recall, lead = F.coalesce("event_recall", F.lit(0.0)), F.coalesce("median_lead_days", F.lit(0.0))
+    limits = [("false_days_per_month", max_false_days), ("false_episodes_per_month", max_false_episodes)]
+    over = lambda c, most: F.greatest(F.lit(0.0), F.coalesce(c, many) - most) / max(most, 1e-9)
+    quiet, excess = F.lit(True), F.lit(0.0)
+    for c, most in limits:
+        if most is not None:
+            quiet, excess = quiet & (F.coalesce(c, many) <= most), excess + over(c, most)
+    safe = (recall >= min_event_recall) & (lead >= min_lead_days)
+    unsafe = F.greatest(F.lit(0.0), min_event_recall - recall) / max(min_event_recall, 1e-9) + F.greatest(F.lit(0.0), min_lead_days - lead) / max(min_lead_days, 1.0)
+    first, second = (F.coalesce(c, many) for c, _ in (limits if metric == "days" else limits[::-1]))
+    precision, threshold, none = -F.col("precision"), -F.col("threshold"), F.lit(0.0)
+    tier = F.when(safe & quiet, 0).when(safe, 1).otherwise(2)
+    keys = F.when(tier == 0, F.array(first, second, precision, -recall, -lead, threshold, none)).when(
+        tier == 1, F.array(excess, first, second, precision, -recall, threshold, none)
+    ).otherwise(F.array(unsafe, -recall, first, second, precision, threshold, none))
+    basis = F.element_at(F.array(*map(F.lit, BASES)), tier + 1)
+    ranked = curve.withColumns({"_tier": tier, "_keys": F.transform(keys, lambda x: F.when(F.abs(x) < 1e300, F.round(x, 9)).otherwise(x)), "selection_basis": basis, "limits_met": safe & quiet, "events_and_lead_met": safe, "false_alert_limit_met": quiet})
+    return ranked.orderBy("_tier", "_keys").limit(1).drop("_tier", "_keys")
 
 
 def event_metrics(df: DataFrame, event: str, predicted: Column, days: str) -> DataFrame:

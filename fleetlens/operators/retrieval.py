@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Common English words that say nothing of a text's subject.
+STOP_WORDS = tuple(
+    "about above after again all also although always am among an and any are as at be because been before being below between both but by can could did do does doing down during each either else ever every few for"
+    " from further had has have having he her here hers him his how however if in into is it its itself just less many may me might more most much must my neither never no nor not now of off often on once one only"
+    " or other others our ours out over own perhaps per quite rather same several she should since so some still such than that the their theirs them then there therefore these they this those though through thus"
+    " to together too toward under until up upon us very was we well were what when where whether which while who whom whose why will with within without would yet you your yours".split()
+)
+
+
 def terms(docs: DataFrame, id_: str, text: str, least: int = 2) -> DataFrame:
-    """id, term, tf: lower-cased words of letters and digits, at least `least` long, and pairs of neighbours."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.char_length(w) >= least)
+    """id, term, tf: lower-cased words of letters and digits, at least `least` long and no stop words, and pairs of
+    neighbours among them."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.char_length(w) >= least) & ~w.isin(*STOP_WORDS))
     w = F.col("_w")
     pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i.cast("int")), F.element_at(w, (i + 1).cast("int"))))).otherwise(F.array().cast("array<string>"))
     return docs.select(F.col(id_).alias("id"), words.alias("_w")).select("id", F.explode(F.concat(w, pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -25,8 +35,13 @@ def tfidf(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def cosine_topk(queries: DataFrame, index: DataFrame, k: int = 3, threshold: float = 0.08) -> DataFrame:
-    """query_id, id, score, rank: the k nearest by cosine, from `threshold` on. Both sides are (id, term, weight)."""
+    """query_id, id, score, rank: the k nearest by cosine of queries whose nearest reaches the threshold.
+
+    Both sides are (id, term, weight); a row is no answer to itself. Ties go to the smaller id.
+    """
     q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    scores = q.join(index.select("id", "term", "weight"), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")).where(F.col("score") >= threshold)
+    met = q.join(index.select("id", "term", "weight"), "term").where("id <> query_id")
+    scores = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scores.withColumns({"rank": F.row_number().over(w), "_best": F.first("score").over(w)})
+    return ranked.where((F.col("rank") <= k) & (F.col("_best") >= threshold)).drop("_best")

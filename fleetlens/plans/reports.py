@@ -99,14 +99,7 @@ QUERIES = {
         row_number() OVER (PARTITION BY r.tag ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM {readings} r LEFT JOIN {equipment} e ON r.tag = e.tag""",
     "fea3_weekly_features": """SELECT tag, week_date, round(CASE WHEN parameter_value - 50 < 0 THEN NULL ELSE parameter_value - 50 END, 6) AS level, CASE WHEN parameter_value - 50 < 0 THEN 1 ELSE 0 END AS negative, round(lag(parameter_value) OVER (PARTITION BY tag ORDER BY week_date), 6) AS value_lag_1,
         round(avg(parameter_value) OVER (PARTITION BY tag ORDER BY week_date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS value_mean_4 FROM {condition_weekly}""",
-    "spl3_split_candidates": """WITH k(candidate, valid_day, test_day) AS (VALUES ('a', DATE '2024-01-10', DATE '2024-01-16'), ('b', DATE '2024-01-14', DATE '2024-01-20'), ('c', DATE '2024-01-29', DATE '2024-03-01')),
-        c AS (SELECT candidate, count(*) FILTER (WHERE CAST(ts AS DATE) < valid_day) AS train, count(*) FILTER (WHERE CAST(ts AS DATE) >= valid_day AND CAST(ts AS DATE) < test_day) AS valid, count(*) FILTER (WHERE CAST(ts AS DATE) >= test_day) AS test, count(*) FILTER (WHERE CAST(ts AS DATE) >= test_day AND y = 1) AS test_positives FROM {scored} CROSS JOIN k GROUP BY candidate)
-        SELECT candidate, train, valid, test, test_positives, CASE WHEN train = 0 THEN 'no_training_rows' WHEN valid = 0 THEN 'no_validation_rows' WHEN test_positives = 0 THEN 'no_test_events' ELSE 'viable' END AS status FROM c""",
-    "spl4_expanding_folds": """WITH k(fold, first_day, end_day) AS (VALUES (1, DATE '2024-01-10', DATE '2024-01-14'), (2, DATE '2024-01-14', DATE '2024-01-18'), (3, DATE '2024-01-18', DATE '2024-01-22'))
-        SELECT fold, count(*) FILTER (WHERE CAST(ts AS DATE) < first_day - INTERVAL 1 DAY AND tag % 10 > 0) AS train, count(*) FILTER (WHERE CAST(ts AS DATE) >= first_day AND CAST(ts AS DATE) < end_day - INTERVAL 1 DAY) AS validation FROM {scored} JOIN k ON CAST(ts AS DATE) < end_day GROUP BY fold""",
     # Evaluation
-    "met5_operational_metrics": f"""WITH {HITS} SELECT split, count(*) FILTER (WHERE alert AND y = 1) AS tp, count(*) FILTER (WHERE alert AND y = 0) AS fp, count(*) FILTER (WHERE NOT alert AND y = 1) AS fn, count(DISTINCT CASE WHEN alert AND y = 0 THEN concat(CAST(tag AS STRING), '|', CAST(CAST(ts AS DATE) AS STRING)) END) AS false_days,
-        round(count(DISTINCT CASE WHEN alert AND y = 0 THEN concat(CAST(tag AS STRING), '|', CAST(CAST(ts AS DATE) AS STRING)) END) / (count(DISTINCT concat(CAST(tag AS STRING), '|', CAST(CAST(ts AS DATE) AS STRING))) / 30.4375e0), 6) AS false_days_per_month FROM p GROUP BY split""",
     "met11_cohorts": "SELECT CASE WHEN tag % 10 = 0 THEN 'held_out' ELSE 'support' END AS cohort, count(*) AS n, count(DISTINCT tag) AS entities, count(*) FILTER (WHERE score >= 5e-1 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 5e-1 AND y = 0) AS fp, round(avg((score - y) * (score - y)), 6) AS brier FROM {scored} GROUP BY 1",
     "met12_episode_report": """WITH a AS (SELECT tag, split, ts, event_id, y, lag(ts) OVER (PARTITION BY split, tag ORDER BY ts, event_id) AS before FROM {scored} WHERE score >= 6e-1),
         b AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 24 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY split, tag ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM a), e AS (SELECT split, tag, episode, max(y) AS hit, count(*) AS alerts FROM b GROUP BY 1, 2, 3)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import forecast, labels, metrics, risk, timeseries
+from fleetlens.operators import forecast, labels, metrics, ranks, risk, timeseries
 from fleetlens.plans import adapters, catalog
 from fleetlens.streaming import flows
 
@@ -110,3 +110,65 @@ def test_release_writer_adds_each_row_once(spark, tmp_path):
     write(rows, 1)
     write(rows.union(spark.createDataFrame([(3, "c")], rows.schema)), 1)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def curve_of(spark, *rows):
+    names = ["threshold", "precision", "recall", "f1", "event_recall", "median_lead_days", "false_days_per_month", "false_episodes_per_month"]
+    return spark.createDataFrame(list(rows), ", ".join(f"{c} double" for c in names[: len(rows[0])]))
+
+
+def test_threshold_keeps_all_limits_or_relaxes_false_alerts_first(spark):
+    all_met = curve_of(spark, (0.4, 0.3, 0.9, 0.45, 1.0, 5.0, 2.0), (0.6, 0.7, 0.8, 0.75, 0.8, 4.0, 0.8), (0.8, 0.9, 0.5, 0.64, 0.5, 2.0, 0.1))
+    r = metrics.select_threshold(all_met, 0.8, 3.0, 1.0).first()
+    assert (r.threshold, r.limits_met, r.selection_basis) == (0.6, True, "all_limits_met")
+    loud = curve_of(spark, (0.3, 0.4, 0.8, 0.53, 0.9, 10.0, 3.0), (0.8, 0.9, 0.4, 0.55, 0.5, 2.0, 0.1))
+    r = metrics.select_threshold(loud, 0.8, 7.0, 1.0).first()
+    assert (r.threshold, r.limits_met, r.events_and_lead_met, r.false_alert_limit_met) == (0.3, False, True, False)
+    r = metrics.select_threshold(loud, 0.95, 20.0, 1.0).first()
+    assert (r.threshold, r.selection_basis) == (0.3, "least_event_and_lead_shortfall")
+    assert metrics.select_threshold(loud, 0.8, 7.0, 1.0, cap=0.2).count() == 0
+
+
+def test_threshold_by_episodes_keeps_the_limit_on_days(spark):
+    c = curve_of(spark, (0.4, 0.4, 0.9, 0.55, 1.0, 25.0, 10.0, 0.05), (0.6, 0.7, 0.8, 0.75, 0.8, 15.0, 2.0, 0.08))
+    r = metrics.select_threshold(c, 0.8, 7.0, 3.0, 0.1, "episodes").first()
+    assert (r.threshold, r.limits_met) == (0.6, True)
+    with pytest.raises(ValueError):
+        metrics.select_threshold(c.drop("false_episodes_per_month"), max_false_episodes=0.1)
+
+
+def test_curve_follows_persistent_alerts(spark):
+    """One entity, hourly: scores pinned with their alerts at 0.5 (the fourth and the seventh row)."""
+    day = dt.datetime(2026, 1, 1)
+    rows = [(i, 1, t, s, int(i >= 5), day + dt.timedelta(days=3), 3 - i / 24) for i, (t, s) in enumerate(zip(hours(*range(7)), (0.9, 0.1, 0.8, 0.7, 0.1, 0.1, 0.9)))]
+    scored = spark.createDataFrame(rows, "event_id long, tag int, ts timestamp_ntz, score double, y int, next_failure_date timestamp_ntz, days_to_next_failure double")
+    out = {r.threshold: r for r in metrics.threshold_curve(scored, [0.05, 0.5, 0.85, 0.95]).collect()}
+    assert (out[0.5].predicted, out[0.5].tp, out[0.5].false_rows, out[0.5].episodes, out[0.5].true_episodes, out[0.5].false_days) == (2, 1, 1, 1, 1, 1)
+    assert (out[0.5].events, out[0.5].detected, out[0.5].median_lead_days, out[0.5].median_span_hours) == (1, 1, 3 - 3 / 24, 4.0)
+    assert (out[0.05].predicted, out[0.85].predicted, out[0.95].predicted, out[0.95].event_recall, out[0.95].median_lead_days) == (5, 0, 0, 0.0, None)
+    assert out[0.5].exposure_months == pytest.approx(1 / 30.4375)
+    assert metrics.threshold_curve(scored.limit(0), [0.5]).first().predicted == 0
+
+
+def test_running_sums_positions_and_quantiles_do_not_need_one_task(spark):
+    rows = spark.range(20_000).select((F.pmod(F.hash("id"), F.lit(5003)) / 10.0).alias("s"), (F.col("id") % 3).alias("g"))
+    counts = rows.groupBy("g", "s").agg(F.count("*").alias("n"))
+    local = counts.toPandas().sort_values(["g", "s"], ascending=[True, False])
+    local["cum_n"] = local.groupby("g")["n"].cumsum()
+    got = ranks.running(counts, ["g"], "s", ["n"]).toPandas().sort_values(["g", "s"], ascending=[True, False])
+    assert got["cum_n"].tolist() == local["cum_n"].tolist() and set(got["all_n"]) == set(local.groupby("g")["n"].sum())
+    points = [0.0, 0.1, 0.333, 0.5, 0.9999, 1.0]
+    assert ranks.quantiles(rows, "s", points) == pytest.approx(rows.toPandas()["s"].quantile(points).tolist())
+    placed = ranks.position(rows.withColumn("id", F.monotonically_increasing_id()), F.col("s"), [F.col("id")], "place").orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(1, 20_001)) and all((a.s, -a.id) > (b.s, -b.id) for a, b in zip(placed, placed[1:]))
+    assert ranks.quantiles(rows.limit(0), "s", [0.5]) == [None]
+
+
+def test_held_out_entities_do_not_train(spark):
+    rows = [(tag, t, t + dt.timedelta(hours=5), i % 2) for tag in (1, 2) for i, t in enumerate(hours(*range(0, 24 * 20, 6)))]
+    df = spark.createDataFrame(rows, "tag int, ts timestamp_ntz, next_failure_date timestamp_ntz, y int")
+    out = labels.split_candidates(df, "ts", "y", 1, {"a": (0.5, 0.3)}, (1, 1, 1), F.col("tag") == 1).first()
+    assert (out.train_rows, out.validation_rows, out.test_rows, out.rejection) == (36, 40, 32, None)
+    folds = labels.rolling_folds(df, "ts", "y", F.lit(hours(24 * 16)[0]).cast("timestamp_ntz"), 1, least=(15, 3)).orderBy("fold").collect()
+    assert [r.train_rows for r in folds] == [52, 72, 92] and [r.validation_rows for r in folds] == [12, 12, 20]
+    assert folds[0].rejection is None
