@@ -15,9 +15,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id; rows without a doc_id all stay.
+
+    Of rows that repeat a doc_id and its text one stays; rows of one doc_id with other texts are one document and all
+    stay if it does.
+    """
     gone = minmax_dedup.near_groups(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    key = ["doc_id", F.xxhash64("text").alias("_text")]
+    repeated = common.stored(docs.where("doc_id IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if not repeated.limit(1).count():
+        return kept
+    again = kept.join(repeated, (kept["doc_id"] == repeated["doc_id"]) & (F.xxhash64(kept["text"]) == repeated["_text"]), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = again.groupBy("doc_id", "text").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row")) if others else again.distinct()
+    once = once.select("doc_id", "text", "_row.*").select(*docs.columns) if others else once
+    rest = kept.join(repeated, (kept["doc_id"] == repeated["doc_id"]) & (F.xxhash64(kept["text"]) == repeated["_text"]), "left_anti")
+    return rest.unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
