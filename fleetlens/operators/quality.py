@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def unpivoted(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
     return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(ids, cols, "feature", "value")
 
 
 def feature_profile(train: DataFrame, cols: list[str], least: int = 100, widen: float = 0.1) -> DataFrame:
-    """Exact quantiles per column in one aggregate, and bounds widened by a share of the middle range."""
-    points = [0.005, 0.25, 0.5, 0.75, 0.995]
-    one = train.agg(*[F.struct(F.count(c).alias("n"), F.percentile(c, F.array(*map(F.lit, points))).alias("q")).alias(c) for c in cols])
-    long = one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*cols))).alias("feature", "s")).where(F.col("s.n") >= least)
-    q = [F.col("s.q")[i] for i in range(5)]
-    margin = widen * (q[3] - q[1])
-    return long.select("feature", F.col("s.n").alias("n"), q[2].alias("median"), (q[0] - margin).alias("lower"), (q[4] + margin).alias("upper"))
+    """feature, n, median, lower, upper: exact quantiles of each column, bounds widened by a share of the middle range.
 
-
-def assess_quality(latest: DataFrame, key: str, profile: DataFrame, cols: list[str], max_missing: float = 0.2, max_outside: float = 0.2) -> DataFrame:
-    """Share of missing and out-of-range features by entity, and PASS or REVIEW."""
+    Columns with fewer than `least` known values are left out.
+    """
+    points = [0.005, 0.25, 0.5, 0.75, 0.995]
+    long = unpivoted(train, [], cols)
+    found = ranks.quantiles_by(long, ["feature"], "value", points).groupBy("feature").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(5)])
+    counts = long.groupBy("feature").agg(F.count("value").alias("n")).where(F.col("n") >= least)
+    margin = widen * (F.col("q3") - F.col("q1"))
+    return counts.join(found, "feature").select("feature", "n", F.col("q2").alias("median"), (F.col("q0") - margin).alias("lower"), (F.col("q4") + margin).alias("upper"))
+
+
+def coherence(signal: str, short: int = 24, long: int = 168, delta_tolerance: float = 1e-5, z_tolerance: float = 1e-4) -> Column:
+    """1 where a signal's recorded step or score is not what its value, lag, mean and deviation give, else 0.
+
+    Columns are named as timeseries.causal_rolling() names them. Nulls cannot contradict.
+    """
+    x, lag, step = F.col(signal), F.col(f"{signal}_lag_1h"), F.col(f"{signal}_delta_1h")
+    mean, std, z = (F.col(f"{signal}_{c}_{long}h") for c in ("mean", "std", "zscore"))
+    off = F.abs(step - (x - lag)) / F.greatest(F.lit(1.0), F.abs(x)) > delta_tolerance
+    away = F.abs(z - (x - mean) / F.when(F.abs(std) > 1e-9, std)) > z_tolerance
+    return (F.coalesce(off, F.lit(False)) | F.coalesce(away, F.lit(False))).cast("int")
+
+
+def assess_quality(latest: DataFrame, key: str, profile: DataFrame, cols: list[str], signals: tuple[str, ...] = (), max_missing: float = 0.05, max_outside: float = 0.06, max_violations: int = 0, **windows: int) -> DataFrame:
+    """missing and outside (shares of the profiled features), violations (incoherent signals), status PASS or REVIEW,
+    publish_allowed and the reason, by entity. latest has one row of each; profile a row for each feature at most."""
+    violated = sum((coherence(s, **windows) for s in signals), F.lit(0))
+    marks = latest.select(F.col(key), violated.alias("violations"))
     rows = unpivoted(latest, [key], cols).join(F.broadcast(profile), "feature")
     outside = F.coalesce((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), F.lit(False))
-    out = rows.groupBy(key).agg(F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.avg(outside.cast("double")).alias("outside"))
-    return out.withColumn("status", F.when((F.col("missing") > max_missing) | (F.col("outside") > max_outside), "REVIEW").otherwise("PASS"))
+    shares = rows.groupBy(key).agg(F.avg(F.col("value").isNull().cast("double")).alias("missing"), F.avg(outside.cast("double")).alias("outside"))
+    out = marks.join(shares, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("missing", "outside")})
+    percent = lambda c: F.concat(F.round(100 * F.col(c), 1).cast("string"), F.lit("%"))
+    reasons = [
+        F.when(F.col("missing") > max_missing, F.concat(F.lit("missing features "), percent("missing"))),
+        F.when(F.col("outside") > max_outside, F.concat(F.lit("features out of range "), percent("outside"))),
+        F.when(F.col("violations") > max_violations, F.concat(F.col("violations").cast("string"), F.lit(" incoherent signals"))),
+    ]
+    reason = F.nullif(F.concat_ws("; ", *reasons), F.lit(""))
+    return out.withColumns({"status": F.when(reason.isNull(), "PASS").otherwise("REVIEW"), "publish_allowed": reason.isNull(), "reason": F.coalesce(reason, F.lit("passed"))})
 
 
 def frame_profile(df: DataFrame) -> DataFrame:

@@ -60,17 +60,24 @@ def position(df: DataFrame, key: Column, order: list[Column], name: str) -> Data
     return placed.select(*df.columns, (F.col("_i") + F.col("_before")).cast("int").alias(name))
 
 
-def quantiles(df: DataFrame, value: str, points: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours, from counts by distinct value."""
-    known = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    run = running(known, [], "v", ["n"])
+def quantiles_by(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+    """by, i, q: exact quantiles of each group, i the place in points, linear between neighbours; nulls do not count.
+
+    Rows are counted by distinct value first; the counts are persisted, since the ranges are found from them.
+    """
+    known = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).persist()
+    run = running(known, by, "v", ["n"])
     # From the smallest up, a value takes the positions first..last.
-    rows = run.select("v", (F.col("all_n") - F.col("cum_n")).alias("first"), (F.col("all_n") - F.col("cum_n") + F.col("n") - 1).alias("last"), (F.col("all_n") - 1).alias("end"))
-    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)])).alias("q")
-    at = F.col("q.p") * F.col("end")
-    here = rows.select("*", asked).where((F.floor(at).between(F.col("first"), F.col("last"))) | (F.ceil(at).between(F.col("first"), F.col("last"))))
-    low = F.max(F.when(F.floor(at).between(F.col("first"), F.col("last")), F.col("v")))
-    high = F.max(F.when(F.ceil(at).between(F.col("first"), F.col("last")), F.col("v")))
-    found = here.groupBy("q.i").agg(low.alias("low"), high.alias("high"), F.max(at - F.floor(at)).alias("part")).collect()
-    values = {r.i: r.low + (r.high - r.low) * r.part for r in found}
-    return [values.get(i) for i in range(len(points))]
+    rows = run.select(*by, "v", (F.col("all_n") - F.col("cum_n")).alias("first"), (F.col("all_n") - F.col("cum_n") + F.col("n") - 1).alias("last"), (F.col("all_n") - 1).alias("end"))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)])).alias("asked")
+    at = F.col("asked.p") * F.col("end")
+    low_here, high_here = F.floor(at).between(F.col("first"), F.col("last")), F.ceil(at).between(F.col("first"), F.col("last"))
+    here = rows.select("*", asked).where(low_here | high_here)
+    found = here.groupBy(*by, F.col("asked.i").alias("i")).agg(F.max(F.when(low_here, F.col("v"))).alias("low"), F.max(F.when(high_here, F.col("v"))).alias("high"), F.max(at - F.floor(at)).alias("part"))
+    return found.select(*by, "i", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
+
+
+def quantiles(df: DataFrame, value: str, points: list[float]) -> list[float | None]:
+    """The same of the whole table, as numbers."""
+    found = {r.i: r.q for r in quantiles_by(df, [], value, points).collect()}
+    return [found.get(i) for i in range(len(points))]

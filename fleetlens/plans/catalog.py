@@ -239,25 +239,52 @@ u AS (SELECT *, sum(n) OVER q AS cn, sum(p) OVER q AS cp FROM r WINDOW q AS (PAR
 SELECT count(*) AS draws, round(avg(ap), 6) AS mean, round(quantile_cont(ap, 0.025), 6) AS lower, round(quantile_cont(ap, 0.975), 6) AS upper FROM a WHERE ap IS NOT NULL"""
 
 
+FEATURES = ["feed_rate", "hour_of_day", *[f"{x}_{c}" for x in ("feed_rate", "hour_of_day") for c in ("lag_1h", "mean_12h", "std_12h", "zscore_12h", "delta_1h")]]
+
+
+def _signal_rows(spark, sf_dir):
+    r = T(spark, sf_dir, "readings").select("event_id", "tag", "ts", "feed_rate", F.hour("ts").cast("double").alias("hour_of_day"))
+    return timeseries.causal_rolling(r, "tag", ["ts", "event_id"], ["feed_rate", "hour_of_day"], 4, 12)
+
+
+def _latest_signals(spark, sf_dir):
+    rows = _signal_rows(spark, sf_dir)
+    return rows.groupBy("tag").agg(F.max_by(F.struct("event_id", *FEATURES), F.struct("ts", "event_id")).alias("r")).select("tag", "r.*")
+
+
 def _profile(spark, sf_dir):
-    return rounded(quality.feature_profile(T(spark, sf_dir, "readings"), ["feed_rate", "power_kw"]))
+    return rounded(quality.feature_profile(_signal_rows(spark, sf_dir), FEATURES))
 
 
-PROFILE_SQL = "UNION ALL ".join(
-    f"SELECT '{c}' AS feature, count({c}) AS n, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.005) - 0.1 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 6) AS lower, round(quantile_cont({c}, 0.995) + 0.1 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 6) AS upper FROM {{readings}} "
-    for c in ("feed_rate", "power_kw")
-)
+def _quality(spark, sf_dir):
+    profile = quality.feature_profile(_signal_rows(spark, sf_dir), FEATURES)
+    return quality.assess_quality(_latest_signals(spark, sf_dir), "tag", profile, FEATURES, ("feed_rate", "hour_of_day"), short=4, long=12)
 
 
-def _guardrail(spark, sf_dir):
-    r = T(spark, sf_dir, "readings")
-    latest = r.groupBy("tag").agg(F.max_by(F.struct("feed_rate", "power_kw"), F.struct("ts", "event_id")).alias("r")).select("tag", "r.*")
-    return rounded(quality.assess_quality(latest, "tag", quality.feature_profile(r, ["feed_rate", "power_kw"]), ["feed_rate", "power_kw"]))
+def _signal_sql(x: str) -> str:
+    w = "OVER (PARTITION BY tag ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
+    enough = f"CASE WHEN count({x}) {w} >= 3 THEN"
+    return f"lag({x}) OVER (PARTITION BY tag ORDER BY ts, event_id) AS {x}_lag_1h, {enough} avg({x}) {w} END AS {x}_mean_12h, {enough} stddev_samp({x}) {w} END AS {x}_std_12h"
 
 
-GUARD_SQL = f"""WITH p AS ({PROFILE_SQL}), l AS (SELECT tag, feed_rate, power_kw FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) AS i FROM {{readings}}) x WHERE i = 1),
-u AS (SELECT tag, 'feed_rate' AS feature, feed_rate AS v FROM l UNION ALL SELECT tag, 'power_kw', power_kw FROM l), a AS (SELECT tag, avg((v IS NULL)::INT) AS missing, avg(coalesce(v < lower OR v > upper, FALSE)::INT) AS outside FROM u JOIN p USING (feature) GROUP BY tag)
-SELECT tag, round(missing, 6) AS missing, round(outside, 6) AS outside, CASE WHEN missing > 0.2 OR outside > 0.2 THEN 'REVIEW' ELSE 'PASS' END AS status FROM a"""
+_MORE = ", ".join(f"({x} - {x}_mean_12h) / nullif({x}_std_12h, 0) AS {x}_zscore_12h, {x} - {x}_lag_1h AS {x}_delta_1h" for x in ("feed_rate", "hour_of_day"))
+SIGNAL_CTE = f"""sg AS (SELECT *, {_signal_sql("feed_rate")}, {_signal_sql("hour_of_day")} FROM (SELECT event_id, tag, ts, feed_rate, hour(ts)::DOUBLE AS hour_of_day FROM {{readings}}) b), sr AS (SELECT *, {_MORE} FROM sg)"""
+PROFILE_CTE = SIGNAL_CTE + ", pf AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.005) - 0.1 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lower, quantile_cont({c}, 0.995) + 0.1 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS upper FROM sr HAVING count({c}) >= 100"
+    for c in FEATURES
+) + ")"
+PROFILE_SQL = f"WITH {PROFILE_CTE} SELECT feature, n, round(median, 6) AS median, round(lower, 6) AS lower, round(upper, 6) AS upper FROM pf"
+_OFF = " + ".join(
+    f"(coalesce(abs({x}_delta_1h - ({x} - {x}_lag_1h)) / greatest(1, abs({x})) > 1e-5, FALSE) OR coalesce(abs({x}_zscore_12h - ({x} - {x}_mean_12h) / CASE WHEN abs({x}_std_12h) > 1e-9 THEN {x}_std_12h END) > 1e-4, FALSE))::INT"
+    for x in ("feed_rate", "hour_of_day")
+)
+QUALITY_CTE = f"""{PROFILE_CTE}, ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) AS i FROM sr) x WHERE i = 1),
+un AS ({" UNION ALL ".join(f"SELECT tag, '{c}' AS feature, {c} AS v FROM ls" for c in FEATURES)}),
+sh AS (SELECT tag, avg((v IS NULL)::INT) AS missing, avg(coalesce(v < lower OR v > upper, FALSE)::INT) AS outside FROM un JOIN pf USING (feature) GROUP BY tag),
+qr AS (SELECT ls.tag, {_OFF} AS violations, coalesce(missing, 0) AS missing, coalesce(outside, 0) AS outside FROM ls LEFT JOIN sh ON ls.tag = sh.tag),
+qu AS (SELECT *, nullif(concat_ws('; ', CASE WHEN missing > 0.05 THEN 'missing features ' || round(100 * missing, 1) || '%' END, CASE WHEN outside > 0.06 THEN 'features out of range ' || round(100 * outside, 1) || '%' END,
+  CASE WHEN violations > 0 THEN violations || ' incoherent signals' END), '') AS why FROM qr)"""
+GUARD_SQL = f"WITH {QUALITY_CTE} SELECT tag, violations::INT AS violations, round(missing, 6) AS missing, round(outside, 6) AS outside, CASE WHEN why IS NULL THEN 'PASS' ELSE 'REVIEW' END AS status, why IS NULL AS publish_allowed, coalesce(why, 'passed') AS reason FROM qu"
 
 
 def _frame_profile(spark, sf_dir):
@@ -267,31 +294,58 @@ def _frame_profile(spark, sf_dir):
 FRAME_SQL = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct FROM {{incidents}}" for c in ("tag", "failure_mode", "downtime_hours"))
 
 
-def _risk(spark, sf_dir):
-    return rounded(risk.latest_risk(T(spark, sf_dir, "scored"), _S, 0.6, 0.4).drop("event_id"))
+LIMITS = {7: (0.6, 0.4), 30: (0.8, 0.7)}
 
 
-RISK_CTE = """h AS (SELECT *, CASE WHEN score >= 0.6 THEN 1 ELSE 0 END AS h FROM {scored}),
-k AS (SELECT *, sum(h) OVER (PARTITION BY tag ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS hits, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) AS i FROM h),
-l AS (SELECT tag, ts, score, hits::BIGINT AS hits, h = 1 AND hits >= 3 AS persistent, round(score / 0.6, 9) AS ut, CASE WHEN h = 1 AND hits >= 3 THEN 'ACTION_NOW' WHEN score >= 0.6 THEN 'PLAN_MAINTENANCE' WHEN score >= 0.4 THEN 'MONITOR' ELSE 'NORMAL' END AS level FROM k WHERE i = 1),
-rk AS (SELECT *, row_number() OVER (ORDER BY CASE level WHEN 'ACTION_NOW' THEN 3 WHEN 'PLAN_MAINTENANCE' THEN 2 WHEN 'MONITOR' THEN 1 ELSE 0 END DESC, ut DESC, tag) AS risk_rank FROM l)"""
-RISK_SQL = f"WITH {RISK_CTE} SELECT tag, ts, round(score, 6) AS score, hits, persistent, level, round(ut, 6) AS utilisation, round(least(100, 100 * score / 0.6), 6) AS proximity, risk_rank FROM rk"
+def _risk(spark, sf_dir):
+    scored = T(spark, sf_dir, "scored").select("event_id", "tag", "ts", F.col("score").alias("score_7d"), F.sqrt("score").alias("score_30d"))
+    deviations = _latest_signals(spark, sf_dir).select("tag", F.col("feed_rate_zscore_12h").alias("feed_rate"), F.col("hour_of_day_zscore_12h").alias("hour_of_day"))
+    return risk.latest_risk(scored, LIMITS, _quality(spark, sf_dir), deviations, at("2024-02-01 00:00:00"))
+
+
+_W = "OVER (PARTITION BY tag ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+_HITS = ", ".join(f"sum((s{h} >= {t})::INT) {_W} AS {n}_hits_{h}d" for h, limits in LIMITS.items() for n, t in zip(("alert", "warning"), limits, strict=True))
+_STATE = ", ".join(f"coalesce(s{h} >= {t} AND {n}_hits_{h}d >= 3, FALSE) AS m_{n}_{h}d" for h, limits in LIMITS.items() for n, t in zip(("alert", "warning"), limits, strict=True))
+_CUT = ", ".join(f"m_{n}_{h}d AND NOT review AS {n}_{h}d" for h in LIMITS for n in ("alert", "warning"))
+_ACTION = "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in risk.ACTIONS.items()) + " END"
+_SEVERITY = "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in risk.SEVERITY.items()) + " END"
+RISK_CTE = f"""{QUALITY_CTE}, sc AS (SELECT event_id, tag, ts, score AS s7, sqrt(score) AS s30 FROM {{scored}}),
+hi AS (SELECT *, {_HITS}, count(*) OVER (PARTITION BY tag) AS observations, max(ts) OVER () AS newest, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) AS i FROM sc),
+la AS (SELECT hi.*, {_STATE}, coalesce(why IS NOT NULL, FALSE) AS review, CASE WHEN qu.tag IS NULL THEN 'NOT_EVALUATED' WHEN why IS NULL THEN 'PASS' ELSE 'REVIEW' END AS quality, coalesce(why, 'passed') AS quality_reason,
+  round(s7 / 0.6, 9) AS u7, round(s30 / 0.8, 9) AS u30, feed_rate_zscore_12h AS z1, hour_of_day_zscore_12h AS z2 FROM hi LEFT JOIN qu ON hi.tag = qu.tag LEFT JOIN ls ON hi.tag = ls.tag WHERE hi.i = 1),
+lb AS (SELECT *, {_CUT}, CASE WHEN m_alert_7d THEN 'ACTION_NOW' WHEN m_alert_30d THEN 'PLAN_MAINTENANCE' WHEN m_warning_7d OR m_warning_30d THEN 'MONITOR' ELSE 'NORMAL' END AS model_level, greatest(u7, u30) AS most FROM la),
+lc AS (SELECT *, CASE WHEN review THEN 'DATA_QUALITY_REVIEW' ELSE model_level END AS level, greatest(coalesce(abs(z1), -1), coalesce(abs(z2), -1)) AS top FROM lb),
+rk AS (SELECT *, row_number() OVER (ORDER BY {_SEVERITY} DESC, most DESC, tag)::INT AS risk_rank, {_ACTION} AS action, least(100, 100 * most) AS proximity, (epoch_us(newest) - epoch_us(ts)) / 3.6e9 AS lag_hours,
+  CASE WHEN top < 0 THEN NULL WHEN abs(z1) = top THEN 'feed_rate' ELSE 'hour_of_day' END AS dominant_signal, CASE WHEN top < 0 THEN NULL WHEN abs(z1) = top THEN z1 ELSE z2 END AS dominant_z,
+  coalesce((abs(z1) >= 2)::INT, 0) + coalesce((abs(z2) >= 2)::INT, 0) AS deviating_signals,
+  CASE WHEN epoch_us(TIMESTAMP '2024-02-01') - epoch_us(newest) < -3600000000 THEN 'FUTURE' WHEN epoch_us(TIMESTAMP '2024-02-01') - epoch_us(newest) > 48 * 3600000000 THEN 'STALE' ELSE 'CURRENT' END AS source_status FROM lc)"""
+RISK_SQL = f"""WITH {RISK_CTE} SELECT tag, ts, round(s7, 6) AS score_7d, round(s30, 6) AS score_30d, {", ".join(f"{n}_hits_{h}d, {n}_{h}d" for h in LIMITS for n in ("alert", "warning"))}, observations,
+ s7 >= 0.6 AS raw_alert_7d, s30 >= 0.8 AS raw_alert_30d, round(u7, 6) AS utilisation_7d, round(u30, 6) AS utilisation_30d, quality, NOT review AS publish_allowed, quality_reason, model_level, level, review AND model_level <> 'NORMAL' AS suppressed,
+ CASE WHEN review THEN 'held back by data quality: ' || quality_reason WHEN alert_7d THEN 'score of 7 days over its action threshold in 3 of the last 6 readings' WHEN alert_30d THEN 'score of 30 days over its action threshold in 3 of the last 6 readings'
+  WHEN warning_7d OR warning_30d THEN 'score over a warning threshold in 3 of the last 6 readings' ELSE 'no persistent warning' END AS reason,
+ round(proximity, 6) AS proximity, round(lag_hours, 6) AS lag_hours, lag_hours > 24 AS stale, source_status, action, dominant_signal, round(dominant_z, 6) AS dominant_z, deviating_signals, risk_rank FROM rk"""
 
 
 def _plants(spark, sf_dir):
-    return rounded(risk.plant_summary(risk.latest_risk(T(spark, sf_dir, "scored"), _S, 0.6, 0.4), T(spark, sf_dir, "equipment")))
+    return rounded(risk.plant_summary(_risk(spark, sf_dir), T(spark, sf_dir, "equipment")))
 
 
-PLANTS_SQL = f"""WITH {RISK_CTE}, s AS (SELECT plant, count(*) AS equipment, count(*) FILTER (level = 'ACTION_NOW') AS action, count(*) FILTER (level = 'PLAN_MAINTENANCE') AS plan, max(ut) AS top, arg_min(rk.tag, risk_rank) AS top_tag FROM rk JOIN {{equipment}} e ON rk.tag = e.tag GROUP BY plant)
-SELECT plant, equipment, action, plan, round(top, 6) AS top_utilisation, top_tag, row_number() OVER (ORDER BY action DESC, plan DESC, top DESC, plant) AS plant_rank FROM s"""
+_LEVELS = ", ".join(f"count(*) FILTER (level = '{x}') AS {x.lower()}" for x in risk.SEVERITY)
+PLANTS_SQL = f"""WITH {RISK_CTE}, s AS (SELECT plant, count(*) AS equipment, {_LEVELS}, count(*) FILTER (alert_7d) AS alerts_7d, max(s7) AS t7, count(*) FILTER (alert_30d) AS alerts_30d, max(s30) AS t30, count(*) FILTER (lag_hours > 24) AS stale,
+  max(proximity) AS p, max(ts) AS last_ts, arg_min(rk.tag, risk_rank) AS top_tag, arg_min(level, risk_rank) AS top_level FROM rk JOIN {{equipment}} e ON rk.tag = e.tag GROUP BY plant)
+SELECT * EXCLUDE (t7, t30, p), round(t7, 6) AS top_score_7d, round(t30, 6) AS top_score_30d, round(p, 6) AS top_proximity, row_number() OVER (ORDER BY action_now DESC, plan_maintenance DESC, data_quality_review DESC, monitor DESC, round(p, 9) DESC, plant)::INT AS plant_rank FROM s"""
+OVERALL_SQL = f"""WITH {RISK_CTE} SELECT count(*) AS equipment, {_LEVELS}, count(*) FILTER (alert_7d) AS alerts_7d, count(*) FILTER (alert_30d) AS alerts_30d, count(*) FILTER (review AND model_level <> 'NORMAL') AS suppressed,
+ count(*) FILTER (review) AS blocked, count(*) FILTER (lag_hours > 24) AS stale, max(ts) AS last_ts, max(source_status) AS source_status FROM rk"""
 
 
 def _publish(spark, sf_dir):
-    return risk.publish_payload(risk.latest_risk(T(spark, sf_dir, "scored"), _S, 0.6, 0.4))
+    return risk.publish_payload(_risk(spark, sf_dir), LIMITS)
 
 
-PUBLISH_SQL = f"""WITH {RISK_CTE} SELECT 'RISK-' || strftime(ts, '%Y%m%d') || '-' || tag || '-7D' AS alert_id, tag, ts::DATE AS predicted_at, 7 AS horizon_days, round(100 * score, 2) AS probability_pct, CASE level WHEN 'ACTION_NOW' THEN 'Critical' ELSE 'High' END AS severity
-FROM rk WHERE level IN ('ACTION_NOW', 'PLAN_MAINTENANCE')"""
+PUBLISH_SQL = f"""WITH {RISK_CTE}, p AS (SELECT *, CASE WHEN alert_7d THEN 7 WHEN alert_30d THEN 30 WHEN s7 / 0.4 >= s30 / 0.7 THEN 7 ELSE 30 END AS h FROM rk WHERE level IN ('ACTION_NOW', 'PLAN_MAINTENANCE', 'MONITOR') AND NOT review)
+SELECT 'RISK-' || strftime(ts, '%Y%m%d') || '-' || tag || '-' || h || 'D' AS alert_id, tag, ts::DATE AS predicted_at, h::INT AS horizon_days, round(100 * CASE h WHEN 7 THEN s7 ELSE s30 END, 6) AS probability_pct,
+ CASE level WHEN 'ACTION_NOW' THEN 'Critical' WHEN 'PLAN_MAINTENANCE' THEN 'High' ELSE 'Medium' END AS severity, 'Open' AS status, NULL::BIGINT AS incident_seq,
+ 'context only: ' || coalesce(dominant_signal, 'no dominant deviation') AS hint, action AS recommended_action FROM p"""
 
 
 def _payloads(spark, sf_dir):
@@ -460,9 +514,10 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "sta9_calibration_error": (lambda s, d: rounded(metrics.calibration_error(metrics.reliability(T(s, d, "scored"), "y", _S))), f"WITH {RELIABILITY_CTE} SELECT round(sum(n * abs(mean_score - p)) / sum(n), 6) AS ece FROM w"),
     "dq11_frame_profile": (_frame_profile, FRAME_SQL),
     "dq12_feature_profile": (_profile, PROFILE_SQL),
-    "dq13_quality_guardrail": (_guardrail, GUARD_SQL),
-    "rsk1_latest_risk": (_risk, RISK_SQL),
+    "dq13_quality_guardrail": (lambda s, d: rounded(_quality(s, d)), GUARD_SQL),
+    "rsk1_latest_risk": (lambda s, d: rounded(_risk(s, d)), RISK_SQL),
     "rsk3_plant_summary": (_plants, PLANTS_SQL),
+    "rsk3_overall_summary": (lambda s, d: risk.overall_summary(_risk(s, d)), OVERALL_SQL),
     "pub1_publish_payload": (_publish, PUBLISH_SQL),
     "pub2_publish_cooldown": (_publish_cooldown, PUBCOOL_SQL),
     "spl1_chronological_split": (_split, SPLIT_SQL),
