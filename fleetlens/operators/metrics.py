@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,22 +215,91 @@ def calibration_error(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("observed"))) / F.sum("n")).alias("ece"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, y: str, score: str, iterations: int = 500, seed: str = "boot", confidence: float = 0.95) -> DataFrame:
-    """Interval of the average precision over resampled clusters.
+def cluster_draws(clusters: DataFrame, cluster: str, iterations: int, seed: str = "boot") -> DataFrame:
+    """cluster, iteration, times: the iterations that pick it (a list) and how often they do.
+
+    clusters has one row of each. An iteration picks as many as there are, each by a hash of seed, iteration and slot, so
+    reruns agree.
+    """
+    number = F.col(cluster).cast("double") if clusters.schema[cluster].dataType.typeName() in ("byte", "short", "integer", "long", "double") else F.lit(0.0)
+    numbered = ranks.position(clusters, -number, [F.col(cluster)], "slot").withColumn("slot", F.col("slot") - 1)
+    total = clusters.count()
+    slots = numbered.select(F.col("slot").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    picked = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "iteration", "s")), 1, 12), 16, 10).cast("long"), F.lit(max(1, total))).cast("int")
+    times = slots.groupBy(picked.alias("slot"), "iteration").agg(F.count("*").cast("int").alias("times"))
+    draws = times.groupBy("slot").agg(F.collect_list(F.struct("iteration", "times")).alias("d"))
+    return numbered.join(draws, "slot").select(cluster, *[F.transform("d", lambda d, c=c: d[c]).alias(c) for c in ("iteration", "times")])
+
+
+def drawn_precision(cells: DataFrame, iterations: int) -> DataFrame:
+    """iteration, ap: the average precision of each iteration; without positives there is none.
 
-    A draw picks as many clusters as there are, each by a hash of seed, iteration and slot. Rows are first counted by
-    cluster and score, so a draw multiplies counts, not rows.
+    cells: score, n, p, iteration and times (lists of the row's cluster). Ranges of scores go to tasks; a task sums the iterations as vectors
+    from the largest score down and starts from the sums of the ranges above (ranges x iterations numbers).
+    """
+    edges = ranks.edges_of(cells, F.col("score"))
+    cut = cells.withColumn("range", ranks.range_of(F.col("score"), edges).cast("int"))
+    each = cut.select("range", "n", "p", F.explode(F.arrays_zip("iteration", "times")).alias("d")).groupBy("range", "d.iteration").agg(F.sum(F.col("d.times") * F.col("n")).alias("n"), F.sum(F.col("d.times") * F.col("p")).alias("p"))
+    above = Window.partitionBy("iteration").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("range", "iteration", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p"))
+    start = before.groupBy("range").agg(F.collect_list(F.struct("iteration", "n", "p")).alias("start")).withColumn("first", F.lit(True))
+    empty = F.array().cast("array<int>")
+    heads = start.select("range", F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), empty.alias("iteration"), empty.alias("times"), "start")
+    rows = cut.select("range", F.col("score").cast("double").alias("score"), F.col("n").cast("long").alias("n"), F.col("p").cast("long").alias("p"), "iteration", "times", F.lit(None).cast(start.schema["start"].dataType).alias("start"))
+    dealt = heads.unionByName(rows).repartition("range").sortWithinPartitions("range", F.col("score").desc_nulls_first())
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, p, held_n, held_p, ap = (np.zeros(iterations) for _ in range(5))
+        at: float | None = None
+
+        def close() -> None:
+            """The rows of one score are complete."""
+            np.add(n, held_n, out=n)
+            np.add(p, held_p, out=p)
+            np.add(ap, np.divide(held_p * p, n, out=np.zeros(iterations), where=n > 0), out=ap)
+            held_n[:] = held_p[:] = 0
+
+        for batch in batches:
+            for score, rows_n, rows_p, which, times, first in zip(*(batch[c] for c in ("score", "n", "p", "iteration", "times", "start")), strict=True):
+                if first is not None:
+                    close()
+                    n[:] = p[:] = 0
+                    for d in first:
+                        n[d["iteration"]], p[d["iteration"]] = d["n"], d["p"]
+                    at = None
+                    continue
+                if score != at:
+                    close()
+                    at = score
+                held_n[which] += times * rows_n
+                held_p[which] += times * rows_p
+        close()
+        yield pd.DataFrame({"iteration": np.arange(iterations, dtype=np.int32), "part": ap})
+
+    parts = dealt.mapInPandas(sums, "iteration int, part double").groupBy("iteration").agg(F.sum("part").alias("part"))
+    positives = each.groupBy("iteration").agg(F.sum("p").alias("all_p")).where("all_p > 0")
+    return parts.join(positives, "iteration").select("iteration", (F.col("part") / F.col("all_p")).alias("ap"))
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, y: str, scores: list[str], iterations: int = 500, seed: str = "boot", confidence: float = 0.95) -> DataFrame:
+    """name, draws, mean, lower, upper, share_better: the average precision over resampled clusters, a row for each score.
+
+    With two scores also their difference in the same draws (first less second) and the share of draws in which the
+    first is better. Rows are counted by cluster and score before anything is drawn.
     """
-    cells = df.groupBy(cluster, score).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p"))
-    ids = df.select(cluster).distinct()
-    numbered = ids.withColumn("slot", F.row_number().over(Window.orderBy(cluster)) - 1)
-    total = numbered.agg(F.count("*").alias("k"))
-    draws = numbered.sparkSession.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(numbered.select(F.col("slot").alias("s")))).crossJoin(F.broadcast(total))
-    picked = draws.withColumn("slot", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "iteration", "s")), 1, 12), 16, 10).cast("long"), F.col("k")).cast("int"))
-    weights = picked.groupBy("iteration", "slot").agg(F.count("*").alias("w")).join(F.broadcast(numbered), "slot")
-    rows = weights.join(cells, cluster).groupBy("iteration", score).agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("p")).alias("p"))
-    w = Window.partitionBy("iteration").orderBy(F.col(score).desc())
-    run = rows.withColumns({"cn": F.sum("n").over(w), "cp": F.sum("p").over(w)})
-    ap = run.groupBy("iteration").agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap")).where("ap IS NOT NULL")
+    clusters = df.select(cluster).where(F.col(cluster).isNotNull()).distinct().persist()
+    draws = cluster_draws(clusters, cluster, iterations, seed).persist()
+    each = []
+    for s in scores:
+        cells = df.groupBy(cluster, F.col(s).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p")).join(draws, cluster)
+        each.append(drawn_precision(cells.select("score", "n", "p", "iteration", "times"), iterations).select("iteration", F.col("ap").alias(s)))
+    found = each[0]
+    for other in each[1:]:
+        found = found.join(other, "iteration")
+    pairs = [(s, F.col(s), F.lit(None).cast("double")) for s in scores]
+    if len(scores) == 2:
+        gap = F.col(scores[0]) - F.col(scores[1])
+        pairs.append(("difference", gap, (gap > 0).cast("double")))
+    long = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("v"), b.alias("b")) for k, v, b in pairs])).alias("x")).select("x.*")
     tail = (1 - confidence) / 2
-    return ap.agg(F.count("*").alias("draws"), F.avg("ap").alias("mean"), F.percentile("ap", tail).alias("lower"), F.percentile("ap", 1 - tail).alias("upper"))
+    return long.groupBy("name").agg(F.count("*").alias("draws"), F.avg("v").alias("mean"), F.percentile("v", tail).alias("lower"), F.percentile("v", 1 - tail).alias("upper"), F.avg("b").alias("share_better"))

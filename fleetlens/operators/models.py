@@ -88,7 +88,7 @@ def linear_reproduction(df: DataFrame, by: list[str], x: str, score: str) -> Dat
     return df.groupBy(*by).agg(F.regr_slope(score, x).alias("slope"), F.regr_intercept(score, x).alias("intercept"), F.regr_r2(score, x).alias("r2"))
 
 
-def isotonic_scores(fit: DataFrame, rows: DataFrame, y: str, score: str, digits: int = 3) -> DataFrame:
+def isotonic_scores(fit: DataFrame, rows: DataFrame, y: str, score: str, digits: int = 6) -> DataFrame:
     """rows with calibrated: a non-decreasing map from score to rate, fitted on means per rounded score.
 
     Rounding bounds the fit to 10^digits + 1 weighted points, whatever the number of rows.

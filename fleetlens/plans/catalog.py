@@ -229,14 +229,21 @@ RELIABILITY_SQL = f"""WITH {RELIABILITY_CTE} SELECT bin, n, positives, round(mea
 
 
 def _bootstrap(spark, sf_dir):
-    return rounded(metrics.cluster_bootstrap(T(spark, sf_dir, "scored").withColumn("score", F.round("score", 2)), "tag", "y", _S, 20))
+    """The score against the schedule (days since the last incident)."""
+    return rounded(metrics.cluster_bootstrap(fitted.with_schedule(spark, sf_dir), "tag", "y", ["score", "days"]))
 
 
-BOOT_SQL = """WITH sc AS (SELECT tag, round(score, 2) AS score, y FROM {scored}), c AS (SELECT tag, score, count(*) AS n, sum(y) AS p FROM sc GROUP BY tag, score), ids AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS slot FROM (SELECT DISTINCT tag FROM sc) x),
-d AS (SELECT i.iteration, (('0x' || substr(md5('boot|' || i.iteration || '|' || s.slot), 1, 12))::BIGINT % (SELECT count(*) FROM ids)) AS slot FROM range(20) i(iteration) CROSS JOIN ids s),
-w AS (SELECT iteration, slot, count(*) AS w FROM d GROUP BY 1, 2), r AS (SELECT iteration, score, sum(w * n) AS n, sum(w * p) AS p FROM w JOIN ids USING (slot) JOIN c USING (tag) GROUP BY 1, 2),
-u AS (SELECT *, sum(n) OVER q AS cn, sum(p) OVER q AS cp FROM r WINDOW q AS (PARTITION BY iteration ORDER BY score DESC)), a AS (SELECT iteration, sum(p * cp / cn) / nullif(sum(p), 0) AS ap FROM u GROUP BY iteration)
-SELECT count(*) AS draws, round(avg(ap), 6) AS mean, round(quantile_cont(ap, 0.025), 6) AS lower, round(quantile_cont(ap, 0.975), 6) AS upper FROM a WHERE ap IS NOT NULL"""
+def _draws_sql(c: str) -> str:
+    return f"""{c}c AS (SELECT tag, {c} AS s, count(*) AS n, sum(y) AS p FROM sc GROUP BY 1, 2), {c}r AS (SELECT iteration, s, sum(w * n) AS n, sum(w * p) AS p FROM w JOIN ids USING (slot) JOIN {c}c USING (tag) GROUP BY 1, 2),
+{c}u AS (SELECT *, sum(n) OVER q AS cn, sum(p) OVER q AS cp FROM {c}r WINDOW q AS (PARTITION BY iteration ORDER BY s DESC)), {c}a AS (SELECT iteration, sum(p * cp / cn) / nullif(sum(p), 0) AS {c} FROM {c}u GROUP BY iteration)"""
+
+
+_POINTS = "count(*) AS draws, round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.025), 6) AS lower, round(quantile_cont({0}, 0.975), 6) AS upper"
+BOOT_SQL = f"""WITH {fitted.SCHEDULE_CTE.replace("s AS", "sc AS", 1)}, ids AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS slot FROM (SELECT DISTINCT tag FROM sc) x),
+d AS (SELECT i.iteration, (('0x' || substr(md5('boot|' || i.iteration || '|' || s.slot), 1, 12))::BIGINT % (SELECT count(*) FROM ids)) AS slot FROM range(500) i(iteration) CROSS JOIN ids s),
+w AS (SELECT iteration, slot, count(*) AS w FROM d GROUP BY 1, 2), {_draws_sql("score")}, {_draws_sql("days")}, b AS (SELECT score, days FROM scorea JOIN daysa USING (iteration) WHERE score IS NOT NULL)
+SELECT 'score' AS name, {_POINTS.format("score")}, NULL::DOUBLE AS share_better FROM b UNION ALL SELECT 'days', {_POINTS.format("days")}, NULL FROM b
+UNION ALL SELECT 'difference', {_POINTS.format("score - days")}, round(avg((score > days)::INT), 6) FROM b"""
 
 
 FEATURES = ["feed_rate", "hour_of_day", *[f"{x}_{c}" for x in ("feed_rate", "hour_of_day") for c in ("lag_1h", "mean_12h", "std_12h", "zscore_12h", "delta_1h")]]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import clopper_pearson, poisson_interval
-from ..operators import metrics, models, timeseries
+from ..operators import metrics, models, ranks, timeseries
 from . import adapters
 from .adapters import rounded
 
@@ -26,7 +26,7 @@ def _features(spark, sf_dir) -> DataFrame:
 def _boosted(spark, sf_dir):
     rows = _features(spark, sf_dir)
     cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    return models.boosted_scores(rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut), SIGNALS, "y", iterations=20).select("event_id", "y", "score")
+    return models.boosted_scores(rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut), SIGNALS, "y").select("event_id", "y", "score")
 
 
 def _risk_model(spark, sf_dir):
@@ -100,19 +100,28 @@ def _rates(spark, sf_dir):
     return c.withColumn("i", poisson_interval("failures", "months")).select("tag", "failures", "i.lower", "i.upper")
 
 
-def _schedule_baseline(spark, sf_dir):
+def with_schedule(spark, sf_dir) -> DataFrame:
+    """Scored rows with days, the time since the entity's last incident."""
     rows = timeseries.asof_join(T(spark, sf_dir, "scored"), T(spark, sf_dir, "incidents").select("tag", "failure_date"), "tag", "ts", "failure_date", "backward", False, [])
     start = F.coalesce("asof_ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    rows = rows.withColumn("days", F.round((timeseries.seconds("ts") - timeseries.seconds(start)) / 86400, 6))
-    each = [metrics.roc_auc(rows, ["split"], "y", c).select("split", F.lit(m).alias("method"), "roc_auc") for m, c in (("model", "score"), ("schedule", "days"))]
+    return rows.withColumn("days", F.round((timeseries.seconds("ts") - timeseries.seconds(start)) / 86400, 6))
+
+
+def _schedule_baseline(spark, sf_dir):
+    rows, each = with_schedule(spark, sf_dir).persist(), []
+    for m, c in (("model", "score"), ("schedule", "days")):
+        auc, ap = metrics.roc_auc(rows, ["split"], "y", c), metrics.average_precision(rows, ["split"], "y", c)
+        each.append(auc.join(ap, "split").select("split", F.lit(m).alias("method"), "roc_auc", "average_precision"))
     return rounded(each[0].unionByName(each[1]))
 
 
 def _auc_sql(method: str, c: str) -> str:
-    return f"SELECT split, '{method}' AS method, round((sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc FROM (SELECT split, y, rank() OVER (PARTITION BY split ORDER BY {c}) + (count(*) OVER (PARTITION BY split, {c}) - 1) / 2.0 AS k FROM s) x GROUP BY split"
+    return f"""SELECT split, '{method}' AS method, round((sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc, round(sum(CASE WHEN y = 1 THEN above / n END) / sum(y), 6) AS average_precision
+ FROM (SELECT split, y, rank() OVER (PARTITION BY split ORDER BY {c}) + (count(*) OVER (PARTITION BY split, {c}) - 1) / 2.0 AS k, sum(y) OVER (PARTITION BY split ORDER BY {c} DESC) AS above, count(*) OVER (PARTITION BY split ORDER BY {c} DESC) AS n FROM s) x GROUP BY split"""
 
 
-SCHEDULE_SQL = f"WITH s AS (SELECT o.*, round((epoch_us(o.ts) - epoch_us(coalesce(i.failure_date, TIMESTAMP '2024-01-01'))) / 8.64e10, 6) AS days FROM {{scored}} o ASOF LEFT JOIN {{incidents}} i ON o.tag = i.tag AND o.ts > i.failure_date) {_auc_sql('model', 'score')} UNION ALL {_auc_sql('schedule', 'days')}"
+SCHEDULE_CTE = "s AS (SELECT o.*, round((epoch_us(o.ts) - epoch_us(coalesce(i.failure_date, TIMESTAMP '2024-01-01'))) / 8.64e10, 6) AS days FROM {scored} o ASOF LEFT JOIN {incidents} i ON o.tag = i.tag AND o.ts > i.failure_date)"
+SCHEDULE_SQL = f"WITH {SCHEDULE_CTE} {_auc_sql('model', 'score')} UNION ALL {_auc_sql('schedule', 'days')}"
 
 
 def _hardening(spark, sf_dir):
@@ -133,8 +142,8 @@ SELECT split, threshold, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0),
 def _binned(spark, sf_dir):
     """Deciles of a signal: edges from exact quantiles, then one pass over the rows."""
     s = T(spark, sf_dir, "readings").join(T(spark, sf_dir, "scored").select("event_id", "y"), "event_id").select("feed_rate", "y")
-    edges = s.agg(F.percentile("feed_rate", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("edges"))
-    rows = s.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("feed_rate"))).cast("long"))
+    edges = ranks.quantiles(s, "feed_rate", [i / 10 for i in range(1, 10)])
+    rows = s.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("feed_rate"))).cast("long"))
     return rounded(rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("feed_rate").alias("mean_value"), F.avg(F.col("y").cast("double")).alias("event_rate"), F.sum(F.col("y").cast("long")).alias("events")))
 
 
@@ -179,7 +188,7 @@ OPERATORS = {
     "sta9_calibration_decision": (lambda s, d: models.calibration_decision(_isotonic(s, d), "y", "score", "calibrated"), None),
     "fc2_ridge_forecast": (lambda s, d: models.ridge_forecast(_daily(s, d), "tag", "day", "rate"), None),
     "fc4_holdout": (_last_value_or_ridge, None),
-    "fc7_rolling_backtest": (lambda s, d: models.rolling_backtest(_daily(s, d), "tag", "day", "rate", folds=2), None),
+    "fc7_rolling_backtest": (lambda s, d: models.rolling_backtest(_daily(s, d), "tag", "day", "rate"), None),
     "fc8_risk_band": (_band, None),
     "exp1_attribution": (_attribution, None),
     "exp2_attribution_table": (_attribution_table, None),
