@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,20 @@ def trend_projection(df: DataFrame, key: str, day: str, y: str, horizon: int = 7
     sigma = F.sqrt(F.greatest(F.lit(0.0), F.col("sse")) / F.col("n"))
     out = fit.select(key, "slope", at.alias("projected"), (at - 1.645 * sigma).alias("lower"), (at + 1.645 * sigma).alias("upper"), (F.col("mean") + 2 * F.col("sd")).alias("spike"))
     return out.withColumn("decision", F.when(F.col("projected") > F.col("spike"), "SPIKE").when(F.col("slope") > 0, "RISING").otherwise("STABLE"))
+
+
+def autocorrelation(df: DataFrame, key: str, day: str, y: str, lags: tuple[int, ...] = (1, 2, 7, 24, 168, 720)) -> DataFrame:
+    """key, lag, autocorrelation: products of deviations a lag apart over the sum of squares, by series in its order."""
+    whole, w = Window.partitionBy(key), Window.partitionBy(key).orderBy(day)
+    rows = df.withColumn("_d", F.col(y) - F.avg(y).over(whole))
+    rows = rows.select(key, "_d", *[(F.col("_d") * F.lag("_d", k).over(w)).alias(f"_p{k}") for k in lags])
+    sums = rows.groupBy(key).agg(F.sum(F.col("_d") * F.col("_d")).alias("_s"), *[F.sum(f"_p{k}").alias(f"_p{k}") for k in lags])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_p{k}") / F.nullif(F.col("_s"), F.lit(0.0))).alias("autocorrelation")) for k in lags])).alias("x")
+    return sums.select(key, each).select(key, "x.*")
+
+
+def direction(latest: Column, forecast: Column, sigma: Column) -> Column:
+    """Stable within a quarter of sigma or half a percent of the latest value, whichever is more; else Rising or Falling."""
+    change = forecast - latest
+    room = F.greatest(0.25 * F.coalesce(sigma, F.lit(0.0)), 0.005 * F.abs(latest))
+    return F.when(change.isNull(), None).when(F.abs(change) <= room, "Stable").when(change > 0, "Rising").otherwise("Falling")

@@ -228,7 +228,7 @@ def cluster_draws(clusters: DataFrame, cluster: str, iterations: int, seed: str
     picked = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "iteration", "s")), 1, 12), 16, 10).cast("long"), F.lit(max(1, total))).cast("int")
     times = slots.groupBy(picked.alias("slot"), "iteration").agg(F.count("*").cast("int").alias("times"))
     draws = times.groupBy("slot").agg(F.collect_list(F.struct("iteration", "times")).alias("d"))
-    return numbered.join(draws, "slot").select(cluster, *[F.transform("d", lambda d, c=c: d[c]).alias(c) for c in ("iteration", "times")])
+    return numbered.join(draws, "slot").select(cluster, F.col("d.iteration").alias("iteration"), F.col("d.times").alias("times"))
 
 
 def drawn_precision(cells: DataFrame, iterations: int) -> DataFrame:

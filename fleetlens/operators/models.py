@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .forecast import lag_matrix
 from .metrics import roc_auc
 
-RIDGE_LAGS = (1, 2, 3, 7)
+RIDGE_LAGS = (1, 2, 3, 7, 14, 28)
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:
@@ -109,35 +110,55 @@ def calibration_decision(rows: DataFrame, y: str, raw: str, calibrated: str) ->
     return out.withColumn("skill", skill).withColumn("decision", F.when(good, "display_as_probability").otherwise("display_as_priority_score_only"))
 
 
-def _design(history: np.ndarray) -> np.ndarray:
-    """Features of the value that follows history."""
-    return np.array([*(history[-k] for k in RIDGE_LAGS), history[-7:].mean(), history[-7:].std()])
+def _lags(n: int) -> tuple[int, ...]:
+    """Lags that a series of n values can learn from: at least as many rows as lags must be left."""
+    return tuple(k for k in RIDGE_LAGS if n - k >= len(RIDGE_LAGS)) if n > max(RIDGE_LAGS) else tuple(k for k in RIDGE_LAGS if k <= max(1, n // 3))
 
 
-def ridge_path(y: np.ndarray, horizon: int, alpha: float = 1.0) -> tuple[np.ndarray, float]:
-    """Forecasts by an autoregressive ridge that feeds on its own values, and the spread of its errors."""
-    first = max(RIDGE_LAGS)
+def _design(history: np.ndarray, day: int, lags: tuple[int, ...]) -> np.ndarray:
+    """Features of the value that follows history; day: that value's day since 1970 (a Thursday)."""
+    week, year = 2 * np.pi * ((day + 3) % 7) / 7, 2 * np.pi * (day % 365.25) / 365.25
+    stats = [x for n in (7, 28) if n <= max(lags) for x in (history[-n:].mean(), history[-n:].std())]
+    return np.array([*(history[-k] for k in lags), *stats, np.sin(week), np.cos(week), np.sin(year), np.cos(year)])
+
+
+def ridge_path(y: np.ndarray, horizon: int, alpha: float = 5.0, last_day: int = 0) -> tuple[np.ndarray, float]:
+    """Forecasts by an autoregressive ridge that feeds on its own values, and the spread of its errors.
+
+    Lags of 1, 2, 3, 7, 14 and 28 days, means and deviations of 7 and 28, and places in the week and year; short series
+    use the shorter ones. Values are kept within the series' middle 99 % and a margin: a quarter of that range, or two
+    spreads if that is more.
+    """
+    lags = _lags(len(y))
+    first = max(lags)
     if len(y) < first + 3:
         return np.full(horizon, y[-1] if len(y) else 0.0), float(np.std(y)) if len(y) else 0.0
-    x = np.array([_design(y[:t]) for t in range(first, len(y))])
+    start = last_day - len(y) + 1
+    x = np.array([_design(y[:t], start + t, lags) for t in range(first, len(y))])
     t, mean, scale = y[first:], x.mean(0), x.std(0)
     scale[scale == 0] = 1
     z = (x - mean) / scale
     w = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (t - t.mean()))
     sigma = float(np.std(t - t.mean() - z @ w))
-    path = list(y)
-    for _ in range(horizon):
-        value = t.mean() + (_design(np.array(path[-28:])) - mean) / scale @ w
-        path.append(float(np.clip(value, y.min() - 3 * y.std(), y.max() + 3 * y.std())))
+    path, (low, high) = list(y), np.quantile(y, (0.005, 0.995))
+    margin = max((high - low) * 0.25, 2 * sigma)
+    for step in range(1, horizon + 1):
+        value = t.mean() + (_design(np.array(path[-28:]), last_day + step, lags) - mean) / scale @ w
+        path.append(float(np.clip(value, low - margin, high + margin)))
     return np.array(path[len(y) :]), sigma
 
 
+def _day_number(days: pd.Series) -> int:
+    return int(pd.Timestamp(days.iloc[-1]).value // 86_400_000_000_000)
+
+
 def ridge_forecast(df: DataFrame, key: str, day: str, y: str, horizon: int = 7, z: float = 1.645) -> DataFrame:
     """key, step, forecast, lower, upper: one series per group; the band widens with the step and is never negative."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        path, sigma = ridge_path(pdf.sort_values(day)[y].to_numpy(float), horizon)
+        pdf = pdf.sort_values(day)
+        path, sigma = ridge_path(pdf[y].to_numpy(float), horizon, last_day=_day_number(pdf[day]))
         step = np.arange(1, horizon + 1)
         half = z * sigma * np.sqrt(1 + step / 7)
         return pd.DataFrame({key: pdf[key].iloc[0], "step": step, "forecast": np.maximum(path, 0), "lower": np.maximum(path - half, 0), "upper": np.maximum(path + half, 0)})
@@ -145,18 +166,37 @@ def ridge_forecast(df: DataFrame, key: str, day: str, y: str, horizon: int = 7,
     return df.select(key, day, y).groupBy(key).applyInPandas(run, f"{key} {kind}, step int, forecast double, lower double, upper double")
 
 
+def boosted_forecast(df: DataFrame, key: str, day: str, y: str, horizon: int = 7, iterations: int = 60) -> DataFrame:
+    """key, step, forecast, never negative: one model over all series for the value `step` days ahead.
+
+    Features are the lag matrix at the last known day, the step, and the series' own mean and deviation, so all series
+    share one fit over all rows and none is fitted in one task.
+    """
+    rows = lag_matrix(df.select(key, day, y), key, day, y)
+    w, whole = Window.partitionBy(key).orderBy(day), Window.partitionBy(key)
+    rows = rows.withColumns({"_mean": F.avg(y).over(whole), "_std": F.stddev_pop(y).over(whole), "_last": F.max(day).over(whole)})
+    cols = [c for c in rows.columns if c not in (key, day, "_last")]
+    ahead = rows.withColumn("_future", F.array(*[F.struct(F.lit(k).alias("step"), F.lead(y, k).over(w).alias("target")) for k in range(1, horizon + 1)]))
+    long = ahead.select(key, day, "_last", *[F.coalesce(c, "_mean").cast("double").alias(f"f_{c}") for c in cols], F.explode("_future").alias("x")).select("*", F.col("x.step").cast("double").alias("f_step"), F.col("x.target").cast("double").alias("target")).drop("x")
+    vector = VectorAssembler(inputCols=[f"f_{c}" for c in cols] + ["f_step"], outputCol="_features", handleInvalid="skip")
+    model = GBTRegressor(featuresCol="_features", labelCol="target", maxIter=iterations, stepSize=0.1, maxDepth=4, seed=7).fit(vector.transform(long.where("target IS NOT NULL")))
+    out = model.transform(vector.transform(long.where(F.col(day) == F.col("_last"))))
+    return out.select(key, F.col("f_step").cast("int").alias("step"), F.greatest(F.lit(0.0), "prediction").alias("forecast"))
+
+
 def rolling_backtest(df: DataFrame, key: str, day: str, y: str, folds: int = 3, horizon: int = 7) -> DataFrame:
     """key, method, fold, mae, wape_pct, bias of the ridge, the last value and the seasonal naive at rolling origins."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, out = pdf.sort_values(day)[y].to_numpy(float), []
+        pdf = pdf.sort_values(day)
+        values, last, out = pdf[y].to_numpy(float), _day_number(pdf[day]), []
         for fold in range(folds):
             end = len(values) - (folds - fold) * horizon
             if end < 7:
                 continue
             past, real = values[:end], values[end : end + horizon]
-            for method, guess in (("ridge", ridge_path(past, horizon)[0]), ("last_value", np.full(horizon, past[-1])), ("seasonal_naive", np.resize(past[-7:], horizon))):
+            for method, guess in (("ridge", ridge_path(past, horizon, last_day=last - (len(values) - end))[0]), ("last_value", np.full(horizon, past[-1])), ("seasonal_naive", np.resize(past[-7:], horizon))):
                 e = guess - real
                 out.append((pdf[key].iloc[0], method, fold, np.abs(e).mean(), 100 * np.abs(e).sum() / max(np.abs(real).sum(), 1e-12), e.mean()))
         return pd.DataFrame(out, columns=[key, "method", "fold", "mae", "wape_pct", "bias"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast, labels, metrics, quality, retrieval, risk, timeseries
 from ..sources import documents as docs_source
+from ..sources import tables
 from ..streaming import flows
 from . import adapters, fitted, reports, rollups
 from .adapters import rounded
@@ -493,6 +494,76 @@ def _parameters(spark, sf_dir):
 PARAMETERS_SQL = """WITH p AS (SELECT c_custkey AS tag, n FROM {customer} CROSS JOIN (VALUES (1), (2), (3), (4)) t(n) WHERE c_custkey % 9 + n <> 9)
 SELECT tag, max(CASE WHEN n = 1 THEN 'P1' END) AS name_1, max(CASE WHEN n = 2 THEN 52.0::DOUBLE END) AS alarm_2, max(CASE WHEN n = 3 THEN 83.0::DOUBLE END) AS trip_3, count(*) = 4 AS complete FROM p GROUP BY tag"""
 
+def _prepared(spark, sf_dir):
+    raw = T(spark, sf_dir, "pm_schedule").select(F.col("pm_id").alias(" pm_id "), F.col("tag").alias("tag "), F.col("scheduled_date").cast("string").alias("scheduled"))
+    return tables.prepared(raw, ["pm_id"], ("scheduled",)).select("pm_id", "tag", F.col("scheduled").cast("date").alias("scheduled"))
+
+
+def _wall_time(spark, sf_dir):
+    r = T(spark, sf_dir, "readings")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "+00:00").otherwise("+02:00"))
+    return r.select("event_id", tables.wall_time(text, "Asia/Jakarta").alias("local_ts"))
+
+
+def _cases_added(spark, sf_dir):
+    c = T(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 50).alias("task_id")).agg(F.count("*").alias("turns"))
+    rows = T(spark, sf_dir, "conversations").where("turn = 0").select((F.col("conv_id") % 50).alias("task_id"), F.lit("Closed").alias("status"), (F.col("conv_id") % 50 % 3 > 0).alias("approved"))
+    rows = rows.join(c, "task_id").withColumns({"root_cause": F.when(F.col("turns") % 2 == 0, "wear"), "corrective_action": F.lit("replaced")})
+    have = spark.range(0, 10).select(F.col("id").alias("task_id"))
+    return tables.cases_to_append(rows, have).select("task_id", "turns", "root_cause")
+
+
+def _document_numbers(spark, sf_dir):
+    """Pages whose address names a nation's number at its end, matched to the nation."""
+    docs = T(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page of NATION-"), (F.col("page_id") % 30).cast("string"), F.lit(" and others")).alias("text"))
+    master = T(spark, sf_dir, "plants").select(F.concat(F.lit("NATION-"), "plant").alias("number"))
+    return docs_source.match_documents(docs, master, "text", "number", strict=False).select("page_id", "matches", "number")
+
+
+def _linked(spark, sf_dir):
+    alerts = T(spark, sf_dir, "scored").where("score >= 0.7").select(F.concat_ws("-", F.lit("A"), "event_id").alias("alert_id"), "tag", F.to_date("ts").alias("predicted_at"))
+    return flows.linked_alerts(alerts, T(spark, sf_dir, "incidents"), 7)
+
+
+def _directions(spark, sf_dir):
+    """The seasonal naive forecast of a week ahead against the last value."""
+    c = _calendar(spark, sf_dir)
+    last = c.groupBy("region").agg(F.max_by("y", "day").alias("latest"), F.stddev_pop("y").alias("sigma"))
+    ahead = forecast.seasonal_naive(c, "region", "day", "y", 7).select("region", "step", "forecast")
+    return ahead.join(last, "region").select("region", "step", forecast.direction(F.col("latest"), F.col("forecast"), F.col("sigma")).alias("direction"))
+
+
+OPERATORS_MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "src7_prepared_table": (_prepared, "SELECT pm_id, tag, scheduled_date AS scheduled FROM {pm_schedule}"),
+    "src9_document_match": (_document_numbers, "SELECT page_id, (page_id % 30 < (SELECT count(*) FROM {plants}))::BIGINT AS matches, CASE WHEN page_id % 30 < (SELECT count(*) FROM {plants}) THEN 'NATION-' || (page_id % 30) END AS number FROM {pages}"),
+    "src15_append_cases": (_cases_added, """WITH k AS (SELECT conv_id % 50 AS task_id, count(*) AS turns FROM {conversations} GROUP BY 1), s AS (SELECT DISTINCT conv_id % 50 AS task_id FROM {conversations} WHERE turn = 0)
+SELECT task_id, turns, 'wear' AS root_cause FROM k JOIN s USING (task_id) WHERE task_id >= 10 AND task_id % 3 > 0 AND turns % 2 = 0"""),
+    "dq6_wall_time": (_wall_time, "SELECT event_id, date_trunc('second', ts) + CASE WHEN event_id % 2 = 0 THEN INTERVAL 7 HOUR ELSE INTERVAL 5 HOUR END AS local_ts FROM {readings}"),
+    "sta10_autocorrelation": (
+        lambda s, d: rounded(forecast.autocorrelation(_calendar(s, d), "region", "day", "y")),
+        f"WITH {CAL_CTE}, de AS (SELECT region, day, y - avg(y) OVER (PARTITION BY region) AS d FROM ca), "
+        + "po AS (SELECT region, d, row_number() OVER (PARTITION BY region ORDER BY day) AS i FROM de), la(lag) AS (VALUES (1), (2), (7), (24), (168), (720)), "
+        + "va AS (SELECT region, sum(d * d) AS s FROM po GROUP BY region) "
+        + "SELECT va.region, la.lag::INT AS lag, round(sum(a.d * b.d) / max(va.s), 6) AS autocorrelation FROM va CROSS JOIN la LEFT JOIN po a ON a.region = va.region LEFT JOIN po b ON b.region = a.region AND b.i = a.i - la.lag GROUP BY 1, 2",
+    ),
+    "fc10_direction": (
+        _directions,
+        f"WITH {CAL_CTE}, o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY day DESC) AS i FROM ca), z AS (SELECT region, max(y) FILTER (i = 1) AS latest, stddev_pop(y) AS sigma FROM o GROUP BY region) "
+        + "SELECT region, s.step::INT AS step, CASE WHEN abs(y - latest) <= greatest(0.25 * sigma, 0.005 * abs(latest)) THEN 'Stable' WHEN y > latest THEN 'Rising' ELSE 'Falling' END AS direction FROM o JOIN z USING (region) JOIN range(1, 8) s(step) ON o.i = 8 - s.step",
+    ),
+    "str3_linked_alerts": (
+        _linked,
+        """WITH a AS (SELECT 'A-' || event_id AS alert_id, tag, ts::DATE AS predicted_at FROM {scored} WHERE score >= 0.7), j AS (SELECT alert_id, a.tag, predicted_at, incident_seq, failure_date, row_number() OVER (PARTITION BY alert_id ORDER BY failure_date, incident_seq) AS i
+FROM a LEFT JOIN {incidents} x ON x.tag = a.tag AND x.failure_date::DATE - predicted_at BETWEEN 0 AND 7)
+SELECT alert_id, tag, predicted_at, incident_seq, failure_date AS resolved_at, CASE WHEN incident_seq IS NULL THEN 'Open' ELSE 'Resolved' END AS status FROM j WHERE i = 1""",
+    ),
+    "str6_distinct_readings": (
+        lambda s, d: flows.distinct_readings(T(s, d, "readings").select("tag", F.date_trunc("day", "ts").alias("ts")), ["tag", "ts"]),
+        "SELECT DISTINCT tag, date_trunc('day', ts)::TIMESTAMP AS ts FROM {readings}",
+    ),
+}
+
+
 #: name: (query, SQL or None)
 OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "agg3_kpi_bundle": (_kpi, KPI_SQL),
@@ -545,7 +616,7 @@ SELECT region, round(b, 2) AS slope, round(a + 6 * b, 2) AS projected, round(a +
     "src8_page_sections": (lambda s, d: docs_source.sections(T(s, d, "pages")), None),
 }
 
-OPERATORS |= fitted.OPERATORS
+OPERATORS |= OPERATORS_MORE | fitted.OPERATORS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

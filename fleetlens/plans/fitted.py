@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import clopper_pearson, poisson_interval
-from ..operators import metrics, models, ranks, timeseries
+from ..operators import forecast, metrics, models, ranks, timeseries
 from . import adapters
 from .adapters import rounded
 
@@ -48,8 +48,14 @@ def _daily(spark, sf_dir):
     return T(spark, sf_dir, "readings").groupBy("tag", F.to_date("ts").alias("day")).agg(F.avg("feed_rate").alias("rate"))
 
 
+def _plant_days(spark, sf_dir):
+    """Energy of each plant by day, without gaps."""
+    days = T(spark, sf_dir, "environment").groupBy("plant", F.to_date("ts").alias("day")).agg(F.sum("energy_kwh").alias("y"))
+    return forecast.on_calendar(days, "plant", "day", "y").drop("filled")
+
+
 def _last_value_or_ridge(spark, sf_dir):
-    return models.rolling_backtest(_daily(spark, sf_dir), "tag", "day", "rate", folds=1).where("method IN ('ridge', 'last_value')").select("tag", "method", "mae")
+    return models.rolling_backtest(_plant_days(spark, sf_dir), "plant", "day", "y", folds=1, horizon=30).where("method IN ('ridge', 'last_value')").select("plant", "method", "mae")
 
 
 def _champion(spark, sf_dir):
@@ -69,7 +75,7 @@ SELECT tag, CASE WHEN better THEN method ELSE 'seasonal_naive' END AS method, ro
 
 
 def _band(spark, sf_dir):
-    return models.risk_band(models.ridge_forecast(_daily(spark, sf_dir), "tag", "day", "rate"), "tag", 80.0)
+    return models.risk_band(models.ridge_forecast(_plant_days(spark, sf_dir), "plant", "day", "y"), "plant", 60_000.0)
 
 
 def _latest(spark, sf_dir):
@@ -170,6 +176,16 @@ def _pm_period(spark, sf_dir):
 PERIOD_SQL = """WITH g AS (SELECT tag, status, (scheduled_date - lag(scheduled_date) OVER (PARTITION BY tag ORDER BY scheduled_date, pm_id)) / 30.4375 AS gap FROM {pm_schedule})
 SELECT tag, round(quantile_cont(gap, 0.5)::DOUBLE, 6) AS period_months, round(avg((status = 'Missed')::INT), 6) AS miss_rate FROM g GROUP BY tag"""
 
+def _episode_intervals(spark, sf_dir):
+    """Exact intervals on what operational metrics count: found events, true episodes, false episodes a month."""
+    from . import catalog
+
+    m = metrics.operational_metrics(catalog._operational(spark, sf_dir), 0.6)
+    m = m.withColumns({"event": clopper_pearson("detected", "events"), "episode": clopper_pearson("true_episodes", "episodes"), "rate": poisson_interval("false_episodes", "exposure_months")})
+    names = [F.col(f"{k}.{b}").alias(f"{k}_{b}") for k in ("event", "episode", "rate") for b in ("lower", "upper")]
+    return m.select("threshold", "events", "detected", "episodes", "true_episodes", "false_episodes", "exposure_months", *names)
+
+
 OPERATORS = {
     "agg27_case_text": (_cases, CASES_SQL),
     "agg32_binned_outcome": (_binned, BINNED_SQL),
@@ -184,11 +200,13 @@ OPERATORS = {
     "ml6_risk_model": (_risk_model, None),
     "sta1_exact_share": (_intervals, None),
     "sta3_exact_rate": (_rates, None),
+    "sta4_episode_intervals": (_episode_intervals, None),
+    "fc3_boosted_forecast": (lambda s, d: models.boosted_forecast(_daily(s, d), "tag", "day", "rate"), None),
     "sta7_isotonic": (lambda s, d: _isotonic(s, d).select("event_id", "calibrated"), None),
     "sta9_calibration_decision": (lambda s, d: models.calibration_decision(_isotonic(s, d), "y", "score", "calibrated"), None),
-    "fc2_ridge_forecast": (lambda s, d: models.ridge_forecast(_daily(s, d), "tag", "day", "rate"), None),
+    "fc2_ridge_forecast": (lambda s, d: models.ridge_forecast(_plant_days(s, d), "plant", "day", "y", 30), None),
     "fc4_holdout": (_last_value_or_ridge, None),
-    "fc7_rolling_backtest": (lambda s, d: models.rolling_backtest(_daily(s, d), "tag", "day", "rate"), None),
+    "fc7_rolling_backtest": (lambda s, d: models.rolling_backtest(_plant_days(s, d), "plant", "day", "y", horizon=30), None),
     "fc8_risk_band": (_band, None),
     "exp1_attribution": (_attribution, None),
     "exp2_attribution_table": (_attribution_table, None),

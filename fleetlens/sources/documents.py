@@ -14,15 +14,22 @@ def sections(pages: DataFrame, id_: str = "page_id", html: str = "html") -> Data
     return rows.select(id_, (F.col("pos") + 1).alias("section"), text.alias("content")).where("content <> ''").withColumn("content_sha256", F.sha2("content", 256))
 
 
-def match_documents(documents: DataFrame, master: DataFrame, text: str, number: str) -> DataFrame:
-    """documents with the master row whose number their text holds.
+def match_documents(documents: DataFrame, master: DataFrame, text: str, number: str, strict: bool = True) -> DataFrame:
+    """documents with matches and the number of the master row that their text holds.
 
-    Candidate numbers are cut from the text by pattern, so this is an equi-join; matches is how many rows fit.
+    Candidate numbers are cut from the text by pattern, so this is an equi-join. strict: a document that holds none or
+    several of the numbers fails the job; else matches says how many, and number is the least of them or null. A number
+    that several master rows have counts once for each. documents has an id of its own per row, or rows are counted anew.
     """
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z0-9]+)"), F.lit(1)))
-    hit = documents.withColumn("_n", F.explode(found)).join(master, F.col("_n") == F.col(number)).drop("_n")
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)"), F.lit(1)))
     keys = documents.columns
-    return hit.groupBy(*keys).agg(F.count("*").alias("matches"), F.min(number).alias(number))
+    named = documents.select(*keys, F.explode_outer(found).alias("_n"))
+    hit = named.join(master.select(F.col(number).cast("string").alias("_m")), F.col("_n") == F.col("_m"), "left")
+    out = hit.groupBy(*keys).agg(F.count("_m").alias("matches"), F.min("_m").alias(number))
+    if not strict:
+        return out
+    wrong = F.raise_error(F.concat(F.lit("a document fits "), F.col("matches").cast("string"), F.lit(" master rows")))
+    return out.where(F.when(F.col("matches") != 1, wrong.cast("boolean")).otherwise(F.lit(True)))
 
 
 def pivot_parameters(parameters: DataFrame, key: str, slots: int = 4) -> DataFrame:

@@ -89,3 +89,33 @@ class LastHits(StatefulProcessor):
 def live_persistence(alerts: DataFrame, lookback: int = 6, min_hits: int = 3) -> DataFrame:
     """N-of-M persistence over a stream of (tag, ts, hit); needs the RocksDB state store."""
     return alerts.groupBy("tag").transformWithStateInPandas(LastHits(lookback, min_hits), "tag long, ts timestamp, hits int, persistent boolean", "Append", "None")
+
+
+def linked_alerts(alerts: DataFrame, incidents: DataFrame, horizon_days: int = 30) -> DataFrame:
+    """Open alerts (alert_id, tag, predicted_at) with the first incident of their entity within the horizon after them.
+
+    Those with one are resolved: incident_seq and resolved_at are set, status is Resolved; others stay Open.
+    """
+    i = incidents.select(F.col("tag").alias("_tag"), "incident_seq", "failure_date")
+    age = F.date_diff(F.to_date("failure_date"), "predicted_at")
+    hit = alerts.join(i, (F.col("tag") == F.col("_tag")) & (age >= 0) & (age <= horizon_days), "left").drop("_tag")
+    out = hit.groupBy(*alerts.columns).agg(F.min(F.struct("failure_date", "incident_seq")).alias("i"))
+    return out.select(*alerts.columns, F.col("i.incident_seq").alias("incident_seq"), F.col("i.failure_date").alias("resolved_at"), F.when(F.col("i.incident_seq").isNull(), "Open").otherwise("Resolved").alias("status"))
+
+
+def resolving_writer(alerts_path: str, out_path: str, horizon_days: int = 30) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over live incidents: each batch resolves the alerts that are not resolved by an earlier one.
+
+    A batch's folder is overwritten when it is repeated, so late or repeated incidents resolve an alert once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        alerts = spark.read.parquet(alerts_path)
+        found = linked_alerts(alerts, batch, horizon_days).where("status = 'Resolved'")
+        if number:
+            done = spark.read.schema(found.schema).option("ignoreMissingFiles", "true").parquet(*[f"{out_path}/batch={k}" for k in range(number)])
+            found = found.join(done.select("alert_id"), "alert_id", "left_anti").select(*found.columns)
+        found.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return write

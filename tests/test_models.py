@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.exact import clopper_pearson, poisson_interval
 from fleetlens.operators import models
+from fleetlens.operators.metrics import cluster_bootstrap, cluster_draws, roc_auc
 from fleetlens.plans import catalog, fitted
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in fitted.OPERATORS.items() if sql is None and n not in ("ml2_boosted_trees", "ml4_association")))
+@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in fitted.OPERATORS.items() if sql is None and n not in ("ml2_boosted_trees", "ml4_association", "fc3_boosted_forecast")))
 def test_fitted_query_returns_rows(spark, name):
     assert catalog.queries()[name](spark, SF).limit(1).count() == 1
 
@@ -64,3 +65,51 @@ def test_logistic_fit_finds_the_direction(spark):
     out = models.association(rows, ["x"], "y").first()
     assert out.auc == pytest.approx(1) and out.coefficient > 0 and out.strength == "strong"
     assert models.association(rows.limit(5), ["x"], "y").count() == 0
+
+
+def test_boosted_trees_and_association_on_the_given_events(spark, monkeypatch):
+    """Of the queries that are too slow for all their iterations here: a few of them, and figures that must hold."""
+    rows = fitted._features(spark, SF)
+    scored = models.boosted_scores(rows.withColumn("y", (F.col("feed_rate") > 60).cast("int")), rows.withColumn("y", (F.col("feed_rate") > 60).cast("int")), fitted.SIGNALS, "y", iterations=5)
+    assert roc_auc(scored, [], "y", "score").first()[0] > 0.99
+    assert scored.where("score < 0 OR score > 1 OR score IS NULL").count() == 0 and scored.count() == rows.count()
+    found = {r.feature: r for r in models.association(rows, fitted.SIGNALS[:2], "y").collect()}
+    assert set(found) == {"feed_rate", "hour_of_day"} and all(0.3 < r.auc < 0.7 and r.n > 100 for r in found.values())
+
+
+def test_fitted_queries_hold_what_they_promise(spark):
+    found = catalog.queries()
+    a = found["exp1_attribution"](spark, SF).groupBy("tag").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
+    assert all(r.n == r.r == len(fitted.SIGNALS) for r in a)
+    band = found["fc8_risk_band"](spark, SF)
+    assert band.where("risk < 0 OR risk > 1 OR p10 > p90").count() == 0
+    back = found["fc7_rolling_backtest"](spark, SF)
+    assert {r.fold for r in back.select("fold").distinct().collect()} == {0, 1, 2} and back.where("mae < 0 OR isnan(mae)").count() == 0
+    i = found["sta4_episode_intervals"](spark, SF).first()
+    assert 0 <= i.event_lower <= i.detected / max(1, i.events) <= i.event_upper <= 1 and i.rate_lower <= i.false_episodes / i.exposure_months <= i.rate_upper
+    s = found["sta7_isotonic"](spark, SF).agg(F.min("calibrated"), F.max("calibrated")).first()
+    assert 0 <= s[0] <= s[1] <= 1
+
+
+def test_boosted_forecast_follows_the_series(spark):
+    days = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), 20.0 * k + (i % 7)) for k in (1, 2, 3) for i in range(90)]
+    out = models.boosted_forecast(spark.createDataFrame(days, "k int, day date, y double"), "k", "day", "y", 3, iterations=20).collect()
+    assert len(out) == 9 and all(abs(r.forecast - 20 * r.k - 3) < 5 for r in out)
+
+
+def test_bootstrap_pairs_two_scores(spark):
+    """A score that knows the outcome against one that does not; weights by brute force."""
+    rows = [(tag, i % 3 == 0, (i % 3 == 0) * 0.5 + (i * 7 % 10) / 20, (i * 13 % 17) / 17) for tag in range(6) for i in range(tag, tag + 20)]
+    df = spark.createDataFrame([(t, int(y), a, b) for t, y, a, b in rows], "tag int, y int, a double, b double")
+    out = {r["name"]: r for r in cluster_bootstrap(df, "tag", "y", ["a", "b"], 40).collect()}
+    assert out["a"].draws == 40 and out["a"].mean > out["b"].mean and out["difference"].share_better == 1.0
+    draws = {r.tag: dict(zip(r.iteration, r.times)) for r in cluster_draws(df.select("tag").distinct(), "tag", 40).collect()}
+    aps = []
+    for k in range(40):
+        w = [(x[3], x[1], draws.get(x[0], {}).get(k, 0)) for x in rows]
+        total, ap = sum(y * m for _, y, m in w), 0.0
+        for s in {s for s, _, _ in w}:
+            above = [(y, m) for t, y, m in w if t >= s]
+            ap += sum(y * m for t, y, m in w if t == s) * sum(y * m for y, m in above) / max(1, sum(m for _, m in above))
+        aps.append(ap / total)
+    assert out["b"].mean == pytest.approx(sum(aps) / 40)
