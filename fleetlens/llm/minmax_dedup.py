@@ -47,6 +47,11 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def key_of(shingles: bytes) -> bytes | None:
+    """A digest of a whole set; of the empty set there is none."""
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """row id fields: doc_id, n_shingles, set_key (digest of the full set), bands (null where there is no word)."""
 
@@ -57,7 +62,7 @@ def signed(docs: DataFrame) -> DataFrame:
             for text in b.column(1):
                 s = shingle_set(hashes.of(text.as_py()))
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(key_of(s.tobytes()))
                 bands.append(bands_of(signature(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
 
@@ -65,14 +70,15 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """id and the sorted 64-bit shingle hashes of its whole text, as bytes."""
+    """doc_id, set_key and the sorted 64-bit shingle hashes of the whole text, as bytes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(hashes.of(t.as_py())).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+            found = [shingle_set(hashes.of(t.as_py())).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(key_of, found), pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "set_key", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(build, "id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, set_key binary, shingles binary")
 
 
 def attached(pairs: DataFrame, sets: DataFrame, **sides: str) -> DataFrame:
@@ -138,14 +144,17 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     Texts of equal sets are one class, and its smallest doc_id goes on for it. In each band's bucket the member with
     most company is paired with all others; pairs are confirmed on full sets. Buckets that still hold several
     components are then searched between these by bounds that no link breaks, so none is missed. Texts without words
-    stay alone. Rows that repeat a doc_id count as one document: they are linked by name, and each row keeps its own
-    n_shingles. A null doc_id links nothing and is kept.
+    stay alone. Rows that repeat a doc_id count as one document: they are linked by name, whatever their texts, and each
+    row keeps its own n_shingles. A null doc_id links nothing and is kept. doc_ids are below 2^62: higher numbers stand
+    for further texts of a doc_id.
     """
     rows = common.stored(signed(docs))
     real = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = common.stored(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    # A class's representative carries its bands; a doc_id that stands for several sets has the bands of each.
-    bands = real.join(classes.select("set_key", "id"), "set_key").where("doc_id = id").dropDuplicates(["set_key"])
+    classes = common.stored(real.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")))
+    many = _docs_of_several_texts(real)
+    classes = _named_classes(classes, many)
+    # A class's representative carries its bands.
+    bands = real.join(classes.select("set_key", "doc", "id"), "set_key").where("doc_id = doc").dropDuplicates(["set_key"])
     buckets = bands.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     sizes = common.stored(buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = common.stored(common.heavy_join(buckets, sizes, ["band", "key"], F.col("id")).where("n > 1"))
@@ -155,8 +164,7 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     centers = common.stored(ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("company", "id")).alias("center"), F.count("*").alias("n")))
     shared = common.stored(common.heavy_join(shared.drop("n"), centers, ["band", "key"], F.col("id")))
     members = common.stored(shared.select("id").distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi")
-    sets = common.stored(sets_of(texts.dropDuplicates(["id"])))
+    sets = common.stored(_member_sets(docs, members, classes, many))
     if sets.limit(1).count() == 0:
         edges = shared.select(F.col("id").alias("a"), F.col("id").alias("b"))
     else:
@@ -165,6 +173,10 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
         labels = common.stored(components(members, edges))
         groups = _outside(_pivot_groups(shared, labels, company), sets)
         edges = common.stored(edges.union(linked(_cross_pairs(groups, similarity), sets, similarity)))
+    if many is not None:
+        named = real.join(many, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        edges = common.stored(edges.union(named).distinct())
+        members = common.stored(members.union(edges.select("a")).union(edges.select("b")).distinct())
     labels = components(members, edges)
     found = common.heavy_join(rows.drop("bands"), classes.select("set_key", F.col("id").alias("class_id"), "n"), ["set_key"], F.coalesce("doc_id", F.lit(0)))
     sized = common.stored(labels.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id"))
@@ -173,6 +185,33 @@ def near_groups(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _docs_of_several_texts(real: DataFrame) -> DataFrame | None:
+    """doc_id of those whose rows have different sets; None if there are none, as there should be."""
+    h = F.xxhash64("set_key")
+    many = common.stored(real.groupBy("doc_id").agg(F.min(h).alias("l"), F.max(h).alias("h")).where("l <> h").select("doc_id"))
+    return many if many.limit(1).count() else None
+
+
+def _named_classes(classes: DataFrame, many: DataFrame | None) -> DataFrame:
+    """classes with id: the representative's doc_id, or, where that stands for several classes, a number of their own."""
+    if many is None:
+        return classes.withColumn("id", F.col("doc"))
+    marked = classes.join(many.select(F.col("doc_id").alias("doc"), F.lit(True).alias("shared")), "doc", "left")
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("set_key"), F.lit(1 << 62))
+    return common.stored(marked.withColumn("id", F.when(F.col("shared"), own).otherwise(F.col("doc"))).drop("shared"))
+
+
+def _member_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, many: DataFrame | None) -> DataFrame:
+    """id, shingles of the members."""
+    texts = docs.select("doc_id", "text")
+    if many is None:
+        wanted = texts.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        return sets_of(wanted.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("id"), "shingles")
+    wanted = classes.join(members, "id", "left_semi").select(F.col("doc").alias("doc_id"), "set_key", "id")
+    sets = sets_of(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return sets.join(wanted, ["doc_id", "set_key"]).dropDuplicates(["id"]).select("id", "shingles")
+
+
 def _pivot_groups(shared: DataFrame, labels: DataFrame, company: DataFrame) -> DataFrame:
     """pivot, id, label, n_shingles, far of buckets that hold several components; far: not of the pivot's component.
 

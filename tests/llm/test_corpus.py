@@ -62,6 +62,16 @@ def test_near_groups_against_all_pairs(spark, docs):
     assert minmax_dedup.near_groups(empty(spark)).count() == 0
 
 
+def test_rows_of_one_name_are_one_document(spark):
+    """Different texts under one doc_id, each near to others': all are linked by name, whichever text is read first."""
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(5, base[0]), (5, base[1]), (7, base[0] + " more"), (8, base[1] + " more"), (3, base[2]), (5, base[2]), (9, base[3]), (9, base[3]), (10, ""), (10, base[3] + " x"), (None, base[0]), (11, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.component_id, r.kept) for r in minmax_dedup.near_groups(docs).collect()}
+        assert got == {(5, 3, False), (7, 3, False), (8, 3, False), (3, 3, True), (9, 9, True), (10, 9, False), (None, 3, True), (11, 11, True)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_variants_of_one_text_against_all_pairs(spark, seed):
     """Variants at all distances from a text, some of them cut short: many buckets hold several components."""
