@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forecast, labels, metrics, quality, retrieval, risk, timeseries
+from ..operators import features, forecast, labels, metrics, quality, retrieval, risk, timeseries
 from ..sources import documents as docs_source
 from ..sources import tables
 from ..streaming import flows
@@ -533,11 +533,62 @@ def _directions(spark, sf_dir):
     return ahead.join(last, "region").select("region", "step", forecast.direction(F.col("latest"), F.col("forecast"), F.col("sigma")).alias("direction"))
 
 
+def _roll_sql(x: str, key: str, order: str, short: int, long: int, digits: int = 6) -> list[str]:
+    """The columns of causal_rolling() for one signal."""
+    w = f"OVER (PARTITION BY {key} ORDER BY {order}"
+    near, far = (f"{w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (short, long))
+    out = {f"{x}_lag_1h": f"lag({x}, 1) {w})", f"{x}_lag_{short}h": f"lag({x}, {short}) {w})"}
+    for n, over in ((short, near), (long, far)):
+        out |= {f"{x}_{c}_{n}h": f"CASE WHEN count({x}) {over} >= {max(2, n // 4)} THEN {f}({x}) {over} END" for c, f in (("mean", "avg"), ("std", "stddev_samp"))}
+    out[f"{x}_zscore_{long}h"] = f"({x} - {out[f'{x}_mean_{long}h']}) / nullif({out[f'{x}_std_{long}h']}, 0)"
+    out[f"{x}_delta_1h"] = f"{x} - lag({x}, 1) {w})"
+    return [f"round({v}, {digits}) AS {k}" for k, v in out.items()]
+
+
+def _clock_sql(ts: str, digits: int = 6) -> str:
+    parts = {"hour": f"hour({ts})", "day_of_week": f"(isodow({ts}) - 1)"}
+    turns = [f"round({f}(2 * pi() * {v} / {n}), {digits}) + 0.0 AS {k}_{f}" for (k, v), n in zip(parts.items(), (24, 7), strict=True) for f in ("sin", "cos")]
+    return ", ".join([f"{v}::INT AS {k}" for k, v in parts.items()] + [f"month({ts})::INT AS month", *turns])
+
+
+def _plant_hours(spark, sf_dir):
+    return features.plant_hours(T(spark, sf_dir, "readings"), T(spark, sf_dir, "equipment"), T(spark, sf_dir, "environment"))
+
+
+def _equipment_rows(spark, sf_dir):
+    return features.equipment_rows(T(spark, sf_dir, "readings"), T(spark, sf_dir, "equipment"), T(spark, sf_dir, "incidents"))
+
+
+PLANT_HOURS_SQL = f"""WITH m AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, count(DISTINCT r.tag) AS equipment, sum(feed_rate) AS rate, sum(power_kw) AS power, avg((run_status = 'ON')::INT) AS on_share FROM {{readings}} r JOIN {{equipment}} e ON r.tag = e.tag GROUP BY 1, 2),
+a AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, sum(energy_kwh) AS energy, sum(co2_ton) AS co2 FROM {{environment}} GROUP BY 1, 2), j AS (SELECT * FROM m LEFT JOIN a USING (plant, hour_ts))
+SELECT plant, hour_ts, equipment, round(rate, 9) AS rate, round(power, 9) AS power, round(on_share, 9) AS on_share, round(energy, 9) AS energy, round(co2, 9) AS co2,
+ {", ".join(x for c in ("rate", "power", "energy") for x in _roll_sql(c, "plant", "hour_ts", 24, 168, 9))}, {_clock_sql("hour_ts", 9)} FROM j"""
+EQUIPMENT_ROWS_SQL = f"""WITH n AS (SELECT tag, failure_date, row_number() OVER (PARTITION BY tag ORDER BY failure_date, incident_seq)::INT AS n FROM {{incidents}}),
+f AS (SELECT event_id, tag, ts, round(feed_rate, 6) AS feed_rate, round(power_kw, 6) AS power_kw, {", ".join(x for c in ("feed_rate", "power_kw") for x in _roll_sql("r." + c, "tag", "ts, event_id", 4, 12)).replace("AS r.", "AS ")}, {_clock_sql("ts")},
+  row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM {{readings}} r)
+SELECT f.*, coalesce(n.n, 0)::INT AS incidents_before, round((epoch_us(f.ts) - epoch_us(n.failure_date)) / 8.64e10, 6) AS days_since_incident, e.plant, e.equipment_type
+FROM f ASOF LEFT JOIN n ON f.tag = n.tag AND f.ts > n.failure_date LEFT JOIN {{equipment}} e ON e.tag = f.tag"""
+WEEKLY_SQL = """WITH v AS (SELECT tag, week_date, CASE WHEN parameter_value - 40 >= 0 THEN parameter_value - 40 END AS value, (parameter_value - 40 < 0)::INT AS negative FROM {condition_weekly}),
+b AS (SELECT *, count(*) FILTER (NOT coalesce(value >= 20, FALSE)) OVER (PARTITION BY tag ORDER BY week_date) AS k FROM v)
+SELECT tag, week_date, round(value, 6) AS value, negative, round(20 - value, 6) AS to_alarm, round(40 - value, 6) AS to_trip, round(lag(value) OVER w, 6) AS lag_1, round(avg(value) OVER p, 6) AS mean, round(stddev_samp(value) OVER p, 6) AS std,
+ count(value) OVER p AS weeks_before, CASE WHEN value >= 20 THEN count(*) FILTER (coalesce(value >= 20, FALSE)) OVER (PARTITION BY tag, k ORDER BY week_date) ELSE 0 END AS alarm_run, round(value - lag(value) OVER w, 6) AS step
+FROM b WINDOW w AS (PARTITION BY tag ORDER BY week_date), p AS (PARTITION BY tag ORDER BY week_date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"""
+
+
 OPERATORS_MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "src7_prepared_table": (_prepared, "SELECT pm_id, tag, scheduled_date AS scheduled FROM {pm_schedule}"),
     "src9_document_match": (_document_numbers, "SELECT page_id, (page_id % 30 < (SELECT count(*) FROM {plants}))::BIGINT AS matches, CASE WHEN page_id % 30 < (SELECT count(*) FROM {plants}) THEN 'NATION-' || (page_id % 30) END AS number FROM {pages}"),
     "src15_append_cases": (_cases_added, """WITH k AS (SELECT conv_id % 50 AS task_id, count(*) AS turns FROM {conversations} GROUP BY 1), s AS (SELECT DISTINCT conv_id % 50 AS task_id FROM {conversations} WHERE turn = 0)
 SELECT task_id, turns, 'wear' AS root_cause FROM k JOIN s USING (task_id) WHERE task_id >= 10 AND task_id % 3 > 0 AND turns % 2 = 0"""),
+    "fea1_plant_hour_features": (lambda s, d: rounded(_plant_hours(s, d), 9), PLANT_HOURS_SQL),
+    "fea2_equipment_features": (lambda s, d: rounded(_equipment_rows(s, d)), EQUIPMENT_ROWS_SQL),
+    "fea3_weekly_features": (
+        lambda s, d: rounded(features.weekly_rows(T(s, d, "condition_weekly").withColumn("parameter_value", F.col("parameter_value") - 40), 20.0, 40.0)), WEEKLY_SQL,
+    ),
+    "lab3_event_weeks": (
+        lambda s, d: features.event_weeks(T(s, d, "condition_weekly"), T(s, d, "incidents")),
+        "SELECT c.tag, c.week_date, count(i.tag) AS incidents, count(i.tag) > 0 AS is_event_week FROM {condition_weekly} c LEFT JOIN {incidents} i ON i.tag = c.tag AND date_trunc('week', i.failure_date)::DATE = c.week_date GROUP BY 1, 2",
+    ),
     "dq6_wall_time": (_wall_time, "SELECT event_id, date_trunc('second', ts) + CASE WHEN event_id % 2 = 0 THEN INTERVAL 7 HOUR ELSE INTERVAL 5 HOUR END AS local_ts FROM {readings}"),
     "sta10_autocorrelation": (
         lambda s, d: rounded(forecast.autocorrelation(_calendar(s, d), "region", "day", "y")),

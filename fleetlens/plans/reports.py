@@ -92,13 +92,6 @@ QUERIES = {
     "top3_top_features": f"WITH {SIGNALS} SELECT tag, feature, z, CAST(i AS BIGINT) AS feature_rank FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY abs(z) DESC, feature) AS i FROM z) r WHERE i <= 2",
     "top5_candidate_choice": """WITH c AS (SELECT tag % 10 AS candidate, count(*) AS n, round(avg(score), 9) AS mean_score, count(*) FILTER (WHERE y = 1) AS positives FROM {scored} GROUP BY 1) SELECT candidate, n, positives FROM c WHERE positives > 0 ORDER BY positives DESC, mean_score, candidate LIMIT 1""",
     # Labels, feature tables and folds
-    "lab3_event_weeks": """WITH i AS (SELECT DISTINCT tag, CAST(date_trunc('week', failure_date) AS DATE) AS week_date FROM {incidents}) SELECT c.tag, c.week_date, i.tag IS NOT NULL AS is_event_week FROM {condition_weekly} c LEFT JOIN i ON c.tag = i.tag AND c.week_date = i.week_date""",
-    "fea1_plant_hour_features": """WITH a AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, count(DISTINCT r.tag) AS equipment, sum(feed_rate) AS rate FROM {readings} r JOIN {equipment} e ON r.tag = e.tag GROUP BY 1, 2)
-        SELECT plant, hour_ts, equipment, round(rate, 4) AS rate, CAST(hour(hour_ts) AS BIGINT) AS hour_of_day, round(lag(rate, 1) OVER w, 4) AS rate_lag_1, round(avg(rate) OVER (PARTITION BY plant ORDER BY hour_ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 7) AS rate_mean_24 FROM a WINDOW w AS (PARTITION BY plant ORDER BY hour_ts)""",
-    "fea2_equipment_features": """SELECT r.event_id, r.tag, e.plant, e.equipment_type, r.feed_rate, round(avg(feed_rate) OVER (PARTITION BY r.tag ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS rate_mean_4,
-        row_number() OVER (PARTITION BY r.tag ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM {readings} r LEFT JOIN {equipment} e ON r.tag = e.tag""",
-    "fea3_weekly_features": """SELECT tag, week_date, round(CASE WHEN parameter_value - 50 < 0 THEN NULL ELSE parameter_value - 50 END, 6) AS level, CASE WHEN parameter_value - 50 < 0 THEN 1 ELSE 0 END AS negative, round(lag(parameter_value) OVER (PARTITION BY tag ORDER BY week_date), 6) AS value_lag_1,
-        round(avg(parameter_value) OVER (PARTITION BY tag ORDER BY week_date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS value_mean_4 FROM {condition_weekly}""",
     # Evaluation
     "met11_cohorts": "SELECT CASE WHEN tag % 10 = 0 THEN 'held_out' ELSE 'support' END AS cohort, count(*) AS n, count(DISTINCT tag) AS entities, count(*) FILTER (WHERE score >= 5e-1 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 5e-1 AND y = 0) AS fp, round(avg((score - y) * (score - y)), 6) AS brier FROM {scored} GROUP BY 1",
     "met12_episode_report": """WITH a AS (SELECT tag, split, ts, event_id, y, lag(ts) OVER (PARTITION BY split, tag ORDER BY ts, event_id) AS before FROM {scored} WHERE score >= 6e-1),
