@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import wilson_bounds
 from . import ranks
-from .timeseries import persistence, seconds
+from .timeseries import alert_episodes, notifications, persistence, seconds
 
 BASES = ("all_limits_met", "false_alert_limit_relaxed", "least_event_and_lead_shortfall")
 
@@ -193,6 +193,25 @@ def event_metrics(df: DataFrame, event: str, predicted: Column, days: str) -> Da
     return per.agg(F.count("*").alias("events"), F.count_if("hit").alias("detected"), F.avg(F.col("hit").cast("double")).alias("event_recall"), F.percentile("lead", 0.5).alias("median_lead_days"))
 
 
+def episode_report(scored: DataFrame, by: list[str], alert: Column, y: str = "y", key: str = "tag", ts: str = "ts", order: tuple[str, ...] = ("ts", "event_id"), reset_hours: float = 24, cooldown_hours: float = 72) -> DataFrame:
+    """One row per group: episodes of alerts, how many are true, the notifications that go out after a cooldown, and both
+    false rates per observed entity month. alert says which rows are alerts; a group without rows has no row, one without
+    alerts has zeros. An episode is true if one of its alerts is."""
+    rows = scored.select(*by, key, ts, *[c for c in order if c != ts], F.coalesce(alert, F.lit(False)).alias("alert"), F.col(y).alias("y"))
+    found = notifications(alert_episodes(rows.where("alert"), [*by, key], ts, list(order), "y", reset_hours), [*by, key], cooldown_hours)
+    counts = found.groupBy(*by).agg(
+        F.count("*").alias("episodes"), F.count_if("true_episode").alias("true_episodes"), F.count_if("sent").alias("notifications"), F.count_if(F.col("sent") & ~F.col("true_episode")).alias("false_notifications"),
+        F.sum("alerts").alias("alerts"), F.percentile("span_hours", 0.5).alias("median_span_hours"), F.max("span_hours").alias("longest_hours"),
+    )
+    months = rows.select(*by, key, F.to_date(ts).alias("day")).distinct().groupBy(*by).agg((F.count("*") / 30.4375).alias("exposure_months"))
+    out = months.join(counts, by, "left").na.fill(0, ["episodes", "true_episodes", "notifications", "false_notifications", "alerts"])
+    false = F.col("episodes") - F.col("true_episodes")
+    return out.withColumns({
+        "false_episodes": false, "episode_precision": _ratio(F.col("true_episodes"), F.col("episodes")), "false_episodes_per_month": _ratio(false, F.col("exposure_months")),
+        "false_notifications_per_month": _ratio(F.col("false_notifications"), F.col("exposure_months")),
+    })
+
+
 def compare_persistence(df: DataFrame, keys: list[str], order: list[str], score: str, y: str, threshold: float, rules: list[tuple[int, int]]) -> DataFrame:
     """Alerts and false alerts of each rule (hits, rows); rule 1 of 1 is the raw signal. One sort serves all."""
     hit = F.col(score) >= threshold

@@ -200,6 +200,26 @@ FROM ke ORDER BY tier, round(short, 9), CASE WHEN tier = 2 THEN round(-event_rec
   CASE WHEN tier = 0 THEN round(-median_lead_days, 9) END, threshold DESC LIMIT 1"""
 
 
+def _episode_report(spark, sf_dir):
+    rows = timeseries.persistence(T(spark, sf_dir, "scored"), ["split", "tag"], ["ts", "event_id"], F.col(_S) >= 0.6)
+    return metrics.episode_report(rows, ["split"], F.col("persistent"))
+
+
+REPORT_SQL = """WITH RECURSIVE h AS (SELECT *, CASE WHEN score >= 0.6 THEN 1 ELSE 0 END AS h FROM {scored}),
+a AS (SELECT *, h = 1 AND sum(h) OVER (PARTITION BY split, tag ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) >= 3 AS al FROM h),
+g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY split, tag ORDER BY ts, event_id)) > 86400000000 THEN 1 ELSE 0 END AS g FROM a WHERE al),
+n AS (SELECT *, sum(g) OVER (PARTITION BY split, tag ORDER BY ts, event_id) AS e FROM g),
+ep AS (SELECT split, tag, e, min(ts) AS s, max(ts) AS t, count(*) AS alerts, max(y) AS y FROM n GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY split, tag ORDER BY s) AS i FROM ep),
+r AS (SELECT split, tag, i, TRUE AS sent, s AS last FROM k WHERE i = 1 UNION ALL
+  SELECT k.split, k.tag, k.i, k.s - r.last >= INTERVAL 72 HOUR, CASE WHEN k.s - r.last >= INTERVAL 72 HOUR THEN k.s ELSE r.last END FROM r JOIN k ON k.split = r.split AND k.tag = r.tag AND k.i = r.i + 1),
+c AS (SELECT split, count(*) AS episodes, count(*) FILTER (y = 1) AS true_episodes, count(*) FILTER (sent) AS notifications, count(*) FILTER (sent AND y = 0) AS false_notifications, sum(alerts)::BIGINT AS alerts,
+  quantile_cont((epoch_us(t) - epoch_us(s)) / 3.6e9 + 1, 0.5) AS median_span_hours, max((epoch_us(t) - epoch_us(s)) / 3.6e9 + 1) AS longest_hours FROM k JOIN r USING (split, tag, i) GROUP BY split),
+m AS (SELECT split, count(DISTINCT (tag, ts::DATE)) / 30.4375 AS x FROM h GROUP BY split)
+SELECT split, round(x, 6) AS exposure_months, coalesce(episodes, 0) AS episodes, coalesce(true_episodes, 0) AS true_episodes, coalesce(notifications, 0) AS notifications, coalesce(false_notifications, 0) AS false_notifications,
+ coalesce(alerts, 0) AS alerts, round(median_span_hours, 6) AS median_span_hours, round(longest_hours, 6) AS longest_hours, coalesce(episodes - true_episodes, 0) AS false_episodes, round(coalesce(true_episodes / episodes, 0), 6) AS episode_precision,
+ round(coalesce(episodes - true_episodes, 0) / x, 6) AS false_episodes_per_month, round(coalesce(false_notifications, 0) / x, 6) AS false_notifications_per_month FROM m LEFT JOIN c USING (split)"""
+
+
 def _event_metrics(spark, sf_dir):
     rows = labels.failure_labels(T(spark, sf_dir, "scored"), T(spark, sf_dir, "incidents"), (7,), 6)
     return rounded(metrics.event_metrics(rows, "next_failure_date", F.col(_S) >= 0.6, "days_to_next_failure"))
@@ -637,6 +657,7 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "met7_threshold_curve": (lambda s, d: rounded(_curve(s, d)), CURVE_SQL),
     "met8_select_threshold": (lambda s, d: rounded(metrics.select_threshold(_curve(s, d), 0.8, 3.0, 1.0)), SELECT_SQL),
     "met9_compare_persistence": (_rules, RULES_SQL),
+    "met12_episode_report": (lambda s, d: rounded(_episode_report(s, d)), REPORT_SQL),
     "agg24_event_metrics": (_event_metrics, EVENTS_SQL),
     "sta5_cluster_bootstrap": (_bootstrap, BOOT_SQL),
     "sta8_reliability": (_reliability, RELIABILITY_SQL),

@@ -94,9 +94,6 @@ QUERIES = {
     # Labels, feature tables and folds
     # Evaluation
     "met11_cohorts": "SELECT CASE WHEN tag % 10 = 0 THEN 'held_out' ELSE 'support' END AS cohort, count(*) AS n, count(DISTINCT tag) AS entities, count(*) FILTER (WHERE score >= 5e-1 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 5e-1 AND y = 0) AS fp, round(avg((score - y) * (score - y)), 6) AS brier FROM {scored} GROUP BY 1",
-    "met12_episode_report": """WITH a AS (SELECT tag, split, ts, event_id, y, lag(ts) OVER (PARTITION BY split, tag ORDER BY ts, event_id) AS before FROM {scored} WHERE score >= 6e-1),
-        b AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 24 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY split, tag ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM a), e AS (SELECT split, tag, episode, max(y) AS hit, count(*) AS alerts FROM b GROUP BY 1, 2, 3)
-        SELECT split, count(*) AS episodes, count(*) FILTER (WHERE hit = 0) AS false_episodes, CAST(sum(alerts) AS BIGINT) AS alerts, round(avg(alerts), 6) AS alerts_per_episode FROM e GROUP BY split""",
     "rob1_scenarios": f"WITH {SCENARIOS} SELECT scenario, tag, round(score, 9) AS score, level FROM v",
     "rob2_stability": f"""WITH {SCENARIOS} SELECT scenario, count(*) AS n, round(avg(CASE WHEN level = base_level THEN 1e0 ELSE 0e0 END), 6) AS retention, round(avg(CASE WHEN level = base_level OR level = 'REVIEW' THEN 1e0 ELSE 0e0 END), 6) AS safe_retention,
         count(*) FILTER (WHERE base_level = 'ACTION' AND level NOT IN ('ACTION', 'REVIEW')) AS urgent_lost, count(*) FILTER (WHERE base_level <> 'ACTION' AND level = 'ACTION') AS urgent_gained, count(*) FILTER (WHERE level = 'REVIEW') AS held, round(avg(abs(score - base)), 6) AS mean_change, round(max(abs(score - base)), 6) AS max_change FROM v GROUP BY scenario""",
