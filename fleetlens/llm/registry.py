@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, suffix_dedup, toxicity, urls, warc
+from . import decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, suffix_dedup, token_counts, toxicity, urls, warc
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_token_counts": token_counts.op11_token_counts,
 }
 
 ORACLE_SQL = {

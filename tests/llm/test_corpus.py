@@ -660,4 +660,4 @@ def test_url_rules(spark):
 
 
 def test_queries_have_the_asked_columns(spark):
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in registry.QUERIES}
