@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, prefix_trie, suffix_dedup, token_counts, toxicity, urls, warc
+from . import collocations, decontaminate, exact_dedup, lattice_lm, minmax_dedup, mixing, packing, prefix_trie, suffix_dedup, token_counts, toxicity, urls, warc
 
 QUERIES = {
     "op1_lattice_lm": lattice_lm.op1_lattice_lm,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": urls.op10_url_filter,
     "op11_token_counts": token_counts.op11_token_counts,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op10_url_filter": urls.OP10_SQL,
     "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
