@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, MOST_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
-#: Entries of a container that bursts, of a task's tries, and of its tables of words and prefixes; bytes of a block.
-BURST, ENTRIES, NAMES, BLOCK = 20_000, 1_500_000, 1_000_000, 4 << 20
+#: Entries of a container that bursts, and the parts it bursts into; entries of a task's tries, and of its tables of words and prefixes; bytes of a block.
+BURST, FAN, ENTRIES, NAMES, BLOCK = 50_000, 8, 1_500_000, 1_000_000, 4 << 20
 #: Bits of a filter, by its phrases and at most (32 MB); partitions of a frequent first word's phrases.
 BITS_EACH, MOST_BITS, SHARES = 16, 1 << 28, 64
 #: Upper case to lower case; what ends a piece becomes a full stop, which no word holds.
@@ -34,8 +36,8 @@ RUNS = "part long, lang string, phrase string, a long"
 class HatTrie:
     """Counts by key: prefix id in the upper 32 bits, word id in the lower ones.
 
-    A container (a dictionary) holds a range of prefixes. One with over BURST keys bursts: its range is cut in two at the
-    prefix in its middle, down to single prefixes.
+    A container (a dictionary) holds a range of prefixes. One with over BURST keys bursts into up to FAN containers of
+    about as many keys each, down to single prefixes.
     """
 
     def __init__(self) -> None:
@@ -46,30 +48,25 @@ class HatTrie:
         edges = np.searchsorted(keys, np.array(self.lows, np.uint64) << np.uint64(32)).tolist() + [len(keys)]
         for i in range(len(self.held) - 1, -1, -1):
             if edges[i] < edges[i + 1]:
-                held = self.held[i]
-                get, before = held.get, len(held)
-                for k, n in zip(keys[edges[i] : edges[i + 1]].tolist(), counts[edges[i] : edges[i + 1]].tolist(), strict=True):
-                    held[k] = get(k, 0) + n
+                held, new = self.held[i], keys[edges[i] : edges[i + 1]].tolist()
+                before = len(held)
+                held.update(zip(new, map(add, map(held.get, new, repeat(0)), counts[edges[i] : edges[i + 1]].tolist()), strict=True))
                 self.size += len(held) - before
                 if len(held) > BURST:
                     self._burst(i)
 
     def _burst(self, i: int) -> None:
         held = self.held[i]
-        prefixes = np.sort(np.fromiter(held, np.uint64, len(held)) >> np.uint64(32))
-        low, middle = int(prefixes[0]), int(prefixes[len(prefixes) // 2])
-        cut = middle if middle > low else int(prefixes[np.searchsorted(prefixes, middle, "right") % len(prefixes)])
-        if cut == low:
-            return
-        upper = {k: n for k, n in held.items() if k >> 32 >= cut}
-        for k in upper:
-            del held[k]
-        self.held[i] = dict(held)
-        self.lows.insert(i + 1, cut)
-        self.held.insert(i + 1, upper)
-        for k in (i + 1, i):
-            if len(self.held[k]) > BURST:
-                self._burst(k)
+        keys, counts = np.fromiter(held, np.uint64, len(held)), np.fromiter(held.values(), np.int64, len(held))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        prefixes = keys >> np.uint64(32)
+        # Ranges begin where a prefix does.
+        starts = np.unique(np.searchsorted(prefixes, prefixes[np.arange(FAN) * len(keys) // FAN])).tolist()
+        if len(starts) > 1:
+            ends = [*starts[1:], len(keys)]
+            self.held[i : i + 1] = [dict(zip(keys[a:b].tolist(), counts[a:b].tolist(), strict=True)) for a, b in zip(starts, ends, strict=True)]
+            self.lows[i + 1 : i + 1] = [int(prefixes[a]) for a in starts[1:]]
 
     def take(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys and counts of whole containers, the largest first, until no more than `most` keys are left."""
@@ -151,7 +148,11 @@ class PhraseCounter:
         if m <= 0:
             return
         if n == 1:
-            prefix, last = ids[ids > 0], None
+            counts = np.bincount(ids)
+            counts[0] = 0
+            (found,) = np.nonzero(counts)
+            if len(found):
+                self.tries.setdefault(lang, HatTrie()).add(found.astype(np.uint64) << np.uint64(32), counts[found])
         else:
             # Of phrases of n - 1 words, which may be frequent; then of n words, where both parts may.
             inside = ids > 0
@@ -166,10 +167,9 @@ class PhraseCounter:
             for k, table in enumerate(self.prefixes):
                 packed, inverse = np.unique(prefix << 32 | ids[at + k + 1], return_inverse=True)
                 prefix = np.fromiter(map(table.__getitem__, packed.tolist()), np.int64, len(packed))[inverse]
-        if len(prefix):
-            keys = prefix << 32 if last is None else prefix << 32 | last
-            keys, counts = np.unique(keys.astype(np.uint64), return_counts=True)
-            self.tries.setdefault(lang, HatTrie()).add(keys, counts)
+            if len(at):
+                keys, counts = np.unique((prefix << 32 | last).astype(np.uint64), return_counts=True)
+                self.tries.setdefault(lang, HatTrie()).add(keys, counts)
 
     def runs(self, most: int) -> Iterator[pa.RecordBatch]:
         """Rows of what has to go, so that all tries together hold `most` keys, half as many once they have more."""
@@ -191,14 +191,17 @@ class PhraseCounter:
             parts.append(packed & 0xFFFFFFFF)
             prefix = packed >> 32
         parts.append(prefix)
+        # In the order of the words' hashes, the first word first: the same in all tasks.
+        order = np.lexsort([self.hashes[p] for p in parts])
+        parts = [p[order] for p in parts]
         phrase = words.take(pa.array(parts[-1]))
         for p in parts[-2::-1]:
             phrase = pc.binary_join_element_wise(phrase, words.take(pa.array(p)), b" ")
-        share = self.hashes[parts[0]] % np.uint64(SHARES) if self.n > 1 else np.zeros(len(keys), np.uint64)
-        part = (grown(self.hashes[prefix] + share, np.full(len(keys), word_hash(lang.encode()), np.uint64)) >> np.uint64(16)).astype(np.int64)
-        order = pc.sort_indices(phrase)
-        run = pa.table({"part": pa.array(part), "lang": pa.DictionaryArray.from_arrays(np.zeros(len(keys), np.int32), [lang]).cast(pa.string()), "phrase": phrase.cast(pa.string()), "a": pa.array(counts)})
-        yield from run.take(order).to_batches(max_chunksize=50_000)
+        share = self.hashes[parts[0]] % np.uint64(SHARES) if self.n > 1 else np.uint64(0)
+        part = (common.mix(self.hashes[parts[-1]] + share + np.uint64(word_hash(lang.encode()))) >> np.uint64(16)).astype(np.int64)
+        langs = pa.DictionaryArray.from_arrays(np.zeros(len(keys), np.int32), [lang]).cast(pa.string())
+        run = pa.table({"part": pa.array(part), "lang": langs, "phrase": phrase.cast(pa.string()), "a": pa.array(counts[order])})
+        yield from run.to_batches(max_chunksize=50_000)
 
 
 def counted(texts: DataFrame, n: int, filter_: np.ndarray | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def phrases(counter, blocks):
     out = Counter()
     runs = [r for lang, data in blocks for r in counter.add(lang, data)] + list(counter.runs(0))
     for r in runs:
-        assert r.column(2).to_pylist() == sorted(r.column(2).to_pylist(), key=str.encode)
+        assert r.column(2).to_pylist() == sorted(r.column(2).to_pylist(), key=lambda p: [collocations.word_hash(w) for w in p.encode().split(b" ")])
         for _, lang, phrase, a in zip(*(c.to_pylist() for c in r.columns), strict=True):
             out[lang, phrase] += a
     return out, len(runs)
