@@ -28,8 +28,8 @@ LEAST, MOST_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 BURST, FAN, ENTRIES, NAMES, BLOCK = 50_000, 8, 1_500_000, 1_000_000, 4 << 20
 #: Bits of a filter, by its phrases and at most (32 MB); partitions of a frequent first word's phrases.
 BITS_EACH, MOST_BITS, SHARES = 16, 1 << 28, 64
-#: Upper case to lower case; what ends a piece becomes a full stop, which no word holds.
-BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
+#: Upper case to lower case, tabs to spaces; what ends a piece becomes a full stop, which no word holds.
+BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 RUNS = "part long, lang string, phrase string, a long"
 
 
@@ -122,13 +122,13 @@ class PhraseCounter:
         # Word 0 is the end of a piece. prefixes[k] numbers phrases of k + 2 words, as the id of all but the last and the last.
         self.words, self.hashes = Numbers([b"."]), np.zeros(1, np.uint64)
         self.prefixes = [Numbers([]) for _ in range(self.n - 2)]
+        self.short: dict[int, int] = {}
 
     def add(self, lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
         """data: texts with full stops between them, of any length. Yields runs where memory is full."""
         tail = np.zeros(0, np.int64)
         for piece in common.pieces(data.translate(BYTES), BLOCK):
-            tokens = piece.replace(b".", b" . ").split()
-            ids = np.concatenate([tail, np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))])
+            ids = np.concatenate([tail, self._ids(piece)])
             self._count(lang, ids, len(tail))
             tail = ids[len(ids) - min(len(ids), self.n - 1) :]
             if max(len(self.words.names), *(len(p.names) for p in self.prefixes), 0) > NAMES:
@@ -140,6 +140,37 @@ class PhraseCounter:
             else:
                 yield from self.runs(ENTRIES)
 
+    def _ids(self, piece: bytes) -> np.ndarray:
+        """Word ids in order, a 0 where pieces end. Words of up to 7 bytes are numbers (their bytes and length), of which
+        each distinct one is looked up once."""
+        data = np.frombuffer(piece + bytes(8), np.uint8)
+        stop = data[: len(piece)] == 46
+        inside = np.concatenate([[False], ~(stop | (data[: len(piece)] == 32)), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        size, ids = ends - starts, np.empty(len(starts), np.int64)
+        short = size <= 7
+        key = np.lib.stride_tricks.sliding_window_view(data, 8)[starts[short]].view("<u8").ravel()
+        length = size[short].astype(np.uint64)
+        key = key & ((np.uint64(1) << length * np.uint64(8)) - np.uint64(1)) | length << np.uint64(56)
+        distinct, inverse = np.unique(key, return_inverse=True)
+        known = []
+        for k in distinct.tolist():
+            i = self.short.get(k)
+            if i is None:
+                i = self.short[k] = self.words[k.to_bytes(8, "little")[: k >> 56]]
+            known.append(i)
+        ids[short] = np.array(known, np.int64)[inverse]
+        long = np.flatnonzero(~short)
+        ids[long] = np.fromiter((self.words[piece[a:b]] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.int64, len(long))
+        stops = np.flatnonzero(stop)
+        before = np.searchsorted(stops, starts)
+        breaks = np.diff(before, prepend=0) > 0
+        last = int(len(stops) > (before[-1] if len(ids) else 0))
+        out = np.zeros(len(ids) + int(breaks.sum()) + last, np.int64)
+        out[np.arange(len(ids)) + np.cumsum(breaks)] = ids
+        return out
+
     def _count(self, lang: str, ids: np.ndarray, old: int) -> None:
         names = self.words.names
         if len(names) > len(self.hashes):
@@ -155,13 +186,19 @@ class PhraseCounter:
                 self.tries.setdefault(lang, HatTrie()).add(found.astype(np.uint64) << np.uint64(32), counts[found])
         else:
             # Of phrases of n - 1 words, which may be frequent; then of n words, where both parts may.
-            inside = ids > 0
-            whole, h = inside.copy(), grown(np.full(len(ids), word_hash(lang.encode()), np.uint64), self.hashes[ids])
-            for k in range(1, n - 1):
-                whole = whole[:-1] & inside[k:]
-                h = grown(h[:-1], self.hashes[ids[k:]])
-            known = whole
-            known[whole] = may_hold(self.filter, h[whole])
+            seed = np.uint64(word_hash(lang.encode()))
+            if n == 2:
+                known = may_hold(self.filter, grown(np.full(len(self.hashes), seed), self.hashes))
+                known[0] = False
+                known = known[ids]
+            else:
+                inside = ids > 0
+                whole, h = inside.copy(), grown(np.full(len(ids), seed), self.hashes[ids])
+                for k in range(1, n - 1):
+                    whole = whole[:-1] & inside[k:]
+                    h = grown(h[:-1], self.hashes[ids[k:]])
+                known = whole
+                known[whole] = may_hold(self.filter, h[whole])
             at = np.flatnonzero(known[:m] & known[1 : m + 1])
             prefix, last = ids[at], ids[at + n - 1]
             for k, table in enumerate(self.prefixes):
