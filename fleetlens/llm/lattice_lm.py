@@ -323,7 +323,8 @@ def fit(counts: DataFrame, texts: list[int], vocabulary: list[tuple[bytes, float
     discount = np.where(once > 0, np.clip(once / np.maximum(1, once + 2 * twice), 0.05, 0.95), 0.5)
     share = np.where(tokens > 0, discount * words / np.maximum(1, tokens), 1.0)
     n = np.array(texts, float)
-    end = np.where(n > 0, n / np.maximum(1, n + tokens), 0.01)
+    # A class without texts or without words has no share of its own.
+    end = np.where((n > 0) & (tokens > 0), n / np.maximum(1, n + tokens), 0.01)
     pieces, start = [p for p, _ in vocabulary], np.array([w for _, w in vocabulary])
     weights = np.repeat(np.log(start)[:, None], len(texts), 1)
     word = F.coalesce("long", "key").alias("word")
