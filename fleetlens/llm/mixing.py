@@ -14,22 +14,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def ranked_sources(sized: DataFrame) -> DataFrame:
-    """One row per source: source, source_size, n, rank from 0 by code point, null last.
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows, stored, with their place from 0 in the order.
 
-    The rank comes from a distributed sort: position within a partition plus the rows of the partitions before it
-    (the driver sees one count per partition).
+    The place comes from a distributed sort: position within a partition plus the rows of the partitions before it (the
+    driver sees one count per partition).
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    at = F.monotonically_increasing_id()
-    rows = common.stored(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", at))
-    rows = rows.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
-    before, ranks = 0, []
-    for part, n in sorted(rows.groupBy("part").count().collect()):
-        ranks.append((part, before))
+    kept = common.stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    kept = kept.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    before, starts = 0, []
+    for part, n in sorted(kept.groupBy("_part").count().collect()):
+        starts.append((part, before))
         before += n
-    first = sized.sparkSession.createDataFrame(ranks or [(0, 0)], "part long, before long")
-    return rows.join(F.broadcast(first), "part").select("source", "source_size", "n", (F.col("at") + F.col("before")).alias("rank"))
+    first = rows.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _before long")
+    return kept.join(F.broadcast(first), "_part").withColumn(name, F.col("_at") + F.col("_before")).select(*rows.columns, name)
+
+
+def ranked_sources(sized: DataFrame) -> DataFrame:
+    """One row per source: source, source_size, n, rank from 0 by code point, null last."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    return placed(per, [F.col("source").asc_nulls_last()], "rank")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -56,23 +60,40 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def drawn(docs: DataFrame, seed: str) -> DataFrame:
+    """docs with u, the row's draw: by its doc_id, or, where that is null or has several rows, by the row's place among
+    all such rows in the order of id, source and text. Equal rows are one another's like, so reruns agree."""
+    keyed = docs.withColumn("_id", F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("")))
+    again = common.stored(keyed.groupBy("_id").agg(F.count("*").alias("_rows")).where("_rows > 1 OR _id = ''"))
+    by_id = draw(F.col("doc_id"), seed)
+    if not again.limit(1).count():
+        return docs.withColumn("u", by_id)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = common.stored(common.heavy_join(keyed, again.withColumn("_odd", F.lit(True)), ["_id"], text, count="_rows"))
+    odd = marked.where("_odd").drop("_odd", "_rows").withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("_id"), F.col("source").asc_nulls_last(), text, F.col("_row")]
+    by_place = placed(odd, order, "_place").withColumn("u", draw(F.concat(F.lit("again|"), F.col("_place").cast("string")), seed))
+    once = marked.where("_odd IS NULL").withColumn("u", by_id)
+    return once.select(*docs.columns, "u").unionByName(by_place.select(*docs.columns, "u"))
+
+
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix holds the row).
 
     copies is floor(rate) plus one more with probability rate - floor(rate), rate = target / source_size.
-    Null or empty texts have size 0 and are drawn like others; a null source is a source. Repeated rows with one doc_id
-    draw alike. A source with no words has rate 0. Columns of docs stay, but for those named like the new ones.
+    Null or empty texts have size 0 and are drawn like others; a null source is a source. Rows without
+    a doc_id and rows that repeat one each have a draw of their own. A source with no words has rate 0. Columns of docs stay, but for those named like the new ones.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "n")
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    docs = docs.drop("size", "source_size", "target", "copies", "n", "u")
+    sized = drawn(docs, seed).withColumn("size", word_count(F.col("text")))
     targets = common.stored(source_targets(sized.select("source", "size"), weights, cap))
     keyed = sized.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     by = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_src"), "source_size", "target", "n")
     joined = common.heavy_join(keyed, by, ["_src"], F.col("doc_id"))
     rate = F.least(F.lit(float(cap)), F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
     whole = F.floor(rate)
-    copies = whole + (draw(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return joined.withColumn("copies", copies.cast("long")).drop("_src", "n")
+    copies = whole + (F.col("u") < rate - whole).cast("long")
+    return joined.withColumn("copies", copies.cast("long")).drop("_src", "n", "u")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

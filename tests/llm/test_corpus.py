@@ -661,3 +661,52 @@ def test_url_rules(spark):
 
 def test_queries_have_the_asked_columns(spark):
     assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in registry.QUERIES}
+
+
+def test_mix_comes_near_its_target_without_ids_and_with_repeated_ones(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(["w"] * rng.randint(3, 9))
+    rows = [(None, text(), "a") for _ in range(400)] + [(7, text(), "b") for _ in range(400)] + [(None, "same text here", "c")] * 400 + [(i, text(), "d") for i in range(100, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.with_copies(docs).collect()
+    assert len(out) == len(rows)
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 0.12 * t for s, t in target.items()), (taken, target)
+    again = mixing.with_copies(docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_lattice_of_classes_without_words(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, "en"), (2, "", "en"), (3, "some words here", "de"), (4, "  ", "fr"), (5, "words again", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for training in (F.lit(True), F.col("doc_id") != 5):
+        words, model = lattice_lm.learned(docs, training, "lang")
+        out = {r.doc_id: r for r in lattice_lm.score(docs, words, model).collect()}
+        assert len(out) == 5 and all(math.isfinite(r.score) and r.score < 0 for r in out.values()) and out[5].score < out[2].score
+    nothing = docs.withColumn("text", F.lit(None).cast("string"))
+    words, model = lattice_lm.learned(nothing, F.lit(True), "lang")
+    assert all(math.isfinite(r.score) for r in lattice_lm.score(nothing, words, model).collect())
+
+
+CONTRACTS = {
+    "op1": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op2": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op3": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op4": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op5": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op7": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op9": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op10": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+}
+
+
+@pytest.mark.parametrize("op", CONTRACTS)
+def test_query_has_the_columns_of_its_contract(spark, op):
+    (name,) = [n for n in registry.QUERIES if n.split("_")[0] == op]
+    got = dict(registry.QUERIES[name](spark, "/root/testdata/sf0.001").dtypes)
+    assert {c: got.get(c) for c in CONTRACTS[op]} == CONTRACTS[op]
