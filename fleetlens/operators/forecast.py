@@ -6,16 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def on_calendar(df: DataFrame, key: str, day: str, y: str) -> DataFrame:
-    """Each entity's days without gaps; missing values lie on the line between their neighbours."""
-    grid = df.groupBy(key).agg(F.explode(F.sequence(F.min(day), F.max(day))).alias(day))
-    rows = grid.join(df.select(key, day, y), [key, day], "left")
-    w = Window.partitionBy(key).orderBy(day)
+def on_calendar(df: DataFrame, key: str, day: str, y: str, most_missing: float | None = None) -> DataFrame:
+    """Each entity's days without gaps; missing values lie on the line between their neighbours.
+
+    most_missing: entities with a larger share of days without a value are left out; missing_shares() names them. Both
+    neighbours come from windows that run towards the day. Rows without a key or day are left out.
+    """
+    known = df.where(F.col(key).isNotNull() & F.col(day).isNotNull())
+    grid = known.groupBy(key).agg(F.explode(F.sequence(F.min(day), F.max(day))).alias(day))
+    rows = grid.join(known.select(key, day, y), [key, day], "left")
     at = F.when(F.col(y).isNotNull(), F.struct(F.col(day).alias("d"), F.col(y).alias("v")))
-    rows = rows.withColumns({"_b": F.last(at, ignorenulls=True).over(w), "_a": F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    last = lambda order: F.last(at, ignorenulls=True).over(Window.partitionBy(key).orderBy(order))
+    rows = rows.withColumns({"_b": last(F.col(day)), "_a": last(F.col(day).desc())})
+    if most_missing is not None:
+        share = F.avg(F.col(y).isNull().cast("double")).over(Window.partitionBy(key))
+        rows = rows.withColumn("_missing", share).where(F.col("_missing") <= most_missing)
     gap = F.date_diff("_a.d", "_b.d")
     blend = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * F.date_diff(F.col(day), F.col("_b.d")) / F.nullif(gap, F.lit(0))
-    return rows.select(key, day, F.coalesce(y, blend).alias(y), F.col(y).isNull().alias("filled"))
+    # Beyond the first or last value there is one neighbour only; it goes on.
+    return rows.select(key, day, F.coalesce(y, blend, "_b.v", "_a.v").alias(y), F.col(y).isNull().alias("filled"))
+
+
+def missing_shares(df: DataFrame, key: str, day: str, y: str) -> DataFrame:
+    """key, days, missing: the days between an entity's first and last one, and the share of them without a value."""
+    known = df.where(F.col(key).isNotNull() & F.col(day).isNotNull())
+    days = F.date_diff(F.max(day), F.min(day)) + 1
+    return known.groupBy(key).agg(days.alias("days"), (1 - F.count_distinct(F.when(F.col(y).isNotNull(), F.col(day))) / days).alias("missing"))
 
 
 def lag_matrix(df: DataFrame, key: str, day: str, y: str, lags: tuple[int, ...] = (1, 2, 3, 7, 14, 28)) -> DataFrame:

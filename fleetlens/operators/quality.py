@@ -56,6 +56,72 @@ def assess_quality(latest: DataFrame, key: str, profile: DataFrame, cols: list[s
     return out.withColumns({"status": F.when(reason.isNull(), "PASS").otherwise("REVIEW"), "publish_allowed": reason.isNull(), "reason": F.coalesce(reason, F.lit("passed"))})
 
 
+def hours_expanded(intervals: DataFrame, key: str, start: str, hours: Column) -> DataFrame:
+    """key, hour of each full or begun hour that an interval of so many hours touches from its start on, once each.
+
+    Intervals without a start or of no length touch none.
+    """
+    first = F.date_trunc("hour", start)
+    rows = intervals.where(F.col(start).isNotNull() & (hours > 0)).select(key, F.explode(F.sequence(first, first + F.make_dt_interval(hours=(F.ceil(hours) - 1).cast("int")), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    return rows.distinct()
+
+
+def reconciled(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
+    """key, both, left_only, right_only: how two lists of (key, at) cover each other, repeated rows once."""
+    one = left.select(key, at).distinct().withColumn("l", F.lit(1)).unionByName(right.select(key, at).distinct().withColumn("l", F.lit(2)))
+    each = one.groupBy(key, at).agg(F.sum("l").alias("s"))
+    return each.groupBy(key).agg(F.count_if(F.col("s") == 3).alias("both"), F.count_if(F.col("s") == 1).alias("left_only"), F.count_if(F.col("s") == 2).alias("right_only"))
+
+
+def hour_gaps(df: DataFrame, key: str, ts: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """key, expected, seen, missing, first_missing of the hours from start to end (else each entity's own first and last).
+
+    Only entities whose counts differ get a grid of hours, against which theirs are anti-joined.
+    """
+    hour = F.date_trunc("hour", ts)
+    inside = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    inside = inside if start is None else inside.where(hour >= F.date_trunc("hour", start))
+    inside = inside if end is None else inside.where(hour <= F.date_trunc("hour", end))
+    seen = inside.select(key, hour.alias("hour")).distinct()
+    span = seen.groupBy(key).agg(F.min("hour").alias("a"), F.max("hour").alias("b"), F.count("*").alias("seen"))
+    span = span.withColumns({k: F.date_trunc("hour", v) for k, v in (("a", start), ("b", end)) if v is not None})
+    span = span.withColumn("expected", ((F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / 3_600_000_000 + 1).cast("long"))
+    short = span.where("seen < expected")
+    grid = short.select(key, F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    gaps = grid.join(seen, [key, "hour"], "left_anti").groupBy(key).agg(F.count("*").alias("missing"), F.min("hour").alias("first_missing"))
+    return span.select(key, "expected", "seen").join(gaps, key, "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+
+
+def facet_options(dim: DataFrame, selected: dict[str, list]) -> tuple[dict[str, list], DataFrame]:
+    """What stays of a selection, and (field, choice, chosen) of all values that go with what the other fields have chosen.
+
+    A field with an empty selection does not filter. Values that no row has together with the other fields' choices are
+    dropped, round by round until none is, since a dropped one may free or bar others. Rounds go over the distinct
+    combinations of the fields, not the rows; what comes to the driver are chosen values that stay.
+    """
+    fields = list(selected)
+    cells = dim.groupBy(*fields).agg(F.count("*").alias("n")).persist()
+    chosen = {f: list(v) for f, v in selected.items()}
+    others = lambda f: [F.col(g).isin(chosen[g]) for g in fields if g != f and chosen[g]]
+
+    def scoped(f: str) -> DataFrame:
+        rows = cells
+        for c in others(f):
+            rows = rows.where(c)
+        return rows
+
+    while True:
+        stay = {f: [v for v in chosen[f] if v in {r[0] for r in scoped(f).where(F.col(f).isin(chosen[f])).select(f).distinct().collect()}] if chosen[f] else [] for f in fields}
+        if stay == chosen:
+            break
+        chosen = stay
+    out = None
+    for f in fields:
+        part = scoped(f).groupBy(f).agg(F.sum("n").alias("n")).select(F.lit(f).alias("field"), F.col(f).cast("string").alias("choice"), F.col(f).isin(chosen[f]).alias("chosen") if chosen[f] else F.lit(False).alias("chosen"), "n")
+        out = part if out is None else out.unionByName(part)
+    return chosen, out
+
+
 def frame_profile(df: DataFrame) -> DataFrame:
     """Rows, nulls and distinct values per column, one pass."""
     one = df.agg(*[F.struct(F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("d")).alias(c) for c in df.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 #: Common English words that say nothing of a text's subject.
 STOP_WORDS = tuple(
@@ -24,24 +26,138 @@ def terms(docs: DataFrame, id_: str, text: str, least: int = 2) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), words.alias("_w")).select("id", F.explode(F.concat(w, pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, term, weight: (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), each text scaled to length 1."""
-    t = terms(docs, id_, text)
+def idf_of(t: DataFrame, total: DataFrame) -> DataFrame:
+    """term, df, idf of terms(): ln((1 + n) / (1 + df)) + 1. total has one row with the number of texts, n."""
     df = t.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    raw = t.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    return df.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighted(t: DataFrame, idf: DataFrame) -> DataFrame:
+    """id, term, weight, df: (1 + ln tf) idf, each text scaled to length 1. Terms without an idf do not count."""
+    raw = t.join(idf, "term").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.pow("weight", 2))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("weight"), "df")
 
 
-def cosine_topk(queries: DataFrame, index: DataFrame, k: int = 3, threshold: float = 0.08) -> DataFrame:
-    """query_id, id, score, rank: the k nearest by cosine of queries whose nearest reaches the threshold.
+def tfidf(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """id, term, weight, df of the texts by their own idf."""
+    t = terms(docs, id_, text)
+    return weighted(t, idf_of(t, docs.agg(F.count("*").alias("n"))))
+
+
+#: Postings that one task reads of a term; a term's first postings that seed a query; texts that bound its k-th score.
+POSTINGS, SEED, SEEDS = 100_000, 64, 16
+SLACK = 1e-9
 
-    Both sides are (id, term, weight); a row is no answer to itself. Ties go to the smaller id.
+
+def bounded(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, term, qw, df, before (postings of the query's rarer terms), rest: what this term and the more frequent
+    ones can add to a text's score at most, by the largest weights of their postings and by their length."""
+    most = index.groupBy("term").agg(F.max("weight").alias("most"), F.max("df").alias("df"))
+    q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw")).join(most, "term")
+    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    frequent = Window.partitionBy("query_id").orderBy(F.col("df").desc(), F.col("term").desc())
+    rest = F.least(F.sum(F.col("qw") * F.col("most")).over(frequent), F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(frequent)))
+    return q.select("query_id", "term", "qw", "df", F.coalesce(F.sum("df").over(rare), F.lit(0)).alias("before"), rest.alias("rest"))
+
+
+def posted(q: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, id, part: what the terms of q (query_id, term, qw, df) give to each text that has one of them.
+
+    A term with many postings is dealt to several tasks by the texts' ids.
     """
-    q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    met = q.join(index.select("id", "term", "weight"), "term").where("id <> query_id")
-    scores = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
+    shares = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(POSTINGS))).cast("int")
+    asked = q.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).select("query_id", "term", "qw", "share")
+    held = index.select("id", "term", "weight", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"))
+    return asked.join(held, ["term", "share"]).where("id <> query_id").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("part"))
+
+
+def completed(pairs: DataFrame, q: DataFrame, index: DataFrame) -> DataFrame:
+    """pairs (query_id, id, part) with score: part and what the terms of q, which part does not have, add."""
+    more = pairs.select("query_id", "id").join(q.select("query_id", "term", "qw"), "query_id").join(index.select("id", "term", "weight"), ["id", "term"])
+    more = more.groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("more"))
+    return pairs.join(more, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 9).alias("score"))
+
+
+def placed(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = scores.withColumns({"rank": F.row_number().over(w), "_best": F.first("score").over(w)})
-    return ranked.where((F.col("rank") <= k) & (F.col("_best") >= threshold)).drop("_best")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def reached(queries: DataFrame, index: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """pairs (query_id, id, part) that can be among a query's k best, and the terms (query_id, term, qw) that part lacks.
+
+    Terms are taken from the rarest on. The texts that a query's rarest terms lead to are scored in full; the k-th of these
+    scores is a bound that the answer cannot fall below. A term is needed as long as it and the more frequent ones together
+    can reach the bound; a text that only meets terms beyond never gets there, nor does one whose part falls short of
+    it by more than those can add.
+    """
+    q = stored(bounded(queries, index))
+    first = q.where(F.col("before") < SEED)
+    seeds = placed(posted(first, index).withColumnRenamed("part", "score"), max(SEEDS, k)).withColumnRenamed("score", "part").drop("rank")
+    bound = placed(completed(seeds, q.where(F.col("before") >= SEED), index), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    judged = q.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)) - SLACK)
+    judged = stored(judged)
+    needed, beyond = judged.where(F.col("rest") >= F.col("bound")), judged.where(F.col("rest") < F.col("bound"))
+    room = judged.groupBy("query_id").agg(F.first("bound").alias("bound"), F.coalesce(F.max(F.when(F.col("rest") < F.col("bound"), F.col("rest"))), F.lit(0.0)).alias("room"))
+    pairs = posted(needed, index).join(room, "query_id").where(F.col("part") + F.col("room") >= F.col("bound"))
+    return pairs.select("query_id", "id", "part"), beyond.select("query_id", "term", "qw")
+
+
+def cosine_topk(queries: DataFrame, index: DataFrame, k: int = 3, threshold: float | None = 0.08) -> DataFrame:
+    """query_id, id, score, rank: the k nearest by cosine of queries whose nearest reaches the threshold (None: of all).
+
+    Both sides are (id, term, weight) with vectors of length 1, index with df too; a row is no answer to itself. Ties go to
+    the smaller id. Texts that share no term with a query are no answers. Exact; see reached() for what is left out.
+    """
+    pairs, beyond = reached(queries, index, k)
+    ranked = placed(completed(pairs, beyond, index), k)
+    if threshold is None:
+        return ranked
+    best = F.first("score").over(Window.partitionBy("query_id").orderBy("rank"))
+    return ranked.withColumn("_best", best).where(F.col("_best") >= threshold).drop("_best")
+
+
+def verified_cases(slides: DataFrame, verified: str = "real_rca_backed") -> tuple[DataFrame, DataFrame]:
+    """cases (case_no, content, slides) and their slides, of verified sources only.
+
+    slides: case_no, slide_no, source_type, title, content. A case is told in the order of its slides; null contents are
+    empty. Slides without a case are none.
+    """
+    kept = slides.where((F.col("source_type") == verified) & F.col("case_no").isNotNull()).withColumn("content", F.coalesce("content", F.lit("")))
+    told = F.sort_array(F.collect_list(F.struct("slide_no", "content")))
+    return kept.groupBy("case_no").agg(F.concat_ws(" ", told["content"]).alias("content"), F.count_distinct("slide_no").alias("slides")), kept
+
+
+def retrieve_cases(queries: DataFrame, slides: DataFrame, k: int = 3, threshold: float = 0.08, excerpt: int = 700) -> DataFrame:
+    """query_id, rank, case_no, score, status, slides, evidence_slide, evidence_score, excerpt: the k verified cases most
+    like each query that may be answered, and the slide of each case that speaks for it.
+
+    queries: query_id, text, level, quality; answered are those whose level is not NORMAL and whose quality is PASS. Weights
+    are those of the cases; a query's other words do not count. Status is VERIFIED_PRECEDENT on rank 1 from the threshold
+    on, else BELOW_THRESHOLD. The evidence is the case's slide most like the query by the slides' own weights, the first
+    of equals; without a common word it is the first slide. Cases without a common word are not listed.
+    """
+    cases, kept = verified_cases(slides)
+    asked = stored(terms(queries.where((F.col("level") != "NORMAL") & (F.col("quality") == "PASS")), "query_id", "text"))
+
+    def fitted(docs: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+        t = stored(terms(docs, id_, "content"))
+        idf = stored(idf_of(t, docs.agg(F.count("*").alias("n"))))
+        return stored(weighted(t, idf)), stored(weighted(asked, idf))
+
+    index, q = fitted(cases, "case_no")
+    # Cases and queries have ids of their own: a query's id says nothing of a case with the same one.
+    mark = lambda df, by: df.withColumn("id", F.struct(F.lit(by).alias("of"), F.col("id").cast("string").alias("name"), F.col("id").alias("id")))
+    found = cosine_topk(mark(q, 1), mark(index, 0), k, None)
+    found = stored(found.select(F.col("query_id.id").alias("query_id"), F.col("id.id").alias("case_no"), "score", "rank"))
+    told = kept.select("case_no", F.struct("case_no", "slide_no").alias("slide"), "slide_no", "content").dropDuplicates(["case_no", "slide_no"])
+    s_index, s_q = fitted(told.select("slide", "content"), "slide")
+    pairs = found.select("query_id", "case_no").join(told.select("case_no", "slide", "slide_no", "content"), "case_no")
+    met = pairs.select("query_id", "slide").join(s_index.withColumnRenamed("id", "slide"), "slide").join(s_q.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw")), ["query_id", "term"])
+    met = met.groupBy("query_id", "slide").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("s"))
+    each = pairs.join(met, ["query_id", "slide"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    best = each.groupBy("query_id", "case_no").agg(F.max_by(F.struct("slide_no", "s", F.substring("content", 1, excerpt).alias("excerpt")), F.struct("s", -F.col("slide_no"))).alias("e"))
+    status = F.when((F.col("rank") == 1) & (F.col("score") >= threshold), "VERIFIED_PRECEDENT").otherwise("BELOW_THRESHOLD")
+    out = found.join(best, ["query_id", "case_no"]).join(cases.select("case_no", "slides"), "case_no")
+    return out.select("query_id", "rank", "case_no", "score", status.alias("status"), "slides", F.col("e.slide_no").alias("evidence_slide"), F.col("e.s").alias("evidence_score"), F.col("e.excerpt").alias("excerpt"))

@@ -45,22 +45,49 @@ def time_features(df: DataFrame, ts: str) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, direction: str, allow_exact: bool, cols: list[str]) -> DataFrame:
     """left with cols of the nearest row of right before ("backward") or after ("forward") it, by entity.
 
-    One union and one window: no join, and rows of an entity are sorted once. At equal times, allow_exact decides.
-    Of rows of right at one time the last by its columns' order counts. cols get the prefix asof_.
+    One union and one window that runs towards the row, so its cost is that of a sort: no join. At equal times,
+    allow_exact decides. Of rows of right at one time the nearest by its columns' order counts: the last one backward, the
+    first one forward. cols get the prefix asof_. Rows without an entity or a time have no match and match nothing.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction: {direction}")
     forward = direction == "forward"
-    event = right.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.struct(F.col(right_ts).alias("_at"), *cols).alias("_event"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    keyed = lambda ts: F.col(by).isNotNull() & F.col(ts).isNotNull()
+    event = right.where(keyed(right_ts)).select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.struct(F.col(right_ts).alias("_at"), *cols).alias("_event"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
     row = left.select(F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(None).cast(event.schema["_event"].dataType).alias("_event"), F.struct("*").alias("_row"))
     is_row = F.col("_row").isNotNull().cast("int")
-    rank = is_row if allow_exact != forward else 1 - is_row
-    w = Window.partitionBy("_by").orderBy("_ts", rank, "_event")
-    pick = F.first("_event", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = row.unionByName(event).withColumn("_pick", pick).where("_row IS NOT NULL")
+    # At a row's own time, events come before it in the window's order if they may match.
+    order = [F.col("_ts"), is_row if allow_exact else 1 - is_row, F.col("_event")]
+    order = [order[0].desc(), order[1], order[2].desc()] if forward else order
+    w = Window.partitionBy("_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("_by").isNotNull() & F.col("_ts").isNotNull()
+    found = row.where(known).unionByName(event).withColumn("_pick", F.last("_event", ignorenulls=True).over(w)).where("_row IS NOT NULL")
+    out = found.select("_row", "_pick").unionByName(row.where(~known).select("_row", F.col("_event").alias("_pick")))
     return out.select("_row.*", F.col("_pick")["_at"].alias("asof_ts"), *[F.col("_pick")[c].alias(f"asof_{c}") for c in cols])
 
 
+def nearest_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, cols: list[str], tolerance_s: float | None = None) -> DataFrame:
+    """left with cols of the row of right that is nearest in time, by entity; of two as near the earlier one.
+
+    Both neighbours come from windows over one partitioning, one in each direction; a row at the same time is the nearest.
+    Beyond tolerance_s there is none. cols get the prefix nearest_, and nearest_ts is the row's time. Of rows of right at one
+    time the last by its columns' order counts. Rows without an entity or a time have no match and match nothing.
+    """
+    keyed = lambda ts: F.col(by).isNotNull() & F.col(ts).isNotNull()
+    of = right.where(keyed(right_ts)).groupBy(F.col(by).alias("_by"), F.col(right_ts).alias("_ts")).agg(F.max(F.struct(F.col(right_ts).alias("_at"), *cols)).alias("_event"))
+    event = of.select("_by", "_ts", "_event", F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    row = left.select(F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(None).cast(event.schema["_event"].dataType).alias("_event"), F.struct("*").alias("_row"))
+    known, is_row = F.col("_by").isNotNull() & F.col("_ts").isNotNull(), F.col("_row").isNotNull().cast("int")
+    last = lambda ts: F.last("_event", ignorenulls=True).over(Window.partitionBy("_by").orderBy(ts, is_row).rowsBetween(Window.unboundedPreceding, -1))
+    found = row.where(known).unionByName(event).withColumns({"_a": last(F.col("_ts")), "_b": last(F.col("_ts").desc())}).where("_row IS NOT NULL")
+    before, after = seconds("_ts") - seconds(F.col("_a._at")), seconds(F.col("_b._at")) - seconds("_ts")
+    pick = F.when(F.col("_b").isNull() | (before <= after), F.col("_a")).otherwise(F.col("_b"))
+    if tolerance_s is not None:
+        pick = F.when(F.abs(seconds(pick["_at"]) - seconds("_ts")) <= tolerance_s, pick)
+    out = found.select("_row", pick.alias("_pick")).unionByName(row.where(~known).select("_row", F.col("_event").alias("_pick")))
+    return out.select("_row.*", F.col("_pick")["_at"].alias("nearest_ts"), *[F.col("_pick")[c].alias(f"nearest_{c}") for c in cols])
+
+
 def window_around(events: DataFrame, readings: DataFrame, by: str, event_ts: str, ts: str, before_h: int = 48, after_h: int = 24) -> DataFrame:
     """Readings from before_h before to after_h after each event, both ends in: an equi-join on entity and day, then the range."""
     span = F.sequence(F.to_date(F.col(event_ts) - F.make_dt_interval(hours=F.lit(before_h))), F.to_date(F.col(event_ts) + F.make_dt_interval(hours=F.lit(after_h))))

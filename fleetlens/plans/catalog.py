@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, forecast, labels, metrics, quality, retrieval, risk, timeseries
 from ..sources import documents as docs_source
-from ..sources import tables
+from ..sources import store, tables
 from ..streaming import flows
 from . import adapters, fitted, reports, rollups
 from .adapters import rounded
@@ -483,18 +483,50 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), rw AS (SELECT id, ter
 nm AS (SELECT id, sqrt(sum(v * v)) AS nm FROM rw GROUP BY id), ti AS (SELECT id, term, v / nm AS weight FROM rw JOIN nm USING (id))"""
 
 
-def _retrieval(spark, sf_dir):
-    """Every hundredth case asks, all others answer; as long as the best is like enough."""
-    t = retrieval.tfidf(T(spark, sf_dir, "documents"), "doc_id", "text").drop("df")
+def _nearest_documents(spark, sf_dir):
+    """Every hundredth document asks, all others answer; as long as the best is like enough."""
+    t = store.stored(retrieval.tfidf(T(spark, sf_dir, "documents"), "doc_id", "text"))
     return rounded(retrieval.cosine_topk(t.where("id % 100 = 0"), t, 3, 0.08))
 
 
+#: Cases are five documents in a row, of which every third is no verified one; every twentieth document asks.
+SLIDES = """SELECT doc_id - doc_id % 5 AS case_no, doc_id % 5 AS slide_no, CASE WHEN doc_id % 15 < 10 THEN 'real_rca_backed' ELSE 'synthetic_support' END AS source_type, source AS title, text AS content FROM {documents}"""
+ASKED = """SELECT doc_id AS query_id, text, CASE WHEN doc_id % 60 = 0 THEN 'NORMAL' ELSE 'MONITOR' END AS level, CASE WHEN doc_id % 100 = 0 THEN 'REVIEW' ELSE 'PASS' END AS quality FROM {documents} WHERE doc_id % 20 = 0"""
+
+
+def _retrieval(spark, sf_dir):
+    found = retrieval.retrieve_cases(adapters.run(spark, sf_dir, ASKED), adapters.run(spark, sf_dir, SLIDES))
+    return rounded(found.withColumn("excerpt", F.md5("excerpt")))
+
+
 DOCUMENTS_CTE = TFIDF_CTE.replace("{benchmark}", "{documents}").replace("item_id", "doc_id")
-RETRIEVAL_SQL = f"""WITH {DOCUMENTS_CTE}, sc AS (SELECT q.id AS query_id, i.id, round(sum(q.weight * i.weight), 9) AS score FROM ti q JOIN ti i USING (term) WHERE q.id % 100 = 0 AND i.id <> q.id GROUP BY 1, 2),
+NEAREST_SQL = f"""WITH {DOCUMENTS_CTE}, sc AS (SELECT q.id AS query_id, i.id, round(sum(q.weight * i.weight), 9) AS score FROM ti q JOIN ti i USING (term) WHERE q.id % 100 = 0 AND i.id <> q.id GROUP BY 1, 2),
 rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM sc)
 SELECT query_id, id, round(score, 6) AS score, rank FROM rn WHERE rank <= 3 AND best >= 0.08"""
 
 
+def _terms_sql(x: str, table: str, id_: str, text: str) -> str:
+    """{x}f: id, term, tf of a table's texts."""
+    words = f"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND NOT list_contains([{', '.join(repr(w) for w in retrieval.STOP_WORDS)}], x))"
+    return f"{x}w AS (SELECT {id_} AS id, {words} AS w FROM {table}), {x}f AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {x}w) GROUP BY 1, 2)"
+
+
+def _fit_sql(x: str) -> str:
+    """{x}i: the index over {x}f, {x}q: the queries by its weights."""
+    weigh = lambda name, t: f"{name}r AS (SELECT id, term, (1 + ln(tf)) * idf AS v FROM {t} JOIN {x}d USING (term)), {name} AS (SELECT id, term, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS w FROM {name}r)"
+    return f"{x}d AS (SELECT term, ln((1 + (SELECT count(*) FROM {x}w)) / (1 + count(*))) + 1 AS idf FROM {x}f GROUP BY term), {weigh(f'{x}i', f'{x}f')}, {weigh(f'{x}q', 'qf')}"
+
+
+RETRIEVAL_SQL = f"""WITH sl AS ({SLIDES}), ve AS (SELECT * FROM sl WHERE source_type = 'real_rca_backed'),
+ca AS (SELECT case_no, string_agg(coalesce(content, ''), ' ' ORDER BY slide_no) AS content, count(*) AS slides FROM ve GROUP BY case_no), qu AS (SELECT * FROM ({ASKED}) x WHERE level <> 'NORMAL' AND quality = 'PASS'),
+{_terms_sql("q", "qu", "query_id", "text")}, {_terms_sql("c", "ca", "case_no", "content")}, {_terms_sql("s", "ve", "case_no + slide_no", "content")}, {_fit_sql("c")}, {_fit_sql("s")},
+m AS (SELECT q.id AS query_id, i.id AS case_no, round(sum(q.w * i.w), 9) AS score FROM cq q JOIN ci i USING (term) GROUP BY 1, 2), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_no) AS rank FROM m) x WHERE rank <= 3),
+e AS (SELECT q.id AS query_id, i.id AS slide, round(sum(q.w * i.w), 9) AS s FROM sq q JOIN si i USING (term) GROUP BY 1, 2),
+b AS (SELECT * FROM (SELECT r.*, ve.slide_no, coalesce(s, 0) AS s, ve.content, row_number() OVER (PARTITION BY r.query_id, r.case_no ORDER BY coalesce(s, 0) DESC, slide_no) AS i FROM r JOIN ve USING (case_no) LEFT JOIN e ON e.query_id = r.query_id AND e.slide = r.case_no + slide_no) x WHERE i = 1)
+SELECT query_id, rank, case_no, round(score, 6) AS score, CASE WHEN rank = 1 AND score >= 0.08 THEN 'VERIFIED_PRECEDENT' ELSE 'BELOW_THRESHOLD' END AS status, slides, slide_no AS evidence_slide, round(s, 6) AS evidence_score, md5(substr(coalesce(b.content, ''), 1, 700)) AS excerpt
+FROM b JOIN ca USING (case_no)"""
+
+
 def _release(spark, sf_dir):
     weekly, pm = flows.release_times(T(spark, sf_dir, "condition_weekly"), T(spark, sf_dir, "pm_schedule"))
     now = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
@@ -681,6 +713,7 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 SELECT region, round(b, 2) AS slope, round(a + 6 * b, 2) AS projected, round(a + 6 * b - 1.645 * sqrt(sse / n), 2) AS lower, round(a + 6 * b + 1.645 * sqrt(sse / n), 2) AS upper, round(m + 2 * sd, 2) AS spike, CASE WHEN a + 6 * b > m + 2 * sd THEN 'SPIKE' WHEN b > 0 THEN 'RISING' ELSE 'STABLE' END AS decision FROM f"""),
     "txt1_tfidf": (_tfidf, f"WITH {TFIDF_CTE} SELECT id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM ti GROUP BY id"),
     "txt2_case_retrieval": (_retrieval, RETRIEVAL_SQL),
+    "txt2_nearest_documents": (_nearest_documents, NEAREST_SQL),
     "str1_due_rows": (_release, RELEASE_SQL),
     "str5_sessions": (lambda s, d: flows.episodes(T(s, d, "scored").where("score >= 0.6").select("tag", F.col("ts").cast("timestamp").alias("ts"))), f'WITH {EPISODES_CTE} SELECT tag, "start", "end", alerts FROM ep'),
     "str7_hourly_rollup": (lambda s, d: rounded(flows.rollup(T(s, d, "readings").select("tag", F.col("ts").cast("timestamp").alias("ts"), "feed_rate"), "tag", "feed_rate")), "SELECT tag, date_trunc('hour', ts) AS \"start\", count(*) AS n, round(sum(feed_rate), 6) AS total, round(avg(feed_rate), 6) AS mean FROM {readings} GROUP BY 1, 2"),
@@ -691,10 +724,17 @@ SELECT region, round(b, 2) AS slope, round(a + 6 * b, 2) AS projected, round(a +
 OPERATORS |= OPERATORS_MORE | fitted.OPERATORS
 
 
+def operators() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    """All queries that are no plain SQL; those of other modules build on this one's."""
+    from . import modelling, series
+
+    return OPERATORS | modelling.OPERATORS | series.OPERATORS
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sql = {n: (lambda s, d, t=t: adapters.run(s, d, t)) for n, t in SQL_QUERIES.items()}
-    return sql | {n: q for n, (q, _) in OPERATORS.items()}
+    return sql | {n: q for n, (q, _) in operators().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: adapters.plain(t) for n, t in (SQL_QUERIES | {n: t for n, (_, t) in OPERATORS.items() if t}).items()}
+    return {n: adapters.plain(t) for n, t in (SQL_QUERIES | {n: t for n, (_, t) in operators().items() if t}).items()}

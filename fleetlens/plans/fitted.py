@@ -78,24 +78,6 @@ def _band(spark, sf_dir):
     return models.risk_band(models.ridge_forecast(_plant_days(spark, sf_dir), "plant", "day", "y"), "plant", 60_000.0)
 
 
-def _latest(spark, sf_dir):
-    rows = _features(spark, sf_dir).na.drop(subset=SIGNALS)
-    return rows.groupBy("tag").agg(F.max_by(F.struct(*SIGNALS), F.struct("ts", "event_id")).alias("r")).select("tag", "r.*")
-
-
-def _attribution(spark, sf_dir):
-    weights = (0.02, 0.05, 0.01, -0.01)
-    scorer = lambda v: 1 / (1 + F.exp(-sum((v[i] * w for i, w in enumerate(weights)), F.lit(-2.0))))
-    rows = _features(spark, sf_dir).na.drop(subset=SIGNALS)
-    return models.permutation_attribution(_latest(spark, sf_dir), "tag", SIGNALS, rows, scorer)
-
-
-def _attribution_table(spark, sf_dir):
-    """The attributions with their direction and the group of the feature."""
-    group = F.when(F.col("feature").startswith("hour"), "calendar").when(F.col("feature").rlike("^(lag|mean)_"), "history").otherwise("signal")
-    return _attribution(spark, sf_dir).where("rank <= 3").select("tag", "feature", "rank", "value", F.when(F.round("value", 9) >= 0, "raises").otherwise("lowers").alias("direction"), group.alias("feature_group"))
-
-
 def _intervals(spark, sf_dir):
     c = T(spark, sf_dir, "scored").groupBy("split").agg(F.count_if((F.col("score") >= 0.5) & (F.col("y") == 1)).alias("k"), F.count_if(F.col("y") == 1).alias("n"))
     return c.withColumn("i", clopper_pearson("k", "n")).select("split", "k", "n", "i.lower", "i.upper")
@@ -130,21 +112,6 @@ SCHEDULE_CTE = "s AS (SELECT o.*, round((epoch_us(o.ts) - epoch_us(coalesce(i.fa
 SCHEDULE_SQL = f"WITH {SCHEDULE_CTE} {_auc_sql('model', 'score')} UNION ALL {_auc_sql('schedule', 'days')}"
 
 
-def _hardening(spark, sf_dir):
-    """The threshold comes from validation alone; every split is labelled again with it."""
-    s = T(spark, sf_dir, "scored").withColumn("score", F.round("score", 6))
-    best = metrics.best_f_beta(s.where("split = 'validation'"), [], "y", "score").select("threshold")
-    rows = s.crossJoin(F.broadcast(best)).withColumn("_hit", F.col("score") >= F.col("threshold"))
-    out = metrics.confusion(rows, ["split", "threshold"], "y", F.col("_hit"), "score").select("split", "threshold", "tp", "fp", "fn", "precision", "recall")
-    return rounded(out.withColumn("status", F.when((F.col("precision") >= 0.3) & (F.col("recall") >= 0.3), "PASS").otherwise("EXPERIMENTAL")))
-
-
-HARDENING_SQL = """WITH s AS (SELECT split, y, round(score, 6) AS score FROM {scored}), c AS (SELECT score, count(*) AS n, sum(y) AS p FROM s WHERE split = 'validation' GROUP BY score),
-f AS (SELECT score, round(2.0 * sum(p) OVER w / (sum(p) OVER () + sum(n) OVER w), 12) AS f FROM c WINDOW w AS (ORDER BY score DESC)), b AS (SELECT score AS threshold FROM f ORDER BY f DESC, score LIMIT 1),
-k AS (SELECT split, threshold, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (score < threshold AND y = 1) AS fn FROM s CROSS JOIN b GROUP BY ALL)
-SELECT split, threshold, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, CASE WHEN coalesce(tp / nullif(tp + fp, 0), 0) >= 0.3 AND coalesce(tp / nullif(tp + fn, 0), 0) >= 0.3 THEN 'PASS' ELSE 'EXPERIMENTAL' END AS status FROM k"""
-
-
 def _binned(spark, sf_dir):
     """Deciles of a signal: edges from exact quantiles, then one pass over the rows."""
     s = T(spark, sf_dir, "readings").join(T(spark, sf_dir, "scored").select("event_id", "y"), "event_id").select("feed_rate", "y")
@@ -190,7 +157,6 @@ OPERATORS = {
     "agg27_case_text": (_cases, CASES_SQL),
     "agg32_binned_outcome": (_binned, BINNED_SQL),
     "agg38_pm_period": (_pm_period, PERIOD_SQL),
-    "met10_hardening": (_hardening, HARDENING_SQL),
     "sta6_schedule_baseline": (_schedule_baseline, SCHEDULE_SQL),
     "fc6_champion": (_champion, CHAMPION_SQL),
     "ml5_linear_reproduction": (lambda s, d: rounded(models.linear_reproduction(T(s, d, "scored").join(T(s, d, "readings").select("event_id", "feed_rate"), "event_id"), ["split"], "feed_rate", "score")), "SELECT split, round(regr_slope(score, feed_rate), 6) AS slope, round(regr_intercept(score, feed_rate), 6) AS intercept, round(regr_r2(score, feed_rate), 6) AS r2 FROM {scored} s JOIN {readings} r USING (event_id) GROUP BY split"),
@@ -208,6 +174,4 @@ OPERATORS = {
     "fc4_holdout": (_last_value_or_ridge, None),
     "fc7_rolling_backtest": (lambda s, d: models.rolling_backtest(_plant_days(s, d), "plant", "day", "y", horizon=30), None),
     "fc8_risk_band": (_band, None),
-    "exp1_attribution": (_attribution, None),
-    "exp2_attribution_table": (_attribution_table, None),
 }

@@ -17,11 +17,6 @@ SIGNALS = """s AS (SELECT tag, 'feed_rate' AS feature, feed_rate AS v, ts, event
         z AS (SELECT tag, s.feature, round(avg((v - m) / nullif(sd, 0e0)), 9) AS z FROM s JOIN b ON s.feature = b.feature GROUP BY 1, 2)"""
 HITS = """h AS (SELECT *, CASE WHEN score >= 5e-1 THEN 1 ELSE 0 END AS hit FROM {scored}),
         p AS (SELECT *, hit = 1 AND sum(hit) OVER (PARTITION BY tag ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) >= 3 AS alert FROM h)"""
-SCENARIOS = """l AS (SELECT tag, score FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) AS i FROM {scored}) x WHERE i = 1),
-        k(scenario, shift, every) AS (VALUES ('baseline', 1e0, 0), ('shift_up', 11e-1, 0), ('shift_down', 9e-1, 0), ('outage', 1e0, 4)),
-        c AS (SELECT scenario, tag, CASE WHEN every > 0 AND tag % 4 = 0 THEN NULL ELSE least(1e0, score * shift) END AS score, score AS base FROM l CROSS JOIN k),
-        v AS (SELECT *, CASE WHEN score IS NULL THEN 'REVIEW' WHEN score >= 6e-1 THEN 'ACTION' WHEN score >= 4e-1 THEN 'MONITOR' ELSE 'NORMAL' END AS level,
-          CASE WHEN base >= 6e-1 THEN 'ACTION' WHEN base >= 4e-1 THEN 'MONITOR' ELSE 'NORMAL' END AS base_level FROM c)"""
 KINDS = """e AS (SELECT doc_id, source, n_chars, CASE WHEN contains(lower(text), 'root cause') OR contains(lower(text), 'because') THEN 'cause' WHEN contains(lower(text), 'should') OR contains(lower(text), 'must') THEN 'action'
         WHEN contains(lower(text), 'summary') OR contains(lower(text), 'report') THEN 'summary' ELSE 'other' END AS kind FROM {documents} WHERE text IS NOT NULL)"""
 
@@ -94,9 +89,6 @@ QUERIES = {
     # Labels, feature tables and folds
     # Evaluation
     "met11_cohorts": "SELECT CASE WHEN tag % 10 = 0 THEN 'held_out' ELSE 'support' END AS cohort, count(*) AS n, count(DISTINCT tag) AS entities, count(*) FILTER (WHERE score >= 5e-1 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 5e-1 AND y = 0) AS fp, round(avg((score - y) * (score - y)), 6) AS brier FROM {scored} GROUP BY 1",
-    "rob1_scenarios": f"WITH {SCENARIOS} SELECT scenario, tag, round(score, 9) AS score, level FROM v",
-    "rob2_stability": f"""WITH {SCENARIOS} SELECT scenario, count(*) AS n, round(avg(CASE WHEN level = base_level THEN 1e0 ELSE 0e0 END), 6) AS retention, round(avg(CASE WHEN level = base_level OR level = 'REVIEW' THEN 1e0 ELSE 0e0 END), 6) AS safe_retention,
-        count(*) FILTER (WHERE base_level = 'ACTION' AND level NOT IN ('ACTION', 'REVIEW')) AS urgent_lost, count(*) FILTER (WHERE base_level <> 'ACTION' AND level = 'ACTION') AS urgent_gained, count(*) FILTER (WHERE level = 'REVIEW') AS held, round(avg(abs(score - base)), 6) AS mean_change, round(max(abs(score - base)), 6) AS max_change FROM v GROUP BY scenario""",
     # Text and evidence
     "txt3_query_text": f"""WITH {SIGNALS}, r AS (SELECT tag, feature, row_number() OVER (PARTITION BY tag ORDER BY abs(z) DESC, feature) AS i FROM z), t AS (SELECT tag, max(CASE WHEN i = 1 THEN feature END) AS a, max(CASE WHEN i = 2 THEN feature END) AS b FROM r GROUP BY tag)
         SELECT e.tag, concat_ws(' ', equipment_name, lower(equipment_type), replace(a, '_', ' '), replace(b, '_', ' ')) AS query FROM {{equipment}} e JOIN t ON e.tag = t.tag""",

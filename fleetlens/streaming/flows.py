@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -86,11 +87,47 @@ class LastHits(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """The session's state store for streams that keep state of their own; afterwards what it was before."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def live_persistence(alerts: DataFrame, lookback: int = 6, min_hits: int = 3) -> DataFrame:
     """N-of-M persistence over a stream of (tag, ts, hit); needs the RocksDB state store."""
     return alerts.groupBy("tag").transformWithStateInPandas(LastHits(lookback, min_hits), "tag long, ts timestamp, hits int, persistent boolean", "Append", "None")
 
 
+def run_available(stream: DataFrame, root: str, mode: str) -> DataFrame:
+    """Run a stream over what its source holds, batch by batch, and read its result: of mode "complete" the last batch's
+    rows, of "append" all batches'. root: a folder for the batches and the checkpoint; a run that failed goes on there.
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError(f"mode: {mode}")
+    spark, done = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        # All batches lie in one partitioned table, so that reading it names one folder.
+        batch.write.mode("overwrite").parquet(f"{root}/result/batch={number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").start()
+    query.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).option("basePath", f"{root}/result")
+    return rows.parquet(f"{root}/result/batch={max(done)}" if mode == "complete" else f"{root}/result").select(*stream.columns)
+
+
 def linked_alerts(alerts: DataFrame, incidents: DataFrame, horizon_days: int = 30) -> DataFrame:
     """Open alerts (alert_id, tag, predicted_at) with the first incident of their entity within the horizon after them.
 
