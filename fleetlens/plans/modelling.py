@@ -3,7 +3,7 @@ models, stress tests and attributions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import hardening, labels, quality, ranks, stress
@@ -26,7 +26,9 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(named).select("event_id", "tag", "ts", *FEATURES, *named, "next_failure_date", "days_to_next_failure")
 
 
-HELD_OUT = F.col("tag") % 10 == 0
+def held_out() -> Column:
+    """Entities that no model is trained on."""
+    return F.col("tag") % 10 == 0
 
 
 def _test_start(rows: DataFrame):
@@ -39,7 +41,7 @@ def _logistic(horizon: int, y: str = "y"):
 
 def _rolling_scores(spark, sf_dir) -> DataFrame:
     rows = store.stored(_rows(spark, sf_dir).withColumn("y", F.col(f"y_{NEAR}d")))
-    return hardening.out_of_fold(rows, _logistic(NEAR), _test_start(rows), NEAR, held_out=HELD_OUT)
+    return hardening.out_of_fold(rows, _logistic(NEAR), _test_start(rows), NEAR, held_out=held_out())
 
 
 def _rolling(spark, sf_dir):
@@ -80,7 +82,7 @@ SELECT split, round(ta, 6) AS action_threshold, round(tw, 6) AS warning_threshol
 def _split_choice(spark, sf_dir):
     """All eight candidates, both horizons; a horizon's label is y_<h>d."""
     rows = store.stored(_rows(spark, sf_dir))
-    return rounded(hardening.search_splits(rows, {h: _logistic(h) for h in (NEAR, FAR)}, held_out=HELD_OUT))
+    return rounded(hardening.search_splits(rows, {h: _logistic(h) for h in (NEAR, FAR)}, held_out=held_out()))
 
 
 _saved: dict[tuple[str, str], str] = {}
@@ -96,7 +98,7 @@ def models_of(spark: SparkSession, sf_dir: str) -> tuple[dict[int, hardening.Fai
         start = _test_start(rows)
         for h, kind in ((NEAR, hardening.boosted), (FAR, hardening.logistic)):
             y = f"y_{h}d"
-            train = rows.where(F.col(y).isNotNull() & (F.col("ts") < start - F.make_dt_interval(days=F.lit(h))) & ~HELD_OUT)
+            train = rows.where(F.col(y).isNotNull() & (F.col("ts") < start - F.make_dt_interval(days=F.lit(h))) & ~held_out())
             model = kind(train, FEATURES, y, h)
             model.action, model.warning = ranks.quantiles(model.score(train), "score", [0.98, 0.9])
             model.save(f"{path}/{h}d")

@@ -22,8 +22,9 @@ def _said(spark, sf_dir) -> DataFrame:
 
 ORIGINS_CTE = f"""{catalog.CAL_CTE.replace("ca AS (", "ca AS MATERIALIZED (")}, sp AS (SELECT region, min(day) AS f, count(*) AS n FROM ca GROUP BY region),
 og AS (SELECT region, k::INT AS fold, (f + (n - (4 - k) * 30 - 1)::INT)::DATE AS te FROM sp CROSS JOIN range(1, 4) t(k) WHERE n - (4 - k) * 30 >= 90),
-st AS MATERIALIZED (SELECT region, fold, te, te + s::INT AS d, te - 6 + ((s - 1) % 7)::INT AS d7 FROM og CROSS JOIN range(1, 31) t(s)),
-sd AS (SELECT st.region, fold, a.y AS actual, b.y AS naive, c.y AS flat FROM st JOIN ca a ON a.region = st.region AND a.day = st.d JOIN ca b ON b.region = st.region AND b.day = st.d7 JOIN ca c ON c.region = st.region AND c.day = st.te),
+kd AS MATERIALIZED (SELECT region * 1000000 + (day - DATE '1970-01-01') AS k, y FROM ca),
+st AS MATERIALIZED (SELECT region, fold, region * 1000000 + (te - DATE '1970-01-01') AS kc, s, (s - 1) % 7 - 6 AS back FROM og CROSS JOIN range(1, 31) t(s)),
+sd AS (SELECT st.region, fold, a.y AS actual, b.y AS naive, c.y AS flat FROM st JOIN kd a ON a.k = kc + s JOIN kd b ON b.k = kc + back JOIN kd c ON c.k = kc),
 un AS (SELECT region, fold, 'seasonal_naive' AS method, naive - actual AS e, actual FROM sd UNION ALL SELECT region, fold, 'last_value', flat - actual, actual FROM sd),
 er AS (SELECT region, method, fold, count(*) AS days, avg(abs(e)) AS mae, 100 * sum(abs(e)) / sum(abs(actual)) AS wape_pct, avg(e) AS bias FROM un GROUP BY ALL)"""
 ORIGINS_SQL = f"WITH {ORIGINS_CTE} SELECT region, method, fold, days, round(mae, 4) AS mae, round(wape_pct, 4) AS wape_pct, round(bias, 4) AS bias FROM er"
