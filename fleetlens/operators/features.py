@@ -51,7 +51,12 @@ def weekly_rows(condition: DataFrame, alarm: float = 60.0, trip: float = 80.0, w
 
 
 def event_weeks(condition: DataFrame, incidents: DataFrame) -> DataFrame:
-    """tag, week_date of the condition table, the number of incidents in the week, and whether there is one."""
-    per = incidents.groupBy("tag", F.date_trunc("week", "failure_date").cast("date").alias("week_date")).agg(F.count("*").alias("incidents"))
+    """tag, week_date of the condition table, the number of incidents 0 to 6 days after that date, and whether there is one.
+
+    Weeks may begin on any day. An incident is counted by entity and day and goes to the seven dates it can belong to.
+    """
+    days = incidents.groupBy("tag", F.to_date("failure_date").alias("day")).agg(F.count("*").alias("n"))
+    dates = days.where("day IS NOT NULL").select("tag", F.explode(F.sequence(F.date_sub("day", 6), "day")).alias("week_date"), "n")
+    per = dates.groupBy("tag", "week_date").agg(F.sum("n").alias("incidents"))
     out = condition.select("tag", "week_date").join(per, ["tag", "week_date"], "left")
     return out.withColumns({"incidents": F.coalesce("incidents", F.lit(0)), "is_event_week": F.col("incidents").isNotNull()})

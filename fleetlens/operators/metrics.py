@@ -222,6 +222,29 @@ def compare_persistence(df: DataFrame, keys: list[str], order: list[str], score:
     return rows.select(y, each).groupBy("r.rule").agg(F.count_if("r.alert").alias("alerts"), F.count_if(F.col("r.alert") & (F.col(y) == 0)).alias("false_alerts"))
 
 
+#: Hits of rows that make an alert last: none asked for, the usual rule, and others to compare it with.
+RULES = ((1, 1), (3, 6), (2, 3), (4, 6), (9, 12), (18, 24))
+
+
+def compare_rules(scored: DataFrame, threshold: float, rules: tuple[tuple[int, int], ...] = RULES, most_false_days: float | None = None, **options) -> DataFrame:
+    """operational_metrics() of each rule (hits, rows) at one threshold, a row for each: what lasting alerts find and cost.
+
+    The first rule is the one without persistence: each row also has by how much its false days a month are fewer, in
+    numbers and as a share (0 if there are none), and, with most_false_days, whether they keep that limit.
+    """
+    out = None
+    for hits, of in rules:
+        one = operational_metrics(scored, threshold, lookback=of, min_hits=hits, **options).withColumn("rule", F.lit(f"{hits}_of_{of}"))
+        out = one if out is None else out.unionByName(one)
+    out = out.persist()
+    raw = out.where(F.col("rule") == "{}_of_{}".format(*rules[0])).select(F.col("false_days_per_month").alias("_raw"))
+    fewer = F.col("_raw") - F.col("false_days_per_month")
+    out = out.crossJoin(F.broadcast(raw)).withColumns({"fewer_false_days": fewer, "fewer_share": _ratio(fewer, F.col("_raw"))})
+    if most_false_days is not None:
+        out = out.withColumn("limit_met", F.col("false_days_per_month") <= most_false_days)
+    return out.select("rule", *[c for c in out.columns if c not in ("rule", "_raw")])
+
+
 def reliability(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
     """Rows, mean score, observed rate and its Wilson bounds by right-closed bin; the first bin holds its lower edge."""
     b = F.greatest(F.lit(1), F.ceil(F.round(F.col(score) * bins, 9))).cast("int")

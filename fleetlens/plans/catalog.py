@@ -239,6 +239,19 @@ RULES_SQL = "WITH h AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS h
 )
 
 
+def _operational_rules(spark, sf_dir):
+    return metrics.compare_rules(_operational(spark, sf_dir), 0.6, most_false_days=5.0)
+
+
+def _rule_sql(hits: int, of: int) -> str:
+    curve = CURVE_CTE.replace("5 PRECEDING AND CURRENT ROW) >= 3", f"{of - 1} PRECEDING AND CURRENT ROW) >= {hits}")
+    return f"SELECT '{hits}_of_{of}' AS rule, * FROM (WITH {OPERATIONAL_CTE}, g(t) AS (VALUES (0.6::DOUBLE)), {curve} SELECT * FROM cu)"
+
+
+OPERATIONAL_RULES_SQL = f"""WITH ru AS ({" UNION ALL ".join(_rule_sql(*r) for r in metrics.RULES)}), ra AS (SELECT false_days_per_month AS raw FROM ru WHERE rule = '1_of_1')
+SELECT rule, threshold, {CURVE_COLUMNS}, round(raw - false_days_per_month, 6) AS fewer_false_days, round(coalesce((raw - false_days_per_month) / nullif(raw, 0), 0), 6) AS fewer_share, false_days_per_month <= 5 AS limit_met FROM ru CROSS JOIN ra"""
+
+
 def _reliability(spark, sf_dir):
     return rounded(metrics.reliability(T(spark, sf_dir, "scored"), "y", _S))
 
@@ -275,8 +288,7 @@ def _signal_rows(spark, sf_dir):
     return timeseries.causal_rolling(r, "tag", ["ts", "event_id"], ["feed_rate", "hour_of_day"], 4, 12)
 
 
-def _latest_signals(spark, sf_dir):
-    rows = _signal_rows(spark, sf_dir)
+def _latest_signals(rows):
     return rows.groupBy("tag").agg(F.max_by(F.struct("event_id", *FEATURES), F.struct("ts", "event_id")).alias("r")).select("tag", "r.*")
 
 
@@ -284,9 +296,10 @@ def _profile(spark, sf_dir):
     return rounded(quality.feature_profile(_signal_rows(spark, sf_dir), FEATURES))
 
 
-def _quality(spark, sf_dir):
-    profile = quality.feature_profile(_signal_rows(spark, sf_dir), FEATURES)
-    return quality.assess_quality(_latest_signals(spark, sf_dir), "tag", profile, FEATURES, ("feed_rate", "hour_of_day"), short=4, long=12)
+def _quality(spark, sf_dir, rows=None):
+    rows = store.stored(_signal_rows(spark, sf_dir)) if rows is None else rows
+    profile = quality.feature_profile(rows, FEATURES)
+    return quality.assess_quality(_latest_signals(rows), "tag", profile, FEATURES, ("feed_rate", "hour_of_day"), short=4, long=12)
 
 
 def _signal_sql(x: str) -> str:
@@ -327,8 +340,9 @@ LIMITS = {7: (0.6, 0.4), 30: (0.8, 0.7)}
 
 def _risk(spark, sf_dir):
     scored = T(spark, sf_dir, "scored").select("event_id", "tag", "ts", F.col("score").alias("score_7d"), F.sqrt("score").alias("score_30d"))
-    deviations = _latest_signals(spark, sf_dir).select("tag", F.col("feed_rate_zscore_12h").alias("feed_rate"), F.col("hour_of_day_zscore_12h").alias("hour_of_day"))
-    return risk.latest_risk(scored, LIMITS, _quality(spark, sf_dir), deviations, at("2024-02-01 00:00:00"))
+    rows = store.stored(_signal_rows(spark, sf_dir))
+    deviations = _latest_signals(rows).select("tag", F.col("feed_rate_zscore_12h").alias("feed_rate"), F.col("hour_of_day_zscore_12h").alias("hour_of_day"))
+    return risk.latest_risk(scored, LIMITS, _quality(spark, sf_dir, rows), deviations, at("2024-02-01 00:00:00"))
 
 
 _W = "OVER (PARTITION BY tag ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
@@ -639,7 +653,7 @@ SELECT task_id, turns, 'wear' AS root_cause FROM k JOIN s USING (task_id) WHERE
     ),
     "lab3_event_weeks": (
         lambda s, d: features.event_weeks(T(s, d, "condition_weekly"), T(s, d, "incidents")),
-        "SELECT c.tag, c.week_date, count(i.tag) AS incidents, count(i.tag) > 0 AS is_event_week FROM {condition_weekly} c LEFT JOIN {incidents} i ON i.tag = c.tag AND date_trunc('week', i.failure_date)::DATE = c.week_date GROUP BY 1, 2",
+        "SELECT c.tag, c.week_date, count(i.tag) AS incidents, count(i.tag) > 0 AS is_event_week FROM {condition_weekly} c LEFT JOIN {incidents} i ON i.tag = c.tag AND i.failure_date::DATE - c.week_date BETWEEN 0 AND 6 GROUP BY 1, 2",
     ),
     "dq6_wall_time": (_wall_time, "SELECT event_id, date_trunc('second', ts) + CASE WHEN event_id % 2 = 0 THEN INTERVAL 7 HOUR ELSE INTERVAL 5 HOUR END AS local_ts FROM {readings}"),
     "sta10_autocorrelation": (
@@ -689,6 +703,7 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "met7_threshold_curve": (lambda s, d: rounded(_curve(s, d)), CURVE_SQL),
     "met8_select_threshold": (lambda s, d: rounded(metrics.select_threshold(_curve(s, d), 0.8, 3.0, 1.0)), SELECT_SQL),
     "met9_compare_persistence": (_rules, RULES_SQL),
+    "met9_operational_rules": (lambda s, d: rounded(_operational_rules(s, d)), OPERATIONAL_RULES_SQL),
     "met12_episode_report": (lambda s, d: rounded(_episode_report(s, d)), REPORT_SQL),
     "agg24_event_metrics": (_event_metrics, EVENTS_SQL),
     "sta5_cluster_bootstrap": (_bootstrap, BOOT_SQL),

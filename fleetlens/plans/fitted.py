@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import clopper_pearson, poisson_interval
-from ..operators import forecast, metrics, models, ranks, timeseries
+from ..operators import forecast, labels, metrics, models, ranks, timeseries
 from . import adapters
 from .adapters import rounded
 
@@ -25,7 +25,7 @@ def _features(spark, sf_dir) -> DataFrame:
 
 def _boosted(spark, sf_dir):
     rows = _features(spark, sf_dir)
-    cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    cut = F.lit(labels.split_boundaries(rows, "ts").first().test_start).cast("timestamp_ntz")
     return models.boosted_scores(rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut), SIGNALS, "y").select("event_id", "y", "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,28 +57,52 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables to a new version, then make it the current one; returns the version.
+def _pointers(spark: SparkSession, root: str) -> tuple[object, object, list[int]]:
+    """The file system, the folder of pointers, and their numbers."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return files, folder, sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    The pointer is one small file that Spark replaces when all tables are there, so a failure leaves the old version
-    in place. Old versions stay for those who still read them.
+
+def publish(tables: dict[str, DataFrame], root: str) -> int:
+    """Write all tables to a new version, then point to it; returns the version's number.
+
+    The pointer is one file named by its number that is created only if it is not there yet, so of two writers at once the
+    second takes the next number, and readers follow the largest. A failure before leaves the version before in place, one
+    while the file is written leaves a file that is no pointer. Old versions stay for those who still read them.
     """
-    version = uuid.uuid4().hex
+    version, spark = uuid.uuid4().hex, next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
-    some = next(iter(tables.values()))
-    pointer = some.sparkSession.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string")
-    pointer.coalesce(1).write.mode("append").text(f"{root}/pointer")
-    return version
+    body = bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode())
+    while True:
+        files, folder, numbers = _pointers(spark, root)
+        number = (numbers[-1] if numbers else 0) + 1
+        try:
+            out = files.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}.json"), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            continue
+        out.write(body)
+        out.close()
+        return number
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the version published last."""
-    rows = spark.read.text(f"{root}/pointer").select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"))
-    last = json.loads(rows.orderBy(F.desc("at"), F.desc("path")).first().value)
-    if name not in last["tables"]:
-        raise ValueError(f"{name} is not in the published version")
-    return spark.read.parquet(f"{root}/versions/{last['version']}/{name}")
+    """A table of the version with the largest number whose pointer is whole."""
+    _, _, numbers = _pointers(spark, root)
+    for number in reversed(numbers):
+        rows = spark.read.text(f"{root}/pointer/{number:012d}.json").collect()
+        try:
+            last = json.loads(rows[0].value)
+        except (IndexError, ValueError):
+            continue
+        if name not in last["tables"]:
+            raise ValueError(f"{name} is not in the published version")
+        return spark.read.parquet(f"{root}/versions/{last['version']}/{name}")
+    raise ValueError(f"nothing is published under {root}")
 
 
 def cases_to_append(candidates: DataFrame, existing: DataFrame, key: str = "task_id", needed: tuple[str, ...] = ("root_cause", "corrective_action")) -> DataFrame:
