@@ -151,3 +151,17 @@ def test_attribution_of_any_scorer_adds_up(spark):
     assert mixed.agg(F.max("error")).first()[0] < 1e-9
     table = {r.feature: r for r in stress.attribution_table(mixed, "k", target, base, ["a", "b"], {"a": "first"}, 2).where("k = 1").collect()}
     assert table["a"].feature_group == "first" and table["b"].feature_group == "other" and table["b"].feature_value == 2 and table["a"].reference_median == 0
+
+
+def test_registered_model_queries(spark):
+    from fleetlens.plans import catalog
+
+    queries, sf = catalog.queries(), "/root/testdata/sf0.001"
+    saved = queries["ml3_saved_models"](spark, sf).collect()
+    assert saved and all(0 <= r.score_1d <= 1 and 0 <= r.score_3d <= 1 for r in saved)
+    values = queries["exp1_attribution"](spark, sf).collect()
+    assert len({r.tag for r in values}) * 12 == len(values) and max(r.error for r in values) < 1e-9
+    stable = {r.scenario: r for r in queries["rob2_stability"](spark, sf).collect()}
+    assert set(stable) == {s.name for s in stress.SCENARIOS} and all(r.safe_retention == 1 and r.guardrail_passed for r in stable.values())
+    folds = queries["met10_rolling_scores"](spark, sf).collect()
+    assert folds and all(r.trained_before + dt.timedelta(days=1) <= r.ts for r in folds)

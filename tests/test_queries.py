@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -112,29 +113,52 @@ def test_release_writer_adds_each_row_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-def curve_of(spark, *rows):
-    names = ["threshold", "precision", "recall", "f1", "event_recall", "median_lead_days", "false_days_per_month", "false_episodes_per_month"]
-    return spark.createDataFrame(list(rows), ", ".join(f"{c} double" for c in names[: len(rows[0])]))
-
-
-def test_threshold_keeps_all_limits_or_relaxes_false_alerts_first(spark):
-    all_met = curve_of(spark, (0.4, 0.3, 0.9, 0.45, 1.0, 5.0, 2.0), (0.6, 0.7, 0.8, 0.75, 0.8, 4.0, 0.8), (0.8, 0.9, 0.5, 0.64, 0.5, 2.0, 0.1))
-    r = metrics.select_threshold(all_met, 0.8, 3.0, 1.0).first()
-    assert (r.threshold, r.limits_met, r.selection_basis) == (0.6, True, "all_limits_met")
-    loud = curve_of(spark, (0.3, 0.4, 0.8, 0.53, 0.9, 10.0, 3.0), (0.8, 0.9, 0.4, 0.55, 0.5, 2.0, 0.1))
-    r = metrics.select_threshold(loud, 0.8, 7.0, 1.0).first()
-    assert (r.threshold, r.limits_met, r.events_and_lead_met, r.false_alert_limit_met) == (0.3, False, True, False)
-    r = metrics.select_threshold(loud, 0.95, 20.0, 1.0).first()
-    assert (r.threshold, r.selection_basis) == (0.3, "least_event_and_lead_shortfall")
-    assert metrics.select_threshold(loud, 0.8, 7.0, 1.0, cap=0.2).count() == 0
-
-
-def test_threshold_by_episodes_keeps_the_limit_on_days(spark):
-    c = curve_of(spark, (0.4, 0.4, 0.9, 0.55, 1.0, 25.0, 10.0, 0.05), (0.6, 0.7, 0.8, 0.75, 0.8, 15.0, 2.0, 0.08))
-    r = metrics.select_threshold(c, 0.8, 7.0, 3.0, 0.1, "episodes").first()
-    assert (r.threshold, r.limits_met) == (0.6, True)
-    with pytest.raises(ValueError):
-        metrics.select_threshold(c.drop("false_episodes_per_month"), max_false_episodes=0.1)
+CURVE = "threshold double, precision double, event_recall double, median_lead_days double, false_days_per_month double, false_episodes_per_month double"
+MANY = 1e308
+
+
+def by_hand(rows, least_recall, least_lead, days=None, episodes=None, metric="days"):
+    """The choice by its definition: a plain sort of tuples."""
+    judged = []
+    for threshold, precision, recall, lead, d, e in rows:
+        recall, lead, d, e = recall or 0.0, lead or 0.0, MANY if d is None else d, MANY if e is None else e
+        safe = recall >= least_recall and lead >= least_lead
+        excess = sum(max(0.0, x - most) / most for x, most in ((d, days), (e, episodes)) if most is not None and x > most)
+        quiet = all(x <= most for x, most in ((d, days), (e, episodes)) if most is not None)
+        short = max(0.0, least_recall - recall) / least_recall + max(0.0, least_lead - lead) / max(least_lead, 1.0)
+        noise = (d, e) if metric == "days" else (e, d)
+        if safe and quiet:
+            key = (0, *noise, -precision, -recall, -lead, -threshold)
+        elif safe:
+            key = (1, excess, *noise, -precision, -recall, -threshold)
+        else:
+            key = (2, short, -recall, *noise, -precision, -threshold)
+        judged.append((tuple(round(k, 9) if abs(k) < 1e300 else k for k in key), threshold, safe, quiet))
+    return min(judged, default=None)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_threshold_is_the_one_chosen_by_hand(spark, seed):
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice(values)
+    # Few distinct values, so that most keys tie somewhere; nulls in all that can be missing.
+    rows = [(t / 16, some(0.25, 0.5), some(None, 0.125, 0.375, 0.625), some(None, 1.5, 6.5, 11.0), some(None, 0.5, 1.75, 4.5), some(None, 0.0, 0.625)) for t in rng.sample(range(1, 16), 7)]
+    curve = spark.createDataFrame(rows, CURVE)
+    for limits in ((0.375, 1.5, 1.75, None, "days"), (0.125, 6.5, 0.5, 0.625, "episodes"), (0.625, 11.0, None, None, "days")):
+        key, threshold, safe, quiet = by_hand(rows, *limits)
+        r = metrics.select_threshold(curve, *limits).first()
+        assert (r.threshold, r.events_and_lead_met, r.false_alert_limit_met, r.selection_basis) == (threshold, safe, quiet, metrics.BASES[key[0]]), limits
+    capped = [x for x in rows if x[0] <= 0.5]
+    r = metrics.select_threshold(curve, 0.375, 1.5, 1.75, cap=0.5).first()
+    assert (r.threshold if r else None) == (by_hand(capped, 0.375, 1.5, 1.75)[1] if capped else None)
+
+
+def test_threshold_without_a_rate_of_episodes(spark):
+    curve = spark.createDataFrame([(0.25, 0.5, 0.375, 2.0, 1.0, 0.125)], CURVE).drop("false_episodes_per_month")
+    assert metrics.select_threshold(curve, 0.25, 1.0, 2.0).first().limits_met
+    for wrong in ({"max_false_episodes": 0.5}, {"metric": "alarms"}):
+        with pytest.raises(ValueError):
+            metrics.select_threshold(curve, **wrong)
 
 
 def test_curve_follows_persistent_alerts(spark):

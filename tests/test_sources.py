@@ -1,13 +1,14 @@
 """Guards, table sources and streams."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import guards
 from fleetlens.operators import forecast
-from fleetlens.sources import documents, tables
+from fleetlens.sources import documents, store, tables
 from fleetlens.streaming import flows
 
 
@@ -57,6 +58,36 @@ def test_wall_time_of_mixed_offsets(spark):
     assert [r[0] for r in rows.select(tables.wall_time(F.col("t"), "Asia/Jakarta")).collect()] == [dt.datetime(2024, 6, 1, 15)] * 3 + [None]
 
 
+def test_two_writers_at_once_and_a_broken_pointer_leave_whole_versions(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "p")
+    assert tables.publish({"a": spark.range(1)}, root) == 1
+    seen, real = [], tables._pointers
+
+    def late(s, r):
+        """Another writer publishes between this one's look at the numbers and its own pointer."""
+        found = real(s, r)
+        if not seen:
+            seen.append(1)
+            tables.publish({"a": spark.range(2)}, root)
+        return found
+
+    monkeypatch.setattr(tables, "_pointers", late)
+    assert tables.publish({"a": spark.range(3)}, root) == 3
+    monkeypatch.undo()
+    assert tables.published(spark, root, "a").count() == 3
+    (tmp_path / "p" / "pointer" / "000000000004.json").write_text('{"version": "cut o')
+    assert tables.published(spark, root, "a").count() == 3
+    assert tables.publish({"a": spark.range(5)}, root) == 5 and tables.published(spark, root, "a").count() == 5
+    with pytest.raises(ValueError, match="nothing is published"):
+        tables.published(spark, str(tmp_path / "q"), "a")
+
+
+def test_stored_tables_are_dropped(spark):
+    store.drop_stored(spark)
+    path = store.stored(spark.range(4)).inputFiles()[0]
+    assert store.drop_stored(spark) == 1 and not os.path.exists(path.removeprefix("file://")) and store.drop_stored(spark) == 0
+
+
 def test_a_failed_publication_leaves_the_old_version(spark, tmp_path):
     root, one = str(tmp_path / "p"), spark.range(3)
     tables.publish({"a": one, "b": one}, root)
