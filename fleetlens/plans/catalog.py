@@ -721,6 +721,10 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "spl3_split_candidates": (_candidates, CANDIDATES_SQL),
     "spl4_expanding_folds": (_folds, FOLDS_SQL),
     "win14_interpolated_calendar": (lambda s, d: rounded(_calendar(s, d), 6), f"WITH {CAL_CTE} SELECT region, day, round(y, 6) AS y, filled FROM ca"),
+    "win14_missing_shares": (
+        lambda s, d: rounded(forecast.missing_shares(_days(s, d), "region", "day", "y")),
+        f"WITH {DAYS_CTE} SELECT region, max(day) - min(day) + 1 AS days, round(1 - count(DISTINCT day) FILTER (y IS NOT NULL) / (max(day) - min(day) + 1), 6) AS missing FROM dy GROUP BY region",
+    ),
     "win15_lag_matrix": (lambda s, d: rounded(forecast.lag_matrix(_calendar(s, d).drop("filled"), "region", "day", "y")), LAG_SQL),
     "fc1_seasonal_naive": (lambda s, d: rounded(forecast.seasonal_naive(_calendar(s, d), "region", "day", "y", 10), 4), f"WITH {CAL_CTE}, o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY day DESC) AS i, max(day) OVER (PARTITION BY region) AS e FROM ca) SELECT region, s.step::INT AS step, (e + s.step::INT)::DATE AS day, round(y, 4) AS forecast FROM o CROSS JOIN range(1, 11) s(step) WHERE i = 7 - ((s.step - 1) % 7)"),
     "fc5_backtest_naive": (lambda s, d: rounded(forecast.backtest_naive(_calendar(s, d), "region", "day", "y"), 4), f"WITH {CAL_CTE}, e AS (SELECT region, y, lag(y, 7) OVER (PARTITION BY region ORDER BY day) - y AS e FROM ca) SELECT region, round(avg(abs(e)), 4) AS mae, round(100 * sum(abs(e)) / sum(abs(y)), 4) AS wape_pct, round(avg(e), 4) AS bias FROM e WHERE e IS NOT NULL GROUP BY region"),

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..operators.timeseries import asof_join
 
 
 def due(staged: DataFrame, now: Column, live: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -25,19 +28,24 @@ def release_times(weekly: DataFrame, pm: DataFrame) -> tuple[DataFrame, DataFram
     return weekly.withColumn("release_at", end), pm.withColumn("release_at", F.coalesce(done, missed))
 
 
+def _earlier(spark: SparkSession, path: str, schema: StructType, number: int) -> DataFrame:
+    """The rows of the batches before this one."""
+    kinds = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(kinds).option("ignoreMissingFiles", "true").parquet(path).where(F.col("batch") < number)
+
+
 def release_writer(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends rows whose keys are not there yet, so that a repeated batch adds nothing.
 
-    The batch number is part of the folder's name and each batch is written in overwrite mode.
+    The batch number is part of the folder's name and each batch is written in overwrite mode. Earlier batches are read
+    as one table, partitioned by batch.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates(keys)
         if number:
-            before = [f"{path}/batch={k}" for k in range(number)]
-            live = spark.read.schema(batch.schema).option("ignoreMissingFiles", "true").parquet(*before)
-            rows = rows.join(live.select(*keys), keys, "left_anti")
+            rows = rows.join(_earlier(spark, path, batch.schema, number).select(*keys), keys, "left_anti")
         rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
@@ -133,11 +141,11 @@ def linked_alerts(alerts: DataFrame, incidents: DataFrame, horizon_days: int = 3
 
     Those with one are resolved: incident_seq and resolved_at are set, status is Resolved; others stay Open.
     """
-    i = incidents.select(F.col("tag").alias("_tag"), "incident_seq", "failure_date")
-    age = F.date_diff(F.to_date("failure_date"), "predicted_at")
-    hit = alerts.join(i, (F.col("tag") == F.col("_tag")) & (age >= 0) & (age <= horizon_days), "left").drop("_tag")
-    out = hit.groupBy(*alerts.columns).agg(F.min(F.struct("failure_date", "incident_seq")).alias("i"))
-    return out.select(*alerts.columns, F.col("i.incident_seq").alias("incident_seq"), F.col("i.failure_date").alias("resolved_at"), F.when(F.col("i.incident_seq").isNull(), "Open").otherwise("Resolved").alias("status"))
+    rows = alerts.withColumn("_from", F.col("predicted_at").cast(incidents.schema["failure_date"].dataType))
+    out = asof_join(rows, incidents.select("tag", "failure_date", "incident_seq"), "tag", "_from", "failure_date", "forward", True, ["incident_seq"])
+    within = F.coalesce(F.date_diff(F.to_date("asof_ts"), "predicted_at") <= horizon_days, F.lit(False))
+    status = F.when(within, "Resolved").otherwise("Open")
+    return out.select(*alerts.columns, F.when(within, F.col("asof_incident_seq")).alias("incident_seq"), F.when(within, F.col("asof_ts")).alias("resolved_at"), status.alias("status"))
 
 
 def resolving_writer(alerts_path: str, out_path: str, horizon_days: int = 30) -> Callable[[DataFrame, int], None]:
@@ -151,8 +159,8 @@ def resolving_writer(alerts_path: str, out_path: str, horizon_days: int = 30) ->
         alerts = spark.read.parquet(alerts_path)
         found = linked_alerts(alerts, batch, horizon_days).where("status = 'Resolved'")
         if number:
-            done = spark.read.schema(found.schema).option("ignoreMissingFiles", "true").parquet(*[f"{out_path}/batch={k}" for k in range(number)])
-            found = found.join(done.select("alert_id"), "alert_id", "left_anti").select(*found.columns)
+            done = _earlier(spark, out_path, found.schema, number).select("alert_id")
+            found = found.join(done, "alert_id", "left_anti").select(*found.columns)
         found.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return write

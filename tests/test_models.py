@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.exact import clopper_pearson, poisson_interval
 from fleetlens.operators import models
 from fleetlens.operators.metrics import cluster_bootstrap, cluster_draws, roc_auc
-from fleetlens.plans import catalog, fitted
+from fleetlens.plans import catalog, fitted, modelling
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,7 +80,7 @@ def test_boosted_trees_and_association_on_the_given_events(spark, monkeypatch):
 def test_fitted_queries_hold_what_they_promise(spark):
     found = catalog.queries()
     a = found["exp1_attribution"](spark, SF).groupBy("tag").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
-    assert all(r.n == r.r == len(fitted.SIGNALS) for r in a)
+    assert a and all(r.n == r.r == len(modelling.FEATURES) for r in a)
     band = found["fc8_risk_band"](spark, SF)
     assert band.where("risk < 0 OR risk > 1 OR p10 > p90").count() == 0
     back = found["fc7_rolling_backtest"](spark, SF)
