@@ -12,15 +12,32 @@ from .timeseries import asof_join, causal_rolling, seconds, time_features
 OUTCOMES = ("y", "next_failure_date", "days_to_next_failure", "is_event_week", "label_source")
 
 
-def plant_hours(readings: DataFrame, equipment: DataFrame, environment: DataFrame, short: int = 24, long: int = 168) -> DataFrame:
-    """plant, hour_ts: production summed over the plant's equipment, share of running readings, emissions of the hour,
-    and lags, means, deviations, score and step of rate, power and energy over the plant's hours before; calendar."""
-    made = readings.join(equipment.select("tag", "plant"), "tag").groupBy("plant", F.date_trunc("hour", "ts").alias("hour_ts")).agg(
-        F.count_distinct("tag").alias("equipment"), F.sum("feed_rate").alias("rate"), F.sum("power_kw").alias("power"), F.avg((F.col("run_status") == "ON").cast("double")).alias("on_share")
+#: What is rolled over a plant's hours.
+PLANT_SIGNALS = ("rate", "power", "energy", "co2", "nox", "sox", "voc", "wastewater", "energy_per_rate")
+
+
+def plant_hours(readings: DataFrame, equipment: DataFrame, environment: DataFrame, short: int = 24, long: int = 168, strict: bool = False) -> DataFrame:
+    """plant, hour_ts: production summed over the plant's equipment, how many are there and run, share of running readings,
+    emissions of the hour (sums of energy, CO2, VOC and waste water, means of NOx and SOx), energy per rate, and lags, means,
+    deviations, score and step of PLANT_SIGNALS over the plant's hours before; calendar.
+
+    Readings of equipment that the master does not know, or that has no plant, count nowhere; strict: they fail the job, with
+    their tag in the message. Hours without emissions have nulls.
+    """
+    master = equipment.select(F.col("tag").alias("_tag"), "plant")
+    known = readings.join(master, F.col("tag") == F.col("_tag"), "left" if strict else "inner")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("no plant for "), F.coalesce(F.col("tag").cast("string"), F.lit("null"))))
+        known = known.withColumn("plant", F.when(F.col("plant").isNull(), unknown.cast(equipment.schema["plant"].dataType)).otherwise(F.col("plant")))
+    on = F.col("run_status") == "ON"
+    made = known.where("plant IS NOT NULL").groupBy("plant", F.date_trunc("hour", "ts").alias("hour_ts")).agg(
+        F.count_distinct("tag").alias("equipment"), F.count_distinct(F.when(on, F.col("tag"))).alias("running"), F.sum("feed_rate").alias("rate"), F.sum("power_kw").alias("power"), F.avg(on.cast("double")).alias("on_share")
+    )
+    air = environment.groupBy("plant", F.date_trunc("hour", "ts").alias("hour_ts")).agg(
+        F.sum("energy_kwh").alias("energy"), F.sum("co2_ton").alias("co2"), F.avg("nox_ppm").alias("nox"), F.avg("sox_ppm").alias("sox"), F.sum("voc_kg").alias("voc"), F.sum("wastewater_m3").alias("wastewater")
     )
-    air = environment.groupBy("plant", F.date_trunc("hour", "ts").alias("hour_ts")).agg(F.sum("energy_kwh").alias("energy"), F.sum("co2_ton").alias("co2"))
-    rows = made.join(air, ["plant", "hour_ts"], "left")
-    out = causal_rolling(rows, "plant", ["hour_ts"], ["rate", "power", "energy"], short, long)
+    rows = made.join(air, ["plant", "hour_ts"], "left").withColumn("energy_per_rate", F.col("energy") / F.nullif(F.col("rate"), F.lit(0.0)))
+    out = causal_rolling(rows, "plant", ["hour_ts"], list(PLANT_SIGNALS), short, long)
     return without_leakage(time_features(out, "hour_ts"), OUTCOMES)
 
 

@@ -625,10 +625,12 @@ def _equipment_rows(spark, sf_dir):
     return features.equipment_rows(T(spark, sf_dir, "readings"), T(spark, sf_dir, "equipment"), T(spark, sf_dir, "incidents"))
 
 
-PLANT_HOURS_SQL = f"""WITH m AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, count(DISTINCT r.tag) AS equipment, sum(feed_rate) AS rate, sum(power_kw) AS power, avg((run_status = 'ON')::INT) AS on_share FROM {{readings}} r JOIN {{equipment}} e ON r.tag = e.tag GROUP BY 1, 2),
-a AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, sum(energy_kwh) AS energy, sum(co2_ton) AS co2 FROM {{environment}} GROUP BY 1, 2), j AS (SELECT * FROM m LEFT JOIN a USING (plant, hour_ts))
-SELECT plant, hour_ts, equipment, round(rate, 9) AS rate, round(power, 9) AS power, round(on_share, 9) AS on_share, round(energy, 9) AS energy, round(co2, 9) AS co2,
- {", ".join(x for c in ("rate", "power", "energy") for x in _roll_sql(c, "plant", "hour_ts", 24, 168, 9))}, {_clock_sql("hour_ts", 9)} FROM j"""
+PLANT_HOURS_SQL = f"""WITH m AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, count(DISTINCT r.tag) AS equipment, count(DISTINCT CASE WHEN run_status = 'ON' THEN r.tag END) AS running, sum(feed_rate) AS rate, sum(power_kw) AS power,
+  avg((run_status = 'ON')::INT) AS on_share FROM {{readings}} r JOIN {{equipment}} e ON r.tag = e.tag GROUP BY 1, 2),
+a AS (SELECT plant, date_trunc('hour', ts) AS hour_ts, sum(energy_kwh) AS energy, sum(co2_ton) AS co2, avg(nox_ppm) AS nox, avg(sox_ppm) AS sox, sum(voc_kg) AS voc, sum(wastewater_m3) AS wastewater FROM {{environment}} GROUP BY 1, 2),
+j AS (SELECT *, energy / nullif(rate, 0) AS energy_per_rate FROM m LEFT JOIN a USING (plant, hour_ts))
+SELECT plant, hour_ts, equipment, running, round(rate, 9) AS rate, round(power, 9) AS power, round(on_share, 9) AS on_share, {", ".join(f"round({c}, 9) AS {c}" for c in features.PLANT_SIGNALS[2:])},
+ {", ".join(x for c in features.PLANT_SIGNALS for x in _roll_sql(c, "plant", "hour_ts", 24, 168, 9))}, {_clock_sql("hour_ts", 9)} FROM j"""
 EQUIPMENT_ROWS_SQL = f"""WITH n AS (SELECT tag, failure_date, row_number() OVER (PARTITION BY tag ORDER BY failure_date, incident_seq)::INT AS n FROM {{incidents}}),
 f AS (SELECT event_id, tag, ts, round(feed_rate, 6) AS feed_rate, round(power_kw, 6) AS power_kw, {", ".join(x for c in ("feed_rate", "power_kw") for x in _roll_sql("r." + c, "tag", "ts, event_id", 4, 12)).replace("AS r.", "AS ")}, {_clock_sql("ts")},
   row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM {{readings}} r)

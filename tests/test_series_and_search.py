@@ -155,3 +155,15 @@ def test_only_verified_cases_answer_and_only_gated_queries_ask(spark):
     assert {(r.query_id, r["rank"], r.case_no, r.status) for r in out} == {(10, 1, 1, "VERIFIED_PRECEDENT"), (1, 1, 2, "VERIFIED_PRECEDENT")}
     (r,) = [r for r in out if r.query_id == 10]
     assert r.evidence_slide == 2 and r.slides == 2 and r.excerpt.startswith("lubrication") and r.evidence_score > 0
+
+
+def test_readings_without_a_plant_fail_where_asked(spark):
+    from fleetlens.operators import features
+
+    r = spark.createDataFrame([(1, START, "ON", 2.0, 4.0), (9, START, "OFF", 1.0, 1.0)], "tag int, ts timestamp_ntz, run_status string, feed_rate double, power_kw double")
+    e = spark.createDataFrame([(1, 5), (2, None)], "tag int, plant int")
+    air = spark.createDataFrame([(5, START, 1.0, 30.0, 20.0, 3.0, 4.0, 10.0)], "plant int, ts timestamp_ntz, co2_ton double, nox_ppm double, sox_ppm double, voc_kg double, wastewater_m3 double, energy_kwh double")
+    (row,) = features.plant_hours(r, e, air).collect()
+    assert (row.plant, row.equipment, row.running, row.rate, row.nox, row.energy_per_rate, row.rate_lag_1h) == (5, 1, 1, 2, 30, 5, None)
+    with pytest.raises(Exception, match="no plant for 9"):
+        features.plant_hours(r, e, air, strict=True).collect()
