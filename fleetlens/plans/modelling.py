@@ -90,10 +90,11 @@ _saved: dict[tuple[str, str], str] = {}
 
 def models_of(spark: SparkSession, sf_dir: str) -> tuple[dict[int, hardening.FailureModel], DataFrame, DataFrame]:
     """The models of both horizons, the rows they were made from and the profile of their training rows. The fits are made
-    once a session and table, saved and loaded from there: boosted trees for the nearer horizon, a logistic fit for the
+    once a session and table (again once store.drop_stored() has dropped them), with the 98 % and 90 % points of the training
+    scores as thresholds of action and warning, saved and loaded from there: boosted trees for the nearer horizon, a logistic fit for the
     farther one."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _saved:
+    if not store.held(spark, _saved.get(key)):
         rows, path = store.stored(_rows(spark, sf_dir)), store.scratch(spark)
         start = _test_start(rows)
         for h, kind in ((NEAR, hardening.boosted), (FAR, hardening.logistic)):

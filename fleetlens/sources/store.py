@@ -32,6 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(spark: SparkSession, path: str | None) -> bool:
+    """Whether this application made the path and has not dropped it."""
+    return path in _made.get(spark.sparkContext.applicationId, [])
+
+
 def removed(spark: SparkSession, path: str) -> bool:
     """Delete a path of any file system that Spark can write to; whether there was one."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
