@@ -16,8 +16,9 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .forecast import lag_matrix
-from .metrics import roc_auc
+from .metrics import average_precision, roc_auc
 
 RIDGE_LAGS = (1, 2, 3, 7, 14, 28)
 
@@ -84,6 +85,33 @@ def association(df: DataFrame, cols: list[str], y: str, least: int = 30) -> Data
     return found
 
 
+def joint_association(train: DataFrame, test: DataFrame, cols: list[str], y: str, least: int = 30, bins: int = 10) -> DataFrame | None:
+    """One logistic fit on all columns together: section, name, value, in long form; None where either side has fewer than
+    `least` rows or one class.
+
+    coefficient: one for each standardised column; direction is its sign. measure: roc_auc, average_precision, brier and
+    event_rate of the test rows; predicted and observed: mean score and rate of positives by quantile bin of the scores (bins
+    that share their edges are one). Rows with a null in any column or in y take no part.
+    """
+    known = lambda df: df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("int").alias(y)).dropna()
+    train, test = known(train), known(test)
+    for rows in (train, test):
+        n, classes = rows.agg(F.count("*"), F.count_distinct(y)).first()
+        if n < least or classes < 2:
+            return None
+    score, weights = logistic_fit(train, cols, y)
+    scored = score(test).select("score", y).persist()
+    edges = sorted(set(ranks.quantiles(scored, "score", [i / bins for i in range(1, bins)])))
+    binned = scored.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("score"))))
+    table = binned.groupBy("bin").agg(F.avg("score").alias("predicted"), F.avg(F.col(y).cast("double")).alias("observed"))
+    table = table.unpivot(["bin"], ["predicted", "observed"], "section", "value").select("section", F.concat(F.lit("bin_"), F.lpad(F.col("bin").cast("string"), 2, "0")).alias("name"), "value")
+    one = scored.agg(F.avg(F.pow(F.col("score") - F.col(y), 2)).alias("brier"), F.avg(F.col(y).cast("double")).alias("event_rate"))
+    one = one.crossJoin(roc_auc(scored, [], y, "score")).crossJoin(average_precision(scored, [], y, "score")).select("roc_auc", "average_precision", "brier", "event_rate")
+    measures = one.unpivot([], one.columns, "name", "value").select(F.lit("measure").alias("section"), "name", "value")
+    named = train.sparkSession.createDataFrame([("coefficient", c, w) for c, w in zip(cols, weights, strict=True)], "section string, name string, value double")
+    return named.unionByName(measures).unionByName(table)
+
+
 def linear_reproduction(df: DataFrame, by: list[str], x: str, score: str) -> DataFrame:
     """Slope, intercept and R2 of the score on one column, by group, in one pass."""
     return df.groupBy(*by).agg(F.regr_slope(score, x).alias("slope"), F.regr_intercept(score, x).alias("intercept"), F.regr_r2(score, x).alias("r2"))
