@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import without_leakage
@@ -77,3 +77,74 @@ def event_weeks(condition: DataFrame, incidents: DataFrame) -> DataFrame:
     per = dates.groupBy("tag", "week_date").agg(F.sum("n").alias("incidents"))
     out = condition.select("tag", "week_date").join(per, ["tag", "week_date"], "left")
     return out.withColumns({"incidents": F.coalesce("incidents", F.lit(0)), "is_event_week": F.col("incidents").isNotNull()})
+
+
+#: What a registry says of an entity's cases.
+PROVENANCE = ("source_type", "rca_demo_eligible", "label_source")
+
+
+def with_provenance(df: DataFrame, registry: DataFrame, key: str = "tag", cols: tuple[str, ...] = PROVENANCE) -> DataFrame:
+    """df with cols of the registry's row of its key; a key that the registry lacks, names without a source_type, or names
+    twice fails the job, with the key in the message. A null key fails too."""
+    one = registry.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in cols])
+    joined = df.join(one, F.col(key) == F.col("_key"), "left")
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    wrong = F.when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit("provenance is repeated for "), name))).when(F.col("source_type").isNull(), F.raise_error(F.concat(F.lit("no provenance for "), name)))
+    return joined.withColumn("source_type", F.coalesce(wrong.cast("string"), F.col("source_type"))).drop("_key", "_rows")
+
+
+def _keyed_once(df: DataFrame, ent: str, order: list[str]) -> DataFrame:
+    """df; two rows of an entity that are equal in all of order fail the job. It shares the sort of the rolling windows."""
+    w = Window.partitionBy(ent).orderBy(*order)
+    same = None
+    for c in order:
+        equal = F.col(c).eqNullSafe(F.lag(c).over(w))
+        same = equal if same is None else same & equal
+    # Without a row before, eqNullSafe compares with null, so the first row is told by its number.
+    again = same & (F.row_number().over(w) > 1)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("repeated key"), F.coalesce(F.col(ent).cast("string"), F.lit("null")), *[F.col(c).cast("string") for c in order]))
+    return df.withColumn("_again", again).where(F.when(F.col("_again"), wrong.cast("boolean")).otherwise(F.lit(True))).drop("_again")
+
+
+def equipment_features(readings: DataFrame, equipment: DataFrame, registry: DataFrame, context: DataFrame, signals: list[str], order: tuple[str, ...] = ("ts",), as_of: Column | None = None, short: int = 24, long: int = 168, version: str = "1") -> DataFrame:
+    """Readings up to as_of as features: the equipment's identity (all columns of its master), provenance, is_running, calendar,
+    causal windows of the signals, the plant's context of the hour, version, and whether the row is its entity's latest.
+
+    context: plant, hour_ts and columns of its own, one row of each plant and hour; readings without one have nulls. Rows
+    are told apart by tag and order: repeated ones fail the job, as do tags without provenance. Latest is by the same order.
+    """
+    rows = readings if as_of is None else readings.where(F.col("ts") <= as_of)
+    rows = _keyed_once(rows.select("tag", *dict.fromkeys(["ts", *order]), "run_status", *signals), "tag", list(order))
+    out = causal_rolling(rows, "tag", list(order), signals, short, long)
+    last = Window.partitionBy("tag").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    out = time_features(out, "ts").withColumns({"is_running": (F.col("run_status") == "ON").cast("int"), "is_latest": F.row_number().over(last) == 1})
+    out = with_provenance(out.join(equipment, "tag", "left"), registry)
+    clash = sorted((set(context.columns) - {"plant", "hour_ts"}) & set(out.columns))
+    if clash:
+        raise ValueError(f"context has columns of the features: {clash}")
+    out = out.withColumn("hour_ts", F.date_trunc("hour", "ts")).join(context, ["plant", "hour_ts"], "left").drop("hour_ts")
+    return without_leakage(out.withColumn("feature_version", F.lit(version)), [c for c in OUTCOMES if c not in PROVENANCE])
+
+
+def condition_features(condition: DataFrame, registry: DataFrame, nonnegative: list[str], signals: list[str], slots: int = 4, as_of: Column | None = None, short: int = 4, long: int = 12, version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Weekly features, and the labels of the same rows as a table apart.
+
+    condition: tag, week_date, health_status, parameter_name_i and parameter_value_i of each slot, and signals; registry: tag,
+    failure_date and PROVENANCE. A negative value of a parameter that cannot be negative becomes null and is flagged; flags are
+    summed up. Values and signals get causal windows over weeks, the date its ISO week and month. Labels: the status, the
+    registry's columns, and whether the failure lies 0 to 6 days after the week's date. Repeated weeks of an entity and tags
+    without provenance fail the job.
+    """
+    rows = condition if as_of is None else condition.where(F.col("week_date") <= as_of)
+    rows = _keyed_once(rows, "tag", ["week_date"])
+    joined = with_provenance(rows, registry, "tag", (*PROVENANCE, "failure_date"))
+    days = F.date_diff(F.to_date("failure_date"), F.to_date("week_date"))
+    labels = joined.select("tag", "week_date", "health_status", "failure_date", *PROVENANCE, F.coalesce(days.between(0, 6), F.lit(False)).cast("int").alias("is_event_week"), F.lit(True).alias("status_label_is_rule_derived"))
+    flags, values = {}, {}
+    for i in range(1, slots + 1):
+        wrong = F.coalesce(F.col(f"parameter_name_{i}").isin(nonnegative) & (F.col(f"parameter_value_{i}") < 0), F.lit(False))
+        flags[f"parameter_{i}_invalid_physical"], values[f"parameter_value_{i}"] = wrong.cast("int"), F.when(~wrong, F.col(f"parameter_value_{i}"))
+    out = joined.withColumns(flags).withColumns(values).withColumn("data_quality_flag_count", sum((F.col(c) for c in flags), F.lit(0)))
+    out = causal_rolling(out.drop("health_status", "failure_date"), "tag", ["week_date"], [*values, *signals], short, long, "w")
+    out = out.withColumns({"week_of_year": F.weekofyear("week_date"), "month": F.month("week_date"), "feature_version": F.lit(version)})
+    return without_leakage(out, ("health_status", "failure_date", "is_event_week")), labels

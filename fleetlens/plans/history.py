@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import continuity, labels, models
+from ..operators import continuity, features, labels, models
 from ..sources import documents as docs_source
 from . import adapters, catalog, fitted
 from .adapters import rounded
@@ -120,6 +120,57 @@ CORPUS_SQL = f"""WITH {REGISTRY_CTE}, {SLIDES_CTE} SELECT tag || ':slide:' || sl
 FROM re JOIN sl ON sl.page_id = re.source_document"""
 
 
+# A week's condition in four slots, and its first and last reading as signals; who has cases that documents tell.
+CONDITION = """SELECT tag, week_date, CASE WHEN mean >= 60 THEN 'ALARM' ELSE 'NORMAL' END AS health_status, CASE WHEN tag % 2 = 0 THEN 'vibration' ELSE 'level' END AS parameter_name_1, mean - 45 AS parameter_value_1,
+    'pressure' AS parameter_name_2, low AS parameter_value_2, 'temperature' AS parameter_name_3, high AS parameter_value_3, 'level' AS parameter_name_4, errors - 20 AS parameter_value_4, clicks AS sun_feed_rate, views AS sun_power
+    FROM (SELECT user_id AS tag, CAST(date_trunc('week', ts) AS DATE) AS week_date, avg(value) AS mean, min(value) AS low, max(value) AS high, sum(CASE WHEN event_type = 'error' THEN value END) AS errors,
+      avg(CASE WHEN event_type = 'click' THEN value END) AS clicks, avg(CASE WHEN event_type = 'view' THEN value END) AS views FROM {events} GROUP BY 1, 2) w"""
+PROVENANCE_ROWS = """SELECT e.tag, failure_date, CASE WHEN real THEN 'real_rca_backed' ELSE 'synthetic_support' END AS source_type, coalesce(real, FALSE) AS rca_demo_eligible, CASE WHEN real THEN 'rca_document' ELSE 'synthetic_generation' END AS label_source
+    FROM {equipment} e LEFT JOIN (SELECT tag, min(failure_date) AS failure_date, max(CASE WHEN is_source_rca THEN 1 ELSE 0 END) = 1 AS real FROM {incidents} GROUP BY tag) i ON e.tag = i.tag"""
+SLOT_VALUES = [f"parameter_value_{i}" for i in range(1, 5)]
+WEEK_SIGNALS, NONNEGATIVE = ["sun_feed_rate", "sun_power"], ["vibration", "pressure"]
+
+
+def _condition(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    condition, registry = (adapters.run(spark, sf_dir, t) for t in (CONDITION, PROVENANCE_ROWS))
+    return features.condition_features(condition, registry, NONNEGATIVE, WEEK_SIGNALS, as_of=F.lit("2024-01-28").cast("date"), short=2, long=4)
+
+
+def _windows(s: str, order: str, short: int, long: int, unit: str) -> str:
+    """The columns of one signal's causal windows."""
+    lag = lambda k: f"lag({s}, {k}) OVER (PARTITION BY tag ORDER BY {order})"
+    before = lambda n: f"OVER (PARTITION BY tag ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    over = lambda f, n: f"CASE WHEN count({s}) {before(n)} >= {max(2, n // 4)} THEN {f}({s}) {before(n)} END"
+    out = {f"lag_1{unit}": lag(1), f"lag_{short}{unit}": lag(short), f"delta_1{unit}": f"{s} - {lag(1)}", f"zscore_{long}{unit}": f"({s} - {over('avg', long)}) / nullif({over('stddev_samp', long)}, 0)"}
+    out |= {f"{name}_{n}{unit}": over(f, n) for n in (short, long) for name, f in (("mean", "avg"), ("std", "stddev_samp"))}
+    return ", ".join(f"round({x}, 6) AS {s}_{c}" for c, x in out.items())
+
+
+_WRONG = {i: f"coalesce(parameter_name_{i} IN ('vibration', 'pressure') AND parameter_value_{i} < 0, FALSE)" for i in range(1, 5)}
+CONDITION_SQL = f"""WITH c AS ({CONDITION}), g AS ({PROVENANCE_ROWS}),
+f AS (SELECT c.tag, week_date, source_type, rca_demo_eligible, label_source, sun_feed_rate, sun_power, {", ".join(f"parameter_name_{i}, ({w})::INT AS parameter_{i}_invalid_physical, CASE WHEN NOT {w} THEN parameter_value_{i} END AS parameter_value_{i}" for i, w in _WRONG.items())}
+  FROM c JOIN g ON c.tag = g.tag WHERE week_date <= DATE '2024-01-28')
+SELECT tag, week_date, source_type, rca_demo_eligible, label_source, {", ".join(f"parameter_name_{i}, parameter_{i}_invalid_physical" for i in _WRONG)}, {" + ".join(f"parameter_{i}_invalid_physical" for i in _WRONG)} AS data_quality_flag_count,
+  {", ".join(f"round({s}, 6) AS {s}" for s in SLOT_VALUES + WEEK_SIGNALS)}, {", ".join(_windows(s, "week_date", 2, 4, "w") for s in SLOT_VALUES + WEEK_SIGNALS)}, week(week_date) AS week_of_year, month(week_date) AS month, '1' AS feature_version FROM f"""
+CONDITION_LABELS_SQL = f"""WITH c AS ({CONDITION}), g AS ({PROVENANCE_ROWS}) SELECT c.tag, week_date, health_status, failure_date, source_type, rca_demo_eligible, label_source,
+  coalesce(failure_date::DATE - week_date BETWEEN 0 AND 6, FALSE)::INT AS is_event_week, TRUE AS status_label_is_rule_derived FROM c JOIN g ON c.tag = g.tag WHERE week_date <= DATE '2024-01-28'"""
+
+PLANT_CONTEXT = """SELECT plant, date_trunc('hour', ts) AS hour_ts, count(DISTINCT e.tag) AS plant_running, avg(plant_rate) AS plant_mean_rate FROM {readings} r JOIN {equipment} e ON r.tag = e.tag WHERE run_status = 'ON' GROUP BY 1, 2"""
+
+
+def _equipment(spark, sf_dir) -> DataFrame:
+    registry, context = (adapters.run(spark, sf_dir, t) for t in (PROVENANCE_ROWS, PLANT_CONTEXT))
+    rows = features.equipment_features(T(spark, sf_dir, "readings"), T(spark, sf_dir, "equipment"), registry, context, ["feed_rate", "power_kw"], ("ts", "event_id"), catalog.at("2024-01-25 00:00:00"), 4, 12)
+    return rounded(rows.drop("hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos"))
+
+
+EQUIPMENT_SQL = f"""WITH g AS ({PROVENANCE_ROWS}), x AS ({PLANT_CONTEXT}), r AS (SELECT * FROM {{readings}} WHERE ts <= TIMESTAMP '2024-01-25 00:00:00'),
+w AS (SELECT tag, ts, event_id, run_status, round(feed_rate, 6) AS feed_rate, round(power_kw, 6) AS power_kw, {", ".join(_windows(s, "ts, event_id", 4, 12, "h") for s in ("feed_rate", "power_kw"))}, hour(ts) AS hour, (dayofweek(ts) + 6) % 7 AS day_of_week, month(ts) AS month,
+  (run_status = 'ON')::INT AS is_running, row_number() OVER (PARTITION BY tag ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM r)
+SELECT w.*, e.equipment_name, e.plant, e.equipment_type, round(e.price, 6) AS price, g.source_type, g.rca_demo_eligible, g.label_source, x.plant_running, round(x.plant_mean_rate, 6) AS plant_mean_rate, '1' AS feature_version
+FROM w JOIN g ON g.tag = w.tag LEFT JOIN {{equipment}} e ON e.tag = w.tag LEFT JOIN x ON x.plant = e.plant AND x.hour_ts = date_trunc('hour', w.ts)"""
+
+
 def _joint(spark, sf_dir) -> DataFrame:
     """Whether an entity fails within a day, on all signals together, learnt before and judged after the test's start."""
     rows = fitted._features(spark, sf_dir).persist()
@@ -137,5 +188,8 @@ OPERATORS = {
     "src8_slides": (lambda s, d: docs_source.slides(T(s, d, "pages")), f"WITH {SLIDES_CTE} SELECT * FROM sl"),
     "src9_incident_registry": (_registry, f"WITH {REGISTRY_CTE} SELECT * FROM re"),
     "src9_case_corpus": (_corpus, CORPUS_SQL),
+    "fea2_equipment_context": (_equipment, EQUIPMENT_SQL),
+    "fea3_condition_slots": (lambda s, d: rounded(_condition(s, d)[0]), CONDITION_SQL),
+    "fea3_condition_labels": (lambda s, d: _condition(s, d)[1], CONDITION_LABELS_SQL),
     "ml4_joint_association": (_joint, None),
 }
