@@ -747,9 +747,9 @@ OPERATORS |= OPERATORS_MORE | fitted.OPERATORS
 
 def operators() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """All queries that are no plain SQL; those of other modules build on this one's."""
-    from . import history, modelling, series
+    from . import evidence, history, modelling, series
 
-    return OPERATORS | modelling.OPERATORS | series.OPERATORS | history.OPERATORS
+    return OPERATORS | modelling.OPERATORS | series.OPERATORS | history.OPERATORS | evidence.OPERATORS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
