@@ -128,11 +128,12 @@ CONDITION = """SELECT tag, week_date, CASE WHEN mean >= 60 THEN 'ALARM' ELSE 'NO
 PROVENANCE_ROWS = """SELECT e.tag, failure_date, CASE WHEN real THEN 'real_rca_backed' ELSE 'synthetic_support' END AS source_type, coalesce(real, FALSE) AS rca_demo_eligible, CASE WHEN real THEN 'rca_document' ELSE 'synthetic_generation' END AS label_source
     FROM {equipment} e LEFT JOIN (SELECT tag, min(failure_date) AS failure_date, max(CASE WHEN is_source_rca THEN 1 ELSE 0 END) = 1 AS real FROM {incidents} GROUP BY tag) i ON e.tag = i.tag"""
 SLOT_VALUES = [f"parameter_value_{i}" for i in range(1, 5)]
+ADDED = ["value", *[f"CASE WHEN event_type = '{t}' THEN value END" for t in ("error", "click", "view")]]
 WEEK_SIGNALS, NONNEGATIVE = ["sun_feed_rate", "sun_power"], ["vibration", "pressure"]
 
 
 def _condition(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    condition, registry = (adapters.run(spark, sf_dir, t) for t in (CONDITION, PROVENANCE_ROWS))
+    condition, registry = (adapters.run(spark, sf_dir, t) for t in (adapters.whatever_order(CONDITION, *ADDED), PROVENANCE_ROWS))
     return features.condition_features(condition, registry, NONNEGATIVE, WEEK_SIGNALS, as_of=F.lit("2024-01-28").cast("date"), short=2, long=4)
 
 
