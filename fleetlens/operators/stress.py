@@ -124,21 +124,26 @@ def attribution(targets: DataFrame, key: str, cols: list[str], background: DataF
     pool = background.select(values.alias("b")).withColumn("_h", F.xxhash64(F.lit(seed), "b")).orderBy("_h", "b").limit(most)
     pool = pool.select((F.row_number().over(Window.orderBy("_h", "b")) - 1).alias("slot"), "b")
     size = pool.agg(F.count("*").alias("_n"))
-    rows = targets.select(key, values.alias("x"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).crossJoin(F.broadcast(size))
+    # A target becomes draws * (n + 1) rows that stay where it is, so the targets are dealt first to as many tasks as a shuffle
+    # has. By a hash: Spark drops a deal by the key itself where targets come by key, and few bytes of them end in one task.
+    dealt = targets.select(key, values.alias("x")).repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+    rows = dealt.select(key, "x", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).crossJoin(F.broadcast(size))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), key, "draw"), F.col("_n")).cast("int")).join(F.broadcast(pool), "slot")
     order = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(f"{seed}{i}"), key, "draw").alias("h"), F.lit(i).alias("i")) for i in range(n)]))
     rows = rows.withColumn("path", F.transform(order, lambda s: s["i"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
     turned = lambda i: F.array_position("path", i) <= F.col("step")
     walk = rows.select(key, "draw", "step", "path", *[F.when(turned(i), F.col(f"x.c{i}")).otherwise(F.col(f"b.c{i}")).alias(c) for i, c in enumerate(cols)])
     scored = score(walk).select(key, "draw", "step", "path", F.col("score").cast("double").alias("score"))
-    before = F.lag("score").over(Window.partitionBy(key, "draw").orderBy("step"))
-    steps = scored.withColumn("change", F.col("score") - before)
-    names = F.array(*map(F.lit, cols))
-    ends = steps.groupBy(key).agg(F.avg(F.when(F.col("step") == 0, F.col("score"))).alias("base_value"), F.avg(F.when(F.col("step") == n, F.col("score"))).alias("output"))
-    out = steps.where("step > 0").groupBy(key, names[F.element_at("path", F.col("step"))].alias("feature")).agg((F.sum("change") / draws).alias("value"))
+    # A step's score counts for the feature that it turns, and against the one that the next step turns.
+    turns, next_ = F.get("path", F.col("step") - 1), F.get("path", F.col("step"))
+    gains = [F.sum(F.when(turns == i, F.col("score")).when(next_ == i, -F.col("score"))) / draws for i in range(n)]
+    at = lambda step: F.avg(F.when(F.col("step") == step, F.col("score")))
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), g.alias("value")) for c, g in zip(cols, gains, strict=True)])
+    sums = scored.groupBy(key).agg(at(0).alias("base_value"), at(n).alias("output"), each.alias("each"))
+    out = sums.select(key, "base_value", "output", F.explode("each").alias("e")).select(key, "e.*", "base_value", "output")
     total = F.sum("value").over(Window.partitionBy(key))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs(F.round("value", 9)).desc(), "feature"))
-    return out.join(ends, key).select(key, "feature", "value", "base_value", "output", F.abs(F.col("base_value") + total - F.col("output")).alias("error"), rank.alias("rank"))
+    return out.select(key, "feature", "value", "base_value", "output", F.abs(F.col("base_value") + total - F.col("output")).alias("error"), rank.alias("rank"))
 
 
 def attribution_table(values: DataFrame, key: str, targets: DataFrame, background: DataFrame, cols: list[str], groups: dict[str, str], top: int | None = None) -> DataFrame:
