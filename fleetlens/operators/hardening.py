@@ -10,13 +10,13 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labels, metrics, models
+from . import boosting, labels, metrics, models
 from .timeseries import persistence
 
 #: A fit takes rows with features and label and returns what scores rows.
@@ -94,8 +94,12 @@ def _prepared(cols: list[str]) -> list:
 
 def boosted(train: DataFrame, cols: list[str], y: str, horizon_days: int, iterations: int = 120, rate: float = 0.08) -> FailureModel:
     """Boosted trees with balanced classes."""
-    learner = GBTClassifier(featuresCol="_vector", labelCol=y, weightCol="weight", maxIter=iterations, stepSize=rate, maxDepth=4, seed=7)
-    return FailureModel(Pipeline(stages=[*_prepared(cols), learner]).fit(models.class_weights(train, y)), list(cols), horizon_days)
+    rows, held, _ = models.fit_rows(train, list(cols), y)
+    *first, vector = _prepared(cols)
+    filled, names = Pipeline(stages=first).fit(rows), vector.getInputCols()
+    trees = boosting.fit(filled.transform(rows), names, y, "weight", iterations=iterations, rate=rate)
+    held.unpersist()
+    return FailureModel(PipelineModel([*filled.stages, boosting.BoostedTrees(trees=trees, inputCols=names)]), list(cols), horizon_days)
 
 
 def logistic(train: DataFrame, cols: list[str], y: str, horizon_days: int) -> FailureModel:
