@@ -96,7 +96,7 @@ def template_windows(docs: DataFrame, sizes: list[int], bitmap: np.ndarray | Non
         from pyspark import TaskContext
 
         kinds, bits, row = Kinds(), given.value, TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in common.slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()

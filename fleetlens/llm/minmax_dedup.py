@@ -57,7 +57,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
-        for b in batches:
+        for b in common.slices(batches):
             n, keys, bands = [], [], []
             for text in b.column(1):
                 s = shingle_set(hashes.of(text.as_py()))
@@ -74,7 +74,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
-        for b in batches:
+        for b in common.slices(batches):
             found = [shingle_set(hashes.of(t.as_py())).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(key_of, found), pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "set_key", "shingles"])
 

@@ -37,7 +37,7 @@ class Encoder(dict):
     ones, mark a space that does not stand alone; a text with such units is cut by the rule itself.
     """
 
-    def __init__(self, ranks: bytes, limit: int = 250_000):
+    def __init__(self, ranks: bytes, limit: int = 100_000):
         super().__init__()
         self.encode, self.limit = encoding(ranks).encode_ordinary, limit
 
@@ -150,7 +150,7 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN,
             for i in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 1000], _SCHEMA)
 
-        for b in batches:
+        for b in common.slices(batches):
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
                 ids = encoder.ids(text.as_py() or "")
                 held.append((doc_id.as_py(), row, ids))

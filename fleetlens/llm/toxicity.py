@@ -52,6 +52,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, flo
     solve = lambda z, n: -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2) * (np.abs(z) > L1)
     for _ in range(EPOCHS):
         for x, y in rows:
+            x = x.astype(np.intp)  # rows may hold them in fewer bytes
             w = solve(z[x], n[x])
             bias = -bz / ((BETA + bn**0.5) / ALPHA)
             g = (sigmoid(w.sum() + bias) - y) * (weight[0] if y else weight[1])
@@ -75,9 +76,9 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rows = Tokens(), []
-        for b in batches:
+        for b in common.slices(batches):
             for text, y, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append((key, np.unique(features(tokens.of(text))), int(y)))
+                rows.append((key, np.unique(features(tokens.of(text)).astype(np.int32)), int(y)))
         rows.sort(key=lambda r: r[0])
         if rows:
             at, w, bias = fit([r[1:] for r in rows])
@@ -119,7 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
         dense = np.zeros(1 << BITS, np.float32)
         dense[idx] = w
         tokens = Tokens()
-        for b in batches:
+        for b in common.slices(batches):
             out = np.empty(b.num_rows)
             for i, text in enumerate(b.column(at)):
                 x = features(tokens.of(text.as_py()))
